@@ -50,11 +50,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def rows_as(schema: str):
-    """(names, Arrow schema) of a DDL string, for the batches that a mapInArrow function yields."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    """The Arrow schema of a DDL string of plain types, for the batches that a mapInArrow function yields."""
+    import pyarrow as pa
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    plain |= {f"array<{name}>": pa.list_(kind) for name, kind in plain.items()}
+    return pa.schema([(name, plain[kind]) for name, kind in (field.split() for field in schema.split(", "))])
 
 
 def quiet_tokenizers() -> None:
