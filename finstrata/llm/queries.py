@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import table
 from finstrata.llm.lm_scoring import lm_scores
+from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
 from finstrata.llm.token_counts import token_counts
 
@@ -30,6 +31,10 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op9_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(table(spark, sf_dir, "documents"))
+
+
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
