@@ -11,6 +11,7 @@ from finstrata.llm.common import table
 from finstrata.llm.lm_scoring import lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
+from finstrata.llm.substring_dedup import substring_dedup
 from finstrata.llm.token_counts import token_counts
 
 
@@ -31,6 +32,11 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(table(spark, sf_dir, "documents"))
 
