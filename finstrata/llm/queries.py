@@ -11,6 +11,7 @@ from finstrata.llm.common import table
 from finstrata.llm.lm_scoring import lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
+from finstrata.llm.quality import score_quality
 from finstrata.llm.substring_dedup import substring_dedup
 from finstrata.llm.token_counts import token_counts
 
@@ -21,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     scores = lm_scores(table(spark, sf_dir, "documents"), trains=~held_out)
