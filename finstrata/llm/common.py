@@ -58,6 +58,25 @@ def rows_as(schema: str):
     return pa.schema([(name, plain[kind]) for name, kind in (field.split() for field in schema.split(", "))])
 
 
+def bitmap(hashes: DataFrame, column: str, bits: int):
+    """A NumPy bitmap of the hashes' top ``bits`` bits, of 2**bits / 8 bytes however many hashes there are; see marked()."""
+    import numpy as np
+
+    cell = F.shiftrightunsigned(column, 64 - bits)
+    words = hashes.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("b")).toArrow()
+    found = np.zeros(1 << (bits - 6), np.int64)
+    found[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return found.view(np.uint64)
+
+
+def marked(bitmap, hashes, bits: int):
+    """Which of the (unsigned) hashes the bitmap lets pass: all that it was made of, and a few others."""
+    import numpy as np
+
+    cell = hashes >> np.uint64(64 - bits)
+    return (bitmap[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
+
+
 def quiet_tokenizers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"

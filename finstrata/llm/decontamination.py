@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import rows_as, settle, texts
+from finstrata.llm.common import bitmap, marked, rows_as, settle, texts
 from finstrata.llm.near_join import word_hashes
-from finstrata.llm.shingles import WordHashes, mixed, windows
+from finstrata.llm.shingles import WordHashes, windows
 
 GRAMS = "item_id long, gram long, at int, words binary"
 COUNTED = "gram long, c long"
@@ -49,27 +49,16 @@ def item_grams(k: int):
     return made
 
 
-def marked(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    cell = grams >> np.uint64(64 - BITS)
-    return (bitmap[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def bitmap_of(cells: np.ndarray) -> np.ndarray:
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bitmap, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
-    return bitmap
-
-
 def gram_counter(k: int, shared):
     def counted(batches: Iterator) -> Iterator:
         """How often the task's documents hold the n-grams that the bitmap lets pass."""
         import pyarrow as pa
 
-        schema, words, bitmap, found = rows_as(COUNTED), WordHashes(), shared.value, []
+        schema, words, cells, found = rows_as(COUNTED), WordHashes(), shared.value, []
         for batch in batches:
             for body in batch.column("body"):
                 grams = windows(word_hashes(body.as_py(), words), k)
-                if (hit := marked(bitmap, grams)).any():
+                if (hit := marked(cells, grams, BITS)).any():
                     found.append(np.unique(grams[hit]))
             if len(found) > 20_000:
                 found = [np.concatenate(found)]
@@ -84,14 +73,14 @@ def seed_finder(k: int, shared, reach: int):
         """For each place where a document holds a seed: the seed, and the words around it, ``reach`` on either side."""
         import pyarrow as pa
 
-        schema, words, bitmap = rows_as(HITS), WordHashes(), shared.value
+        schema, words, cells = rows_as(HITS), WordHashes(), shared.value
         for batch in batches:
             rows = []
             keys = batch.column("_row").to_pylist()
             for doc_id, key, body in zip(batch.column("doc_id").to_pylist(), keys, batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
                 grams = windows(hashes, k)
-                at = np.flatnonzero(marked(bitmap, grams)).tolist()
+                at = np.flatnonzero(marked(cells, grams, BITS)).tolist()
                 i = 0
                 while i < len(at):  # neighbours share their words
                     j = i
@@ -154,12 +143,6 @@ def aligner(least: float):
     return aligned
 
 
-def cells(grams: DataFrame) -> np.ndarray:
-    """The bitmap's cells of these n-grams; there are no more cells than the bitmap has, however many n-grams."""
-    found = grams.select(F.shiftrightunsigned("gram", 64 - BITS).cast("int").alias("cell")).distinct().toArrow()
-    return bitmap_of(found.column("cell").to_numpy().astype(np.int64))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: float = 0.5, rare: int = 8, item_words: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and test item that the document holds a copy or an edited copy of.
 
@@ -173,19 +156,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("_row"))
     items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k))
-    whole = spark.sparkContext.broadcast(cells(items))
+    whole = spark.sparkContext.broadcast(bitmap(items, "gram", BITS))
     counts = rows.select("body").mapInArrow(gram_counter(k, whole), COUNTED).groupBy("gram").agg(F.sum("c").alias("c"))
     # an item's seeds: rare ones by themselves, or for that item; one that the corpus has everywhere keeps its rarest
     found = items.join(counts, "gram")
     rarest = found.groupBy("item_id", "words").agg(F.min("c").alias("rarest"))
     seeds = settle(found.join(rarest, ["item_id", "words"]).filter(F.col("c") <= rare * F.col("rarest")).select("item_id", "gram", F.col("at").alias("item_at"), "words"))
-    chosen = spark.sparkContext.broadcast(cells(seeds))
+    chosen = spark.sparkContext.broadcast(bitmap(seeds, "gram", BITS))
     hits = rows.mapInArrow(seed_finder(k, chosen, item_words // 4), HITS)
     pairs = hits.withColumnRenamed("words", "around").join(seeds, "gram")
     # seeds of a pair that share the words around them are one candidate
     pairs = pairs.groupBy("_row", "doc_id", "item_id", "words", "first", "around").agg(F.count("*").alias("seeds"))
     found = pairs.mapInArrow(aligner(least), ALIGNED)
-    best = F.max_by(F.struct(*[c.split()[0] for c in ALIGNED.split(", ") if c.split()[0] not in ("_row", "item_id")]), F.struct("score", -F.col("doc_start"), -F.col("item_start")))
+    best = F.max_by(F.struct("doc_id", "score", "matched", "doc_start", "doc_end", "item_start", "item_end"), F.struct("score", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("_row", "item_id").agg(best.alias("b")).select("b.doc_id", "_row", "item_id", *(f"b.{c}" for c in ("score", "matched", "doc_start", "doc_end", "item_start", "item_end")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import table
+from finstrata.llm.decontamination import decontaminate
 from finstrata.llm.lm_scoring import lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
@@ -37,6 +38,11 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op6_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_row")
+
+
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
