@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import table
 from finstrata.llm.decontamination import decontaminate
+from finstrata.llm.html_text import extract_text
+from finstrata.llm.license_scan import scan_licenses
 from finstrata.llm.lm_scoring import lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
@@ -38,6 +40,10 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op5_two_pass_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("_row")
@@ -48,6 +54,10 @@ def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("_row", "spans")
+
+
 def op9_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(table(spark, sf_dir, "documents"))
 
