@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finstrata.llm.ann import nearest
 from finstrata.llm.common import table
 from finstrata.llm.decontamination import decontaminate
 from finstrata.llm.html_text import extract_text
@@ -40,6 +41,10 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op4_anisotropic_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), is_query=lambda vec_id: vec_id % 50 == 0)
+
+
 def op5_two_pass_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
