@@ -27,6 +27,14 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), utf8(text_col).alias("body"), *more)
 
 
+def carried(docs: DataFrame, columns: tuple[str, ...]) -> tuple[Column, str]:
+    """A struct of the columns that go along with a row, and its type; a struct of nothing becomes a null."""
+    if not columns:
+        return F.lit(None).cast("boolean").alias("carried"), "boolean"
+    struct = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried")
+    return struct, docs.select(struct).schema["carried"].dataType.simpleString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset, as in tests."""
     sc = spark.sparkContext

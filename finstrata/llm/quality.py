@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import rows_as, texts
+from finstrata.llm.common import carried, rows_as, texts
 
 BITS = 18
 #: Style features follow the hashed ones.
@@ -81,7 +81,7 @@ def sigmoid(x):
 
 def margins(weights: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     items, values, of = rows
-    return np.bincount(of, weights[items] * values, minlength=of[-1] + 1 if len(of) else 0)
+    return np.bincount(of, weights[items] * values)
 
 
 def fit(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, importance: np.ndarray, size: int, steps: int = 60, l2: float = 2e-4) -> np.ndarray:
@@ -136,41 +136,59 @@ def scale(distinct: int) -> float:
     return 5 / math.sqrt(distinct + 1)
 
 
-def sparse(rows: list[tuple[list[int], list[float] | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of (hashed items, style features) as items, values, and the row that each belongs to."""
-    items, values, of = [], [], []
-    for i, (hashed, dense) in enumerate(rows):
-        items += [np.asarray(hashed, np.int64)] + ([np.arange(1 << BITS, SIZE)] if dense is not None else [])
-        values += [np.full(len(hashed), scale(len(hashed) // 2)) if dense is not None else np.ones(len(hashed))] + ([np.asarray(dense)] if dense is not None else [])
-        of.append(np.full(len(hashed) + (len(dense) if dense is not None else 0), i))
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return join(items, np.int64), join(values, float), join(of, np.int64)
-
-
-def co_train(labelled: list, y: np.ndarray, unlabelled: list, rounds: int, sure: float, per_round: int) -> tuple[Linear, Linear, np.ndarray]:
+@dataclass
+class View:
+    """What one classifier sees of the sampled rows: their items one after the other, where each row's end, style features."""
+
+    items: np.ndarray
+    ends: np.ndarray
+    dense: np.ndarray | None
+
+    def rows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The given rows as items, values, and the (new) row that each belongs to."""
+        first, sizes = self.ends[of], self.ends[of + 1] - self.ends[of]
+        row = np.repeat(np.arange(len(of), dtype=np.int32), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+        if self.dense is None:
+            return self.items[at], np.ones(len(row), np.float32), row
+        weigh = np.array([scale(n // 2) for n in sizes.tolist()], np.float32)
+        k = self.dense.shape[1]
+        return (
+            np.concatenate([self.items[at], np.tile(np.arange(SIZE - k, SIZE, dtype=np.int32), len(of))]),
+            np.concatenate([weigh[row], self.dense[of].reshape(-1).astype(np.float32)]),
+            np.concatenate([row, np.repeat(np.arange(len(of), dtype=np.int32), k)]),
+        )
+
+
+def appended(a: tuple, b: tuple, n: int) -> tuple:
+    """Two sets of rows as one; the first has n rows."""
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2] + np.int32(n)])
+
+
+def co_train(views: tuple[View, View], y: np.ndarray, rounds: int, sure: float, per_round: int) -> tuple[Linear, Linear, np.ndarray]:
     """Both views' calibrated classifiers, and weights to combine their log odds (text, meta, bias).
 
-    labelled, unlabelled: (items, style, meta). A fourth of the labelled rows, every fourth, calibrates and combines.
+    y: 1, 0, or -1 for an unlabelled row. A fourth of the labelled rows, every fourth, calibrates and combines.
     """
-    held = np.arange(len(y)) % 4 == 3
-    learn, check = np.flatnonzero(~held), np.flatnonzero(held)
-    if len(y) == 0 or y[learn].min() == y[learn].max():  # one class or none: its share is all there is to learn
-        odds = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    known, unlabelled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    held = np.arange(len(known)) % 4 == 3
+    learn, check = known[~held], known[held]
+    if len(known) == 0 or y[learn].min() == y[learn].max():  # one class or none: its share is all there is to learn
+        odds = math.log((y[known].sum() + 1) / (len(known) - y[known].sum() + 1))
         return Linear(np.zeros(SIZE), 0.0, odds), Linear(np.zeros(META), 0.0, odds), np.array([0.5, 0.5, 0.0])
-    views = [lambda r: (r[0], r[1]), lambda r: (r[2], None)]
     sizes = [SIZE, META]
     pseudo: list[dict[int, float]] = [{}, {}]  # for each view: unlabelled row -> the label that the other view gave it
     spread = lambda of: min(1.0, len(learn) / max(len(of), 1))  # noqa: E731  pseudo-labels weigh no more than labels
-    checked, models = [sparse([v(labelled[i]) for i in check]) for v in views], [None, None]
-    pooled = [sparse([v(r) for r in unlabelled]) for v in views]
+    learned, checked, pooled = ([v.rows(of) for v in views] for of in (learn, check, unlabelled))
+    models: list[Linear] = [Linear(np.zeros(n)) for n in sizes]
     for turn in range(rounds + 1):
         for k, view in enumerate(views):
             extra = sorted(pseudo[k])
-            rows = sparse([view(labelled[i]) for i in learn] + [view(unlabelled[i]) for i in extra])
+            rows = appended(learned[k], view.rows(unlabelled[extra]), len(learn)) if extra else learned[k]
             targets = np.concatenate([y[learn], [pseudo[k][i] for i in extra]])
             weights = fit(rows, targets, np.concatenate([np.ones(len(learn)), np.full(len(extra), 0.5 * spread(extra))]), sizes[k])
             models[k] = calibrated(weights, margins(weights, checked[k]), y[check])
-        if turn == rounds or not unlabelled:
+        if turn == rounds or not len(unlabelled):
             break
         for k in (0, 1):
             p = sigmoid(models[k].log_odds(margins(models[k].weights, pooled[k])))
@@ -213,16 +231,18 @@ class WordWeights(dict):
         return value
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_unlabelled: int = 6000, rounds: int = 3, sure: float = 0.98, per_round: int = 400, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, p_text, p_meta, score (chance of being good) and keep.
+def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_unlabelled: int = 4000, rounds: int = 3, sure: float = 0.98, per_round: int = 400, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, p_text, p_meta, score (chance of being good), keep, and carried
+    (a struct of the columns of ``docs`` that ``carry`` names).
 
     Good are documents labelled quality 1 and toxic 0; labels with a null are left out, and of repeated ones the worst
     counts. Null texts are empty ones, null metadata is a value of its own; null ids are scored too. Without labels of both
     classes, the score is the (smoothed) share of good ones. Repeated rows score alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    along, kind = carried(docs, carry)
     length = F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("length")
-    rows = texts(docs, id_col, text_col, F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), length)
+    rows = texts(docs, id_col, text_col, F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), length, along)
     order = [F.xxhash64("doc_id"), "doc_id"]
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).dropna().groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
@@ -232,16 +252,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000,
     wanted = known.union(pool)  # most_labelled + most_unlabelled rows at most
     sample = rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "body", "source", "lang", "length").mapInArrow(featured, FEATURES)
     found = sample.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    parts = found.column("part").to_pylist()
-    examples = list(zip(found.column("items").to_pylist(), found.column("style").to_pylist(), found.column("meta").to_pylist(), strict=True))
-    at = [i for i, p in enumerate(parts) if p != "u"]
-    text, meta, mix = co_train([examples[i] for i in at], np.array([float(parts[i]) for i in at]), [e for e, p in zip(examples, parts, strict=True) if p == "u"], rounds, sure, per_round)
+    y = np.array([-1.0 if p == "u" else float(p) for p in found.column("part").to_pylist()])
+    flat = lambda c: found.column(c).combine_chunks()
+    items, meta_of = ((np.asarray(x.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))]).astype(np.int64)) for x in map(flat, ("items", "meta")))
+    text, meta, mix = co_train((View(*items, np.asarray(flat("style").flatten()).reshape(len(y), len(STYLE))), View(*meta_of, None)), y, rounds, sure, per_round)
     fitted = spark.sparkContext.broadcast((text, meta, mix))
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema, (by_text, by_meta, weights) = rows_as(SCORES), fitted.value
+        by_text, by_meta, weights = fitted.value
         words_of, dense = WordWeights(by_text.weights), by_text.weights[1 << BITS :].tolist()
         weight, meta_weights = words_of.__getitem__, by_meta.weights.tolist()
         for batch in batches:
@@ -255,6 +275,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000,
                 b.append(sum(meta_weights[i] for i in meta_items(source, lang, size)))
             odds = by_text.log_odds(np.array(a)), by_meta.log_odds(np.array(b))
             score = sigmoid(weights[0] * odds[0] + weights[1] * odds[1] + weights[2])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (sigmoid(odds[0]), sigmoid(odds[1]), score, score >= threshold))], schema=schema)
+            columns = [batch.column("doc_id"), *map(pa.array, (sigmoid(odds[0]), sigmoid(odds[1]), score, score >= threshold)), batch.column("carried")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p_text", "p_meta", "score", "keep", "carried"])
 
-    return rows.mapInArrow(scored, SCORES)
+    return rows.mapInArrow(scored, f"{SCORES}, carried {kind}")
