@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import rows_as, shared_dir, texts
+from finstrata.llm.common import carried, rows_as, shared_dir, texts
 from finstrata.llm.shingles import WordHashes, long_windows
 
 #: mark: the block, times 2, and 1 if the block has the node more than once.
@@ -106,7 +106,7 @@ def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def remover(window: int):
+def remover(window: int, one_space: bool):
     def removed(docs: Any, marks: Any) -> Any:
         """A block's documents without the words that a repeated window covers."""
         import pyarrow as pa
@@ -115,7 +115,8 @@ def remover(window: int):
         for batch in docs.to_batches():
             counts, gone, kept = [], [], []
             for body in batch.column("body"):
-                tokens = body.as_py().split()
+                text = body.as_py()
+                tokens = text.split()
                 n = len(tokens)
                 counts.append(n)
                 if n >= window and len(repeated) and (hit := within(long_windows(words.of(tokens), window), repeated)).any():
@@ -126,10 +127,10 @@ def remover(window: int):
                     stays = np.cumsum(edges[:n]) == 0
                     tokens = [tokens[i] for i in np.flatnonzero(stays)]
                 gone.append(n - len(tokens))
-                kept.append(b" ".join(tokens))
-            columns = [batch.column("_row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
-        return pa.Table.from_batches(out, schema)
+                kept.append(b" ".join(tokens) if one_space or gone[-1] else text)
+            columns = [batch.column("_row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), batch.column("carried")]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=schema.append(batch.schema.field("carried"))))
+        return pa.Table.from_batches(out, schema.append(docs.schema.field("carried")))
 
     return removed
 
@@ -159,11 +160,12 @@ def repeated_nodes(found: DataFrame) -> DataFrame:
     return together.select(F.shiftright("mark", 1).alias("block"), "node")
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), one_space: bool = True) -> DataFrame:
     """Removes the words covered by a window of words that also starts anywhere else; one row for each row of ``docs``.
 
-    Returns _row (unique), doc_id, n_words, n_removed and kept (UTF-8: the words that stay, joined by one space). Words are
-    parted by ASCII white space and compared as they are. Windows lie within one document and are judged on the input;
+    Returns _row (unique), doc_id, n_words, n_removed, kept (UTF-8: the words that stay, joined by one space; without
+    ``one_space``, a text that loses none stays as it is), carried (the columns that ``carry`` names). Words are parted by
+    ASCII white space and compared as they are. Windows lie within one document and are judged on the input;
     overlapping repeats within a document count.
 
     A null or empty text has no words; one of fewer words than the window loses none. Repeated rows repeat each other. Null ids
@@ -173,7 +175,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, id_col:
     row = F.monotonically_increasing_id()
     block = F.spark_partition_id().cast("long") * 8 + F.pmod(F.xxhash64("_row"), F.lit(8))
     table = f"blocks_{uuid.uuid4().hex}"
-    rows = texts(docs, id_col, text_col, row.alias("_row")).withColumn("block", block)
+    along, kind = carried(docs, carry)
+    rows = texts(docs, id_col, text_col, row.alias("_row"), along).withColumn("block", block)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     rows = spark.table(table)
@@ -181,4 +184,4 @@ def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, id_col:
     shared = repeated_nodes(first)
     deep = rows.select("block", "body").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(deep_finder(window, prefix), FOUND)
     repeated = repeated_nodes(deep)
-    return rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(remover(window), KEPT)
+    return rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(remover(window, one_space), f"{KEPT}, carried {kind}")
