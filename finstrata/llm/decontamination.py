@@ -21,9 +21,9 @@ from finstrata.llm.common import bitmap, marked, rows_as, settle, texts
 from finstrata.llm.near_join import word_hashes
 from finstrata.llm.shingles import WordHashes, windows
 
-GRAMS = "item_id long, gram long, at int, words binary"
+GRAMS = "item_id long, gram long, words binary"
 COUNTED = "gram long, c long"
-HITS = "doc_id long, _row long, first int, words binary, gram long, at int"
+HITS = "doc_id long, _row long, first int, around binary, grams array<long>"
 ALIGNED = "doc_id long, _row long, item_id long, score double, matched int, doc_start long, doc_end long, item_start int, item_end int"
 #: Bits of the bitmap: 4 MB.
 BITS = 25
@@ -35,16 +35,15 @@ def item_grams(k: int):
 
         schema, words = rows_as(GRAMS), WordHashes()
         for batch in batches:
-            ids, grams, at, own = [], [], [], []
+            ids, grams, own = [], [], []
             for item, body in zip(batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
                 if len(hashes):
                     g = windows(hashes, min(k, len(hashes)))
                     ids += [item] * len(g)
                     grams.append(g.view(np.int64))
-                    at += range(len(g))
                     own += [hashes.tobytes()] * len(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(at, pa.int32()), pa.array(own, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(own, pa.binary())], schema=schema)
 
     return made
 
@@ -70,7 +69,7 @@ def gram_counter(k: int, shared):
 
 def seed_finder(k: int, shared, reach: int):
     def found(batches: Iterator) -> Iterator:
-        """For each place where a document holds a seed: the seed, and the words around it, ``reach`` on either side."""
+        """For each run of places where a document holds seeds: the seeds, and the words around, ``reach`` on either side."""
         import pyarrow as pa
 
         schema, words, cells = rows_as(HITS), WordHashes(), shared.value
@@ -87,8 +86,8 @@ def seed_finder(k: int, shared, reach: int):
                     while j + 1 < len(at) and at[j + 1] - at[j] <= reach and at[j + 1] - at[i] <= 4 * reach:
                         j += 1
                     first = max(0, at[i] - reach)
-                    around = hashes[first : at[j] + k + reach].tobytes()
-                    rows += [(doc_id, key, first, around, int(grams[p].view(np.int64)), p - first) for p in at[i : j + 1]]
+                    held = np.unique(grams[at[i : j + 1]]).view(np.int64).tolist()
+                    rows.append((doc_id, key, first, hashes[first : at[j] + k + reach].tobytes(), held))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -155,18 +154,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k))
+    items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k).withColumn("piece", F.xxhash64("words")))
     whole = spark.sparkContext.broadcast(bitmap(items, "gram", BITS))
     counts = rows.select("body").mapInArrow(gram_counter(k, whole), COUNTED).groupBy("gram").agg(F.sum("c").alias("c"))
     # an item's seeds: rare ones by themselves, or for that item; one that the corpus has everywhere keeps its rarest
     found = items.join(counts, "gram")
-    rarest = found.groupBy("item_id", "words").agg(F.min("c").alias("rarest"))
-    seeds = settle(found.join(rarest, ["item_id", "words"]).filter(F.col("c") <= rare * F.col("rarest")).select("item_id", "gram", F.col("at").alias("item_at"), "words"))
+    rarest = found.groupBy("item_id", "piece").agg(F.min("c").alias("rarest"))
+    seeds = settle(found.join(rarest, ["item_id", "piece"]).filter(F.col("c") <= rare * F.col("rarest")).select("item_id", "piece", "gram"))
     chosen = spark.sparkContext.broadcast(bitmap(seeds, "gram", BITS))
-    hits = rows.mapInArrow(seed_finder(k, chosen, item_words // 4), HITS)
-    pairs = hits.withColumnRenamed("words", "around").join(seeds, "gram")
-    # seeds of a pair that share the words around them are one candidate
-    pairs = pairs.groupBy("_row", "doc_id", "item_id", "words", "first", "around").agg(F.count("*").alias("seeds"))
+    hits = settle(rows.mapInArrow(seed_finder(k, chosen, item_words // 4), HITS))
+    # a pair is a candidate once, however many seeds it shares; then the words of both come to it
+    pairs = hits.select("_row", "first", F.explode("grams").alias("gram")).join(seeds, "gram").select("_row", "first", "item_id", "piece").distinct()
+    pairs = pairs.join(items.select("item_id", "piece", "words").distinct(), ["item_id", "piece"]).join(hits.drop("grams"), ["_row", "first"])
     found = pairs.mapInArrow(aligner(least), ALIGNED)
     best = F.max_by(F.struct("doc_id", "score", "matched", "doc_start", "doc_end", "item_start", "item_end"), F.struct("score", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("_row", "item_id").agg(best.alias("b")).select("b.doc_id", "_row", "item_id", *(f"b.{c}" for c in ("score", "matched", "doc_start", "doc_end", "item_start", "item_end")))
