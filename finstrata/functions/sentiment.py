@@ -94,13 +94,17 @@ def emotion_scores(text: Column, label: Column, score: Column, uncertainty: Colu
     }
     if aspects is not None:
         of_label = {"fear": {"negative": 0.05}, "skepticism": {"negative": 0.04}, "optimism": {"positive": 0.05}, "confidence": {"positive": 0.04}, "uncertainty": {"neutral": 0.03}}
-        for e in EMOTION_PHRASES:
-            def bonus(x: Column, e: str = e) -> Column:
+
+        def adder(e: str):
+            def add(acc: Column, x: Column) -> Column:
                 prior = reduce(lambda o, ap: F.when(x["aspect"] == ap[0], ap[1].get(e, 0.0)).otherwise(o), ASPECT_PRIORS.items(), F.lit(None).cast("double"))
                 extra = reduce(lambda o, lv: F.when(F.lower(x["label"]) == lv[0], lv[1]).otherwise(o), of_label[e].items(), F.lit(0.0))
-                return F.coalesce(prior + extra, F.lit(0.0))  # an aspect that isn't known adds nothing
+                return acc + F.coalesce(prior + extra, F.lit(0.0))  # an aspect that isn't known adds nothing
 
-            raw[e] = raw[e] + F.aggregate(F.coalesce(aspects, F.array()), F.lit(0.0), lambda acc, x, f=bonus: acc + f(x))
+            return add
+
+        for e in EMOTION_PHRASES:
+            raw[e] = raw[e] + F.coalesce(F.aggregate(aspects, F.lit(0.0), adder(e)), F.lit(0.0))
     total = reduce(lambda a, b: a + b, (raw[e] for e in EMOTIONS))
     return {e: half_up(raw[e] / total, 4) for e in EMOTIONS}
 

@@ -58,7 +58,7 @@ def normalize_text(text: Column, urls: bool = True, emails: bool = True, mention
     if mentions:
         out = F.regexp_replace(out, r"(?U)@\w+", "")
     if hashtags:  # camel case is opened within a tag only
-        out = F.regexp_replace(F.regexp_replace(out, r"(?U)(#\w*?[a-z])(?=[A-Z]\w*)", "$1 #"), r"(?U)#(\w+)", "$1")
+        out = F.regexp_replace(F.regexp_replace(out, r"(?U)(?<=[a-z])(?=[A-Z])(?<=#\w{0,200})", " "), r"(?U)#(\w+)", "$1")
     if numbers:
         out = F.regexp_replace(out, r"\b\d+\.?\d*[kKmMbB]?\b", "")
     kept = "%$._" if keep_financial else "_" if negations else ""

@@ -10,7 +10,7 @@ from finstrata.functions.sentiment import Scorer, emotion_scores, entropy, keywo
 from finstrata.functions.text import clean_news, clean_tweet
 from finstrata.operators.entities import detect_tickers
 
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "EEE, dd MMM yyyy HH:mm:ss Z")
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "dd MMM yyyy HH:mm:ss Z")
 
 
 def pick(rows: DataFrame, *names: str) -> Column:
@@ -23,7 +23,7 @@ def parse_time(text: Column) -> Column:
     """Unix seconds (or milliseconds, beyond 1e12), ISO, or one of DATE_FORMATS; null if it is none of them."""
     number = text.cast("string").try_cast("double")
     seconds = F.timestamp_seconds(F.when(number > 1e12, number / 1000).otherwise(number))
-    return F.coalesce(seconds, text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
+    return F.coalesce(seconds, text.try_cast("timestamp"), *(F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
 
 
 def normalize_records(rows: DataFrame, now: str) -> DataFrame:

@@ -28,8 +28,8 @@ def distinct_events(events: DataFrame, key: str = "id", time: str = "published_a
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def trend_stream(events: DataFrame, time: str = "published_at", late: str = "2 days", width: str = "1 day") -> DataFrame:
-    """The daily trend by event time; a day is final once the watermark has passed it."""
-    days = events.withWatermark(time, late).groupBy(F.window(time, width))
+def trend_stream(events: DataFrame, time: str = "published_at", late: str | None = "2 days", width: str = "1 day") -> DataFrame:
+    """The daily trend by event time; a day is final once the watermark has passed it. late: None if the stream has a watermark."""
+    days = (events.withWatermark(time, late) if late else events).groupBy(F.window(time, width))
     out = days.agg(F.count("*").alias("total"), count_of("sentiment_label", "positive").alias("positive"), count_of("sentiment_label", "negative").alias("negative"))
     return out.select(F.to_date("window.start").alias("day"), "total", half_up(net(F.col("positive"), F.col("negative"), F.col("total")), 4).alias("net"))
