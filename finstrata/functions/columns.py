@@ -47,7 +47,7 @@ def has_phrase(text: Column, phrase: str) -> Column:
     """Whether a lowered text has the phrase: with a space anywhere, without one as a word."""
     if " " in phrase:
         return text.contains(phrase)
-    return text.rlike(rf"(?<!\w)\Q{phrase}\E(?!\w)")
+    return text.contains(phrase) & text.rlike(rf"(?<!\w)\Q{phrase}\E(?!\w)")  # few texts come to the pattern
 
 
 def hits(text: Column, phrases: list[str]) -> Column:

@@ -55,7 +55,8 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: list[str], na
     The universe is a dimension's tickers, a few thousand at most; candidates are tested against it where the text is.
     """
     names, blocked = COMPANY_NAMES if names is None else names, NOT_TICKERS if blocked is None else blocked
-    source, low = present(F.col(text)), F.lower(present(F.col(text)))
+    rows = rows.select(key, present(F.col(text)).alias("_text")).withColumn("_low", F.lower("_text"))
+    source, low = F.col("_text"), F.col("_low")
     mention = lambda sym, form, kind: F.struct(sym.alias("ticker"), form.alias("form"), F.lit(kind).alias("kind"))
     tags = F.transform(F.regexp_extract_all(source, F.lit(CASHTAG), F.lit(1)), lambda s: mention(normalize_symbol(s), F.concat(F.lit("$"), normalize_symbol(s)), 0))
     bare = F.filter(F.transform(F.regexp_extract_all(source, F.lit(BARE), F.lit(1)), lambda s: mention(normalize_symbol(s), s, 1)), lambda x: ~x["ticker"].isin(blocked))
