@@ -49,6 +49,11 @@ def word_hashes(body: bytes, words: WordHashes) -> np.ndarray:
 SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def print_terms(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of a set's elements; their sums over the set, and its size, are equal for equal sets."""
+    return mixed(values + np.uint64(1)), mixed(values ^ np.uint64(0x5555555555555555))
+
+
 def signer(bands: int, rows: int, k: int):
     random = np.random.default_rng(20)
     factors = random.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,9 +73,7 @@ def signer(bands: int, rows: int, k: int):
                 values, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 for i in range(bands * rows):
                     signature[full, i // rows, i % rows] = np.minimum.reduceat(values * factors[i] + offsets[i], starts)
-                # sums over the set of two independent hashes, and its size: equal for equal sets
-                prints[0, full] = np.add.reduceat(mixed(values + np.uint64(1)), starts)
-                prints[1, full] = np.add.reduceat(mixed(values ^ np.uint64(0x5555555555555555)), starts)
+                prints[:, full] = [np.add.reduceat(x, starts) for x in print_terms(values)]
             band = np.zeros((n, bands), np.uint64)
             for j in range(rows):
                 band = mixed(band * np.uint64(31) + signature[:, :, j] + np.arange(bands, dtype=np.uint64))
@@ -96,10 +99,14 @@ def set_maker(k: int):
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        """The sets of the texts that the fingerprints are those of: a doc_id may have other texts too."""
         schema, words = rows_as(SETS), WordHashes()
         for batch in batches:
-            sets = [shingles(word_hashes(b.as_py(), words), k).tobytes() for b in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bands"), pa.array(sets, pa.binary())], schema=schema)
+            own = [shingles(word_hashes(b.as_py(), words), k) for b in batch.column("body")]
+            prints = np.array([[x.sum() for x in print_terms(s)] for s in own], np.uint64).reshape(-1, 2).view(np.int64)
+            same = pa.array((prints[:, 0] == batch.column("fp1").to_numpy()) & (prints[:, 1] == batch.column("fp2").to_numpy()))
+            sets = pa.array([s.tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bands"), sets], schema=schema).filter(same)
 
     return made
 
@@ -188,8 +195,8 @@ def near_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     members = settle(
         classes.select("rep", "copies", F.posexplode("bands").alias("band", "bucket")).join(buckets, ["band", "bucket"]).withColumn("chunks", F.ceil(F.col("n") / chunk))
     )
-    needed = members.select("rep").distinct().join(classes.select("rep", "bands"), "rep")
-    full = body.join(needed, body.doc_id == needed.rep).select("doc_id", "bands", "body").mapInArrow(set_maker(k), SETS)
+    needed = members.select("rep").distinct().join(classes.select("rep", "bands", "fp1", "fp2"), "rep")
+    full = body.join(needed, body.doc_id == needed.rep).select("doc_id", "bands", "fp1", "fp2", "body").mapInArrow(set_maker(k), SETS)
     full = full.dropDuplicates(["rep"])
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     pairs = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as i, greatest(c, chunk) as j))")

@@ -169,6 +169,14 @@ def test_near_join(spark, documents):
     assert len({r.copy_id for r in got.values()}) == len({s for s in sets if s}) + sum(not s for s in sets)
 
 
+def test_near_join_of_one_id_with_several_texts(spark, documents):
+    a, b = prose(random.Random(8), 50, 4000), prose(random.Random(9), 50, 4000)
+    got = near_join(documents(a, b, a, b, ids=[1, 1, 2, 3])).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3]
+    classes = {r.doc_id: r.class_id for r in got}
+    assert (classes[2] == 1) + (classes[3] == 1) == 1 and sum(r.n_links for r in got) == 2
+
+
 # 6: decontamination
 
 
