@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that count as white space: \x20 and \x09-\x0D, which is what ``bytes.split()`` takes.
-KEY = "_row"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
