@@ -55,40 +55,41 @@ class WordIds(dict):
 
 
 class Pool:
-    """Pieces (length, doc_id, start, ids, doc_tokens), each in the tier of its length; lists are sorted by length."""
+    """Pieces (length, serial, doc_id, start, ids, doc_tokens), each in the tier of its length; lists are sorted by length."""
 
     def __init__(self, window: int, shortest: int):
         self.tiers = [window >> k for k in range(window.bit_length()) if window >> k >= shortest]
         self.lists: dict[int, list] = {t: [] for t in self.tiers}
+        self.tokens = dict.fromkeys(self.tiers, 0)
         self.serial = 0
 
     def add(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> None:
         n = len(ids) // 4
         tier = max(self.tiers[-1], 1 << (n - 1).bit_length())
         self.serial += 1
+        self.tokens[tier] += n
         insort(self.lists[tier], (n, self.serial, doc_id, start, ids, doc_tokens))
 
+    def take(self, tier: int, at: int):
+        piece = self.lists[tier].pop(at)
+        self.tokens[tier] -= piece[0]
+        return piece
+
     def fitting(self, tier: int, room: int):
         """The longest piece of this tier that fits, or None."""
-        pieces = self.lists[tier]
-        at = bisect_right(pieces, (room, float("inf")))
-        return pieces.pop(at - 1) if at else None
-
-    def fill(self, window: int, last: bool):
-        """Full windows of this size, as lists of pieces, for as long as there are pieces of this tier."""
-        own, below = self.lists[window], [t for t in self.tiers if t <= window]
-        while own:
-            if not last and sum(p[0] for t in below for p in self.lists[t][-8:]) < window:
-                return
-            if sum(p[0] for t in below for p in self.lists[t]) < window:
-                return
-            inside, room = [own.pop()], window
-            room -= inside[0][0]
+        at = bisect_right(self.lists[tier], (room, float("inf")))
+        return self.take(tier, at - 1) if at else None
+
+    def fill(self, window: int):
+        """Full windows of this size, as lists of pieces, for as long as this tier has pieces and they and shorter ones suffice."""
+        below = [t for t in self.tiers if t <= window]
+        while self.lists[window] and sum(self.tokens[t] for t in below) >= window:
+            inside = [self.take(window, -1)]
+            room = window - inside[0][0]
             while room:
                 piece = next((p for t in below if (p := self.fitting(t, room))), None)
                 if piece is None:  # all are longer than the gap: the shortest is cut
-                    t = next(t for t in reversed(below) if self.lists[t])
-                    n, _, doc_id, start, ids, total = self.lists[t].pop(0)
+                    _, _, doc_id, start, ids, total = self.take(next(t for t in reversed(below) if self.lists[t]), 0)
                     piece = (room, 0, doc_id, start, ids[: 4 * room], total)
                     self.add(doc_id, start + room, ids[4 * room :], total)
                 inside.append(piece)
@@ -97,17 +98,16 @@ class Pool:
 
     def rest(self):
         """What no tier can fill any more: sequences whose lengths are powers of two, the longest first."""
-        pieces = [p for t in self.tiers for p in reversed(self.lists[t])]
-        self.lists = {t: [] for t in self.tiers}
-        total = sum(p[0] for p in pieces)
+        pieces = [p for t in reversed(self.tiers) for p in self.lists[t]]  # the longest last
+        total = sum(self.tokens.values())
         while total:
             room = min(self.tiers[0], 1 << (total.bit_length() - 1))
             total -= room
             inside = []
             while room:
-                n, _, doc_id, start, ids, all_ = pieces.pop(0)
+                n, _, doc_id, start, ids, all_ = pieces.pop()
                 if n > room:
-                    pieces.insert(0, (n - room, 0, doc_id, start + room, ids[4 * room :], all_))
+                    pieces.append((n - room, 0, doc_id, start + room, ids[4 * room :], all_))
                     n, ids = room, ids[: 4 * room]
                 inside.append((n, 0, doc_id, start, ids, all_))
                 room -= n
@@ -168,11 +168,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, shortest: int = 51
                     pool.add(doc_id, cut, ids[4 * cut :], total)
                 held += total
                 if held >= pool_tokens:
-                    full = wholes + [s for t in pool.tiers for s in pool.fill(t, False)]
+                    full = wholes + [s for t in pool.tiers for s in pool.fill(t)]
                     wholes, held = [], 0
                     if full:
                         yield out(full)
-        full = wholes + [s for t in pool.tiers for s in pool.fill(t, True)] + list(pool.rest())
+        full = wholes + [s for t in pool.tiers for s in pool.fill(t)] + list(pool.rest())
         if full:
             yield out(full)
 

@@ -124,6 +124,18 @@ def test_packing_is_an_exact_round_trip(spark, documents):
         assert size == inside.tier.iloc[0] <= 256 and size & (size - 1) == 0
 
 
+def test_pool_stays_small_with_short_documents():
+    from finstrata.llm.packing import Pool
+
+    pool, out = Pool(256, 64), []
+    for i in range(5000):
+        pool.add(i, 0, b"\0" * 4 * (1 + i % 7), 1 + i % 7)
+        if i % 500 == 499:
+            out += [s for t in pool.tiers for s in pool.fill(t)]
+            assert sum(pool.tokens.values()) < 256 and sum(map(len, pool.lists.values())) < 256
+    assert all(sum(p[0] for p in s) == 64 for s in out)
+
+
 # 7: substring dedup
 
 
