@@ -1,6 +1,7 @@
 """License scan by diagonal voting (operator 8), in DataFrame functions only.
 
-All rolling k-word hashes of the texts are joined with those of license notices. Each hit votes for a diagonal: the distance of
+The rolling k-word hashes of the texts are joined with those of license notices (of runs that begin like no notice's, the
+hash isn't made). Each hit votes for a diagonal: the distance of
 its places in the text and in the notice. Neighbouring diagonals, between which words were put in or left out, are merged; a
 merged span counts where its hits cover enough of the notice and of the words it spans. Phrases that name a license are looked
 for besides.
@@ -8,6 +9,8 @@ for besides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +38,17 @@ NOTICES = (
 )
 
 
-def words_of(text: str) -> Column:
-    # lower() also lowers what isn't ASCII; that parts no words, and no phrase or notice has a letter that it makes ASCII
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), F.lit(f"[^{BREAKS}]+"), F.lit(0))
+def words_of(lowered: str) -> Column:
+    return F.regexp_extract_all(F.col(lowered), F.lit(f"[^{BREAKS}]+"), F.lit(0))
 
 
 def starts(phrase: str) -> Column:
-    """Where the words of a phrase stand one after the other in ``words``; texts without it are passed over at once."""
+    """Where the words of a phrase stand one after the other in ``text``; only texts that have the phrase are split for it."""
     parts = phrase.split()
     pattern = rf"(?<![^{BREAKS}])" + f"[{BREAKS}]+".join(parts) + rf"(?![^{BREAKS}])"
-    here = lambda i: F.reduce(F.array(*(F.coalesce(F.get("words", i + j) == p, F.lit(False)) for j, p in enumerate(parts))), F.lit(True), lambda a, b: a & b)
-    return F.when(F.col("text").rlike(pattern), F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)).otherwise(F.array().cast("array<int>"))
+    same = lambda words, i: reduce(lambda a, b: a & b, (F.coalesce(F.get(words, i + j) == p, F.lit(False)) for j, p in enumerate(parts)))
+    places = F.get(F.transform(F.array(words_of("text")), lambda words: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: same(words, i))), F.lit(0))
+    return F.when(F.col("text").contains(max(parts, key=len)) & F.col("text").rlike(pattern), places).otherwise(F.array().cast("array<int>"))
 
 
 def scan_licenses(docs: DataFrame, k: int = 3, apart: int = 2, least: float = 0.7, notices: tuple[tuple[str, str], ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,17 +59,23 @@ def scan_licenses(docs: DataFrame, k: int = 3, apart: int = 2, least: float = 0.
     the largest such share, 1 where a phrase stands. spans: (label, start, end, share), by start.
 
     Null or empty texts have no words, no labels and score 0. Repeated rows are scanned each by itself, null ids stay null.
-    Other columns are not read. An empty table gives no rows. Notices of fewer than k words are found as phrases only.
+    Other columns are not read. An empty table gives no rows. k is 2 or more; notices of fewer than k words match nothing.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"), words_of(text_col).alias("words"))
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", "words")
+    # lower() also lowers what isn't ASCII; that parts no words, and no phrase or notice has a letter that it makes ASCII
+    text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
     grams = spark.createDataFrame([(n, label, i, len(words), words[i : i + k]) for n, (label, text) in enumerate(notices) for words in [text.split()] for i in range(len(words) - k + 1)], "notice int, label string, at int, size int, gram array<string>")
     grams = grams.withColumn("hash", F.xxhash64(*(F.col("gram")[j] for j in range(k))))  # a few hundred rows, set by ``notices``
-    rolling = F.transform("words", lambda x, i: F.xxhash64(x, *(F.get("words", i + j) for j in range(1, k))))
+    # the hash of a run whose first words begin no notice's run would match none: it needn't be made
+    begins = [sorted({w.split()[i + j] for _, w in notices for i in range(len(w.split()) - k + 1)}) for j in range(2)]
+    able = F.filter(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.get("words", i).isin(begins[0]) & F.get("words", i + 1).isin(begins[1]))
     hits = (
-        rows.select("_row", "words", F.posexplode(rolling).alias("pos", "hash"))
+        rows.select("_row", words_of("text").alias("words"))
+        .filter(F.size("words") >= k)
+        .select("_row", "words", F.explode(able).alias("pos"))
+        .withColumn("hash", F.xxhash64(*(F.get("words", F.col("pos") + j) for j in range(k))))
         .join(F.broadcast(grams), "hash")
         .filter(F.slice("words", F.col("pos") + 1, k) == F.col("gram"))
         .select("_row", "notice", "label", "size", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
@@ -89,7 +98,7 @@ def scan_licenses(docs: DataFrame, k: int = 3, apart: int = 2, least: float = 0.
     )
 
     places = {label: starts(phrase) for phrase, label in PHRASES.items()}
-    based = rows.select("_row", "doc_id", F.size("words").cast("long").alias("n_words"), *(c.alias(f"at_{label}") for label, c in places.items()))
+    based = rows.select("_row", "doc_id", F.regexp_count("text", F.lit(f"[^{BREAKS}]+")).cast("long").alias("n_words"), *(c.alias(f"at_{label}") for label, c in places.items()))
     every = F.concat(*(F.col(f"`at_{label}`") for label in places))
     labels = F.array_compact(F.array(*(F.when(F.size(F.col(f"`at_{label}`")) > 0, F.lit(label)) for label in sorted(places))))
     based = based.select("_row", "doc_id", "n_words", every.alias("places"), labels.alias("base"))
