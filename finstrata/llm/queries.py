@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finstrata.llm import oracles
 from finstrata.llm.ann import nearest
 from finstrata.llm.common import table
 from finstrata.llm.decontamination import decontaminate
@@ -76,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_suffix_tree_dedup": oracles.SUBSTRING_DEDUP}
