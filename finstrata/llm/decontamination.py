@@ -1,12 +1,12 @@
-"""Benchmark decontamination (operator 6): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 6): n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items that also occur in documents are counted over the whole corpus. An item's rare ones, those
-within a few times its rarest, are its seeds. Seeds join documents to items; around the seeds of a pair, along the
-diagonals they lie on, the document's words are aligned with the item's. The local alignment's score, as a share of the item's
-score with itself, tells copies, edited ones included, from texts that only share a phrase.
+All word n-grams of the test items are seeds: a document and an item that share any are a pair, whatever the other documents
+hold. Around the seeds of a pair the document's words are aligned with the item's. The local alignment's score, as a share of
+the item's score with itself, tells copies, edited ones included, from texts that only share a phrase. Pairs whose shared
+words can't reach the score that counts are left out before they are aligned.
 
-Documents are filtered in the tasks that read them by a bitmap of the items' n-grams, of a fixed size however large the
-benchmark is; exact joins follow. What is shuffled is a row for each seed that a document shares, with the words around it.
+Documents are filtered in the tasks that read them by two bitmaps of the items' n-grams, of a fixed size however large the
+benchmark is; exact joins follow. What is shuffled is a row for each seed that a document shares, and the words around it.
 """
 
 from __future__ import annotations
@@ -22,11 +22,16 @@ from finstrata.llm.near_join import word_hashes
 from finstrata.llm.shingles import WordHashes, windows
 
 GRAMS = "item_id long, gram long, words binary"
-COUNTED = "gram long, c long"
 HITS = "doc_id long, _row long, first int, around binary, grams array<long>"
 ALIGNED = "doc_id long, _row long, item_id long, score double, matched int, doc_start long, doc_end long, item_start int, item_end int"
-#: Bits of the bitmap: 4 MB.
-BITS = 25
+#: Bits of each of the two bitmaps: 4 MB. One is of the hashes' top bits, the other of those from LOW on.
+BITS, LOW = 25, 39
+
+
+def shared_grams(cells: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    """Places of the n-grams that both bitmaps let pass."""
+    at = np.flatnonzero(marked(cells[0], grams, BITS))
+    return at[marked(cells[1], grams[at] << np.uint64(LOW), BITS)]
 
 
 def item_grams(k: int):
@@ -48,25 +53,6 @@ def item_grams(k: int):
     return made
 
 
-def gram_counter(k: int, shared):
-    def counted(batches: Iterator) -> Iterator:
-        """How often the task's documents hold the n-grams that the bitmap lets pass."""
-        import pyarrow as pa
-
-        schema, words, cells, found = rows_as(COUNTED), WordHashes(), shared.value, []
-        for batch in batches:
-            for body in batch.column("body"):
-                grams = windows(word_hashes(body.as_py(), words), k)
-                if (hit := marked(cells, grams, BITS)).any():
-                    found.append(np.unique(grams[hit]))
-            if len(found) > 20_000:
-                found = [np.concatenate(found)]
-        gram, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
-
-    return counted
-
-
 def seed_finder(k: int, shared, reach: int):
     def found(batches: Iterator) -> Iterator:
         """For each run of places where a document holds seeds: the seeds, and the words around, ``reach`` on either side."""
@@ -79,7 +65,7 @@ def seed_finder(k: int, shared, reach: int):
             for doc_id, key, body in zip(batch.column("doc_id").to_pylist(), keys, batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
                 grams = windows(hashes, k)
-                at = np.flatnonzero(marked(cells, grams, BITS)).tolist()
+                at = shared_grams(cells, grams).tolist()
                 i = 0
                 while i < len(at):  # neighbours share their words
                     j = i
@@ -133,7 +119,8 @@ def aligner(least: float):
             for doc_id, key, item, first, around, words in zip(*columns, strict=True):
                 if (found := known.get((around, words))) is None:
                     a, b = np.frombuffer(words, np.uint64), np.frombuffer(around, np.uint64)
-                    found = known[around, words] = (*align(a, b), len(a))
+                    reached = 2 * int(np.isin(a, b).sum()) >= least * 2 * len(a)  # else no alignment can
+                    found = known[around, words] = (*(align(a, b) if reached else (0, 0, 0, 0, 0)), len(a))
                 best, item_start, item_end, start, end, size = found
                 if best >= least * 2 * size:
                     rows.append((doc_id, key, item, best / (2 * size), item_end - item_start, first + start, first + end, item_start, item_end))
@@ -142,7 +129,7 @@ def aligner(least: float):
     return aligned
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: float = 0.5, rare: int = 8, item_words: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: float = 0.5, item_words: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and test item that the document holds a copy or an edited copy of.
 
     Returns doc_id, _row, item_id, score (Smith-Waterman, as a share of the item's own; ``least`` at least), matched (the item's
@@ -155,14 +142,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("_row"))
     items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k).withColumn("piece", F.xxhash64("words")))
-    whole = spark.sparkContext.broadcast(bitmap(items, "gram", BITS))
-    counts = rows.select("body").mapInArrow(gram_counter(k, whole), COUNTED).groupBy("gram").agg(F.sum("c").alias("c"))
-    # an item's seeds: rare ones by themselves, or for that item; one that the corpus has everywhere keeps its rarest
-    found = items.join(counts, "gram")
-    rarest = found.groupBy("item_id", "piece").agg(F.min("c").alias("rarest"))
-    seeds = settle(found.join(rarest, ["item_id", "piece"]).filter(F.col("c") <= rare * F.col("rarest")).select("item_id", "piece", "gram"))
-    chosen = spark.sparkContext.broadcast(bitmap(seeds, "gram", BITS))
-    hits = settle(rows.mapInArrow(seed_finder(k, chosen, item_words // 4), HITS))
+    cells = spark.sparkContext.broadcast((bitmap(items, "gram", BITS), bitmap(items.withColumn("low", F.shiftleft("gram", LOW)), "low", BITS)))
+    seeds = items.select("item_id", "piece", "gram").distinct()
+    hits = settle(rows.mapInArrow(seed_finder(k, cells, item_words // 4), HITS))
     # a pair is a candidate once, however many seeds it shares; then the words of both come to it
     pairs = hits.select("_row", "first", F.explode("grams").alias("gram")).join(seeds, "gram").select("_row", "first", "item_id", "piece").distinct()
     pairs = pairs.join(items.select("item_id", "piece", "words").distinct(), ["item_id", "piece"]).join(hits.drop("grams"), ["_row", "first"])

@@ -208,6 +208,16 @@ def test_decontamination(spark, documents):
     assert (whole.doc_start, whole.doc_end, whole.item_start, whole.item_end) == (50, 90, 0, 40)
 
 
+def test_decontamination_finds_edited_copies_beside_a_verbatim_one(spark, documents):
+    rng = random.Random(3)
+    item = prose(rng, 40, 4000).split()
+    edited = list(item)
+    edited[10], edited[25] = "changed", "changed"
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = decontaminate(documents(" ".join(item), *[f"{prose(rng, 20, 4000)} {' '.join(edited)}" for _ in range(12)]), bench).collect()
+    assert {r.doc_id for r in got} == set(range(13))
+
+
 # 8: licenses
 
 
