@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 6): n-gram seeds, then Smith-Waterman alignment.
 
 All word n-grams of the test items are seeds: a document and an item that share any are a pair, whatever the other documents
-hold. Around the seeds of a pair the document's words are aligned with the item's. The local alignment's score, as a share of
+hold. Around the seeds of a pair the document's words are aligned with the item's, as far on both sides as an alignment that
+scores enough can reach (``span``). The local alignment's score, as a share of
 the item's score with itself, tells copies, edited ones included, from texts that only share a phrase. Pairs whose shared
 words can't reach the score that counts are left out before they are aligned.
 
@@ -11,6 +12,7 @@ benchmark is; exact joins follow. What is shuffled is a row for each seed that a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from finstrata.llm.near_join import word_hashes
 from finstrata.llm.shingles import WordHashes, windows
 
 GRAMS = "item_id long, gram long, words binary"
-HITS = "doc_id long, _row long, first int, around binary, grams array<long>"
+HITS = "doc_id long, _row long, first int, around binary, grams array<long>, lows array<int>, highs array<int>"
 ALIGNED = "doc_id long, _row long, item_id long, score double, matched int, doc_start long, doc_end long, item_start int, item_end int"
 #: Bits of each of the two bitmaps: 4 MB. One is of the hashes' top bits, the other of those from LOW on.
 BITS, LOW = 25, 39
@@ -53,9 +55,17 @@ def item_grams(k: int):
     return made
 
 
+def span(size: int, least: float) -> int:
+    """The most words of a document that an alignment with an item of ``size`` words takes and still scores ``least``.
+
+    It scores 2 for each matched word, ``size`` at most, and loses 1 for each word of the document that has none.
+    """
+    return size + math.ceil(2 * size * (1 - least))
+
+
 def seed_finder(k: int, shared, reach: int):
     def found(batches: Iterator) -> Iterator:
-        """For each run of places where a document holds seeds: the seeds, and the words around, ``reach`` on either side."""
+        """For each run of places where a document holds seeds: the seeds, each one's first and last place, and the words around, ``reach`` on either side."""
         import pyarrow as pa
 
         schema, words, cells = rows_as(HITS), WordHashes(), shared.value
@@ -72,8 +82,10 @@ def seed_finder(k: int, shared, reach: int):
                     while j + 1 < len(at) and at[j + 1] - at[j] <= reach and at[j + 1] - at[i] <= 4 * reach:
                         j += 1
                     first = max(0, at[i] - reach)
-                    held = np.unique(grams[at[i : j + 1]]).view(np.int64).tolist()
-                    rows.append((doc_id, key, first, hashes[first : at[j] + k + reach].tobytes(), held))
+                    places = np.array(at[i : j + 1])
+                    held, low = np.unique(grams[places], return_index=True)
+                    high = len(places) - 1 - np.unique(grams[places][::-1], return_index=True)[1]
+                    rows.append((doc_id, key, first, hashes[first : at[j] + k + reach].tobytes(), held.view(np.int64).tolist(), places[low].tolist(), places[high].tolist()))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -108,15 +120,18 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int
     return best, int(i), end[0], int(j), end[1]
 
 
-def aligner(least: float):
+def aligner(k: int, least: float):
     def aligned(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         schema = rows_as(ALIGNED)
         for batch in batches:
             rows, known = [], {}
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "_row", "item_id", "first", "around", "words")]
-            for doc_id, key, item, first, around, words in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "_row", "item_id", "first", "low", "high", "around", "words")]
+            for doc_id, key, item, first, low, high, around, words in zip(*columns, strict=True):
+                reach = span(len(words) // 8, least)  # the item's own; the run's is the longest item's
+                cut = max(0, low - reach - first)
+                first, around = first + cut, around[8 * cut : 8 * (high + k + reach - first)]
                 if (found := known.get((around, words))) is None:
                     a, b = np.frombuffer(words, np.uint64), np.frombuffer(around, np.uint64)
                     reached = 2 * int(np.isin(a, b).sum()) >= least * 2 * len(a)  # else no alignment can
@@ -144,11 +159,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k).withColumn("piece", F.xxhash64("words")))
     cells = spark.sparkContext.broadcast((bitmap(items, "gram", BITS), bitmap(items.withColumn("low", F.shiftleft("gram", LOW)), "low", BITS)))
     seeds = items.select("item_id", "piece", "gram").distinct()
-    hits = settle(rows.mapInArrow(seed_finder(k, cells, item_words // 4), HITS))
+    longest = (items.agg(F.max(F.length("words"))).first()[0] or 0) // 8  # item_words at most
+    hits = settle(rows.mapInArrow(seed_finder(k, cells, span(longest, least)), HITS))
     # a pair is a candidate once, however many seeds it shares; then the words of both come to it
-    pairs = hits.select("_row", "first", F.explode("grams").alias("gram")).join(seeds, "gram").select("_row", "first", "item_id", "piece").distinct()
-    pairs = pairs.join(items.select("item_id", "piece", "words").distinct(), ["item_id", "piece"]).join(hits.drop("grams"), ["_row", "first"])
-    found = pairs.mapInArrow(aligner(least), ALIGNED)
+    shared = hits.select("_row", "first", F.explode(F.arrays_zip("grams", "lows", "highs")).alias("g")).select("_row", "first", F.col("g.grams").alias("gram"), F.col("g.lows").alias("low"), F.col("g.highs").alias("high"))
+    pairs = shared.join(seeds, "gram").groupBy("_row", "first", "item_id", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = pairs.join(items.select("item_id", "piece", "words").distinct(), ["item_id", "piece"]).join(hits.drop("grams", "lows", "highs"), ["_row", "first"])
+    found = pairs.mapInArrow(aligner(k, least), ALIGNED)
     best = F.max_by(F.struct("doc_id", "score", "matched", "doc_start", "doc_end", "item_start", "item_end"), F.struct("score", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("_row", "item_id").agg(best.alias("b")).select("b.doc_id", "_row", "item_id", *(f"b.{c}" for c in ("score", "matched", "doc_start", "doc_end", "item_start", "item_end")))
 

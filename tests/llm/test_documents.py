@@ -218,6 +218,20 @@ def test_decontamination_finds_edited_copies_beside_a_verbatim_one(spark, docume
     assert {r.doc_id for r in got} == set(range(13))
 
 
+def test_decontamination_aligns_parts_far_apart(spark, documents):
+    rng = random.Random(4)
+    item, short = prose(rng, 400, 40000).split(), prose(rng, 40, 40000)
+    other = " ".join(f"other{i}" for i in range(100))
+    holed = " ".join(item[:150]) + f" {other} " + " ".join(item[250:])
+    start = " ".join(item[:190] + ["new"] * 200)  # less than half of the item
+    late = f"{other} " * 30 + holed
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate(documents(holed, late, start, " ".join(item), *[" ".join(item[:350])] * 20, f"{late} {short}"), bench).collect()}
+    assert set(got) == {(i, 0) for i in (0, 1, 3, *range(4, 25))} | {(24, 1)}
+    assert got[0, 0].score == 0.625 and (got[1, 0].doc_start, got[1, 0].doc_end) == (3000, 3400) and got[3, 0].score == 1 and got[4, 0].score == 0.875
+    assert (got[24, 1].doc_start, got[24, 1].doc_end, got[24, 1].score) == (3400, 3440, 1)
+
+
 # 8: licenses
 
 
