@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from itertools import compress
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,40 +15,64 @@ from finstrata.functions.sentiment import Scorer, keyword_scorer
 from finstrata.functions.text import tokens
 
 
-def perturbed(rows: DataFrame, key: str, text: str, samples: int, seed: int) -> DataFrame:
-    """(key, sample, mask, text): so many copies of each text, each without the words that hashes choose; copy 0 is whole."""
-    words = rows.select(F.col(key), tokens(F.col(text)).alias("words")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    keep = F.transform("words", lambda w, i: (F.col("sample") == 0) | (F.pmod(F.xxhash64(F.col(key), F.col("sample"), i, F.lit(seed)), F.lit(2)) == 1))
-    words = words.withColumn("mask", keep)
-    return words.withColumn("kept", F.array_join(F.transform(F.filter(F.arrays_zip("words", "mask"), lambda x: x["mask"]), lambda x: x["words"]), " "))
+def masks(key: object, words: int, samples: int, seed: int) -> np.ndarray:
+    """Which words each sample of a text keeps; sample 0 keeps all."""
+    chosen = np.random.default_rng([seed, zlib.crc32(str(key).encode())]).integers(0, 2, (samples, words), np.uint8)
+    chosen[:1] = 1
+    return chosen
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Few rows, each much work: dealt out to all cores, whatever their size."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def perturbed(rows: DataFrame, key: str, text: str, samples: int, seed: int, at_once: int = 200_000) -> DataFrame:
+    """(key, sample, kept): so many copies of each text, each without the words that its mask leaves out."""
+    words = dealt(rows.select(F.col(key), tokens(F.col(text)).alias("words")), key)
 
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, own in zip(frame[key], frame["words"], strict=True):
+                chosen, step = masks(k, len(own), samples, seed), max(1, at_once // max(len(own), 1))
+                for first in range(0, samples, step):
+                    kept = [" ".join(compress(own, mask)) for mask in chosen[first : first + step].tolist()]
+                    yield pd.DataFrame({key: [k] * len(kept), "sample": range(first, first + len(kept)), "kept": kept})
 
-def explain(rows: DataFrame, key: str, text: str, scorer: Scorer = keyword_scorer, samples: int = 60, seed: int = 42, most: int = 10, width: float = 0.25) -> DataFrame:
+    return words.mapInPandas(made, f"{key} {rows.schema[key].dataType.simpleString()}, sample int, kept string")
+
+
+def ridge(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Weights of a weighted ridge regression with a free intercept; the smaller of its two systems is solved."""
+    x, y = x - near @ x / near.sum(), y - near @ y / near.sum()
+    x *= np.sqrt(near)[:, None].astype(x.dtype)
+    y = y * np.sqrt(near)
+    if x.shape[1] <= x.shape[0]:
+        return np.linalg.solve(x.T @ x + (1 + 1e-9) * np.eye(x.shape[1]), x.T @ y)
+    return x.T @ np.linalg.solve(x @ x.T + (1 + 1e-9) * np.eye(x.shape[0]), y)
+
+
+def explain(rows: DataFrame, key: str, text: str, scorer: Scorer = keyword_scorer, samples: int = 5000, seed: int = 42, most: int = 10, width: float = 0.25) -> DataFrame:
     """(key, token, weight, predicted_class): the words with the largest weights for the class that the whole text has.
 
-    Each distinct masked text is scored once. One text's samples are one group, of a fixed size.
+    One text's scores are one group, of a fixed size; its masks are made again where the model is fitted.
     """
-    masked = perturbed(rows, key, text, samples, seed)
-    scored = scorer(masked.select("kept").distinct(), "kept")
-    each = masked.join(scored, "kept").select(key, "sample", "words", "mask", "sentiment_label", "score_positive", "score_negative", "score_neutral")
-
-    def fitted(of: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        whole = group[group["sample"] == 0].iloc[0]
-        words, label = list(whole["words"]), whole["sentiment_label"]
-        x = np.array([list(m) for m in group["mask"]], float).reshape(len(group), len(words))
-        if not len(words):
+    scored = scorer(perturbed(rows, key, text, samples, seed), "kept").select(key, "sample", "sentiment_label", "score_positive", "score_negative", "score_neutral")
+
+    def fitted(of: tuple, group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(group) or not len(words := list(texts["words"].iloc[0])):
             return pd.DataFrame({key: [], "token": [], "weight": [], "predicted_class": []})
-        y = group[f"score_{label}"].to_numpy(float)
+        group = group.drop_duplicates("sample").sort_values("sample")
+        label = group["sentiment_label"].iloc[0]
+        x = masks(of[0], len(words), samples, seed).astype(np.float32 if len(words) > samples else np.float64)
         near = np.exp(-((1 - np.sqrt(x.mean(1))) ** 2) / width**2)
-        design = np.hstack([x, np.ones((len(x), 1))])
-        ridge = np.eye(design.shape[1])
-        ridge[-1, -1] = 0
-        weights = np.linalg.solve((design * near[:, None]).T @ design + ridge + 1e-9 * np.eye(len(ridge)), (design * near[:, None]).T @ y)[:-1]
+        weights = ridge(x, group[f"score_{label}"].to_numpy(float), near)
         order = np.lexsort((np.arange(len(words)), -np.abs(weights)))[:most]
         return pd.DataFrame({key: of[0], "token": [words[i] for i in order], "weight": weights[order], "predicted_class": label})
 
     kind = rows.schema[key].dataType.simpleString()
-    return each.groupBy(key).applyInPandas(fitted, f"{key} {kind}, token string, weight double, predicted_class string")
+    words = rows.select(F.col(key), tokens(F.col(text)).alias("words"))
+    return dealt(scored, key).groupBy(key).cogroup(dealt(words, key).groupBy(key)).applyInPandas(fitted, f"{key} {kind}, token string, weight double, predicted_class string")
 
 
 def summary(weights: DataFrame, most: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finstrata.functions import sentiment as S
@@ -59,8 +59,13 @@ def stamped(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' URLs and documents' beginnings as articles, many of them alike."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("https://x/"), (F.col("doc_id") % 97).cast("string")).alias("url"), F.substring("text", 1, 12).alias("title"))
+    """Pages' URLs and whole titles, and each document as a post without a URL whose title is its whole text."""
+    page = table(spark, sf_dir, "pages").select((2 * F.col("page_id")).alias("ordinal"), "url", F.regexp_extract(F.decode(F.col("html").cast("binary"), "UTF-8"), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return page.unionByName(table(spark, sf_dir, "documents").select((2 * F.col("doc_id") + 1).alias("ordinal"), F.lit(None).cast("string").alias("url"), F.col("text").alias("title")))
+
+
+def digest(text: Column) -> Column:
+    return F.md5(text.cast("binary")).alias("digest")
 
 
 def tokens_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def tokens_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from finstrata.operators.explain import explain
 
-    return explain(finance_texts(spark, sf_dir).withColumn("text", F.substring("text", 1, 120)), "doc_id", "text")
+    return explain(finance_texts(spark, sf_dir), "doc_id", "text")
 
 
 def emotion_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +159,7 @@ QUERIES: dict[str, Query] = {
     "negation_join": lambda s, d: finance_texts(s, d).select("doc_id", F.md5(X.join_negations(F.col("text")).cast("binary")).alias("digest")),
     "tokens_quality": tokens_quality,
     "stopword_filter": lambda s, d: finance_texts(s, d).select("doc_id", F.size(X.remove_stop_words(X.tokens(F.col("text")))).alias("kept")),
-    "lemmas": lambda s, d: finance_texts(s, d).select("doc_id", F.slice(X.lemmatize(X.tokens(F.col("text"))), 1, 12).alias("lemmas")),
+    "lemmas": lambda s, d: finance_texts(s, d).select("doc_id", digest(F.array_join(X.lemmatize(X.tokens(F.col("text"))), " "))),
     "sentence_split": lambda s, d: finance_texts(s, d).select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences")),
     "aspects": lambda s, d: S.aspect_rows(finance_texts(s, d), "doc_id", "text"),
     "scored_aspects": lambda s, d: S.scored_aspects(finance_texts(s, d), "doc_id", "text").select("doc_id", F.to_json("aspects").alias("aspects")),
@@ -167,11 +172,11 @@ QUERIES: dict[str, Query] = {
     "name_index": lambda s, d: E.name_index(E.stocks(s)),
     "context_flags": lambda s, d: finance_texts(s, d).select("doc_id", *(c.alias(n) for n, c in E.context_flags(F.col("text")).items())),
     "clean_html_news": lambda s, d: table(s, d, "pages").select("page_id", F.md5(X.clean_news(F.col("html")).cast("binary")).alias("digest")),
-    "clean_tweet": lambda s, d: finance_texts(s, d).select("doc_id", F.substring(X.clean_tweet(F.col("text")), 1, 60).alias("clean")),
-    "article_quality": lambda s, d: table(s, d, "documents").groupBy(X.article_quality(F.substring("text", 1, 30), F.lit(""), F.substring("text", 1, 400)).alias("keep")).agg(F.count("*").alias("n")),
-    "tweet_quality": lambda s, d: finance_texts(s, d).groupBy(X.tweet_quality(F.col("text"), F.substring("text", 1, 140)).alias("keep")).agg(F.count("*").alias("n")),
+    "clean_tweet": lambda s, d: finance_texts(s, d).select("doc_id", digest(X.clean_tweet(F.col("text")))),
+    "article_quality": lambda s, d: table(s, d, "documents").groupBy(X.article_quality(F.col("text"), F.lit(""), F.col("text")).alias("keep")).agg(F.count("*").alias("n")),
+    "tweet_quality": lambda s, d: finance_texts(s, d).groupBy(X.tweet_quality(F.col("text"), F.col("text")).alias("keep")).agg(F.count("*").alias("n")),
     "dedupe_posts": lambda s, d: I.dedupe_posts(table(s, d, "events").select((F.col("event_id") % 500).alias("id"), F.col("event_id").alias("ordinal"), "user_id")),
-    "dedupe_url_title": lambda s, d: I.dedupe_articles(articles(s, d)),
+    "dedupe_url_title": lambda s, d: I.dedupe_articles(articles(s, d)).select("ordinal", "url", digest(F.col("title"))),
     "excerpts": lambda s, d: I.excerpts(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"),
     "insert_if_absent": inserted,
     "prune_oldest": pruned,
