@@ -19,6 +19,11 @@ from finstrata.llm.substring_dedup import substring_dedup
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, also where ids are null or repeated; rows with the same id and text share one."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for good ones."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
@@ -26,10 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that Jaccard links hold together, the one with the smallest id; of rows with one id, one."""
-    copies = near_join(docs).filter("doc_id <> class_id").select("doc_id")
-    named = docs.select(*COLUMNS).filter("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    """Of each class of documents that Jaccard links hold together, the one with the smallest id, a null last; of rows with
+    one id and text, one."""
+    rows = keyed(docs)
+    linked = near_join(rows, id_col="row_key").filter("n_links > 0").select(F.col("doc_id").alias("row_key"), "class_id")
+    ids = rows.select("row_key", "doc_id").join(linked, "row_key")
+    first = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("f")).select("f.row_key")
+    copies = linked.select("row_key").join(first, "row_key", "left_anti")
+    return rows.join(copies, "row_key", "left_anti").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +50,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a test item. Rows without an id can't be told apart: they go together."""
-    held = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held")).distinct()
-    return docs.select(*COLUMNS).join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left_anti")
+    """Documents that hold no copy of a test item."""
+    rows = keyed(docs)
+    held = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(held, "row_key", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,6 +346,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces_.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_tells_rows_apart(spark, documents, tmp_path):
+    rng = random.Random(5)
+    one, two, item = (prose(rng, 60, 4000) for _ in range(3))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = one.replace(one.split()[0], "first", 1)
+    docs = documents(one, two, near, near, two, item, one, ids=[1, 1, 2, None, None, None, 3])
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, item)])
+    kept = corpus_pipeline.leaks(spark, documents(one, two, item, item, ids=[None, 4, None, 4]), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, one), (4, two)]
+
+
 def test_digests(spark):
     sf = "/root/testdata/sf0.001"
     row = Q.op7_suffix_tree_dedup(spark, sf).filter("n_removed = 0").first()
