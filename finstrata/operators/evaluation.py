@@ -71,7 +71,7 @@ def kappa(rows: DataFrame, first: str = "first", second: str = "second") -> Data
     return x.select("n", half_up(F.col("po"), 4).alias("observed"), half_up(F.col("pe"), 4).alias("expected"), half_up(F.col("kappa"), 4).alias("kappa"), half_up(F.col("se"), 4).alias("se"), half_up(F.col("z"), 4).alias("z"), udf(lambda z: None if z is None else normal_p(z))("z").alias("p_value"))
 
 
-def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """A percentile interval of the accuracy, from samples with replacement within each class.
 
     A row is drawn as often as a Poisson(1) variable says, from its key's and the replicate's hash: no join, no collect.

@@ -82,3 +82,8 @@ def test_bootstrap_surrounds_the_accuracy(spark):
     rows = spark.createDataFrame([("p", "p")] * 80 + [("n", "p")] * 20 + [("n", "n")] * 100, "truth string, predicted string")
     x = V.bootstrap(rows, 100).first()
     assert 0.82 < x.low < 0.9 < x.high < 0.97 and abs(x.mean - 0.9) < 0.02
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    rows = spark.createDataFrame([("p", "p"), ("n", "p")], "truth string, predicted string")
+    assert V.bootstrap(rows).first().replicates == 1000
