@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +33,12 @@ def carried(docs: DataFrame, columns: tuple[str, ...]) -> tuple[Column, str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset there is no such folder, and none is made up."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="finstrata-"))
+        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -54,6 +56,38 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def block(megabytes: int = 16) -> Column:
+    """Deals a task's rows (``_row``) to blocks; one block holds about so many MB of the files that are read."""
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", SparkSession.active().conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    parts = max(1, (int(number) << " kmgt".index(unit or " ") * 10) // (megabytes << 20))
+    return F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("_row"), F.lit(parts))
+
+
+class Blocks:
+    """A table bucketed by ``block``, so that cogroups by block don't shuffle it; ``with`` ends its entry in the catalogue.
+
+    The files stay, and DataFrames made within go on reading them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"blocks_{uuid.uuid4().hex}"
+        self.path, self.buckets = f"{shared_dir(spark)}/{self.name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> Blocks:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes rows, of which each task holds few blocks, beside those that are there; returns all."""
+        rows.write.mode("append").bucketBy(self.buckets, "block").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def add_dealt(self, rows: DataFrame) -> DataFrame:
+        return self.add(rows.repartition(self.buckets, "block"))
+
+
 def rows_as(schema: str):
     """The Arrow schema of a DDL string of plain types, for the batches that a mapInArrow function yields."""
     import pyarrow as pa

@@ -1,23 +1,27 @@
 """Language-model scoring with a weighted backoff automaton (operator 2).
 
-The model is an absolute-discounting backoff model over word n-grams. Its n-grams are an automaton: a state for each kept
-context, an arc for each kept continuation, and a failure arc, weighted with the backoff mass, to the state of the context
-without its first word. A text is scored in one traversal from left to right that carries the state.
-
-An n-gram (for order 1: its own state and arcs) is kept where its count is at least ``share`` of all training tokens, and
-2. So there are at most 1/share of each order whatever the corpus holds, which bounds what is broadcast. All other words
-still have their exact counts: their occurrences are joined with the table of counts and added to the texts' scores.
-
-* Words: counted in the tasks that read the texts, then summed by word.
-* N-grams: one pass counts those that a chunk of tokens holds often enough to matter, half of a kept one's share; with what
-  the other chunks can have held unseen, this bounds each one's count. A second pass counts those exactly whose bound suffices.
-* Scores: one pass with the automaton, which also emits the words that have no state, joined with their counts.
+The model is an n-gram model with Dirichlet smoothing over all n-grams of the training texts, rare ones included:
+
+    P(w | h) = (c(hw) + k P(w | h')) / (c(h) + k),    h': h without its first word,    P(w) = (c(w) + 1) / (N + V + 1)
+
+As an automaton: the states are the contexts that training holds; a state has an arc for each word that followed it, weighted
+with the probability above, and a failure arc to the state of h', weighted with k / (c(h) + k). A text is scored in one
+traversal from left to right that carries the state and adds up the weights.
+
+The whole model fits nowhere, so each block of texts (some MB) gets the part that its texts can reach:
+
+* Blocks hash their texts' n-grams and send the distinct ones, with their training counts, to bins by hash. A bin adds up the
+  counts, and answers each block with the totals of those n-grams that other blocks hold too; others' totals are the block's own.
+* Words and pairs go in one pass. An n-gram of three words or more is sent only if other blocks hold both n-grams of one
+  word less within it: otherwise no other block can hold it.
+* A last pass builds each block's automaton and walks its texts.
+
+What is exchanged is sorted hashes, as bytes by place, which compress: some 5 bytes an n-gram. Hashes of words have 64
+bits, those of longer n-grams 56: n-grams with equal hashes count as one. Nothing is cut, and nothing grows on the driver.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -26,255 +30,218 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import rows_as, settle, texts
+from finstrata.llm.common import Blocks, block, rows_as, texts
+from finstrata.llm.shingles import MIX, WordHashes, mixed
 
 #: The token after a text's last word; no word is empty.
 END = b""
-CHUNK = 4_000_000
-#: Up to so many candidates are broadcast to the counting pass; beyond, it counts all n-grams.
-MOST_CANDIDATES = 4_000_000
+SENT = "bin int, block long, n int, grams binary, counts binary"
+ANSWERS = "bin int, block long, n int, grams binary, counts binary, words long, tokens long"
+SCORES = "doc_id long, trains boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def by_place(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: sorted or small numbers compress well so."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
 
-COUNTS, GRAMS = "word binary, c long", "n int, code long, c long"
-PARTS = "_row long, doc_id long, n_tokens long, n_known long, base double, gain double, word binary, mult long"
+def from_places(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def count_words(batches: Iterator) -> Iterator:
-    """(word, count) of the texts of a task."""
+@dataclass
+class Level:
+    """The n-grams of one order in a block: the distinct ones, sorted, their counts, and for each place which it holds (-1: none)."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray
+    shared: np.ndarray | None = None
+
+    def settle(self, answers: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Own counts become totals, where other blocks hold the n-gram too."""
+        self.shared = np.zeros(len(self.grams), bool)
+        for grams, totals in answers:
+            at = np.searchsorted(self.grams, grams)
+            self.counts[at] = totals
+            self.shared[at] = True
+
+    def of(self, values: np.ndarray, none: Any) -> np.ndarray:
+        """By place."""
+        return np.where(self.at >= 0, values[self.at], none) if len(values) else np.full(len(self.at), none)
+
+
+class BlockTexts:
+    """A block's texts one after the other, as hashes of their tokens; texts that train come first."""
+
+    def __init__(self, docs: Any, words: WordHashes):
+        trains = docs.column("trains").to_numpy()
+        self.order = np.argsort(~trains, kind="stable")
+        bodies, parts = docs.column("body"), []
+        for i in self.order.tolist():
+            tokens = bodies[i].as_py().lower().split()
+            tokens.append(END)
+            parts.append(words.of(tokens))
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.tokens = np.concatenate(parts)
+        self.trained = int(self.lengths[: int(trains.sum())].sum())
+        #: How many tokens of its text stand before each token.
+        self.before = np.arange(len(self.tokens)) - np.repeat(self.ends - self.lengths, self.lengths)
+
+    def grams(self, n: int, where: np.ndarray | None = None) -> Level:
+        """The n-grams by their last token's place; only those ``where`` says, if given."""
+        here = self.before >= n - 1
+        if where is not None:
+            here &= where
+        last = np.flatnonzero(here)
+        code = self.tokens[last - (n - 1)]
+        for i in range(n - 2, -1, -1):
+            code = code * MIX + self.tokens[last - i]
+        if n > 1:
+            code = mixed(code + np.uint64(n)) & np.uint64(2**64 - 256)
+        distinct, inverse = np.unique(code, return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int64)
+        at[last] = inverse
+        return Level(distinct, np.bincount(inverse[: np.searchsorted(last, self.trained)], minlength=len(distinct)), at)
+
+
+def sent(key: int, n: int, level: Level, bins: int, which: np.ndarray | None = None) -> Iterator[tuple]:
+    """A row for each bin; bins are ranges of hashes. which: of the n-grams, those to send."""
+    grams, counts = (level.grams, level.counts) if which is None else (level.grams[which], level.counts[which])
+    edges = np.searchsorted(grams, (np.arange(1, bins, dtype=np.float64) * (2.0**64 / bins)).astype(np.uint64))
+    bounds = [0, *edges.tolist(), len(grams)]
+    for b in range(bins):
+        lo, hi = bounds[b : b + 2]
+        if lo < hi:
+            yield b, key, n, by_place(grams[lo:hi]), by_place(counts[lo:hi].astype(np.uint32))
+
+
+def as_table(rows: list[tuple], schema: str):
     import pyarrow as pa
 
-    schema, seen = rows_as(COUNTS), Counter()
+    kind = rows_as(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
 
-    for batch in batches:
-        for body in batch.column("body"):
-            seen.update(body.as_py().lower().split())
-            seen[END] += 1
-        if len(seen) > 700_000:
-            yield out()
-            seen = Counter()
-    if seen:
-        yield out()
+def counter(bins: int, order: int):
+    def counted(key: tuple, docs: Any) -> Any:
+        """The words and pairs of a block."""
+        block_, texts_ = key[0].as_py(), BlockTexts(docs, WordHashes())
+        return as_table([row for n in range(1, min(order, 2) + 1) for row in sent(block_, n, texts_.grams(n), bins)], SENT)
 
+    return counted
 
-def codes(ids: np.ndarray, order: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, codes) of the n-grams of known words; a code is the n-gram's ids as digits to the base ``size``."""
-    code = ids
-    for n in range(2, order + 1):
-        head, tail = code[:-1], ids[n - 1 :]
-        code = np.where((head >= 0) & (tail >= 0), head * size + tail, -1)
-        yield n, code[code >= 0]
 
+def totals(key: tuple, held: Any) -> Any:
+    """A bin's n-grams of one order, added up: for each block, those that other blocks hold too; and how many there are in all."""
+    n = key[1].as_py()
+    grams = [from_places(x.as_py(), np.uint64) for x in held.column("grams")]
+    sizes = [len(g) for g in grams]
+    distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    counts = np.concatenate([from_places(x.as_py(), np.uint32) for x in held.column("counts")])
+    total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
+    shared = np.bincount(inverse, minlength=len(distinct)) > 1
+    rows, first = [(key[0].as_py(), -1, n, None, None, int((total > 0).sum()), int(total.sum()))], 0
+    for of, own, size in zip(held.column("block").to_pylist(), grams, sizes, strict=True):
+        at = inverse[first : first + size]
+        if (take := shared[at]).any():
+            rows.append((key[0].as_py(), of, n, by_place(own[take]), by_place(total[at][take]), 0, 0))
+        first += size
+    return as_table(rows, ANSWERS)
 
-def count_grams(ids_of: Any, order: int, size: int, least: float, total: int, among: Any, exact: bool):
-    """A task that counts n-grams: exactly, all or those ``among``; or else those that have half their share of a chunk.
 
-    In the second case, counts are less what a chunk can hold of an n-gram unseen, and a row with n 0 says what that is.
-    """
+def settled(level: Level, n: int, answers: Any) -> Level:
+    mine = [i for i, m in enumerate(answers.column("n").to_pylist()) if m == n]
+    level.settle([(from_places(answers.column("grams")[i].as_py(), np.uint64), from_places(answers.column("counts")[i].as_py(), np.uint64)) for i in mine])
+    return level
 
-    def counted(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        schema, word_id, only = rows_as(GRAMS), ids_of.value.get, among.value if among else None
-        end, parts, held = word_id(END, -1), [], 0
-
-        def out():
-            ids = np.concatenate(parts).astype(np.int64)
-            unseen = 0 if exact else int(np.ceil(0.5 * least * len(ids) / max(total, 1))) - 1
-            ns, grams, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([unseen])]
-            for n, code in codes(ids, order, size):
-                if only is not None:
-                    code = code[within(code, only[n])]
-                code, c = np.unique(code, return_counts=True)
-                keep = c > unseen
-                ns.append(np.full(keep.sum(), n, np.int32))
-                grams.append(code[keep])
-                counts.append(c[keep] - unseen)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip((ns, grams, counts), schema, strict=True)], schema=schema)
-
-        for batch in batches:
-            for body in batch.column("body"):
-                ids = [word_id(w, -1) for w in body.as_py().lower().split()]
-                ids += (end, -1)
-                parts.append(np.array(ids, np.int32))
-                held += len(ids)
-                if held > CHUNK:
-                    yield out()
-                    parts, held = [], 0
-        if parts:
-            yield out()
+def levels(texts_: BlockTexts, answers: Any, order: int) -> Iterator[Level]:
+    """The block's n-grams by order, with their totals; from 3 on, only n-grams that another block may hold have been sent."""
+    for n in range(1, order + 1):
+        yield settled(texts_.grams(n), n, answers)
 
-    return counted
 
+def sender(n: int, bins: int):
+    def found(key: tuple, docs: Any, answers: Any) -> Any:
+        """The n-grams of a block whose both n-grams of one word less are held by other blocks."""
+        if not len(docs) or not len(answers):
+            return as_table([], SENT)
+        texts_ = BlockTexts(docs, WordHashes())
+        below = settled(texts_.grams(n - 1), n - 1, answers)
+        both = below.of(below.shared, False)
+        both[1:] &= both[:-1]
+        return as_table(list(sent(key[0].as_py(), n, texts_.grams(n, both), bins)), SENT)
 
-def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+    return found
 
 
-@dataclass
-class Automaton:
-    """Arcs (state * size + word -> log10 probability, next state), failure arcs and their weights, by state; 0 is the root."""
-
-    size: int
-    unigram: list[float]
-    arcs: dict[int, tuple[float, int]]
-    fail: list[int]
-    weight: list[float]
-    to_root: list[float]
-
-    def score(self, ids: list[int]) -> float:
-        """Log10 probability of the words; one without a state (-1) counts its path to the root only."""
-        total, state, size, arcs, fail, weight, unigram = 0.0, 0, self.size, self.arcs.get, self.fail, self.weight, self.unigram
-        for word in ids:
-            if word < 0:
-                total += self.to_root[state]
-                state = 0
-                continue
-            while state:
-                if (arc := arcs(state * size + word)) is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += unigram[word]
-                state = word + 1
-        return total
-
-
-def automaton(unigram: np.ndarray, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], discount: float) -> Automaton:
-    """unigram: log10 probabilities of the words that have a state. counts: theirs. grams: n -> (sorted codes, counts)."""
-    size, order = len(unigram), max(grams, default=1)
-    code, count, prob = {1: np.arange(size)}, {1: counts}, {1: 10.0**unigram}
-    first = {0: 0, 1: 1}
-    fail, weight, arcs = [np.zeros(1, np.int64), np.zeros(size, np.int64)], [np.zeros(1)], {}
-    for n in range(2, order + 1):
-        code[n], count[n] = grams[n]
-        context, suffix = np.searchsorted(code[n - 1], code[n] // size), np.searchsorted(code[n - 1], code[n] % size ** (n - 1))
-        prob[n] = (count[n] - discount) / count[n - 1][context]
-        lower = prob[n - 1][suffix]
-        left = 1 - np.bincount(context, prob[n], len(code[n - 1]))
-        below = 1 - np.bincount(context, lower, len(code[n - 1]))
-        weight.append(np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)))
-        first[n] = first[n - 1] + len(code[n - 1])
-        if n < order:
-            fail.append(first[n - 1] + suffix)
-        to = first[n] + np.arange(len(code[n])) if n < order else first[n - 1] + suffix
-        arcs |= zip(((first[n - 1] + context) * size + code[n] % size).tolist(), zip(np.log10(prob[n]).tolist(), to.tolist(), strict=True), strict=True)
-    if order == 1:
-        weight.append(np.zeros(size))
-    fail, weight = np.concatenate(fail[:order] if order > 1 else fail), np.concatenate(weight)
-    to_root = weight.copy()
-    for n in range(2, order):
-        states = np.arange(first[n], first[n] + len(code[n]))
-        to_root[states] += to_root[fail[states]]
-    return Automaton(size, unigram.tolist(), arcs, fail.tolist(), weight.tolist(), to_root.tolist())
-
-
-_built: dict[str, Automaton] = {}
-
-
-def local_scores(ids_of: Any, model: Any):
-    """A task that scores texts: a row for each text, and a row for each of its words without a state."""
-    name = uuid.uuid4().hex  # a worker builds the automaton once
-
-    def scored(batches: Iterator) -> Iterator:
+def log_probabilities(orders: list[Level], strength: tuple[float, ...], n_tokens: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: training count, log10 of the add-one unigram, log10 of what the walk adds.
+
+    The state that a token is read in is that of the longest of the words before it that training holds. All tokens walk at
+    once, from the longest contexts down: those whose state has the arc take it; the others take the failure arc.
+    """
+    count = orders[0].of(orders[0].counts, 0)
+    base = (count + 1) / (n_tokens + n_words + 1)
+    chance, arcs, fails = base, [], []
+    for level, k in zip(orders[1:], strength, strict=False):
+        lower = orders[len(arcs)]
+        context = np.concatenate([[0], lower.of(lower.counts, 0)[:-1]])  # the state's own count
+        context[level.at < 0] = 0
+        own = level.of(level.counts, 0)
+        chance = np.where(context > 0, (own + k * chance) / (context + k), chance)
+        arcs.append(np.where((context > 0) & (own > 0), chance, 0))
+        fails.append(np.where(context > 0, k / (context + k), 1.0))
+    walked, above = np.zeros(len(base)), np.ones(len(base), bool)
+    for arc, fail in zip(reversed(arcs), reversed(fails), strict=True):
+        taken = above & (arc > 0)
+        walked[taken] += np.log10(arc[taken])
+        above &= ~taken
+        walked[above] += np.log10(fail[above])
+    base = np.log10(base)
+    walked[above] += base[above]
+    return count, base, walked
+
+
+def scorer(order: int, strength: tuple[float, ...], n_tokens: int, n_words: int):
+    def scored(key: tuple, docs: Any, answers: Any) -> Any:
+        if not len(docs):
+            return as_table([], SCORES)
+        texts_ = BlockTexts(docs, WordHashes())
+        count, base, walked = log_probabilities(list(levels(texts_, answers, order)), strength, n_tokens, n_words)
+        first = texts_.ends - texts_.lengths
+        known, base, walked = (np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base, walked))
+        taken = docs.take(texts_.order)
         import pyarrow as pa
 
-        schema, word_id = rows_as(PARTS), ids_of.value.get
-        if name not in _built:
-            _built.clear()
-            _built[name] = automaton(*model.value)
-        walk, unigram = _built[name], _built[name].unigram.__getitem__
-        end = word_id(END, -1)
-        for batch in batches:
-            keys, doc_ids, lengths, known, base, gain = batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), [], [], [], []
-            of, words, mult = [], [], []
-            for key, body in zip(keys, batch.column("body"), strict=True):
-                tokens = body.as_py().lower().split()
-                ids = [word_id(w, -1) for w in tokens]
-                if len(has := [i for i in ids if i >= 0]) < len(ids) or end < 0:
-                    rare = Counter([w for w, i in zip(tokens, ids, strict=True) if i < 0])
-                    if end < 0:
-                        rare[END] = 1
-                    words.extend(rare)
-                    mult.extend(rare.values())
-                    of.append((key, len(rare)))
-                ids.append(end)
-                has += [end] * (end >= 0)
-                lengths.append(len(ids))
-                known.append(len(has))
-                base.append(sum(map(unigram, has)))
-                gain.append(walk.score(ids) - base[-1])
-            nulls = lambda n, t: pa.nulls(n, t)
-            # a text's own row gets a key of its own that holds a space, as no word does: it matches nothing
-            own = [b" %d" % k for k in keys]
-            rows = np.concatenate([np.array(keys, np.int64), np.repeat([k for k, _ in of], [n for _, n in of]).astype(np.int64)])
-            m = len(words)
-            arrays = [
-                rows,
-                pa.concat_arrays([pa.array(doc_ids, pa.int64()), nulls(m, pa.int64())]),
-                lengths + [0] * m, known + [0] * m, base + [0.0] * m, gain + [0.0] * m, own + words, [0] * len(keys) + mult,
-            ]
-            yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+        return pa.Table.from_arrays([taken.column("doc_id"), taken.column("trains"), pa.array(texts_.lengths), pa.array(known), pa.array(base), pa.array(walked)], schema=rows_as(SCORES))
 
     return scored
 
 
-def lm_scores(docs: DataFrame, trains: Column, order: int = 3, share: float = 1e-6, discount: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, trains: Column, order: int = 3, strength: tuple[float, ...] = (500.0, 5.0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows of which ``trains`` holds, and scores every row's whole text.
 
-    Tokens are words parted by ASCII white space, A-Z lowered, then one end. Returns doc_id, held_out (``trains`` doesn't
-    hold), n_tokens, n_known (tokens that training has), train_tokens, base_score (log10 with add-one unigrams) and score
-    (log10 probability under the model).
+    Tokens are words parted by ASCII white space, A-Z lowered, then one end. Returns doc_id, trains, n_tokens, n_known (tokens
+    that training has), train_tokens, base_score (log10 with add-one unigrams) and score (log10 probability under the model).
+    ``strength`` has the k of contexts of one word, of two, and so on, for each order up to ``order``.
 
     A null text is an empty one: its end is its only token. Where ``trains`` is null, a row trains. Repeated rows are scored
     each by itself; null ids stay null. Without training tokens all scores are 0. Other columns are not read. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col, F.coalesce(trains, F.lit(True)).alias("trains"))
-    training = rows.filter("trains").select("body")
-    vocabulary = settle(training.mapInArrow(count_words, COUNTS).groupBy("word").agg(F.sum("c").alias("c")))
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, int(np.ceil(share * n)))
-    frequent = vocabulary.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()  # 1 / share rows at most
-    words, counts = frequent.column("word").to_pylist(), frequent.column("c").to_numpy().astype(np.int64)
-    ids = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    size = len(words)
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    if size and order > 1:
-        near = settle(training.mapInArrow(count_grams(ids, order, size, least, n, None, False), GRAMS).groupBy("n", "code").agg(F.sum("c").alias("c")))
-        unseen = near.filter("n = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        near = near.filter((F.col("n") > 0) & (F.col("c") + unseen >= least)).select("n", "code")
-        among = None
-        if near.count() <= MOST_CANDIDATES:
-            found = near.toArrow()
-            of, code = found.column("n").to_numpy(), found.column("code").to_numpy()
-            among = spark.sparkContext.broadcast({k: np.sort(code[of == k]) for k in range(2, order + 1)})
-        exact = training.mapInArrow(count_grams(ids, order, size, least, n, among, True), GRAMS).filter("n > 0")
-        kept = exact.groupBy("n", "code").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()  # 1 / share of each order at most
-        of, code, count = (kept.column(k).to_numpy() for k in ("n", "code", "c"))
-        for k in range(2, order + 1):
-            at = np.flatnonzero(of == k)
-            if len(at) == 0:
-                break
-            at = at[np.argsort(code[at])]
-            grams[k] = (code[at], count[at].astype(np.int64))
-    log_total = float(np.log10(n + v + 1))
-    unigram = np.log10(counts + 1.0) - log_total
-    model = spark.sparkContext.broadcast((unigram, counts, grams, discount))
-    parts = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "body").mapInArrow(local_scores(ids, model), PARTS)
-    rest = vocabulary.filter(F.col("c") < least).hint("shuffle_hash")
-    log = F.when(F.col("mult") > 0, F.col("mult") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(log_total))).otherwise(0.0)
-    summed = (
-        parts.join(rest, "word", "left")
-        .select("_row", "doc_id", "n_tokens", (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("mult")).otherwise(0)).alias("n_known"), (F.col("base") + log).alias("base"), "gain")
-        .groupBy("_row")
-        .agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"))
-    )
-    return summed.select("_row", "doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
+    rows = texts(docs, id_col, text_col, F.coalesce(trains, F.lit(True)).alias("trains"), F.monotonically_increasing_id().alias("_row"))
+    with Blocks(spark) as texts_, Blocks(spark) as kept:
+        rows = texts_.add(rows.withColumn("block", block()).drop("_row"))
+        in_bins = lambda df: kept.add_dealt(df.groupBy("bin", "n").applyInArrow(totals, ANSWERS))
+        together = lambda f, schema: rows.groupBy("block").cogroup(answers.select("block", "n", "grams", "counts").filter("block >= 0").groupBy("block")).applyInArrow(f, schema)
+        answers = in_bins(rows.groupBy("block").applyInArrow(counter(kept.buckets, order), SENT))
+        n_words, n_tokens = answers.filter("block = -1 and n = 1").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        for n in range(3, order + 1):
+            answers = in_bins(together(sender(n, kept.buckets), SENT))
+        scores = together(scorer(order, strength, n_tokens, n_words), SCORES)
+    return scores.select("doc_id", "trains", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -34,7 +34,7 @@ def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     scores = lm_scores(table(spark, sf_dir, "documents"), trains=~held_out)
-    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,7 @@ def op5_two_pass_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("_row")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("_row", "doc_row")
 
 
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

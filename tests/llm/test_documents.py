@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from finstrata.llm import queries as Q
-from finstrata.llm.decontamination import decontaminate
+from finstrata.llm.decontamination import align, decontaminate
 from finstrata.llm.license_scan import NOTICES, PHRASES, scan_licenses
-from finstrata.llm.lm_scoring import END, automaton, lm_scores
+from finstrata.llm.lm_scoring import END, lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
 from finstrata.llm.quality import score_quality
@@ -42,65 +42,62 @@ def corpus(seed=0):
 # 2: language model
 
 
-def test_lm_scores(spark, documents):
-    texts = corpus()
-    got = {r.doc_id: r for r in lm_scores(documents(*texts), F.col("doc_id") % 7 != 2, share=1e-3).collect()}
-    split = [(t or "").encode().lower().split() + [END] for t in texts]
-    counts = Counter(w for i, ws in enumerate(split) if i % 7 != 2 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for i, ws in enumerate(split):
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
-        assert got[i].base_score == pytest.approx(base, rel=1e-9)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+class Walker:
+    """The automaton of all n-grams in plain dictionaries: one token after the other, one arc or failure arc at a time."""
 
+    def __init__(self, texts, strength):
+        self.k = strength
+        self.counts = Counter(t[i : i + n] for t in texts for n in (1, 2, 3) for i in range(len(t) - n + 1))
+        self.total = sum(c for g, c in self.counts.items() if len(g) == 1)
+        self.words = [g for g in self.counts if len(g) == 1]
 
-def plain_backoff(counts, grams, size, unknown, discount):
-    """P(w | history) by recursion over dictionaries."""
-
-    def p(w, history):
+    def chance(self, history, word):
         if not history:
-            return counts[w]
-        table = {g[-1]: c for g, c in grams[len(history) + 1].items() if g[:-1] == history}
-        total = grams[len(history)].get(history) if len(history) > 1 else grams[1][history]
-        if not table or total is None:
-            return p(w, history[1:])
-        if w in table:
-            return (table[w] - discount) / total
-        left = 1 - sum((c - discount) / total for c in table.values())
-        return left / (1 - sum(p(x, history[1:]) for x in table)) * p(w, history[1:])
-
-    return p
-
-
-def test_automaton_is_the_backoff_model_and_sums_to_one():
-    rng = np.random.default_rng(6)
-    ids = rng.integers(0, 6, 3000)
-    grams = {n: Counter(tuple(ids[i : i + n].tolist()) for i in range(len(ids) - n + 1)) for n in (1, 2, 3)}
-    kept = {n: {g: c for g, c in of.items() if c >= (0, 0, 80, 15)[n]} for n, of in grams.items()}
-    kept[3] = {g: c for g, c in kept[3].items() if g[:2] in kept[2] and g[1:] in kept[2]}
-    size, total = 6, len(ids) + 6 + 1
-    unigram = {w: (grams[1][w,] + 1) / total for w in range(size)}
-    coded = {n: tuple(map(np.array, zip(*sorted((sum(x * size ** (n - 1 - i) for i, x in enumerate(g)), c) for g, c in kept[n].items()), strict=True))) for n in (2, 3)}
-    walk = automaton(np.log10([unigram[w] for w in range(size)]), np.array([grams[1][w,] for w in range(size)]), coded, 0.5)
-    plain = plain_backoff(unigram, kept, size, 1 / total, 0.5)
-
-    def chance(text):
-        out, history = 0.0, ()
-        for w in text:
-            while history and not (len(history) == 1 or history in kept[2]):
-                history = history[1:]
-            out += math.log10(plain(w, history))
-            history = (*history, w)[-2:]
+            return (self.counts[word,] + 1) / (self.total + len(self.words) + 1)
+        k, of = self.k[len(history) - 1], self.counts[history]
+        return (self.counts[*history, word] + k * self.chance(history[1:], word)) / (of + k)
+
+    def score(self, text):
+        out, state = 0.0, ()
+        for word in text:
+            while state and (*state, word) not in self.counts:  # failure arc
+                k = self.k[len(state) - 1]
+                out += math.log10(k / (self.counts[state] + k))
+                state = state[1:]
+            out += math.log10(self.chance(state, word))
+            state = (*state, word)[-2:]
+            while state and state not in self.counts:
+                state = state[1:]
         return out
 
-    for _ in range(30):
-        text = rng.integers(0, size, 12).tolist()
-        assert walk.score(text) == pytest.approx(chance(text), abs=1e-9)
-    for before in itertools.product(range(size), repeat=2):
-        whole = sum(10 ** (walk.score([*before, w]) - walk.score(list(before))) for w in range(size))
-        unknown = 10 ** (walk.score([*before, -1]) - walk.score(list(before))) / total
-        assert whole + unknown == pytest.approx(1, abs=1e-9)
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_lm_scores(spark, documents, files):
+    texts, strength = corpus(), (7.0, 2.0)
+    docs = documents(*texts, ids=[None if i == 30 else i for i in range(len(texts))]).repartition(files)
+    got = {r.doc_id: r for r in lm_scores(docs, F.col("doc_id") % 7 != 2, strength=strength).collect()}
+    split = [tuple((t or "").encode().lower().split()) + (END,) for t in texts]
+    walker = Walker([ws for i, ws in enumerate(split) if i % 7 != 2 or i == 30], strength)
+    for i, ws in enumerate(split):
+        r = got[None if i == 30 else i]
+        base = sum(math.log10(walker.chance((), w)) for w in ws)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score == pytest.approx(walker.score(ws), rel=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.trains) == (len(ws), sum(walker.counts[w,] > 0 for w in ws), walker.total, i % 7 != 2 or i == 30)
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+    for history in [(), split[3][:1], split[3][4:6], split[8][2:4]]:  # chances sum to one, with that of all unseen words
+        unseen = walker.chance(history, b"not seen")
+        assert sum(walker.chance(history, w) for (w,) in walker.words) + unseen == pytest.approx(1)
+
+
+def test_lm_scores_of_pairs_only_and_of_nothing_to_learn(spark, documents):
+    texts = corpus()
+    assert {r.score for r in lm_scores(documents(*texts), F.lit(False)).collect()} == {0.0}
+    one = {r.doc_id: r for r in lm_scores(documents(*texts), F.lit(True), order=1).collect()}
+    assert all(r.score == pytest.approx(r.base_score) for r in one.values())
+    two = {r.doc_id: r for r in lm_scores(documents(*texts), F.lit(True), order=2).collect()}
+    assert two[0].score > one[0].score
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
 
 # 3: packing
@@ -232,6 +229,36 @@ def test_decontamination_aligns_parts_far_apart(spark, documents):
     assert (got[24, 1].doc_start, got[24, 1].doc_end, got[24, 1].score) == (3400, 3440, 1)
 
 
+def test_decontamination_against_all_pairs(spark, documents):
+    rng = random.Random(11)
+    items = [prose(rng, n, 3000) for n in (1, 2, 3, 8, 20, 20, 60, 120)]
+    items[1], items[2] = "short item", "three odd words"
+
+    def edit(text, rate):
+        out = []
+        for w in text.split():
+            x = rng.random()
+            out += [] if x < rate / 3 else ["put", w] if x < 2 * rate / 3 else ["other"] if x < rate else [w]
+        return " ".join(out)
+
+    texts = [f"{prose(rng, 30, 3000)} {edit(rng.choice(items[3:]), rng.random() * 0.6)} {prose(rng, 30, 3000)}" for _ in range(120)]
+    texts += ["a short item here", "short of one item", "so three odd words", "three words", None, ""]
+    ids = [None if i % 50 == 7 else i % 100 for i in range(len(texts))]
+    bench = spark.createDataFrame([*enumerate(items), (3, items[3]), (8, None), (None, items[5])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.score, 6)) for r in decontaminate(documents(*texts, ids=ids), bench).collect()}
+    number = {w: i for i, w in enumerate({w for t in (*texts, *items) for w in (t or "").split()})}
+    of = lambda t: np.array([number[w] for w in (t or "").split()], np.uint64)
+    want = set()
+    for i, text in zip(ids, texts, strict=True):
+        for k, item in [*enumerate(items), (None, items[5])]:
+            score = align(of(item), of(text))[0] / (2 * len(item.split()))
+            if score >= 0.5 and (len(item.split()) >= 4 or f" {item} " in f" {text} "):
+                want.add((i, k, round(score, 6)))
+    assert got <= want and len(got) >= 0.9 * len(want) > 50, (len(got), len(want))
+    assert {(i, k) for i, k, _ in got if k in (1, 2)} == {(20, 1), (22, 2)}
+    assert decontaminate(documents(*texts), bench.limit(0)).count() == 0
+
+
 # 8: licenses
 
 
