@@ -63,7 +63,7 @@ def span(size: int, least: float) -> int:
     return size + math.ceil(2 * size * (1 - least))
 
 
-def seed_finder(k: int, shared, reach: int):
+def seed_finder(sizes: list[int], shared, reach: int):
     def found(batches: Iterator) -> Iterator:
         """For each run of places where a document holds seeds: the seeds, each one's first and last place, and the words around, ``reach`` on either side."""
         import pyarrow as pa
@@ -74,18 +74,20 @@ def seed_finder(k: int, shared, reach: int):
             keys = batch.column("_row").to_pylist()
             for doc_id, key, body in zip(batch.column("doc_id").to_pylist(), keys, batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
-                grams = windows(hashes, k)
-                at = shared_grams(cells, grams).tolist()
+                grams, at = zip(*((g[x], x) for g in (windows(hashes, n) for n in sizes) for x in [shared_grams(cells, g)]), strict=True)
+                grams, at = np.concatenate(grams), np.concatenate(at)
+                order = np.argsort(at, kind="stable")
+                grams, at = grams[order], at[order].tolist()
                 i = 0
                 while i < len(at):  # neighbours share their words
                     j = i
                     while j + 1 < len(at) and at[j + 1] - at[j] <= reach and at[j + 1] - at[i] <= 4 * reach:
                         j += 1
                     first = max(0, at[i] - reach)
-                    places = np.array(at[i : j + 1])
-                    held, low = np.unique(grams[places], return_index=True)
-                    high = len(places) - 1 - np.unique(grams[places][::-1], return_index=True)[1]
-                    rows.append((doc_id, key, first, hashes[first : at[j] + k + reach].tobytes(), held.view(np.int64).tolist(), places[low].tolist(), places[high].tolist()))
+                    places, run = np.array(at[i : j + 1]), grams[i : j + 1]
+                    held, low = np.unique(run, return_index=True)
+                    high = len(places) - 1 - np.unique(run[::-1], return_index=True)[1]
+                    rows.append((doc_id, key, first, hashes[first : at[j] + sizes[-1] + reach].tobytes(), held.view(np.int64).tolist(), places[low].tolist(), places[high].tolist()))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -150,21 +152,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     Returns doc_id, _row, item_id, score (Smith-Waterman, as a share of the item's own; ``least`` at least), matched (the item's
     words spanned), doc_start and doc_end, item_start and item_end (in words). Words are lowered, punctuation parts them.
 
-    Texts without words (null, empty) and items of fewer than k words match nothing. Items longer than ``item_words`` are
+    Texts and items without words (null, empty) match nothing. An item of fewer than k words is a seed as a whole: it is found
+    where all its words stand one after the other, not where a part of them does. Items longer than ``item_words`` are
     compared in pieces of so many words, which overlap by half. Of a pair's alignments the best stays, of equal ones
     the first. Repeated rows and items give rows each; null ids stay null. Other columns are not read. Empty tables give none.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).filter(F.length("words") >= 8 * k).withColumn("piece", F.xxhash64("words")))
+    items = settle(texts(benchmark, "item_id", "text").mapInArrow(item_pieces(item_words), "doc_id long, body binary").mapInArrow(item_grams(k), GRAMS).withColumn("piece", F.xxhash64("words")))
     cells = spark.sparkContext.broadcast((bitmap(items, "gram", BITS), bitmap(items.withColumn("low", F.shiftleft("gram", LOW)), "low", BITS)))
-    seeds = items.select("item_id", "piece", "gram").distinct()
+    seeds, pieces, named = items.select("piece", "gram").distinct(), items.select("piece", "words").distinct(), items.select("item_id", "piece").distinct()
     longest = (items.agg(F.max(F.length("words"))).first()[0] or 0) // 8  # item_words at most
-    hits = settle(rows.mapInArrow(seed_finder(k, cells, span(longest, least)), HITS))
+    sizes = sorted(r[0] for r in items.select(F.least(F.length("words") / 8, F.lit(k)).cast("int")).distinct().collect()) or [k]  # k numbers at most
+    hits = settle(rows.mapInArrow(seed_finder(sizes, cells, span(longest, least)), HITS))
     # a pair is a candidate once, however many seeds it shares; then the words of both come to it
     shared = hits.select("_row", "first", F.explode(F.arrays_zip("grams", "lows", "highs")).alias("g")).select("_row", "first", F.col("g.grams").alias("gram"), F.col("g.lows").alias("low"), F.col("g.highs").alias("high"))
-    pairs = shared.join(seeds, "gram").groupBy("_row", "first", "item_id", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = pairs.join(items.select("item_id", "piece", "words").distinct(), ["item_id", "piece"]).join(hits.drop("grams", "lows", "highs"), ["_row", "first"])
+    pairs = shared.join(seeds, "gram").groupBy("_row", "first", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = pairs.join(pieces, "piece").join(named, "piece").join(hits.drop("grams", "lows", "highs"), ["_row", "first"])
     found = pairs.mapInArrow(aligner(k, least), ALIGNED)
     best = F.max_by(F.struct("doc_id", "score", "matched", "doc_start", "doc_end", "item_start", "item_end"), F.struct("score", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("_row", "item_id").agg(best.alias("b")).select("b.doc_id", "_row", "item_id", *(f"b.{c}" for c in ("score", "matched", "doc_start", "doc_end", "item_start", "item_end")))
