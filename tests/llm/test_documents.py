@@ -30,6 +30,15 @@ def prose(rng, n, vocabulary=200):
     return " ".join(f"w{int(vocabulary * rng.random() ** 3)}" for _ in range(n))
 
 
+def edited(rng, text, rate):
+    """Words left out, put in and replaced."""
+    out = []
+    for w in text.split():
+        x = rng.random()
+        out += [] if x < rate / 3 else ["put", w] if x < 2 * rate / 3 else ["other"] if x < rate else [w]
+    return " ".join(out)
+
+
 def corpus(seed=0):
     rng = random.Random(seed)
     texts = [prose(rng, rng.randrange(1, 160)) for _ in range(40)]
@@ -234,14 +243,7 @@ def test_decontamination_against_all_pairs(spark, documents):
     items = [prose(rng, n, 3000) for n in (1, 2, 3, 8, 20, 20, 60, 120)]
     items[1], items[2] = "short item", "three odd words"
 
-    def edit(text, rate):
-        out = []
-        for w in text.split():
-            x = rng.random()
-            out += [] if x < rate / 3 else ["put", w] if x < 2 * rate / 3 else ["other"] if x < rate else [w]
-        return " ".join(out)
-
-    texts = [f"{prose(rng, 30, 3000)} {edit(rng.choice(items[3:]), rng.random() * 0.6)} {prose(rng, 30, 3000)}" for _ in range(120)]
+    texts = [f"{prose(rng, 30, 3000)} {edited(rng, rng.choice(items[3:]), rng.random() * 0.6)} {prose(rng, 30, 3000)}" for _ in range(120)]
     texts += ["a short item here", "short of one item", "so three odd words", "three words", None, ""]
     ids = [None if i % 50 == 7 else i % 100 for i in range(len(texts))]
     bench = spark.createDataFrame([*enumerate(items), (3, items[3]), (8, None), (None, items[5])], "item_id long, text string")
@@ -254,7 +256,7 @@ def test_decontamination_against_all_pairs(spark, documents):
             score = align(of(item), of(text))[0] / (2 * len(item.split()))
             if score >= 0.5 and (len(item.split()) >= 4 or f" {item} " in f" {text} "):
                 want.add((i, k, round(score, 6)))
-    assert got <= want and len(got) >= 0.9 * len(want) > 50, (len(got), len(want))
+    assert got <= want and len(got) >= 0.9 * len(want) > 50, (len(got), len(want), sorted(want - got, key=str))
     assert {(i, k) for i, k, _ in got if k in (1, 2)} == {(20, 1), (22, 2)}
     assert decontaminate(documents(*texts), bench.limit(0)).count() == 0
 
@@ -280,6 +282,55 @@ def test_license_scan(spark, documents):
     assert got[n + 1].spans[0].start == 1 and got[0].score == 0
 
 
+def scanned(words, k=3, apart=2, least=0.7):
+    """(labels, share, spans) by loops over all pairs of places."""
+    spans = []
+    for label, notice in NOTICES:
+        of = notice.split()
+        diagonals = defaultdict(list)
+        for p, i in itertools.product(range(len(words) - k + 1), range(len(of) - k + 1)):
+            if words[p : p + k] == of[i : i + k]:
+                diagonals[p - i].append((p, i))
+        groups = []
+        for d in sorted(diagonals):
+            if groups and d - groups[-1][0] <= apart:
+                groups[-1] = (d, groups[-1][1] + diagonals[d])
+            else:
+                groups.append((d, diagonals[d]))
+        for _, hits in groups:
+            covered = len({i + j for _, i in hits for j in range(k)})
+            start, end = min(p for p, _ in hits), max(p for p, _ in hits) + k
+            if covered >= least * len(of) and covered >= least * (end - start):
+                spans.append((start, end, label, covered, covered / len(of)))
+    kept = [s for s in spans if not any(t[2] != s[2] and t[3] > s[3] and t[0] < s[1] and s[0] < t[1] for t in spans)]
+    return sorted({s[2] for s in kept}), max((s[4] for s in kept), default=0.0), sorted((s[0], s[1], s[2], s[4]) for s in kept)
+
+
+def test_license_votes_against_loops(spark, documents):
+    rng = random.Random(12)
+
+    texts = ["the WOR\u212a is licensed under cc by 4 0", "this wor\u212a is licensed under cc by 4 0", "THIS WORK IS LICENSED UNDER CC BY 4 0", "İ mit license", None, "", "...", " mit license ", "mit license " * 400]
+    for _ in range(60):
+        words = prose(rng, 20).split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words))
+            words[at:at] = edited(rng, rng.choice(NOTICES)[1], rng.random() * 0.25).split()
+        texts.append(rng.choice([" ", ", ", "\n"]).join(words))
+    got = {r.doc_id: r for r in scan_licenses(documents(*texts)).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        labels, share, spans = scanned(words)
+        r = got[i]
+        assert r.labels == ",".join(sorted({*labels, *filter(None, r.base_labels.split(","))})) and [tuple(x) for x in r.spans] == spans
+        assert r.score == (1.0 if r.n_base else share) and r.n_words == len(words)
+    assert sum(len(r.spans) for r in got.values()) > 30 and got[8].n_base == 400 and got[2].spans[0].share == 1 > got[1].spans[0].share
+    tied = "this work is licensed under a creative commons attribution 4 0 international license"
+    one = scan_licenses(documents(tied), notices=(("b", tied), ("a", tied), ("c", "short one"))).first()
+    assert one.labels == "a,b" and one.score == 1.0
+    share_alike = "this work is licensed under a creative commons attribution sharealike 4 0 international license"
+    assert scan_licenses(documents(share_alike)).first().labels == "cc-by-sa"
+
+
 # 10: token counts
 
 
