@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from finstrata.llm.common import settle
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); a component is named by its smallest node.
 
-    Each round hooks every node's label to the smallest label near it and then halves the paths of labels, so that chains
-    shrink fast. Labels are summed up before they are shuffled, and each round's result is written to the shared folder.
+    Each round hooks every node's label to the smallest label near it, and then each label to its own label, which halves the
+    paths of labels, so that the rounds grow with the logarithm of the longest chain. A giant component is one label of many
+    nodes: labels are looked up once each, and those that change, which are ever fewer, are joined with the nodes from
+    results that are written, so that a hot label's nodes can be dealt to several tasks.
     Loops are harmless, repeated edges too; without edges there are no rows.
     """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        up = hooked.select(F.col("node").alias("up"), F.col("component").alias("above"))
-        after = settle(hooked.join(up, hooked.component == up.up, "left").select("node", F.coalesce("above", "component").alias("component"), "was"))
-        labels = after.select("node", "component")
-        if after.filter("component <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"no end after {rounds} rounds")
+        hooked = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
+        hooked = settle(hooked)
+        if hooked.filter("moved").isEmpty():
+            return hooked.select("node", "component")
+        tops = hooked.select(F.col("component").alias("top")).distinct()
+        above = hooked.filter("node <> component").select("node", F.col("component").alias("above"))
+        changed = settle(tops.join(above, tops.top == above.node).select("top", "above"))
+        labels = hooked.join(changed, hooked.component == changed.top, "left").select("node", F.coalesce("above", "component").alias("component"))

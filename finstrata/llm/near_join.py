@@ -25,7 +25,7 @@ from finstrata.llm.common import rows_as, settle, texts
 from finstrata.llm.components import components
 from finstrata.llm.shingles import WordHashes, mixed, shingles
 
-SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+SIGNED = "key long, doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 SETS = "rep long, bands array<long>, shingles binary"
 FOUND = "rep long, n_links long, least long"
 
@@ -64,7 +64,7 @@ def signer(bands: int, rows: int, k: int):
 
         schema, words = rows_as(SIGNED), WordHashes()
 
-        def out(ids: list, sets: list[np.ndarray]):
+        def out(keys: list, ids: list, sets: list[np.ndarray]):
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             n = len(ids)
@@ -78,19 +78,20 @@ def signer(bands: int, rows: int, k: int):
             for j in range(rows):
                 band = mixed(band * np.uint64(31) + signature[:, :, j] + np.arange(bands, dtype=np.uint64))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(band.reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), flat], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), flat], schema=schema)
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
+            keys, ids, sets, held = [], [], [], 0
+            for key, doc_id, body in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
+                keys.append(key)
                 ids.append(doc_id)
                 sets.append(shingles(word_hashes(body.as_py(), words), k))
                 held += len(sets[-1])
                 if held > 200_000:
-                    yield out(ids, sets)
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield out(ids, sets)
+                    yield out(keys, ids, sets)
+                    keys, ids, sets, held = [], [], [], 0
+            if keys:
+                yield out(keys, ids, sets)
 
     return signed
 
@@ -99,14 +100,10 @@ def set_maker(k: int):
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        """The sets of the texts that the fingerprints are those of: a doc_id may have other texts too."""
         schema, words = rows_as(SETS), WordHashes()
         for batch in batches:
-            own = [shingles(word_hashes(b.as_py(), words), k) for b in batch.column("body")]
-            prints = np.array([[x.sum() for x in print_terms(s)] for s in own], np.uint64).reshape(-1, 2).view(np.int64)
-            same = pa.array((prints[:, 0] == batch.column("fp1").to_numpy()) & (prints[:, 1] == batch.column("fp2").to_numpy()))
-            sets = pa.array([s.tobytes() for s in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bands"), sets], schema=schema).filter(same)
+            sets = pa.array([shingles(word_hashes(b.as_py(), words), k).tobytes() for b in batch.column("body")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("bands"), sets], schema=schema)
 
     return made
 
@@ -165,23 +162,23 @@ def verifier(threshold: float):
 
 
 def near_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, hashes: int = 100, chunk: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id, copy_id, n_shingles, n_links.
+    """One row for each document: doc_id, class_id, copy_id, n_shingles, n_links, and row_key (a hash of id and text).
 
     n_links is the number of other documents whose k-word shingle sets have a Jaccard similarity of ``threshold`` or more,
     copies among them. copy_id is the smallest doc_id with the same set, class_id the smallest doc_id that links lead to. Pairs
     are verified on the full sets; a pair at the threshold is found with a chance of ``recall`` at least.
 
     Words are lowered, and punctuation parts them. A text of fewer than k words is one shingle; one without words (null,
-    empty) has no links, and is a class of its own. Rows with the same doc_id and set count once; rows of the same doc_id with
-    other texts count as one document, whose set is that of any of them (the smallest fingerprint). Rows without an id come
-    back with nulls. Other columns are not read. An empty table gives no rows.
+    empty) has no links, and is a class of its own. Rows with the same id and text count once; different texts of one id, and
+    of rows without an id, are documents of their own. class_id and copy_id are null where no document of the class
+    has an id. Other columns are not read. An empty table gives no rows.
     """
     bands, rows = banding(threshold, recall, hashes)
-    body = texts(docs, id_col, text_col)
-    signed = body.filter("doc_id is not null").mapInArrow(signer(bands, rows, k), SIGNED)
-    signed = settle(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "n_shingles", "bands")).alias("s")).select("doc_id", "s.*"))
+    body = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "body"))
+    signed = body.mapInArrow(signer(bands, rows, k), SIGNED)
+    signed = settle(signed.dropDuplicates(["key"]))
     sets = ["fp1", "fp2", "n_shingles"]
-    classes = settle(signed.filter("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    classes = settle(signed.filter("n_shingles > 0").groupBy(*sets).agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     # buckets with more than one member; of those with the same members, the first
     buckets = (
         classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
@@ -195,8 +192,8 @@ def near_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     members = settle(
         classes.select("rep", "copies", F.posexplode("bands").alias("band", "bucket")).join(buckets, ["band", "bucket"]).withColumn("chunks", F.ceil(F.col("n") / chunk))
     )
-    needed = members.select("rep").distinct().join(classes.select("rep", "bands", "fp1", "fp2"), "rep")
-    full = body.join(needed, body.doc_id == needed.rep).select("doc_id", "bands", "fp1", "fp2", "body").mapInArrow(set_maker(k), SETS)
+    needed = members.select("rep").distinct().join(classes.select("rep", "bands"), "rep")
+    full = body.join(needed, body.key == needed.rep).select("rep", "bands", "body").mapInArrow(set_maker(k), SETS)
     full = full.dropDuplicates(["rep"])
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     pairs = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as i, greatest(c, chunk) as j))")
@@ -205,10 +202,13 @@ def near_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     found = settle(found.groupBy("bucket", "i", "j", "band").applyInPandas(verifier(threshold), FOUND))
     links = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
     near = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    known = classes.join(links, "rep", "left").join(near, F.col("rep") == F.col("node"), "left")
-    known = known.select(*sets, "rep", F.coalesce("component", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    result = signed.join(known, sets, "left").select(
-        "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), "n_shingles", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
-    unnamed = body.filter("doc_id is null").select(*(F.lit(None).cast("long").alias(c) for c in result.columns))
-    return result.unionByName(unnamed)
+    linked = settle(classes.select("rep", "low").join(near, F.col("rep") == F.col("node")).select("rep", "low", "component"))
+    lowest = linked.groupBy("component").agg(F.min("low").alias("lowest"))
+    linked = linked.join(lowest, "component").select("rep", F.col("lowest").alias("class"), F.lit(True).alias("linked"))
+    known = classes.join(links, "rep", "left").join(linked, "rep", "left")
+    known = known.select(*sets, "low", F.when(F.col("linked"), F.col("class")).otherwise(F.col("low")).alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    alone = F.col("n_shingles") == 0
+    return signed.join(known, sets, "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("low")).alias("copy_id"),
+        "n_shingles", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("row_key"),
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from finstrata.llm import queries as Q
+from finstrata.llm.components import components
 from finstrata.llm.decontamination import align, decontaminate
 from finstrata.llm.license_scan import NOTICES, PHRASES, scan_licenses
 from finstrata.llm.lm_scoring import END, lm_scores
@@ -189,10 +190,21 @@ def test_near_join(spark, documents):
 
 def test_near_join_of_one_id_with_several_texts(spark, documents):
     a, b = prose(random.Random(8), 50, 4000), prose(random.Random(9), 50, 4000)
-    got = near_join(documents(a, b, a, b, ids=[1, 1, 2, 3])).collect()
-    assert sorted(r.doc_id for r in got) == [1, 2, 3]
-    classes = {r.doc_id: r.class_id for r in got}
-    assert (classes[2] == 1) + (classes[3] == 1) == 1 and sum(r.n_links for r in got) == 2
+    near = b + " tail"
+    got = near_join(documents(a, b, a, near, near, a, "", None, a, ids=[1, 1, 2, 3, None, None, None, 4, 1])).collect()
+    none = lambda x: (x is None, x or 0)
+    assert sorted(((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in got), key=lambda x: [none(y) for y in x]) == [(1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 2), (3, 1, 3, 2), (4, 4, 4, 0), (None, 1, 1, 2), (None, 1, 3, 2), (None, None, None, 0)]
+    unnamed = near_join(documents(b, near, ids=[None, None])).collect()
+    assert [(r.class_id, r.n_links) for r in unnamed] == [(None, 1)] * 2
+
+
+def test_components_of_long_chains_and_a_star(spark):
+    chain, star = [(i, i + 1) for i in range(0, 300)], [(1000, i) for i in range(1001, 1400)]
+    edges = [*chain, *star, (5, 5), (2000, 2000), (1, 0)]
+    random.Random(2).shuffle(edges)
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1400)}, 2000: 2000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 6: decontamination
