@@ -56,7 +56,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def block(megabytes: int = 16) -> Column:
+def block(megabytes: int) -> Column:
     """Deals a task's rows (``_row``) to blocks; one block holds about so many MB of the files that are read."""
     number, unit = re.match(r"(\d+)\s*([kmgt]?)", SparkSession.active().conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
     parts = max(1, (int(number) << " kmgt".index(unit or " ") * 10) // (megabytes << 20))

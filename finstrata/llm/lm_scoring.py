@@ -88,7 +88,7 @@ class BlockTexts:
         self.tokens = np.concatenate(parts)
         self.trained = int(self.lengths[: int(trains.sum())].sum())
         #: How many tokens of its text stand before each token.
-        self.before = np.arange(len(self.tokens)) - np.repeat(self.ends - self.lengths, self.lengths)
+        self.before = (np.arange(len(self.tokens)) - np.repeat(self.ends - self.lengths, self.lengths)).astype(np.int32)
 
     def grams(self, n: int, where: np.ndarray | None = None) -> Level:
         """The n-grams by their last token's place; only those ``where`` says, if given."""
@@ -101,10 +101,10 @@ class BlockTexts:
             code = code * MIX + self.tokens[last - i]
         if n > 1:
             code = mixed(code + np.uint64(n)) & np.uint64(2**64 - 256)
-        distinct, inverse = np.unique(code, return_inverse=True)
-        at = np.full(len(self.tokens), -1, np.int64)
+        code, inverse = np.unique(code, return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int32)
         at[last] = inverse
-        return Level(distinct, np.bincount(inverse[: np.searchsorted(last, self.trained)], minlength=len(distinct)), at)
+        return Level(code, np.bincount(inverse[: np.searchsorted(last, self.trained)], minlength=len(code)), at)
 
 
 def sent(key: int, n: int, level: Level, bins: int, which: np.ndarray | None = None) -> Iterator[tuple]:
@@ -187,8 +187,7 @@ def log_probabilities(orders: list[Level], strength: tuple[float, ...], n_tokens
     count = orders[0].of(orders[0].counts, 0)
     base = (count + 1) / (n_tokens + n_words + 1)
     chance, arcs, fails = base, [], []
-    for level, k in zip(orders[1:], strength, strict=False):
-        lower = orders[len(arcs)]
+    for lower, level, k in zip(orders, orders[1:], strength, strict=False):
         context = np.concatenate([[0], lower.of(lower.counts, 0)[:-1]])  # the state's own count
         context[level.at < 0] = 0
         own = level.of(level.counts, 0)
@@ -236,7 +235,7 @@ def lm_scores(docs: DataFrame, trains: Column, order: int = 3, strength: tuple[f
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, F.coalesce(trains, F.lit(True)).alias("trains"), F.monotonically_increasing_id().alias("_row"))
     with Blocks(spark) as texts_, Blocks(spark) as kept:
-        rows = texts_.add(rows.withColumn("block", block()).drop("_row"))
+        rows = texts_.add(rows.withColumn("block", block(8)).drop("_row"))
         in_bins = lambda df: kept.add_dealt(df.groupBy("bin", "n").applyInArrow(totals, ANSWERS))
         together = lambda f, schema: rows.groupBy("block").cogroup(answers.select("block", "n", "grams", "counts").filter("block >= 0").groupBy("block")).applyInArrow(f, schema)
         answers = in_bins(rows.groupBy("block").applyInArrow(counter(kept.buckets, order), SENT))
