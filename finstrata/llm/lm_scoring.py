@@ -22,7 +22,7 @@ bits, those of longer n-grams 56: n-grams with equal hashes count as one. Nothin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -31,25 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import Blocks, block, rows_as, texts
+from finstrata.llm.exchange import ANSWERS, SENT, answered, as_table, sent, totals
 from finstrata.llm.shingles import MIX, WordHashes, mixed
 
 #: The token after a text's last word; no word is empty.
 END = b""
-SENT = "bin int, block long, n int, grams binary, counts binary"
-ANSWERS = "bin int, block long, n int, grams binary, counts binary, words long, tokens long"
 SCORES = "doc_id long, trains boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def by_place(values: np.ndarray) -> bytes:
-    """All first bytes, then all second ones, and so on: sorted or small numbers compress well so."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def from_places(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
 @dataclass
 class Level:
     """The n-grams of one order in a block: the distinct ones, sorted, their counts, and for each place which it holds (-1: none)."""
@@ -59,7 +48,7 @@ class Level:
     at: np.ndarray
     shared: np.ndarray | None = None
 
-    def settle(self, answers: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def settle(self, answers: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
         """Own counts become totals, where other blocks hold the n-gram too."""
         self.shared = np.zeros(len(self.grams), bool)
         for grams, totals in answers:
@@ -107,54 +96,20 @@ class BlockTexts:
         return Level(code, np.bincount(inverse[: np.searchsorted(last, self.trained)], minlength=len(code)), at)
 
 
-def sent(key: int, n: int, level: Level, bins: int, which: np.ndarray | None = None) -> Iterator[tuple]:
-    """A row for each bin; bins are ranges of hashes. which: of the n-grams, those to send."""
-    grams, counts = (level.grams, level.counts) if which is None else (level.grams[which], level.counts[which])
-    edges = np.searchsorted(grams, (np.arange(1, bins, dtype=np.float64) * (2.0**64 / bins)).astype(np.uint64))
-    bounds = [0, *edges.tolist(), len(grams)]
-    for b in range(bins):
-        lo, hi = bounds[b : b + 2]
-        if lo < hi:
-            yield b, key, n, by_place(grams[lo:hi]), by_place(counts[lo:hi].astype(np.uint32))
-
-
-def as_table(rows: list[tuple], schema: str):
-    import pyarrow as pa
-
-    kind = rows_as(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
-
-
 def counter(bins: int, order: int):
     def counted(key: tuple, docs: Any) -> Any:
         """The words and pairs of a block."""
-        block_, texts_ = key[0].as_py(), BlockTexts(docs, WordHashes())
-        return as_table([row for n in range(1, min(order, 2) + 1) for row in sent(block_, n, texts_.grams(n), bins)], SENT)
+        texts_, rows = BlockTexts(docs, WordHashes()), []
+        for n in range(1, min(order, 2) + 1):
+            level = texts_.grams(n)
+            rows += sent(key[0].as_py(), n, level.grams, level.counts, bins)
+        return as_table(rows, SENT)
 
     return counted
 
 
-def totals(key: tuple, held: Any) -> Any:
-    """A bin's n-grams of one order, added up: for each block, those that other blocks hold too; and how many there are in all."""
-    n = key[1].as_py()
-    grams = [from_places(x.as_py(), np.uint64) for x in held.column("grams")]
-    sizes = [len(g) for g in grams]
-    distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.concatenate([from_places(x.as_py(), np.uint32) for x in held.column("counts")])
-    total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
-    shared = np.bincount(inverse, minlength=len(distinct)) > 1
-    rows, first = [(key[0].as_py(), -1, n, None, None, int((total > 0).sum()), int(total.sum()))], 0
-    for of, own, size in zip(held.column("block").to_pylist(), grams, sizes, strict=True):
-        at = inverse[first : first + size]
-        if (take := shared[at]).any():
-            rows.append((key[0].as_py(), of, n, by_place(own[take]), by_place(total[at][take]), 0, 0))
-        first += size
-    return as_table(rows, ANSWERS)
-
-
 def settled(level: Level, n: int, answers: Any) -> Level:
-    mine = [i for i, m in enumerate(answers.column("n").to_pylist()) if m == n]
-    level.settle([(from_places(answers.column("grams")[i].as_py(), np.uint64), from_places(answers.column("counts")[i].as_py(), np.uint64)) for i in mine])
+    level.settle(answered(answers, n))
     return level
 
 
@@ -173,7 +128,8 @@ def sender(n: int, bins: int):
         below = settled(texts_.grams(n - 1), n - 1, answers)
         both = below.of(below.shared, False)
         both[1:] &= both[:-1]
-        return as_table(list(sent(key[0].as_py(), n, texts_.grams(n, both), bins)), SENT)
+        level = texts_.grams(n, both)
+        return as_table(sent(key[0].as_py(), n, level.grams, level.counts, bins), SENT)
 
     return found
 

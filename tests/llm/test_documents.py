@@ -146,16 +146,18 @@ def test_pool_stays_small_with_short_documents():
 # 7: substring dedup
 
 
-def test_substring_dedup(spark, documents):
-    texts = [*corpus(), "loop a b c " * 30]
-    got = {r.doc_id: r for r in substring_dedup(documents(*texts), window=35).collect()}
+@pytest.mark.parametrize(("window", "most", "files"), [(35, 1000, 3), (35, 1, 3), (12, 3, 2), (8, 1000, 1)])
+def test_substring_dedup(spark, documents, window, most, files):
+    texts = [*corpus(), "loop a b c " * 30, "loop a b c " * 30]
+    got = {r.doc_id: r for r in substring_dedup(documents(*texts).repartition(files), window=window, most=most).collect()}
     split = [(t or "").encode().split() for t in texts]
-    counts = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    counts = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
     for i, words in enumerate(split):
-        gone = {j for k in range(len(words) - 34) if counts[tuple(words[k : k + 35])] > 1 for j in range(k, k + 35)}
+        gone = {j for k in range(len(words) - window + 1) if counts[tuple(words[k : k + window])] > 1 for j in range(k, k + window)}
         assert (got[i].n_words, got[i].n_removed) == (len(words), len(gone))
         assert bytes(got[i].kept) == b" ".join(w for j, w in enumerate(words) if j not in gone)
     assert sum(r.n_removed for r in got.values()) > 400
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
 
 # 9: Jaccard join

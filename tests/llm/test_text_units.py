@@ -7,7 +7,8 @@ from finstrata.llm.decontamination import align
 from finstrata.llm.near_join import banding, overlaps
 from finstrata.llm.quality import calibrated, co_train, View
 from finstrata.llm.shingles import WordHashes, long_windows, mixed, shingles, windows
-from finstrata.llm.substring_dedup import anchors, shared_only
+from finstrata.llm.exchange import by_place, from_places, ranges
+from finstrata.llm.substring_dedup import anchors, suffix_tree
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 35, 36, 64])
@@ -28,18 +29,36 @@ def test_anchor_is_the_first_smallest():
         assert anchors(grams, span).tolist() == want
 
 
-def test_shared_only_across_batches():
+@pytest.mark.parametrize("least", [1, 3, 7])
+def test_suffix_tree_has_all_repeats(least):
+    rng = np.random.default_rng(least)
+    pieces = [b" ".join(b"abc"[x : x + 1] for x in rng.integers(0, 3, n)) for n in rng.integers(1, 30, 25)]
+    pieces = list(dict.fromkeys(pieces))
+    tree = suffix_tree(pieces, least)
+    words = [p.split() for p in pieces]
+    suffixes = [(*words[p][o:],) for p, o in zip(tree.piece.tolist(), tree.offset.tolist(), strict=True)]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for x in words for w in x))}  # words are in the order of their first places
+    assert suffixes == sorted(suffixes, key=lambda x: [number[w] for w in x]) and len(suffixes) == sum(max(0, len(w) - least + 1) for w in words)
+    follow = {}
+    for x in suffixes:
+        for n in range(least, len(x) + 1):
+            follow.setdefault(x[:n], []).append(x[n : n + 1])
+    # an internal node: a run of words that stands twice or more, not always with the same word behind it
+    want = {(len(run), len(after)) for run, after in follow.items() if len(after) > 1 and (len(set(after)) > 1 or after[0] == ())}
+    got = tree.deep_nodes()
+    assert {(d, end - first) for d, first, end in got} == want
+    assert all(len({x[:d] for x in suffixes[first:end]}) == 1 for d, first, end in got)
+    assert tree.repeated().tolist() == [len(follow[x[:least]]) > 1 for x in suffixes]
+
+
+def test_exchanged_arrays_come_back():
     import pyarrow as pa
 
-    rng = np.random.default_rng(2)
-    node = np.sort(rng.integers(0, 60, 100))
-    mark = 2 * np.arange(100) + (rng.random(100) < 0.1)
-    schema = pa.schema([("mark", pa.int64()), ("node", pa.int64())])
-    cuts = [0, 1, 2, 3, 10, 11, 50, 50, 99, 100]
-    batches = [pa.RecordBatch.from_arrays([pa.array(mark[a:b], pa.int64()), pa.array(node[a:b], pa.int64())], schema=schema) for a, b in zip(cuts, cuts[1:], strict=False)]
-    got = sorted(m for b in shared_only(iter(batches)) for m in b.column("mark").to_pylist())
-    want = sorted(int(m) for m, n in zip(mark, node, strict=True) if (node == n).sum() > 1 or m % 2)
-    assert got == want
+    values = np.sort(mixed(np.arange(1000, dtype=np.uint64)))
+    assert (from_places(pa.scalar(by_place(values)), np.uint64) == values).all()
+    parts = list(ranges(values, 7))
+    assert [lo for _, lo, _ in parts] + [1000] == [0] + [hi for _, _, hi in parts] and len(parts) == 7
+    assert list(ranges(values[:0], 7)) == []
 
 
 def test_banding_reaches_its_recall():
