@@ -5,14 +5,16 @@ for the least error but for the least harm to high inner products: the part of t
 more than the rest. A query's inner products with all codewords are a small table; scanning the codes adds up its
 entries. The best of the scan are ranked again by exact cosine.
 
-The codebooks are fitted on a bounded sample. All vectors are scanned, where they lie: queries come in blocks of a bounded
-size, each block is broadcast, and each task returns its best for each query, so what is shuffled doesn't grow with the
-number of candidates in a task.
+The codebooks are fitted on a bounded sample. All vectors are encoded once, in groups of a bounded size; queries come in blocks
+of a bounded size. Each pair of a block and a group is a task's work: it scans the group's codes for the block's queries,
+and returns for each query the best few, so many that the best of all groups together are among them. What is shuffled is codes,
+queries and candidates; vectors only for the candidates that are ranked exactly. Nothing but the sample passes the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import rows_as, settle
 
-NEAR = "query_id long, vec_id long, score double"
+NEAR, CODED = "query_id long, vec_id long, score double", "group int, ids binary, codes binary"
 CODES = 16
 
 
@@ -89,67 +91,80 @@ def best_of(values: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(values == least)[: most - len(above)]])
 
 
-def scanner(books_of, queries_of, k: int, rerank: int, eta: float, chunk: int = 8192):
-    def scanned(batches: Iterator) -> Iterator:
+def matrix(arrays) -> np.ndarray:
+    """The rows of a column of arrays of one length, as doubles."""
+    flat = np.asarray(arrays.combine_chunks().flatten() if hasattr(arrays, "combine_chunks") else arrays.flatten(), np.float64)
+    return flat.reshape(len(arrays), -1)
+
+
+def encoder(books_of, eta: float):
+    def encoded(key: tuple, vectors: Any) -> Any:
+        """A group's ids and codes, two codes in a byte, as one row. Ids rise, for ties."""
+        import pyarrow as pa
+
+        vectors = vectors.sort_by("vec_id")
+        x = matrix(vectors.column("v"))
+        codes = encode(x / np.sqrt((x**2).sum(1))[:, None], books_of.value, eta).astype(np.uint8)
+        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+        packed = codes[:, ::2] | codes[:, 1::2] << 4
+        ids = np.asarray(vectors.column("vec_id").to_numpy(), np.int64)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([ids.tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())], schema=rows_as(CODED))
+
+    return encoded
+
+
+def scanner(books_of, few: int):
+    def scanned(key: tuple, groups: Any, queries: Any) -> Any:
+        """For each query of a block the best of a group by the codes; ties to smaller ids."""
         import pyarrow as pa
 
-        schema, books, (query_ids, queries) = rows_as(NEAR), books_of.value, queries_of.value
-        dims = queries.shape[1]
-        unit = queries / np.sqrt((queries**2).sum(1))[:, None]
-        lengths = np.sqrt((queries**2).sum(1))
-        tables = np.einsum("qjw,jcw->qjc", subvectors(unit, books.shape[2]), books).astype(np.float32)
-        pending: list = []
-
-        def out():
-            ids = np.concatenate([x for x, _ in pending])
-            vectors = np.concatenate([x for _, x in pending])
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], vectors[order]
-            sizes = np.sqrt((vectors**2).sum(1))
-            codes = encode(vectors / sizes[:, None], books, eta)
-            found = []
-            for q in range(len(query_ids)):
-                table = tables[q]
-                approx = np.zeros(len(ids), np.float32)
-                for j in range(len(books)):
-                    approx += table[j][codes[:, j]]
-                approx[ids == query_ids[q]] = -np.inf
-                at = best_of(approx, ids, rerank)
-                at = at[approx[at] > -np.inf]
-                exact = (vectors[at] * queries[q]).sum(1) / (sizes[at] * lengths[q])
-                top = np.lexsort((ids[at], -exact))[:k]
-                found.append((np.full(len(top), query_ids[q]), ids[at][top], exact[top]))
-            pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-
-        held = 0
-        for batch in batches:
-            if batch.num_rows:
-                flat = np.asarray(batch.column("v").flatten(), np.float64)
-                pending.append((np.asarray(batch.column("vec_id")), flat.reshape(-1, dims)))
-                held += batch.num_rows
-            if held >= chunk:
-                yield out()
-                held = 0
-        if held:
-            yield out()
+        books, found = books_of.value, []
+        x, query_ids = matrix(queries.column("v")), queries.column("vec_id").to_numpy()
+        tables = np.einsum("qjw,jcw->qjc", subvectors(x / np.sqrt((x**2).sum(1))[:, None], books.shape[2]), books).astype(np.float32)
+        for ids, packed in zip(groups.column("ids"), groups.column("codes"), strict=True):
+            ids = np.frombuffer(ids.as_py(), np.int64)
+            pairs = np.frombuffer(packed.as_py(), np.uint8).reshape(len(ids), -1)
+            codes = np.ascontiguousarray(np.stack([pairs & 15, pairs >> 4], 2).reshape(len(ids), -1)[:, : len(books)].T)
+            for query, table in zip(query_ids, tables, strict=True):
+                near = np.zeros(len(ids), np.float32)
+                for entries, column in zip(table, codes, strict=True):
+                    near += entries[column]
+                near[ids == query] = -np.inf
+                at = best_of(near, ids, few)
+                at = at[near[at] > -np.inf]
+                found.append((np.full(len(at), query, np.int64), ids[at], near[at].astype(np.float64)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, rows_as(NEAR), strict=True)], schema=rows_as(NEAR))
 
     return scanned
 
 
+def exact(batches: Iterator) -> Iterator:
+    """The candidates' cosines, from the vectors themselves."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            q, v = matrix(batch.column("q")), matrix(batch.column("v"))
+            cosine = (q * v).sum(1) / (np.sqrt((q**2).sum(1)) * np.sqrt((v**2).sum(1)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(cosine)], schema=rows_as(NEAR))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part, as doubles."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    """(vec_id, v) of the vectors that take part; floats stay floats, all other numbers are doubles."""
+    column = F.col(f"`{vector_col}`")
+    floats = vectors.select(column).schema[0].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), (column if floats else column.cast("array<double>")).alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return rows.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int = 400, sample: int = 10_000, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int = 200, sample: int = 10_000, group: int = 16_384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest by cosine among all other rows: query_id, rank (from 1), vec_id, score (exact, double).
 
     Queries are the rows of which ``is_query`` (a function of the id's column) holds; a query isn't its own neighbour. Ties go to
-    the smaller vec_id; with fewer than k candidates, all are returned. ``rerank`` candidates of each 8192 are ranked exactly.
+    the smaller vec_id; with fewer than k candidates, all are returned. For each query the ``rerank`` best by the codes are ranked
+    exactly (of all groups; a group returns its share and 6 standard deviations, as vectors are dealt to groups by hash).
 
     Vectors that are null, empty, all zero, or hold a null or a non-finite component take no part, nor do rows without an id or
     with another number of dimensions than most have (of as common numbers, the smallest). Of rows with the same id
@@ -160,21 +175,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold:
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == common["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = settle(rows)
-    table = lambda df: (np.asarray(df.column("vec_id"), np.int64), np.asarray(df.column("v").combine_chunks().flatten(), np.float64).reshape(-1, common["n"]))
-    _, fitted = table(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow())
+    rows = settle(rows.filter(F.size("v") == common["n"]).groupBy("vec_id").agg(F.min("v").alias("v")))
+    fitted = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v"))
     eta = max(1.0, cost_of_parallel(common["n"], threshold))
     books = spark.sparkContext.broadcast(fit_books(fitted / np.sqrt((fitted**2).sum(1))[:, None], width, eta))
+
     queries = rows.filter(is_query(F.col("vec_id")))
-    n = queries.count()
-    found = None
-    for first in range(0, n, block):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // block))) == first // block).toArrow()
-        if part.num_rows:
-            near = rows.mapInArrow(scanner(books, spark.sparkContext.broadcast(table(part)), k, rerank, eta), NEAR)
-            found = near if found is None else found.union(near)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, n_queries = rows.count(), queries.count()
+    groups, blocks = -(-n // group), max(1, -(-n_queries // block))
+    share = rerank / groups
+    few = min(rerank, int(share + 6 * share**0.5 + 10))
+    dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int"))
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    coded = settle(dealt(rows, "group", groups).groupBy("group").applyInArrow(encoder(books, eta), CODED))
+    work = coded.withColumn("block", each(blocks)).groupBy("group", "block")
+    asked = dealt(queries, "block", blocks).withColumn("group", each(groups)).groupBy("group", "block")
+    found = work.cogroup(asked).applyInArrow(scanner(books, few), NEAR)
+    best = lambda most: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")) <= most
+    near = found.withColumn("best", best(rerank)).filter("best").select("query_id", "vec_id")
+    pairs = near.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    ranked = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, NEAR)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -50,9 +50,9 @@ def vectors(seed=0, n=600, dims=16):
 def test_nearest_against_brute_force(spark):
     x = vectors()
     rows = [(i, [float(v) for v in a], 1) for i, a in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [math.nan] * 16, 0), (903, [None] * 16, 0), (904, [1.0] * 3, 0), (905, [], 0), (950, [math.inf] + [0.0] * 15, 0), (None, [1.0] * 16, 0)]
+    rows += [(7, [9.0] * 16, 1), (900, None, 0), (901, [0.0] * 16, 0), (902, [math.nan] * 16, 0), (903, [None] * 16, 0), (904, [1.0] * 3, 0), (905, [], 0), (950, [math.inf] + [0.0] * 15, 0), (None, [1.0] * 16, 0)]
     frame = spark.createDataFrame([(*r, 9.0) for r in rows], "vec_id long, embedding array<double>, label int, score double")
-    got = nearest(frame, lambda c: c % 50 == 0, rerank=40, block=5).toPandas()
+    got = nearest(frame, lambda c: c % 50 == 0, rerank=60, block=5, group=150).toPandas()
     assert set(got.query_id) == set(range(0, 600, 50))
     sizes, right = np.sqrt((x**2).sum(1)), 0
     for q, mine in got.groupby("query_id"):
