@@ -1,8 +1,9 @@
 """How blocks of documents and bins of hashes exchange sorted hashes with counts.
 
 A block sends its distinct hashes to bins, which are ranges of hashes; a bin adds up what all blocks sent, and answers
-each block with the totals of the hashes that other blocks hold too. Whatever the hashes, a hash costs a block one entry
-however often the block holds it. Arrays travel as bytes by place, which compress well where numbers are sorted or small.
+each block with the totals of the hashes that other blocks hold too. A hash costs a block one entry, however often the
+block holds it. Arrays travel as bytes by place, which compress well where numbers are sorted or small. An answer holds no
+hashes: it is a bit for each hash in the order in which they were sent, and the totals; a block makes its hashes again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from finstrata.llm.common import rows_as
 
 SENT = "bin int, block long, n int, grams binary, counts binary"
-ANSWERS = "bin int, block long, n int, grams binary, counts binary, words long, tokens long"
+ANSWERS = "bin int, block long, n int, shared binary, counts binary, words long, tokens long"
 
 
 def by_place(values: np.ndarray) -> bytes:
@@ -57,16 +58,21 @@ def totals(key: tuple, held: Any) -> Any:
     total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
     shared = np.bincount(inverse, minlength=len(distinct)) > 1
     rows, first = [(key[0].as_py(), -1, n, None, None, int((total > 0).sum()), int(total.sum()))], 0
-    for of, hashes, size in zip(held.column("block").to_pylist(), own, sizes, strict=True):
+    for of, size in zip(held.column("block").to_pylist(), sizes, strict=True):
         at = inverse[first : first + size]
         if (take := shared[at]).any():
-            rows.append((key[0].as_py(), of, n, by_place(hashes[take]), by_place(total[at][take]), 0, 0))
+            rows.append((key[0].as_py(), of, n, np.packbits(take).tobytes(), by_place(total[at][take]), 0, 0))
         first += size
     return as_table(rows, ANSWERS)
 
 
-def answered(answers: Any, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, totals) of a block's answers of kind ``n``."""
-    for i, kind in enumerate(answers.column("n").to_pylist()):
-        if kind == n:
-            yield from_places(answers.column("grams")[i], np.uint64), from_places(answers.column("counts")[i], np.uint64)
+def settle_totals(hashes: np.ndarray, counts: np.ndarray, answers: Any, n: int, bins: int) -> np.ndarray:
+    """Makes totals of a block's own counts; which of its hashes, those that it sent as kind ``n``, other blocks hold too."""
+    shared = np.zeros(len(hashes), bool)
+    rows = {b: i for i, (b, kind) in enumerate(zip(answers.column("bin").to_pylist(), answers.column("n").to_pylist(), strict=True)) if kind == n}
+    for b, lo, hi in ranges(hashes, bins):
+        if (i := rows.get(b)) is not None:
+            mine = np.unpackbits(np.frombuffer(answers.column("shared")[i].as_py(), np.uint8), count=hi - lo).astype(bool)
+            shared[lo:hi] = mine
+            counts[lo:hi][mine] = from_places(answers.column("counts")[i], np.uint64)
+    return shared

@@ -16,13 +16,12 @@ The whole model fits nowhere, so each block of texts (some MB) gets the part tha
   word less within it: otherwise no other block can hold it.
 * A last pass builds each block's automaton and walks its texts.
 
-What is exchanged is sorted hashes, as bytes by place, which compress: some 5 bytes an n-gram. Hashes of words have 64
+What is sent is sorted hashes, as bytes by place, which compress: some 6 bytes an n-gram. Hashes of words have 64
 bits, those of longer n-grams 56: n-grams with equal hashes count as one. Nothing is cut, and nothing grows on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import Blocks, block, rows_as, texts
-from finstrata.llm.exchange import ANSWERS, SENT, answered, as_table, sent, totals
+from finstrata.llm.exchange import ANSWERS, SENT, as_table, sent, settle_totals, totals
 from finstrata.llm.shingles import MIX, WordHashes, mixed
 
 #: The token after a text's last word; no word is empty.
@@ -46,15 +45,25 @@ class Level:
     grams: np.ndarray
     counts: np.ndarray
     at: np.ndarray
-    shared: np.ndarray | None = None
-
-    def settle(self, answers: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Own counts become totals, where other blocks hold the n-gram too."""
+    shared: np.ndarray | None = None  # which of them other blocks hold too
+
+    def settle(self, n: int, answers: Any, bins: int, sent: np.ndarray | None = None) -> None:
+        """Own counts become totals. sent: at which places the n-grams stand that were sent; all, if not given."""
+        if sent is None:
+            self.shared = settle_totals(self.grams, self.counts, answers, n, bins)
+            return
+        which = np.zeros(len(self.grams), bool)
+        which[self.at[sent & (self.at >= 0)]] = True
+        counts = self.counts[which]
         self.shared = np.zeros(len(self.grams), bool)
-        for grams, totals in answers:
-            at = np.searchsorted(self.grams, grams)
-            self.counts[at] = totals
-            self.shared[at] = True
+        self.shared[which] = settle_totals(self.grams[which], counts, answers, n, bins)
+        self.counts[which] = counts
+
+    def both(self) -> np.ndarray:
+        """Places where two n-grams end, at the place and before it, which other blocks hold too."""
+        held = self.of(self.shared, False)
+        held[1:] &= held[:-1]
+        return held
 
     def of(self, values: np.ndarray, none: Any) -> np.ndarray:
         """By place."""
@@ -108,15 +117,14 @@ def counter(bins: int, order: int):
     return counted
 
 
-def settled(level: Level, n: int, answers: Any) -> Level:
-    level.settle(answered(answers, n))
-    return level
-
-
-def levels(texts_: BlockTexts, answers: Any, order: int) -> Iterator[Level]:
-    """The block's n-grams by order, with their totals; from 3 on, only n-grams that another block may hold have been sent."""
+def levels(texts_: BlockTexts, answers: Any, order: int, bins: int) -> list[Level]:
+    """The block's n-grams by order, with their totals; from 3 on, only n-grams that another block may hold were sent."""
+    out: list[Level] = []
     for n in range(1, order + 1):
-        yield settled(texts_.grams(n), n, answers)
+        level = texts_.grams(n)
+        level.settle(n, answers, bins, out[-1].both() if n > 2 else None)
+        out.append(level)
+    return out
 
 
 def sender(n: int, bins: int):
@@ -125,10 +133,12 @@ def sender(n: int, bins: int):
         if not len(docs) or not len(answers):
             return as_table([], SENT)
         texts_ = BlockTexts(docs, WordHashes())
-        below = settled(texts_.grams(n - 1), n - 1, answers)
-        both = below.of(below.shared, False)
-        both[1:] &= both[:-1]
-        level = texts_.grams(n, both)
+        if n > 3:
+            below = levels(texts_, answers, n - 1, bins)[-1]
+        else:
+            below = texts_.grams(2)
+            below.settle(2, answers, bins)
+        level = texts_.grams(n, below.both())
         return as_table(sent(key[0].as_py(), n, level.grams, level.counts, bins), SENT)
 
     return found
@@ -161,12 +171,12 @@ def log_probabilities(orders: list[Level], strength: tuple[float, ...], n_tokens
     return count, base, walked
 
 
-def scorer(order: int, strength: tuple[float, ...], n_tokens: int, n_words: int):
+def scorer(order: int, strength: tuple[float, ...], n_tokens: int, n_words: int, bins: int):
     def scored(key: tuple, docs: Any, answers: Any) -> Any:
         if not len(docs):
             return as_table([], SCORES)
         texts_ = BlockTexts(docs, WordHashes())
-        count, base, walked = log_probabilities(list(levels(texts_, answers, order)), strength, n_tokens, n_words)
+        count, base, walked = log_probabilities(levels(texts_, answers, order, bins), strength, n_tokens, n_words)
         first = texts_.ends - texts_.lengths
         known, base, walked = (np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base, walked))
         taken = docs.take(texts_.order)
@@ -193,10 +203,10 @@ def lm_scores(docs: DataFrame, trains: Column, order: int = 3, strength: tuple[f
     with Blocks(spark) as texts_, Blocks(spark) as kept:
         rows = texts_.add(rows.withColumn("block", block(8)).drop("_row"))
         in_bins = lambda df: kept.add_dealt(df.groupBy("bin", "n").applyInArrow(totals, ANSWERS))
-        together = lambda f, schema: rows.groupBy("block").cogroup(answers.select("block", "n", "grams", "counts").filter("block >= 0").groupBy("block")).applyInArrow(f, schema)
+        together = lambda f, schema: rows.groupBy("block").cogroup(answers.select("block", "bin", "n", "shared", "counts").filter("block >= 0").groupBy("block")).applyInArrow(f, schema)
         answers = in_bins(rows.groupBy("block").applyInArrow(counter(kept.buckets, order), SENT))
         n_words, n_tokens = answers.filter("block = -1 and n = 1").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         for n in range(3, order + 1):
             answers = in_bins(together(sender(n, kept.buckets), SENT))
-        scores = together(scorer(order, strength, n_tokens, n_words), SCORES)
+        scores = together(scorer(order, strength, n_tokens, n_words, kept.buckets), SCORES)
     return scores.select("doc_id", "trains", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

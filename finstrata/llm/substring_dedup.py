@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import Blocks, block, carried, rows_as, texts
-from finstrata.llm.exchange import ANSWERS, SENT, answered, as_table, by_place, from_places, ranges, sent, totals
+from finstrata.llm.exchange import ANSWERS, SENT, as_table, by_place, from_places, ranges, sent, settle_totals, totals
 from finstrata.llm.shingles import MIX, WordHashes, long_windows, mixed
 
 #: kind 0: pieces, and their texts (a line each, words parted by spaces). kind 1: windows of frequent anchors, and their second hashes.
@@ -115,8 +115,7 @@ def piece_finder(window: int, prefix: int, bins: int, most: int):
         hashes = of.grams[of.anchor]
         places = np.unique(of.anchor)
         distinct, counts = np.unique(of.grams[places], return_counts=True)
-        for shared, total in answered(answers, 0):
-            counts[np.searchsorted(distinct, shared)] = total
+        settle_totals(distinct, counts, answers, 0, bins)
         often = counts[np.searchsorted(distinct, hashes)] if len(distinct) else np.zeros(0, np.int64)
         keys, runs = of.keys()
         rows = []
@@ -319,7 +318,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, most: in
     with Blocks(docs.sparkSession) as kept:
         rows, bins = kept.add(rows.withColumn("block", block(8))), kept.buckets
         bodies = rows.select("block", "body").groupBy("block")
-        seen = bodies.applyInArrow(anchor_finder(window, prefix, bins), SENT).groupBy("bin", "n").applyInArrow(totals, ANSWERS).filter("block >= 0").select("block", "n", "grams", "counts")
+        seen = bodies.applyInArrow(anchor_finder(window, prefix, bins), SENT).groupBy("bin", "n").applyInArrow(totals, ANSWERS).filter("block >= 0").select("block", "bin", "n", "shared", "counts")
         pieces = bodies.cogroup(seen.groupBy("block")).applyInArrow(piece_finder(window, prefix, bins, most), PIECES)
         found = pieces.groupBy("bin").applyInArrow(group_repeats(window), REPEATED)
         return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remover(window, prefix, one_space), f"{KEPT}, carried {kind}")
