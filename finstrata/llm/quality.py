@@ -1,12 +1,14 @@
 """Quality classifier by co-training (operator 1).
 
 Two classifiers see two views of a document: its text (words, their beginnings, and the text's style) and its metadata
-(source, language, length). Both start from the labelled rows. In each round each of them labels the unlabelled rows that it is
-sure of, for the other one to learn from. At last each view is calibrated on labelled rows that it didn't learn from, the
-calibrated views are combined, and all documents are scored.
-
-The models are fitted on the driver with bounded samples of rows (``most_labelled``, ``most_unlabelled``: those with the
-smallest hashes of their ids); only the samples' features come to the driver. Scoring reads whole texts of all rows.
+(source, language, length). Both start from the labelled rows. In each round both score all unlabelled rows, and each labels those
+that it is sure of for the other one to learn from. At last each view is calibrated on labelled rows that it didn't learn
+from, the calibrated views are combined on others, and all documents are scored.
+
+The models are fitted on the driver, on bounded samples of labelled rows: at most ``most_labelled`` rows with labels, and
+in each round at most ``per_round`` more rows of each class and view that the other view has labelled. Of all rows that a view
+is sure of, those with the smallest hashes of their ids are taken, a uniform sample. Only these rows' features come
+to the driver; whole texts of all rows are scored in the tasks that read them.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import carried, rows_as, texts
@@ -26,7 +29,8 @@ BITS = 18
 #: Style features follow the hashed ones.
 STYLE = ("bias", "capitals", "digits", "symbols", "bars", "exclamations", "distinct", "word length", "few words", "repeated word")
 SIZE = (1 << BITS) + len(STYLE)
-FEATURES = "doc_id long, part string, items array<int>, style array<double>, meta array<int>"
+FEATURES = "doc_id long, view int, label int, items array<int>, style array<double>, meta array<int>"
+SURE = "doc_id long, view int, label int"
 SCORES = "doc_id long, p_text double, p_meta double, score double, keep boolean"
 META = 1 << 12
 #: Characters that prose has few of, and the ends of words that don't count.
@@ -52,7 +56,7 @@ def style(body: bytes, words: list[bytes], distinct: set[bytes]) -> list[float]:
     """The style features, each between 0 and about 1."""
     n, w = max(len(body), 1), max(len(words), 1)
     share = lambda chars: 1 - len(body.translate(None, chars)) / n
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
+    again = sum(map(eq, words, words[1:])) / w
     return [1.0, 2 * share(CAPITALS), 3 * share(DIGITS), 6 * share(SYMBOLS), 20 * body.count(b"|") / n, 20 * body.count(b"!") / n, len(distinct) / w, (n / w) / 10, 1.0 if len(words) < 8 else 0.0, again]
 
 
@@ -79,9 +83,9 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def margins(weights: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def margins(weights: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int = 0) -> np.ndarray:
     items, values, of = rows
-    return np.bincount(of, weights[items] * values)
+    return np.bincount(of, weights[items] * values, n)
 
 
 def fit(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, importance: np.ndarray, size: int, steps: int = 60, l2: float = 2e-4) -> np.ndarray:
@@ -144,6 +148,9 @@ class View:
     ends: np.ndarray
     dense: np.ndarray | None
 
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
     def rows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The given rows as items, values, and the (new) row that each belongs to."""
         first, sizes = self.ends[of], self.ends[of + 1] - self.ends[of]
@@ -165,39 +172,45 @@ def appended(a: tuple, b: tuple, n: int) -> tuple:
     return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2] + np.int32(n)])
 
 
-def co_train(views: tuple[View, View], y: np.ndarray, rounds: int, sure: float, per_round: int) -> tuple[Linear, Linear, np.ndarray]:
-    """Both views' calibrated classifiers, and weights to combine their log odds (text, meta, bias).
-
-    y: 1, 0, or -1 for an unlabelled row. A fourth of the labelled rows, every fourth, calibrates and combines.
-    """
-    known, unlabelled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = np.arange(len(known)) % 4 == 3
-    learn, check = known[~held], known[held]
-    if len(known) == 0 or y[learn].min() == y[learn].max():  # one class or none: its share is all there is to learn
-        odds = math.log((y[known].sum() + 1) / (len(known) - y[known].sum() + 1))
-        return Linear(np.zeros(SIZE), 0.0, odds), Linear(np.zeros(META), 0.0, odds), np.array([0.5, 0.5, 0.0])
-    sizes = [SIZE, META]
-    pseudo: list[dict[int, float]] = [{}, {}]  # for each view: unlabelled row -> the label that the other view gave it
-    spread = lambda of: min(1.0, len(learn) / max(len(of), 1))  # noqa: E731  pseudo-labels weigh no more than labels
-    learned, checked, pooled = ([v.rows(of) for v in views] for of in (learn, check, unlabelled))
-    models: list[Linear] = [Linear(np.zeros(n)) for n in sizes]
-    for turn in range(rounds + 1):
-        for k, view in enumerate(views):
-            extra = sorted(pseudo[k])
-            rows = appended(learned[k], view.rows(unlabelled[extra]), len(learn)) if extra else learned[k]
-            targets = np.concatenate([y[learn], [pseudo[k][i] for i in extra]])
-            weights = fit(rows, targets, np.concatenate([np.ones(len(learn)), np.full(len(extra), 0.5 * spread(extra))]), sizes[k])
-            models[k] = calibrated(weights, margins(weights, checked[k]), y[check])
-        if turn == rounds or not len(unlabelled):
-            break
-        for k in (0, 1):
-            p = sigmoid(models[k].log_odds(margins(models[k].weights, pooled[k])))
-            for label, certain in ((1.0, p), (0.0, 1 - p)):
-                order = np.lexsort((np.arange(len(p)), -certain))[:per_round]
-                pseudo[1 - k] |= {int(i): label for i in order if certain[i] >= sure}
-    odds = np.stack([m.log_odds(margins(m.weights, c)) for m, c in zip(models, checked, strict=True)] + [np.ones(len(check))], 1)
-    mix = logistic(odds, y[check], np.array([1.0, 0.5, 0.0]), 0.1)
-    return models[0], models[1], mix
+def one_class(y: np.ndarray) -> tuple[Linear, Linear]:
+    """With labels of one class or none, its share is all there is to learn."""
+    odds = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    return Linear(np.zeros(SIZE), 0.0, odds), Linear(np.zeros(META), 0.0, odds)
+
+
+class CoTraining:
+    """Fits both views' classifiers on labelled rows, of which every eighth calibrates them and another eighth combines them."""
+
+    def __init__(self, views: tuple[View, View], y: np.ndarray):
+        turn = np.arange(len(y)) % 8
+        learn, check, mix = (np.flatnonzero(x) for x in ((turn != 3) & (turn != 7), turn == 3, turn == 7))
+        self.y = tuple(y[of] for of in (learn, check, mix))
+        self.learned, self.checked, self.mixed = ([v.rows(of) for v in views] for of in (learn, check, mix))
+        self.trivial = one_class(y) if len(y) == 0 or self.y[0].min(initial=1) == self.y[0].max(initial=0) else None
+
+    def fit(self, pseudo: tuple[tuple[View, np.ndarray], tuple[View, np.ndarray]] | None = None) -> tuple[Linear, Linear]:
+        """pseudo: for each view, rows that the other one has labelled, and their labels; they weigh half, and no more than labels."""
+        if self.trivial:
+            return self.trivial
+        learn, check, _ = self.y
+        models = []
+        for k, size in enumerate((SIZE, META)):
+            rows, targets, weigh = self.learned[k], learn, np.ones(len(learn))
+            if pseudo is not None and len(pseudo[k][1]):
+                view, labels = pseudo[k]
+                rows, targets = appended(rows, view.rows(np.arange(len(view))), len(learn)), np.concatenate([learn, labels])
+                weigh = np.concatenate([weigh, np.full(len(labels), 0.5 * min(1.0, len(learn) / len(labels)))])
+            weights = fit(rows, targets, weigh, size)
+            models.append(calibrated(weights, margins(weights, self.checked[k], len(check)), check))
+        return models[0], models[1]
+
+    def combine(self, models: tuple[Linear, Linear]) -> np.ndarray:
+        """Weights of both views' log odds (text, meta, bias)."""
+        _, _, y = self.y
+        if self.trivial or not len(y):
+            return np.array([0.5, 0.5, 0.0])
+        odds = np.stack([m.log_odds(margins(m.weights, rows, len(y))) for m, rows in zip(models, self.mixed, strict=True)] + [np.ones(len(y))], 1)
+        return logistic(odds, y, np.array([1.0, 0.5, 0.0]), 0.1)
 
 
 def featured(batches: Iterator) -> Iterator:
@@ -206,14 +219,20 @@ def featured(batches: Iterator) -> Iterator:
     schema, items = rows_as(FEATURES), Items()
     for batch in batches:
         out = []
-        columns = [batch.column(c).to_pylist() for c in ("part", "source", "lang", "length")]
-        for body, part, source, lang, length in zip(batch.column("body"), *columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("source", "lang", "length")]
+        for body, source, lang, length in zip(batch.column("body"), *columns, strict=True):
             text = body.as_py()
             words = text.split()
             distinct = set(words)
-            out.append((part, sorted(x for w in distinct for x in items[w]), style(text, words, distinct), meta_items(source, lang, length)))
-        parts, hashed, dense, meta = zip(*out, strict=True) if out else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip((parts, hashed, dense, meta), list(schema)[1:], strict=True))], schema=schema)
+            out.append((sorted(x for w in distinct for x in items[w]), style(text, words, distinct), meta_items(source, lang, length)))
+        features = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, list(schema)[3:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "view", "label")), *features], schema=schema)
+
+
+def views_of(features) -> tuple[View, View]:
+    flat = lambda c: features.column(c).combine_chunks()
+    items, meta = ((np.asarray(x.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))]).astype(np.int64)) for x in map(flat, ("items", "meta")))
+    return View(*items, np.asarray(flat("style").flatten()).reshape(features.num_rows, len(STYLE))), View(*meta, None)
 
 
 class WordWeights(dict):
@@ -231,51 +250,86 @@ class WordWeights(dict):
         return value
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_unlabelled: int = 4000, rounds: int = 3, sure: float = 0.98, per_round: int = 400, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+class Scorer:
+    """Both views' log odds of a batch of rows."""
+
+    def __init__(self, text: Linear, meta: Linear):
+        self.text, self.meta = text, meta
+        self.words, self.dense, self.meta_weights = WordWeights(text.weights), text.weights[1 << BITS :].tolist(), meta.weights.tolist()
+
+    def __call__(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        weight, dense, meta_weights, a, b = self.words.__getitem__, self.dense, self.meta_weights, [], []
+        columns = [batch.column(c).to_pylist() for c in ("source", "lang", "length")]
+        for body, source, lang, size in zip(batch.column("body"), *columns, strict=True):
+            text = body.as_py()
+            tokens = text.split()
+            distinct = set(tokens)
+            a.append(scale(len(distinct)) * math.fsum(map(weight, distinct)) + sum(x * y for x, y in zip(style(text, tokens, distinct), dense, strict=True)))
+            b.append(sum(meta_weights[i] for i in meta_items(source, lang, size)))
+        return self.text.log_odds(np.array(a)), self.meta.log_odds(np.array(b))
+
+
+def sure_finder(fitted, least: float):
+    def found(batches: Iterator) -> Iterator:
+        """(doc_id, view, label): the rows that the other view is sure of, for the view to learn from."""
+        import pyarrow as pa
+
+        odds_of = Scorer(*fitted.value)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for view, odds in enumerate(reversed(odds_of(batch))):  # the text's view learns from the metadata's odds
+                at = np.flatnonzero(np.abs(odds) >= least)
+                labels = (odds[at] > 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array(labels)], schema=rows_as(SURE))
+
+    return found
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, rounds: int = 2, sure: float = 0.98, per_round: int = 800, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, p_text, p_meta, score (chance of being good), keep, and carried
     (a struct of the columns of ``docs`` that ``carry`` names).
 
     Good are documents labelled quality 1 and toxic 0; labels with a null are left out, and of repeated ones the worst
-    counts. Null texts are empty ones, null metadata is a value of its own; null ids are scored too. Without labels of both
-    classes, the score is the (smoothed) share of good ones. Repeated rows score alike. An empty table gives no rows.
+    counts. Null texts are empty ones, null metadata is a value of its own; rows without an id are scored, but not learned from. Without
+    labels of both classes, the score is the (smoothed) share of good ones. Repeated rows score alike; of rows with one id, any one
+    is learned from. Ties in choosing rows go to smaller ids. An empty table gives no rows.
     """
     spark = docs.sparkSession
     along, kind = carried(docs, carry)
     length = F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("length")
     rows = texts(docs, id_col, text_col, F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), length, along)
-    order = [F.xxhash64("doc_id"), "doc_id"]
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).dropna().groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
-    ids = rows.select("doc_id").filter("doc_id is not null")
-    known = marks.join(ids.distinct(), "doc_id", "left_semi").orderBy(*order).limit(most_labelled).select("doc_id", F.col("good").cast("string").alias("part"))
-    pool = ids.join(marks, "doc_id", "left_anti").distinct().orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit("u").alias("part"))
-    wanted = known.union(pool)  # most_labelled + most_unlabelled rows at most
-    sample = rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "body", "source", "lang", "length").mapInArrow(featured, FEATURES)
-    found = sample.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    y = np.array([-1.0 if p == "u" else float(p) for p in found.column("part").to_pylist()])
-    flat = lambda c: found.column(c).combine_chunks()
-    items, meta_of = ((np.asarray(x.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))]).astype(np.int64)) for x in map(flat, ("items", "meta")))
-    text, meta, mix = co_train((View(*items, np.asarray(flat("style").flatten()).reshape(len(y), len(STYLE))), View(*meta_of, None)), y, rounds, sure, per_round)
-    fitted = spark.sparkContext.broadcast((text, meta, mix))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).dropna().groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("label"))
+
+    def features(wanted: DataFrame):
+        """Of rows (doc_id, view, label), so few that they can be broadcast: their features, on the driver."""
+        mine = rows.drop("carried").join(F.broadcast(wanted), "doc_id").mapInArrow(featured, FEATURES)
+        return mine.dropDuplicates(["doc_id", "view"]).toArrow().sort_by([("doc_id", "ascending"), ("view", "ascending")])
+
+    ids = rows.select("doc_id").distinct()
+    known = marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    sample = features(known.select("doc_id", F.lit(-1).alias("view"), "label"))
+    training = CoTraining(views_of(sample), np.asarray(sample.column("label"), float))
+    models = training.fit()
+    order = Window.partitionBy("view", "label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    for turn in range(0 if training.trivial else rounds):
+        found = rows.filter("doc_id is not null").mapInArrow(sure_finder(spark.sparkContext.broadcast(models), math.log(sure / (1 - sure))), SURE)
+        found = found.join(marks.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "view"])
+        chosen = features(found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_round * (turn + 1)).select("doc_id", "view", "label"))
+        of = np.asarray(chosen.column("view"))
+        parts = [chosen.filter(of == k) for k in (0, 1)]
+        models = training.fit(tuple((views_of(p)[k], np.asarray(p.column("label"), float)) for k, p in enumerate(parts)))
+    mix = training.combine(models)
+    fitted = spark.sparkContext.broadcast(models)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        by_text, by_meta, weights = fitted.value
-        words_of, dense = WordWeights(by_text.weights), by_text.weights[1 << BITS :].tolist()
-        weight, meta_weights = words_of.__getitem__, by_meta.weights.tolist()
+        odds_of = Scorer(*fitted.value)
         for batch in batches:
-            a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("source", "lang", "length")]
-            for body, source, lang, size in zip(batch.column("body"), *columns, strict=True):
-                text = body.as_py()
-                tokens = text.split()
-                distinct = set(tokens)
-                a.append(scale(len(distinct)) * math.fsum(map(weight, distinct)) + sum(x * y for x, y in zip(style(text, tokens, distinct), dense, strict=True)))
-                b.append(sum(meta_weights[i] for i in meta_items(source, lang, size)))
-            odds = by_text.log_odds(np.array(a)), by_meta.log_odds(np.array(b))
-            score = sigmoid(weights[0] * odds[0] + weights[1] * odds[1] + weights[2])
-            columns = [batch.column("doc_id"), *map(pa.array, (sigmoid(odds[0]), sigmoid(odds[1]), score, score >= threshold)), batch.column("carried")]
+            by_text, by_meta = odds_of(batch)
+            score = sigmoid(mix[0] * by_text + mix[1] * by_meta + mix[2])
+            columns = [batch.column("doc_id"), *map(pa.array, (sigmoid(by_text), sigmoid(by_meta), score, score >= threshold)), batch.column("carried")]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p_text", "p_meta", "score", "keep", "carried"])
 
     return rows.mapInArrow(scored, f"{SCORES}, carried {kind}")

@@ -5,7 +5,7 @@ import pytest
 
 from finstrata.llm.decontamination import align
 from finstrata.llm.near_join import banding, overlaps
-from finstrata.llm.quality import calibrated, co_train, View
+from finstrata.llm.quality import STYLE, CoTraining, View, calibrated, margins
 from finstrata.llm.shingles import WordHashes, long_windows, mixed, shingles, windows
 from finstrata.llm.exchange import by_place, from_places, ranges
 from finstrata.llm.substring_dedup import anchors, suffix_tree
@@ -98,16 +98,29 @@ def test_shingles_of_short_texts():
 
 def test_co_training_helps_the_view_that_knows_less():
     rng = np.random.default_rng(5)
-    n = 600
+    n, known = 2000, 120
     truth = rng.integers(0, 2, n).astype(float)
-    y = np.where(np.arange(n) < 80, truth, -1.0)
-    ends = np.arange(n + 1) * 3
-    items = np.concatenate([[0, 10 + int(t), 20 + rng.integers(0, 30)] for t in truth]).astype(np.int32)
-    text = View(np.where(items == 0, 1, items), ends, np.ones((n, 10)) * 0.1)
-    noisy = np.where(rng.random(n) < 0.25, 1 - truth, truth)
-    meta = View(np.concatenate([[0, 1 + int(m)] for m in noisy]).astype(np.int32), np.arange(n + 1) * 2, None)
-    a, b, mix = co_train((text, meta), y, 3, 0.9, 100)
-    assert mix[0] > 0 and a.weights[11] > a.weights[10] and b.weights[2] > b.weights[1]
+    # the text has one of 400 words that tell its class, most of which no label shows; the metadata is right 9 times of 10
+    word = np.where(truth > 0, rng.integers(100, 500, n), rng.integers(500, 900, n)).astype(np.int32)
+    items = np.stack([np.full(n, 1), word, rng.integers(900, 2000, n)], 1).astype(np.int32).reshape(-1)
+    text = View(items, np.arange(n + 1) * 3, np.ones((n, len(STYLE))) * 0.1)
+    seen = np.where(rng.random(n) < 0.1, 1 - truth, truth)
+    meta = View(np.stack([np.zeros(n), 1 + seen], 1).astype(np.int32).reshape(-1), np.arange(n + 1) * 2, None)
+    part = lambda v, of: View(np.concatenate([v.items[v.ends[i] : v.ends[i + 1]] for i in of]), np.concatenate([[0], np.cumsum(np.diff(v.ends)[of])]), None if v.dense is None else v.dense[of])
+    first, rest = np.arange(known), np.arange(known, n - 500)
+    training = CoTraining((part(text, first), part(meta, first)), truth[first])
+    before = training.fit()
+    test = np.arange(n - 500, n)
+    right = lambda m: ((m.log_odds(margins(m.weights, part(text, test).rows(np.arange(500)), 500)) > 0) == (truth[test] > 0)).mean()
+    odds = before[1].log_odds(margins(before[1].weights, part(meta, rest).rows(np.arange(len(rest))), len(rest)))
+    after = training.fit(((part(text, rest), (odds > 0).astype(float)), (meta, np.zeros(0))))
+    assert right(after[0]) > right(before[0]) + 0.05
+    assert training.combine(after).shape == (3,)
+
+
+def test_labels_of_one_class_or_none_give_their_share():
+    none = View(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, len(STYLE))))
+    assert CoTraining((none, View(none.items, none.ends, None)), np.zeros(0)).fit()[0].shift == 0
 
 
 def test_calibration_of_one_class_changes_nothing():
