@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules (operator 5).
 
-A page is cut into blocks at block-level tags. The first pass decides the clear ones: what stands in menus, headers, footers,
-forms, adverts, comments and the like is boilerplate, so are blocks of links; long blocks with the stop words of running
-text are text, so is any long block of an article. The second pass gives short blocks, which say little, the label of the
-nearest decided block.
+A page is cut into blocks at block-level tags. The first pass decides the clear ones by length, link density and the density of
+stop words: blocks of links are boilerplate, long blocks of running text are text. Tags that say what they hold (nav, form,
+footer ...) and containers that are named for it (class "ad") are boilerplate; a name that only has such a word in it
+("cookie-notice", "related-work") is a hint, which counts unless what is so named is most of the page's running text. The second
+pass gives short blocks, which say little, the label of the nearest decided block.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BLOCKS = frozenset(
 )
 #: These end by themselves where the next block begins.
 LEAVES = frozenset("p li dd dt td th tr option hr h1 h2 h3 h4 h5 h6 caption legend summary figcaption".split())
-# Words in class, id or role attributes that name boilerplate.
+# Names in class, id or role attributes that mean boilerplate.
 NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share captcha comment comments
     commentlist consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menubar modal
@@ -49,46 +50,54 @@ NAMES = frozenset(
     promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored
     subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
+# Names of what holds the article, and words that make a name say that something is there or not, not what it is.
+CONTENT = frozenset("article body content entry main post prose story text".split())
+STATES = frozenset("has is no non not with without hide show".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<dropped>" + "|".join(DROPPED) + r")\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=dropped)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<dropped>" + "|".join(DROPPED) + r")\b(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=dropped)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORDS, SPACE = re.compile(r"[^\W\d_]+"), re.compile(r"\s+")
+WORDS, SPACE, ENDS = re.compile(r"[^\W\d_]+"), re.compile(r"\s+"), re.compile(r"[.!?…。！？](?=\W|$)")
 
 
-def named_boilerplate(attrs: str) -> bool:
+def named(attrs: str) -> tuple[bool, bool]:
+    """Whether a container is named boilerplate, and whether a name only has such a word in it."""
+    hint = content = False
     for match in NAMED.finditer(attrs):
-        value = (match[1] or match[2] or match[3] or "").lower()
-        if not NAMES.isdisjoint(value.split()) or not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        for name in (match[1] or match[2] or match[3] or "").lower().split():
+            if name in NAMES:
+                return True, False
+            parts = re.split(r"[_-]+", name)
+            content |= name in CONTENT
+            hint |= len(parts) > 1 and parts[0] not in STATES and not NAMES.isdisjoint(parts)
+    return False, hint and not content
 
 
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "linked", "text")
+    __slots__ = ("article", "boilerplate", "heading", "hinted", "linked", "text")
 
-    def __init__(self, text: str, linked: int, boilerplate: bool, article: bool, heading: bool):
-        self.text, self.linked, self.boilerplate, self.article, self.heading = text, linked, boilerplate, article, heading
+    def __init__(self, text: str, linked: int, boilerplate: bool, hinted: bool, article: bool, heading: bool):
+        self.text, self.linked, self.boilerplate, self.hinted, self.article, self.heading = text, linked, boilerplate, hinted, article, heading
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text in them: references decoded, white space as single spaces."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, boilerplate, article
-    leaf = heading = False  # of the block that is open: named as boilerplate; a heading
+    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, boilerplate, article, hinted
+    leaf, heading = (False, False), False  # of the block that is open: named as boilerplate, hinted; a heading
     linked, anchor, breaks, last = 0, 0, 0, 0
 
     def end() -> None:
         nonlocal linked, leaf, heading
         if parts:
             if text := SPACE.sub(" ", html.unescape("".join(parts))).strip():
-                out.append(Block(text, linked, leaf or any(x[1] for x in stack), any(x[2] for x in stack), heading))
+                out.append(Block(text, linked, leaf[0] or any(x[1] for x in stack), leaf[1] or any(x[3] for x in stack), any(x[2] for x in stack), heading))
             parts.clear()
-        linked, leaf, heading = 0, False, False
+        linked, leaf, heading = 0, (False, False), False
 
     for match in TAG.finditer(page):
         if match.start() > last:
@@ -117,23 +126,31 @@ def blocks(page: str) -> list[Block]:
                     while stack.pop()[0] != name:
                         pass
                 continue
-            marked = named_boilerplate(match["attrs"]) if match["attrs"] else False
+            marked, hinted = named(match["attrs"]) if match["attrs"] else (False, False)
             if name in LEAVES:
-                leaf, heading = marked, len(name) == 2 and name[0] == "h" and name != "hr"
+                leaf, heading = (marked, hinted), len(name) == 2 and name[0] == "h" and name != "hr"
                 continue
             if name == "body":
                 stack.clear()  # a head that was never closed
             article = name in ("article", "main") or any(x[2] for x in stack)
-            marked = marked and name not in ("body", "html", "article", "main")
-            stack.append((name, name in BOILERPLATE or marked or name == "header" and not article, article))
+            named_so = name not in ("body", "html", "article", "main")
+            stack.append((name, name in BOILERPLATE or marked and named_so or name == "header" and not article, article, hinted and named_so))
     if last < len(page):
         parts.append(page[last:])
     end()
     return out
 
 
+def stop_words(text: str) -> float | None:
+    """Their share of the words; None where most words are in a script that these languages don't use."""
+    words = WORDS.findall(text.lower())
+    if 2 * sum(w[0] < "\u0250" for w in words) <= len(words):
+        return None
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
 def first_pass(block: Block, long: int, stop_share: float, link_share: float) -> bool | None:
-    """Whether a block is text; None if its words don't say."""
+    """Whether a block is text; None if it doesn't say."""
     if block.boilerplate:
         return False
     size = len(block.text)
@@ -141,16 +158,22 @@ def first_pass(block: Block, long: int, stop_share: float, link_share: float) ->
         return False if not block.article or size < long else None
     if size < long:
         return None
-    if block.article:
+    share = stop_words(block.text)
+    if block.article:  # its author's words, whatever they are, unless many of them are links and few hold others together
+        return True if share is None or share >= stop_share or 2 * block.linked <= link_share * size else None
+    if share is None or share >= stop_share:
         return True
-    words = WORDS.findall(block.text.lower())
-    return bool(words) and sum(w in STOP_WORDS for w in words) >= stop_share * len(words)
+    return None if len(ENDS.findall(block.text)) > 1 else False  # sentences, but in what language?
 
 
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Labels for the undecided blocks: the nearest decided one's. Of two as near, a heading takes the one it heads, any other
-    block is text only if both are. Where nothing is decided, what stands in an article is text."""
+    block is text only if both are. Where nothing is decided, what stands in an article is text; where no block is text, those
+    that end as sentences do are, and the headings above them."""
     n = len(found)
+    if not any(labels) and not any(b.article and not b.boilerplate for b in found):
+        ended = [x is None and ENDS.search(b.text, max(0, len(b.text) - 2)) is not None for b, x in zip(found, labels, strict=True)]
+        return [e or (b.heading and x is None and any(ended[i + 1 :])) for i, (e, b, x) in enumerate(zip(ended, found, labels, strict=True))]
     before, after, near = [None] * n, [None] * n, None
     for i in range(n):
         near = i if labels[i] is not None and not found[i].boilerplate else near
@@ -184,6 +207,10 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 def main_text(page: str, long: int = 70, stop_share: float = 0.25, link_share: float = 0.5) -> tuple[str, int, int]:
     """(text, blocks, blocks kept) of a page."""
     found = blocks(page)
+    prose = [0 if b.boilerplate else len(b.text) - min(b.linked, len(b.text)) for b in found]
+    if 2 * sum(n for n, b in zip(prose, found, strict=True) if b.hinted) <= sum(prose):
+        for b in found:
+            b.boilerplate |= b.hinted
     kept = [b.text for b, is_text in zip(found, second_pass(found, [first_pass(b, long, stop_share, link_share) for b in found]), strict=True) if is_text]
     return "\n\n".join(kept), len(found), len(kept)
 

@@ -9,6 +9,18 @@ from finstrata.llm.html_text import extract_text, main_text
 LONG = "This is the long text of an article that has many words in it, and it goes on for a while so that it is clear."
 
 
+CHINESE = "今天的天气很好，我们一起去公园散步，看到很多人在那里运动，还有孩子们在草地上玩耍，大家都觉得非常开心。" * 2
+
+
+@pytest.mark.parametrize("part", ["<p class=\"a", "<a href='", "<", "<!-", "<div ", "<script>", "</", "a&amp;", "<p><b><i>"])
+def test_long_broken_pages_take_no_long(part):
+    import time
+
+    began = time.perf_counter()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -25,6 +37,14 @@ LONG = "This is the long text of an article that has many words in it, and it go
         (f"<p>{LONG}</p><ul><li><a href=x>one link here</a></li><li><a href=y>two links</a></li></ul>", LONG),
         ("just text", ""),
         (LONG, LONG),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class='post share-buttons-on'><p>{LONG}</p></div>", LONG),
+        (f"<div class='entry no-comments wide'><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div>", LONG),
+        (f"<div id='related-work'><p>{LONG}</p><p>Short.</p></div>", f"{LONG}\n\nShort."),
+        (f"<p>{LONG}</p><div id='related-work'><p>{LONG[:80]}</p></div>", LONG),
+        (f"<nav><a href=x>一</a></nav><p>{CHINESE}</p><div class=ad>{CHINESE}</div>", CHINESE),
+        ("<h2>Notes</h2><p>It rains.</p><p>It stops.</p><ul><li><a href=x>Home.</a></li></ul>", "Notes\n\nIt rains.\n\nIt stops."),
+        (f"<article><p>{LONG}</p><ul><li><a href=x>{LONG[:60]}</a></li></ul><p>%%% $$$ {'q1x ' * 30}</p></article>", f"{LONG}\n\n%%% $$$ {('q1x ' * 30).strip()}"),
         ("<p>unclosed <b>and <i>wrong</p></b> " + LONG, f"unclosed and wrong\n\n{LONG}"),
     ],
 )
