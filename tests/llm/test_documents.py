@@ -461,3 +461,22 @@ def test_digests(spark):
 
     ids = [*Tokenizer.from_file(Q.tokenizer("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 1]
     assert piece.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_every_stage_at_the_edges(spark, documents, tmp_path):
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "no document holds this test item"), (None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b = prose(random.Random(1), 80, 4000), prose(random.Random(2), 80, 4000)
+    rows = [*EDGES, a, b, a]
+    docs = documents(*rows, ids=[None, 1, 1, 2, 3, None, 4, 5, 6, 6, None])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got = stage(spark, docs, str(tmp_path))
+        if name != "packed":
+            assert tuple(got.columns) == corpus_pipeline.COLUMNS
+        kept = [(r.doc_id, r.text) for r in got.collect()] if name != "packed" else []
+        if name in ("repeated_passages", "leaks"):
+            assert len(kept) == len(rows), name
+        if name == "near_duplicates":  # of the copies the one with the smallest id, and all that has no words
+            assert sorted(kept, key=str) == sorted([*zip([None, 1, 1, 2, 3, None, 4, 6, 6], [*EDGES[:7], a, b], strict=True)], key=str)
+    assert corpus_pipeline.written(docs.limit(0)).count() == 0
