@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     Loops are harmless, repeated edges too; without edges there are no rows.
     """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("component"))
+    labels = settle(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("component")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
@@ -28,4 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         tops = hooked.select(F.col("component").alias("top")).distinct()
         above = hooked.filter("node <> component").select("node", F.col("component").alias("above"))
         changed = settle(tops.join(above, tops.top == above.node).select("top", "above"))
-        labels = hooked.join(changed, hooked.component == changed.top, "left").select("node", F.coalesce("above", "component").alias("component"))
+        labels = settle(hooked.join(changed, hooked.component == changed.top, "left").select("node", F.coalesce("above", "component").alias("component")))
