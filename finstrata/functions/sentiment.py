@@ -19,15 +19,14 @@ class Scorer(Protocol):
     def __call__(self, rows: DataFrame, text: str) -> DataFrame: ...
 
 
-def keyword_counts(text: Column) -> tuple[Column, Column]:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(present(text)), F.lit(r"\b[a-z]+\b"), F.lit(0)))
-    return F.size(F.array_intersect(words, strings(POSITIVE_WORDS))), F.size(F.array_intersect(words, strings(NEGATIVE_WORDS)))
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(present(text)), F.lit(r"\b[a-z]+\b"), F.lit(0)))
 
 
 def keyword_scorer(rows: DataFrame, text: str = "text") -> DataFrame:
     """The default scorer: distinct lexicon words decide the label; what a label doesn't take is shared by the other two."""
-    good, bad = keyword_counts(F.col(text))
-    rows = rows.withColumn("_good", good).withColumn("_bad", bad)
+    rows = rows.withColumn("_words", distinct_words(F.col(text)))
+    rows = rows.withColumns({"_good": F.size(F.array_intersect("_words", strings(POSITIVE_WORDS))), "_bad": F.size(F.array_intersect("_words", strings(NEGATIVE_WORDS)))})
     total = F.col("_good") + F.col("_bad")
     balance = F.try_divide((F.col("_good") - F.col("_bad")).cast("double"), total)
     strength = lambda n: half_up(F.least(F.lit(0.95), 0.6 + n / total * 0.3), 4)
@@ -35,7 +34,7 @@ def keyword_scorer(rows: DataFrame, text: str = "text") -> DataFrame:
     score = F.when(total == 0, 0.5).when(balance > 0.15, strength(F.col("_good"))).when(balance < -0.15, strength(F.col("_bad"))).otherwise(half_up(0.5 + F.abs(balance) * 0.2, 4))
     rows = rows.withColumn("sentiment_label", label).withColumn("sentiment_score", score)
     rest = F.greatest(F.lit(0.0), (1 - F.col("sentiment_score")) / 2)
-    return rows.withColumns({f"score_{x}": F.when(F.col("sentiment_label") == x, F.col("sentiment_score")).otherwise(rest) for x in LABELS}).drop("_good", "_bad")
+    return rows.withColumns({f"score_{x}": F.when(F.col("sentiment_label") == x, F.col("sentiment_score")).otherwise(rest) for x in LABELS}).drop("_words", "_good", "_bad")
 
 
 def entropy(positive: Column, negative: Column, neutral: Column) -> Column:
@@ -77,12 +76,17 @@ def scored_aspects(rows: DataFrame, key: str, text: str, scorer: Scorer = keywor
     return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "aspect", "snippet", "label", "score"))), lambda x: F.struct(x["aspect"].alias("aspect"), x["snippet"].alias("snippet"), x["label"].alias("label"), x["score"].alias("score"))).alias("aspects"))
 
 
-def emotion_scores(text: Column, label: Column, score: Column, uncertainty: Column, aspects: Column | None = None, probs: tuple[Column, Column, Column] | None = None) -> dict[str, Column]:
-    """Shares of the six emotions, to four digits. Without class scores the label takes its score and the others the rest."""
-    h, low = F.coalesce(uncertainty, F.lit(0.0)), F.lower(present(text))
+def emotion_scores(rows: DataFrame, text: Column, label: Column, score: Column, uncertainty: Column, aspects: Column | None = None, probs: tuple[Column, Column, Column] | None = None) -> DataFrame:
+    """Adds emotion_<name>, the shares of the six emotions, to four digits. Without class scores the label takes its score, the others the rest.
+
+    The text is lowered, its phrases are counted and the raw scores are made in a step each, so that each is computed once.
+    """
+    h = F.coalesce(uncertainty, F.lit(0.0))
     rest = F.greatest(F.lit(0.0), (1 - score) / 2)
     pos, neg, neu = probs or tuple(F.when(label == x, score).otherwise(rest) for x in LABELS)
-    n = {e: hits(low, phrases) for e, phrases in EMOTION_PHRASES.items()}
+    rows = rows.withColumn("_low", F.lower(present(text)))
+    rows = rows.withColumns({f"_n_{e}": hits(F.col("_low"), phrases) for e, phrases in EMOTION_PHRASES.items()})
+    n = {e: F.col(f"_n_{e}") for e in EMOTION_PHRASES}
     when = lambda c, x: F.when(c, x).otherwise(0.0)
     raw = {
         "fear": 0.05 + neg * 0.55 + when((neg >= 0.58) & (h <= 0.55), 0.12) + n["fear"] * 0.16,
@@ -105,13 +109,14 @@ def emotion_scores(text: Column, label: Column, score: Column, uncertainty: Colu
 
         for e in EMOTION_PHRASES:
             raw[e] = raw[e] + F.coalesce(F.aggregate(aspects, F.lit(0.0), adder(e)), F.lit(0.0))
-    total = reduce(lambda a, b: a + b, (raw[e] for e in EMOTIONS))
-    return {e: half_up(raw[e] / total, 4) for e in EMOTIONS}
+    rows = rows.withColumns({f"_raw_{e}": raw[e] for e in EMOTIONS})
+    total = reduce(lambda a, b: a + b, (F.col(f"_raw_{e}") for e in EMOTIONS))
+    rows = rows.withColumns({f"emotion_{e}": half_up(F.col(f"_raw_{e}") / total, 4) for e in EMOTIONS})
+    return rows.drop("_low", *(f"_n_{e}" for e in EMOTION_PHRASES), *(f"_raw_{e}" for e in EMOTIONS))
 
 
-def with_emotion(rows: DataFrame, shares: dict[str, Column], uncertainty: str) -> DataFrame:
-    """Adds emotion_<name>, emotion_label (mixed if none stands out) and emotion_score."""
-    rows = rows.withColumns({f"emotion_{e}": c for e, c in shares.items()})
+def with_emotion(rows: DataFrame, uncertainty: str) -> DataFrame:
+    """Adds emotion_label (mixed if none stands out) and emotion_score to rows with emotion_<name>."""
     ranked = F.sort_array(F.array(*(F.struct((-F.col(f"emotion_{e}")).alias("p"), F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(EMOTIONS))))
     top, second = -ranked[0]["p"], -ranked[1]["p"]
     mixed = (top < 0.24) | (top - second < 0.06) | (F.coalesce(F.col(uncertainty), F.lit(0.0)) >= 0.88)

@@ -30,6 +30,17 @@ def one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def replaced(text: Column, mark: str, *steps: tuple[str, str]) -> Column:
+    """Replaces the patterns one after the other in texts that have the mark, without which none of them can match."""
+    def all_steps(t: Column) -> Column:
+        out = t
+        for pattern, by in steps:
+            out = F.regexp_replace(out, pattern, by)
+        return F.when(t.contains(mark), out).otherwise(t)
+
+    return F.get(F.transform(F.array(text), all_steps), F.lit(0))  # the text is made once
+
+
 def join_negations(text: Column) -> Column:
     """``not good`` becomes ``not_good``: a token that starts with a negation takes the next one in, which then joins no other."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
@@ -52,17 +63,17 @@ def normalize_text(text: Column, urls: bool = True, emails: bool = True, mention
     """Removes URLs, addresses, mentions, numbers and punctuation, opens hashtags; each step can be left out."""
     out = join_negations(text) if negations else present(text)
     if urls:
-        out = F.regexp_replace(out, URL, "")
+        out = replaced(out, "://", (URL, ""))
     if emails:
-        out = F.regexp_replace(out, r"\S+@\S+", "")
+        out = replaced(out, "@", (r"\S+@\S+", ""))
     if mentions:
-        out = F.regexp_replace(out, r"(?U)@\w+", "")
+        out = replaced(out, "@", (r"(?U)@\w+", ""))
     if hashtags:  # camel case is opened within a tag only
-        out = F.regexp_replace(F.regexp_replace(out, r"(?U)(?<=[a-z])(?=[A-Z])(?<=#\w{0,200})", " "), r"(?U)#(\w+)", "$1")
+        out = replaced(out, "#", (r"(?U)(?<=[a-z])(?=[A-Z])(?<=#\w{0,200})", " "), (r"(?U)#(\w+)", "$1"))
     if numbers:
         out = F.regexp_replace(out, r"\b\d+\.?\d*[kKmMbB]?\b", "")
     kept = "%$._" if keep_financial else "_" if negations else ""
-    out = F.translate(out, "".join(c for c in PUNCTUATION if c not in kept), "")
+    out = F.regexp_replace(out, "[" + "".join("\\" + c for c in PUNCTUATION if c not in kept) + "]+", "")
     out = one_space(out)
     return F.lower(out) if lower else out
 

@@ -98,8 +98,8 @@ def import_records(rows: DataFrame, universe: list[str], now: str, scorer: Score
     scored = scored.withColumn("sentiment_uncertainty", entropy(*shares))
     scored = scored.withColumn("rationale", rationale(F.col("sentiment_label"), F.col("sentiment_score"), *shares, F.col("sentiment_uncertainty")))
     scored = scored.join(scored_aspects(docs, "doc", "text", scorer), "doc", "left")
-    emotions = emotion_scores(F.col("text"), F.col("sentiment_label"), F.col("sentiment_score"), F.col("sentiment_uncertainty"), F.col("aspects"), tuple(shares))
-    scored = with_emotion(scored, emotions, "sentiment_uncertainty")
+    scored = emotion_scores(scored, F.col("text"), F.col("sentiment_label"), F.col("sentiment_score"), F.col("sentiment_uncertainty"), F.col("aspects"), tuple(shares))
+    scored = with_emotion(scored, "sentiment_uncertainty")
     found = detect_tickers(docs, "doc", "text", universe).drop("position")
     out = scored.join(found, "doc", "left" if document_fallback else "inner")
     stock = F.col("ticker").isNotNull()

@@ -46,7 +46,7 @@ def emotional(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.keyword_scorer(finance_texts(spark, sf_dir), "text")
     shares = [F.col(f"score_{x}") for x in ("positive", "negative", "neutral")]
     rows = rows.withColumn("uncertainty", S.entropy(*shares))
-    return S.with_emotion(rows, S.emotion_scores(F.col("text"), F.col("sentiment_label"), F.col("sentiment_score"), F.col("uncertainty"), None, tuple(shares)), "uncertainty")
+    return S.with_emotion(S.emotion_scores(rows, F.col("text"), F.col("sentiment_label"), F.col("sentiment_score"), F.col("uncertainty"), None, tuple(shares)), "uncertainty")
 
 
 def day_of(rows: DataFrame, *columns: str) -> DataFrame:
@@ -81,7 +81,12 @@ def explain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emotion_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = emotional(spark, sf_dir).withColumnRenamed("emotion_label", "full")
-    score = lambda rows, name, text, h: S.with_emotion(rows.drop(*(f"emotion_{e}" for e in S.EMOTIONS), "emotion_label"), S.emotion_scores(text, F.col("sentiment_label"), F.col("sentiment_score"), h, None), "uncertainty" if name != "no_entropy" else "zero").withColumnRenamed("emotion_label", name)
+
+    def score(rows: DataFrame, name: str, text: Column, h: Column) -> DataFrame:
+        rows = rows.drop(*(f"emotion_{e}" for e in S.EMOTIONS), "emotion_label")
+        rows = S.emotion_scores(rows, text, F.col("sentiment_label"), F.col("sentiment_score"), h)
+        return S.with_emotion(rows, "uncertainty" if name != "no_entropy" else "zero").withColumnRenamed("emotion_label", name)
+
     rows = base.withColumn("zero", F.lit(0.0))
     rows = score(rows, "no_entropy", F.col("text"), F.lit(0.0))
     rows = score(rows, "no_lexicon", F.lit(""), F.col("uncertainty"))

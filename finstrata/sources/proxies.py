@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than cores, dealt to all cores, for work that is heavy for each row; large tables stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each mention: id, ticker (null: a document), sentiment_label, sentiment_score, data_source, published_at."""
     e = table(spark, sf_dir, "events")
@@ -66,7 +72,7 @@ def long_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finance_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with finance words put before their text, so that text operators have something to find."""
     head = F.element_at(F.array(*(F.lit(h) for h in HEADS)), (F.col("doc_id") % len(HEADS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"), "lang", "source")
 
 
 HEADS = (

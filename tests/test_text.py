@@ -67,7 +67,7 @@ def test_aspects_and_limits(spark):
 
 def test_emotion(spark):
     rows = spark.createDataFrame([("panic selloff and crash after downgrade", "negative", 0.9, 0.2), ("quiet", "neutral", 0.4, 0.9)], "t string, l string, s double, h double")
-    got = S.with_emotion(rows, S.emotion_scores(F.col("t"), F.col("l"), F.col("s"), F.col("h")), "h").collect()
+    got = S.with_emotion(S.emotion_scores(rows, F.col("t"), F.col("l"), F.col("s"), F.col("h")), "h").collect()
     assert got[0].emotion_label == "fear" and got[1].emotion_label == "mixed"
 
 
