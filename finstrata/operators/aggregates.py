@@ -11,7 +11,6 @@ from finstrata.functions.columns import count_of, half_up, net, percent
 from finstrata.functions.lexicons import CHANNELS, EMOTIONS, LABELS
 
 
-
 def counts() -> list:
     return [F.count("*").alias("total"), *(count_of("sentiment_label", x).alias(x) for x in LABELS)]
 
@@ -165,18 +164,65 @@ def stock_quality(recs: DataFrame, start: str, end: str) -> DataFrame:
     return x.select("ticker", "total", half_up(neutral, 4).alias("neutral_share"), "days_with_mentions", "calendar_days", half_up(coverage, 4).alias("coverage"), "longest_gap", flags.alias("flags"), "score", label.alias("confidence"))
 
 
-def predictions_page(recs: DataFrame, limit: int, offset: int = 0, source: str | None = None, sentiment: str | None = None, ticker: str | None = None, stocks_only: bool = False, documents_only: bool = False) -> DataFrame:
-    """A page of the rows that pass the filters, newest first. The filters reach the scan."""
+def selected(recs: DataFrame, source: str | None = None, sentiment: str | None = None, ticker: str | None = None, stocks_only: bool = False, documents_only: bool = False, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows that pass the filters, days inclusive. The filters reach the scan."""
     for column, value in (("data_source", source), ("sentiment_label", sentiment), ("ticker", ticker)):
         if value is not None:
             recs = recs.filter(F.col(column) == value)
+    if start is not None:
+        recs = recs.filter(F.col("published_at") >= F.lit(start).cast("date").cast("timestamp_ntz"))
+    if end is not None:
+        recs = recs.filter(F.col("published_at") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
     if stocks_only:
         recs = stock_rows(recs)
     if documents_only:
         recs = recs.filter("ticker is null")
+    return recs
+
+
+def newest_first(recs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return recs.orderBy(F.desc("published_at"), "id").offset(offset).limit(limit)
 
 
+def predictions_page(recs: DataFrame, limit: int, offset: int = 0, **filters) -> DataFrame:
+    """A page of the rows that selected() lets pass, newest first."""
+    return newest_first(selected(recs, **filters), limit, offset)
+
+
+def numbered_page(recs: DataFrame, page: int, size: int = 20, **filters) -> DataFrame:
+    """A page, from 1, with the number of rows on all pages, and whether more follow."""
+    rows = selected(recs, **filters)
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    found = newest_first(rows, size, (page - 1) * size).join(F.broadcast(total))
+    return found.withColumn("has_more", F.col("total") > page * size)
+
+
+def mention_page(recs: DataFrame, ticker: str, limit: int = 50, offset: int = 0, source: str | None = None) -> DataFrame:
+    """A ticker's newest rows from an offset on, and how many it has in all."""
+    rows = selected(recs, ticker=ticker, source=source)
+    return newest_first(rows, limit, offset).join(F.broadcast(rows.agg(F.count("*").alias("total_count"))))
+
+
+def find_records(recs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids."""
+    return recs.join(ids.select("id"), "id", "left_semi")
+
+
+def with_company(rows: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Adds company_name; a ticker that the dimension doesn't have names itself."""
+    return rows.join(dimension.select("ticker", "company_name"), "ticker", "left").withColumn("company_name", F.coalesce("company_name", "ticker"))
+
+
+def statistics(recs: DataFrame) -> DataFrame:
+    """All of the statistics page's counts of the labels from one scan: (section, key), section being all, source, ticker or day."""
+    base = stock_rows(recs).groupBy(F.to_date("published_at").cast("string").alias("day"), "ticker", F.coalesce("data_source", F.lit("unknown")).alias("source")).agg(*counts())
+    sums = [F.sum(c).alias(c) for c in ("total", *LABELS)]
+    keys = ("source", "ticker", "day")
+    found = base.groupingSets([[], *([F.col(k)] for k in keys)], *(F.col(k) for k in keys)).agg(*sums)
+    section = F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in keys), F.lit("all"))
+    return found.select(section.alias("section"), F.coalesce(*keys, F.lit("")).alias("key"), "total", *LABELS)
+
+
 def run_summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean, sample deviation (0 of one), least, most and number of values."""
     return rows.groupBy(*keys).agg(

@@ -56,6 +56,42 @@ def normalize_tweet(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.lit("twitter").alias("data_source"), clean_tweet(F.col("text")).alias("text"), F.col("text").alias("raw_text"), "author_id", "created_at", *(F.coalesce(F.col(f"public_metrics.{m}"), F.lit(0)).alias(m) for m in metrics))
 
 
+def cleaned_name(name: Column, otherwise: str) -> Column:
+    """A publisher's name in one line of 80 characters at most."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit(otherwise)), r"\s+", " ")), 1, 80)
+
+
+def content_id(*parts: Column) -> Column:
+    """32 hex digits of the parts' SHA-256."""
+    return F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, 32)
+
+
+def headline_records(rows: DataFrame, universe: list[str], shortest: int = 12) -> DataFrame:
+    """Records of a headline table: cleaned titles of ``shortest`` characters or more, an id from URL and title, a hint if the stock is known."""
+    url = F.coalesce(pick(rows, "url"), F.lit(""))
+    title = clean_news(F.coalesce(pick(rows, "headline", "title", "text"), F.lit("")))
+    symbol = F.upper(F.regexp_replace(F.trim(F.coalesce(pick(rows, "stock", "ticker"), F.lit(""))), r"^\$+", ""))
+    rows = rows.withColumns({"_title": title, "_url": url, "_symbol": symbol}).filter(F.length("_title") >= shortest)
+    return rows.select(
+        F.lit("news").alias("data_source"), cleaned_name(pick(rows, "publisher", "source"), "hf_financial_news").alias("source_name"), content_id(F.col("_url"), F.lit("\n"), F.substring("_title", 1, 200)).alias("source_id"),
+        F.col("_title").alias("title"), F.nullif(F.substring("_url", 1, 500), F.lit("")).alias("url"), F.when(F.col("_symbol").isin(universe), F.array("_symbol")).alias("hint_tickers"),
+    )
+
+
+def archive_records(rows: DataFrame, english_only: bool = True, longest: int = 12_000) -> DataFrame:
+    """Records of archived articles: in English if asked for (an unknown language passes), not too short, bodies cut at ``longest``."""
+    if english_only:
+        rows = rows.filter(F.coalesce(F.lower("language").isin("en", "eng"), F.lit(True)))
+    rows = rows.withColumns({"_title": clean_news(F.coalesce(pick(rows, "title", "title_rss"), F.lit(""))), "_body": clean_news(F.coalesce(pick(rows, "maintext", "description"), F.lit("")))})
+    rows = rows.filter(~((F.length("_title") < 6) & (F.length("_body") < 30)))
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(F.col(c))
+    url, file = F.coalesce(pick(rows, "url"), F.lit("")), F.coalesce(pick(rows, "filename"), F.lit(""))
+    return rows.select(
+        F.lit("news").alias("data_source"), cleaned_name(pick(rows, "news_outlet", "source_domain"), "yahoo_finance").alias("source_name"), content_id(F.substring(F.when(url != "", url).otherwise(file), 1, 800)).alias("source_id"),
+        F.when(F.col("_title") != "", F.col("_title")).otherwise(cut("_body", 240)).alias("title"), cut("_body", longest).alias("selftext"), F.nullif(F.substring(url, 1, 500), F.lit("")).alias("url"),
+    )
+
+
 def dedupe_posts(rows: DataFrame, key: str = "id", ordinal: str = "ordinal", hints: str | None = None) -> DataFrame:
     """One row for each id: the last, with the first hints that aren't null."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ordinal)))

@@ -101,11 +101,14 @@ def spearman(merged: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
 
 
 def lag_sweep(merged: DataFrame, x: str, y: str, most: int = 5, least: int = 5) -> DataFrame:
-    """r for each lag from -most to most; a positive lag pairs a day's sentiment with later returns. Short series have no rows."""
-    rn = merged.withColumn("rn", F.row_number().over(series())).withColumn("rows", F.count("*").over(Window.partitionBy("ticker"))).filter(F.col("rows") >= most + 5)
-    left = rn.select("ticker", "rn", F.col(x).alias("x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    right = rn.select(F.col("ticker").alias("t"), F.col("rn").alias("m"), F.col(y).alias("y"))
-    pairs = left.join(right, (left.ticker == right.t) & (left.rn + left.lag == right.m))
+    """r for each lag from -most to most; a positive lag pairs a day's sentiment with later returns. Short series have no rows.
+
+    All lags come from one window over a ticker's days; no join.
+    """
+    lags = range(-most, most + 1)
+    later = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(y, k).over(series()).alias("y"), F.lead(F.lit(True), k).over(series()).alias("there")) for k in lags))
+    rows = merged.withColumn("rows", F.count("*").over(Window.partitionBy("ticker"))).withColumn("later", later).filter(F.col("rows") >= most + 5)
+    pairs = rows.select("ticker", F.col(x).alias("x"), F.explode("later").alias("l")).select("ticker", "x", "l.*").filter("there")
     out = pairs.groupBy("ticker", "lag").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), pearson("x", "y").alias("r"))
     return out.select("ticker", "lag", "n", half_up(F.when(F.col("n") >= least, F.col("r")), 4).alias("r"))
 
@@ -163,3 +166,16 @@ def scatter_fit(merged: DataFrame, x: str, y: str) -> DataFrame:
         F.count_if((F.col("x") < 0) & (F.col("y") >= 0)).alias("down_up"), F.count_if((F.col("x") < 0) & (F.col("y") < 0)).alias("down_down"),
     )
     return out.select("ticker", "n", half_up(F.col("slope"), 4).alias("slope"), half_up(F.col("my") - F.col("slope") * F.col("mx"), 4).alias("intercept"), "up_up", "up_down", "down_up", "down_down")
+
+
+def window_bounds(prices: DataFrame, days: int | None = None) -> DataFrame:
+    """(ticker, start_at, end_at): from the first trading day's first second to the last one's last, of the last ``days`` days if given."""
+    last = F.max("date").over(Window.partitionBy("ticker"))
+    inside = prices if days is None else prices.withColumn("last", last).filter(F.col("date") > F.date_sub("last", days))
+    at = lambda c: c.cast("timestamp_ntz")
+    return inside.groupBy("ticker").agg(at(F.min("date")).alias("start_at"), (at(F.date_add(F.max("date"), 1)) - F.expr("interval 1 second")).alias("end_at"))
+
+
+def inside_window(recs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The rows of each ticker within its bounds, which are inclusive."""
+    return recs.join(bounds, "ticker").filter(F.col("published_at").between(F.col("start_at"), F.col("end_at")))

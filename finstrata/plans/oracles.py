@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from finstrata.functions.lexicons import CHANNELS, EMOTION_PHRASES, EMOTIONS, FINANCIAL_TERMS, INTENSITY_WORDS, LABELS, NEGATIVE_WORDS, POSITIVE_WORDS, STOP_WORDS
-from finstrata.functions.text import PUNCTUATION
+from finstrata.functions.lexicons import STOCKS as COMPANIES
+from finstrata.functions.lexicons import CHANNELS, EMOTION_PHRASES, EMOTIONS, FINANCIAL_TERMS, INTENSITY_WORDS, LABELS, NEGATIVE_WORDS, POSITIVE_WORDS, SPAM_PATTERNS, STOP_WORDS
+from finstrata.functions.text import EMOJI, MOVEMENT, PUNCTUATION
+from finstrata.operators.entities import CONTEXT, SUFFIX
 from finstrata.plans.queries import COMPARED, END, START
 from finstrata.sources.proxies import PRICES, RECORDS, TEXTS
 
@@ -114,7 +116,41 @@ g AS (SELECT ticker, day, coalesce(lead(day) OVER (PARTITION BY ticker ORDER BY
 gaps AS (SELECT ticker, count(*) AS days_with_mentions, greatest(max(gap), min(day) - DATE '{START}') AS longest_gap FROM g GROUP BY ticker)"""
 _PUNCT = PUNCTUATION.replace("'", "''")
 
+
+
+def clean(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', '', 'g'), 'https?://[^\\s]+', '', 'g'), '\\[\\+[0-9]+ chars\\]', '', 'g'), '(?i)\\[Removed\\]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_EMOTIONS = words(EMOTIONS)
+_WORD = "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]"
+_LOW = f"WITH {TEXTS}, low AS (SELECT doc_id, text, lower(text) AS l FROM texts)"
+_FLAGS = ", ".join(f"regexp_matches(l, '\\b(?:{w})\\b') AS has_{n}" for n, w in CONTEXT.items())
+_UP = "regexp_matches(lower(m), '^(gained|gain|rose|increased|increase|up)\\s')"
+_STOCK_ROWS = "(VALUES " + ", ".join("('" + t + "', '" + n.replace("'", "''") + "')" for t, n in COMPANIES) + ") v(ticker, company_name)"
+_SHORT = f"trim(regexp_replace(regexp_replace(regexp_replace(company_name, '(?i)^the\\s+', ''), '{SUFFIX}', ''), '(?i)\\s*/[A-Z]{{2}}/?$', ''))"
+_SPAM = "|".join(f"(?:{p})" for p in SPAM_PATTERNS).replace("'", "''")
+_LEMMA = "CASE WHEN regexp_matches(w, '(?i)[a-z]{2,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?i)(ss|us|is)$') THEN w WHEN regexp_matches(w, '(?i)(sh|ch|x|z|ss)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '(?i)[a-z]{2,}s$') THEN regexp_replace(w, 's$', '') ELSE w END"
+
 ORACLES: dict[str, str] = {
+    "top_stocks_named": f"{STOCKS}, t AS (SELECT ticker, {COUNTS} FROM s GROUP BY ticker ORDER BY total DESC, ticker LIMIT 10) SELECT t.*, coalesce(s_name, ticker) AS company_name FROM t LEFT JOIN supplier ON ticker = 'T' || s_suppkey",
+    "statistics": f"{STOCKS}, k AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, ticker, coalesce(data_source, 'unknown') AS source, sentiment_label FROM s) SELECT CASE WHEN source IS NOT NULL THEN 'source' WHEN ticker IS NOT NULL THEN 'ticker' WHEN day IS NOT NULL THEN 'day' ELSE 'all' END AS section, coalesce(source, ticker, day, '') AS key, {COUNTS} FROM k GROUP BY GROUPING SETS ((), (source), (ticker), (day))",
+    "page_with_total": f"WITH {RECORDS}, f AS (SELECT *, count(*) OVER () AS total FROM recs WHERE sentiment_label = 'negative' AND CAST(published_at AS DATE) BETWEEN DATE '{START}' AND DATE '{END}') SELECT id, ticker, total, total > 60 AS has_more FROM f ORDER BY published_at DESC, id LIMIT 20 OFFSET 40",
+    "mention_page": f"WITH {RECORDS}, f AS (SELECT *, count(*) OVER () AS total_count FROM recs WHERE ticker = 'T3' AND data_source = 'reddit') SELECT id, sentiment_label, total_count FROM f ORDER BY published_at DESC, id LIMIT 50 OFFSET 10",
+    "record_lookup": f"WITH {RECORDS} SELECT id, ticker, sentiment_label FROM recs ORDER BY published_at DESC, id LIMIT 1",
+    "emotion_days": f"{STOCKS}, e AS (SELECT ticker, {day('published_at')} AS day, coalesce({_EMOTIONS}[event_id % 7 + 1], 'mixed') AS e FROM s), c AS (SELECT ticker, day, count(*) AS total_mentions, {', '.join(f"count(*) FILTER (e = '{x}') AS {x}" for x in EMOTIONS)} FROM e GROUP BY 1, 2) SELECT *, CASE greatest({', '.join(EMOTIONS)}) {' '.join(f"WHEN {x} THEN '{x}'" for x in EMOTIONS)} END AS top_emotion FROM c",
+    "window_mentions": f"{STOCKS}, {PRICES}, p AS (SELECT *, max(date) OVER (PARTITION BY ticker) AS last FROM prices), b AS (SELECT ticker, CAST(min(date) AS TIMESTAMP) AS a, CAST(max(date) + 1 AS TIMESTAMP) - INTERVAL 1 SECOND AS z FROM p WHERE date > last - 20 GROUP BY ticker) SELECT s.ticker, {stamp('a')} AS start_at, {stamp('z')} AS end_at, count(*) AS mentions FROM s JOIN b ON s.ticker = b.ticker AND published_at BETWEEN a AND z GROUP BY 1, 2, 3",
+    "headline_records": f"WITH h AS (SELECT {clean('text')} AS t, CASE WHEN doc_id % 3 <> 0 THEN 'https://example.org/' || doc_id ELSE '' END AS url, source, doc_id FROM documents) SELECT substr(sha256(url || chr(10) || substr(t, 1, 200)), 1, 32) AS source_id, substr(trim(regexp_replace(source, '\\s+', ' ', 'g')), 1, 80) AS source_name, md5(t) AS digest, url, CASE WHEN doc_id % 2 = 0 THEN 'AAPL' ELSE '' END AS hints FROM h WHERE length(t) >= 12",
+    "archive_records": f"WITH a AS (SELECT doc_id, source, {clean('text')} AS b, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE {clean('text')} END AS t, CASE WHEN doc_id % 2 = 0 THEN 'https://example.org/' || doc_id ELSE '' END AS url FROM documents WHERE lang IS NULL OR lower(lang) IN ('en', 'eng')) SELECT substr(sha256(CASE WHEN url <> '' THEN url ELSE 'f' || doc_id END), 1, 32) AS source_id, substr(trim(source), 1, 80) AS source_name, md5(CASE WHEN t <> '' THEN t WHEN length(b) > 240 THEN substr(b, 1, 240) || '…' ELSE b END) AS title, md5(CASE WHEN length(b) > 12000 THEN substr(b, 1, 12000) || '…' ELSE b END) AS body, url FROM a WHERE NOT (length(t) < 6 AND length(b) < 30)",
+    "clean_tweet": f"WITH {TEXTS} SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '@{_WORD}+', '', 'g'), '#({_WORD}+)', '\\1', 'g'), '\\s+', ' ', 'g'))) AS digest FROM texts",
+    "lemmas": f"WITH {TEXTS} SELECT doc_id, md5(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda w: {_LEMMA}), ' ')) AS digest FROM texts",
+    "article_quality": f"WITH a AS (SELECT {clean('text')} AS c, coalesce(text, '') AS t FROM documents) SELECT length(c) >= 10 AND NOT contains(lower(t), '[removed]') AND (c = '' OR length(c) >= 100) AND c <> '' AS keep, count(*) AS n FROM a GROUP BY 1",
+    "tweet_quality": f"{_LOW}, e AS (SELECT *, len(regexp_extract_all(text, '{EMOJI}')) AS emoji FROM low) SELECT NOT regexp_matches(l, '{_SPAM}') AND length(trim(text)) >= CASE WHEN contains(text, '$') THEN 8 ELSE 15 END AND emoji <= 8 AND length(text) - length(replace(text, '#', '')) <= 12 AND length(text) - length(replace(text, '$', '')) <= 15 AND NOT regexp_matches(text, '^[\\x{{1F000}}-\\x{{1FFFF}}\\s]{{12,}}') AS keep, count(*) AS n FROM e GROUP BY 1",
+    "movements": f"WITH {TEXTS}, m AS (SELECT doc_id, regexp_extract_all(text, '{MOVEMENT}') AS ms FROM texts), f AS (SELECT doc_id, ms, ms[1] AS m FROM m) SELECT doc_id, CAST(len(ms) AS INTEGER) AS n, CASE WHEN m IS NULL THEN '' WHEN {_UP} THEN 'positive' ELSE 'negative' END AS direction FROM f",
+    "context_flags": f"{_LOW}, f AS (SELECT doc_id, {_FLAGS} FROM low) SELECT *, {' + '.join(f'CAST(has_{n} AS INTEGER)' for n in CONTEXT)} >= 2 AS financial FROM f",
+    "sentence_split": f"WITH {TEXTS}, w AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM texts), p AS (SELECT doc_id, t, len(list_filter(string_split(regexp_replace(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) >= 12)) AS k FROM w) SELECT doc_id, CAST(CASE WHEN k > 0 THEN k WHEN t <> '' THEN 1 ELSE 0 END AS INTEGER) AS sentences FROM p",
+    "stock_search": f"SELECT ticker, company_name, {_SHORT} AS short_name, CASE WHEN ticker = 'CORP' THEN 0 ELSE 1 END AS rank FROM {_STOCK_ROWS} WHERE ticker = 'CORP' OR contains(lower(company_name), 'corp') ORDER BY rank, ticker LIMIT 10",
+    "name_index": f"WITH d AS (SELECT ticker, lower(trim(company_name)) AS a, lower(trim({_SHORT})) AS b FROM {_STOCK_ROWS}), n AS (SELECT a AS name, ticker, 0 AS priority FROM d UNION ALL SELECT b, ticker, 1 FROM d UNION ALL SELECT regexp_extract(b, '^([a-z]{{4,}})', 1), ticker, 2 FROM d) SELECT name, ticker, priority FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority, ticker) AS k FROM n WHERE name <> '') WHERE k = 1",
     "daily_trend": f"{STOCKS} SELECT {day('d')} AS day, total, {r(NET, 4)} AS net FROM (SELECT CAST(published_at AS DATE) AS d, {COUNTS} FROM s GROUP BY 1)",
     "label_distribution": f"{STOCKS} SELECT total, positive, negative, neutral, {PERCENTS} FROM (SELECT {COUNTS} FROM s)",
     "label_distribution_by_source": f"{STOCKS} SELECT data_source, total, positive, negative, neutral, {PERCENTS} FROM (SELECT data_source, {COUNTS} FROM s WHERE data_source IS NOT NULL GROUP BY 1)",

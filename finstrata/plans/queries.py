@@ -109,11 +109,56 @@ def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.import_records(raw, UNIVERSE, "2026-01-01T00:00:00").withColumn("published_at", F.col("published_at").cast("string"))
 
 
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as companies; T0 has none."""
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("company_name"))
+
+
+def newest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = records(spark, sf_dir)
+    return A.find_records(recs, recs.orderBy(F.desc("published_at"), "id").limit(1)).select("id", "ticker", "sentiment_label")
+
+
+def emotion_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    felt = records(spark, sf_dir).withColumn("emotion_label", F.get(F.array(*(F.lit(e) for e in S.EMOTIONS)), (F.col("event_id") % 7).cast("int"))).withColumn("day", F.date_format("published_at", "yyyy-MM-dd"))
+    return A.emotion_distribution(A.stock_rows(felt), "ticker", "day").select("ticker", "day", F.col("total").alias("total_mentions"), *S.EMOTIONS, "top_emotion")
+
+
+def window_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = M.window_bounds(prices(spark, sf_dir), 20)
+    found = M.inside_window(records(spark, sf_dir), bounds).groupBy("ticker", "start_at", "end_at").agg(F.count("*").alias("mentions"))
+    return stamped(found, "start_at", "end_at")
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a headline table: two of three have a URL, each second one a stock that is known."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("headline"), F.when(k % 3 != 0, F.concat(F.lit("https://example.org/"), k.cast("string"))).alias("url"), F.col("source").alias("publisher"), F.when(k % 2 == 0, "$aapl").otherwise("zzzz").alias("stock"))
+    return I.headline_records(docs, UNIVERSE).select("source_id", "source_name", digest(F.col("title")), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.array_join("hint_tickers", ","), F.lit("")).alias("hints"))
+
+
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as archived articles: of four one has no title, one a short one."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.when(k % 4 == 1, "abc").when(k % 4 > 1, F.col("text")).alias("title"), F.col("text").alias("maintext"), F.col("lang").alias("language"), F.when(k % 2 == 0, F.concat(F.lit("https://example.org/"), k.cast("string"))).alias("url"), F.concat(F.lit("f"), k.cast("string")).alias("filename"), F.col("source").alias("news_outlet"))
+    found = I.archive_records(docs)
+    return found.select("source_id", "source_name", digest(F.col("title")).alias("title"), digest(F.col("selftext")).alias("body"), F.coalesce("url", F.lit("")).alias("url"))
+
+
 QUERIES: dict[str, Query] = {
     "daily_trend": lambda s, d: day_of(A.daily_trend(A.stock_rows(records(s, d))), "day"),
     "label_distribution": lambda s, d: A.label_distribution(A.stock_rows(records(s, d))),
     "label_distribution_by_source": lambda s, d: A.label_distribution(A.stock_rows(records(s, d)).filter("data_source is not null"), "data_source"),
     "top_stocks": lambda s, d: A.top_stocks(records(s, d)),
+    "top_stocks_named": lambda s, d: A.with_company(A.top_stocks(records(s, d)), companies(s, d)),
+    "statistics": lambda s, d: A.statistics(records(s, d)),
+    "page_with_total": lambda s, d: A.numbered_page(records(s, d), 3, 20, sentiment="negative", start=START, end=END).select("id", "ticker", "total", "has_more"),
+    "mention_page": lambda s, d: A.mention_page(records(s, d), "T3", 50, 10, "reddit").select("id", "sentiment_label", "total_count"),
+    "record_lookup": newest_record,
+    "emotion_days": emotion_days,
+    "window_mentions": window_mentions,
+    "headline_records": headlines,
+    "archive_records": archived,
     "distinct_tickers": lambda s, d: A.distinct_tickers(records(s, d)),
     "date_range": lambda s, d: stamped(A.date_range(A.stock_rows(records(s, d))), "first_at", "last_at"),
     "recent_activity": lambda s, d: A.recent_activity(A.stock_rows(records(s, d))),
