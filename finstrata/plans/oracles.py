@@ -132,7 +132,40 @@ _SHORT = f"trim(regexp_replace(regexp_replace(regexp_replace(company_name, '(?i)
 _SPAM = "|".join(f"(?:{p})" for p in SPAM_PATTERNS).replace("'", "''")
 _LEMMA = "CASE WHEN regexp_matches(w, '(?i)[a-z]{2,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?i)(ss|us|is)$') THEN w WHEN regexp_matches(w, '(?i)(sh|ch|x|z|ss)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '(?i)[a-z]{2,}s$') THEN regexp_replace(w, 's$', '') ELSE w END"
 
+_URL = "https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*(),\\\\]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+
+
+def normal(x: str) -> str:
+    """Without URLs, addresses, mentions and punctuation, tags opened (three humps at most), in one line of lower case."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '{_URL}', '', 'g'), '[^\\s]+@[^\\s]+', '', 'g'), '@{_WORD}+', '', 'g')"
+    for _ in range(3):
+        out = f"regexp_replace({out}, '(#{_WORD}*[a-z])([A-Z])', '\\1 \\2', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '#({_WORD}+)', '\\1', 'g'), '[!-/:-@\\[-`{{-~]+', '', 'g')"
+    return f"lower(trim(regexp_replace({out}, '\\s+', ' ', 'g')))"
+
+
+_NORMAL = f"WITH {TEXTS}, n AS (SELECT doc_id, text, {normal('text')} AS t FROM texts)"
+_STOPPED = words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])
+_SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')".format
+_TOTALS = "count(*) AS total_records, CAST(sum(k) AS BIGINT) AS total_tokens, floor(sum(k)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_tokens_per_record"
+_HINTS = "list_filter(list_transform(" + _SPLIT("text") + "[1:12], lambda w: replace(replace(upper(regexp_replace(trim(w), '^[$]+', '')), 'ß', 'SS'), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
+_UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)".format
+
 ORACLES: dict[str, str] = {
+    "upsert": f"WITH {RECORDS} SELECT ticker, CASE WHEN sentiment_label = 'negative' THEN 'neutral' ELSE sentiment_label END AS sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",
+    "purge_backfill": f"WITH {RECORDS} SELECT CASE WHEN data_source IS NULL AND ticker IS NOT NULL THEN 'news' ELSE data_source END AS data_source, count(*) AS n FROM recs WHERE NOT coalesce(data_source = 'reddit' AND published_at < TIMESTAMP '{START}', false) GROUP BY 1",
+    "record_limits": f"WITH {TEXTS} SELECT doc_id, concat_ws(',', CASE WHEN length(text) NOT BETWEEN 15 AND 2000 THEN 'text' END, CASE WHEN doc_id % 7 > 5 THEN 'score' END, CASE WHEN doc_id % 13 > 10 THEN 'ticker' END) AS broken, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) > 50000 THEN 'too_long' WHEN length(trim(text)) > 10000 THEN 'long' ELSE 'ok' END AS guard FROM texts",
+    "channels": "WITH c AS (SELECT ['twitter', 'twitter', 'news', 'news', 'reddit', NULL, NULL][event_id % 7 + 1] AS channel FROM events) SELECT channel, coalesce(channel, 'other') AS named, count(*) AS n FROM c GROUP BY 1, 2",
+    "engagement": "SELECT CASE WHEN event_id % 3 = 0 THEN user_id % 6 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN event_id % 4 ELSE 0 END + 1 >= 5 AS engaged, count(*) AS n FROM events GROUP BY 1",
+    "symbol_hints": f"WITH {TEXTS}, h AS (SELECT doc_id, {_HINTS} AS h FROM texts), u AS (SELECT doc_id, {_UNIQUE('h')} AS h, ['AAPL', 'BRK.B'] AS s FROM h) SELECT doc_id, array_to_string(h, ',') AS hints, array_to_string(s, ',') AS symbols, array_to_string(CASE WHEN list_contains(h, 'AAPL') THEN h ELSE list_append(h, 'AAPL') END, ',') AS joined FROM u",
+    "annotation_task": "SELECT row_number() OVER (ORDER BY doc_id, text) - 1 AS idx, md5(text) AS digest FROM documents",
+    "classify_column": f"WITH {SCORED} SELECT 'doc_' || substr(sha1('csv|' || doc_id || '|'), 1, 16) AS id, sentiment_label, sentiment_score, CASE WHEN doc_id % 2 = 0 THEN '2026-01-05 10:00:00' ELSE '2026-02-01 00:00:00' END AS published_at FROM scored WHERE length(trim(text)) > 0",
+    "normalize_records": "WITH b AS (SELECT doc_id, nullif(trim(CASE WHEN doc_id % 2 = 0 THEN source END), '') AS t, nullif(trim(CASE WHEN doc_id % 3 > 0 THEN text END), '') AS s, nullif(trim(CASE WHEN doc_id % 7 > 0 THEN text END), '') AS x FROM documents), c AS (SELECT *, CASE WHEN t IS NOT NULL AND s IS NOT NULL THEN t || chr(10) || chr(10) || s ELSE coalesce(t, x) END AS full_text FROM b) SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'stocks' ELSE 'unknown' END AS source, CASE doc_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'twitter' ELSE '' END AS data_source, md5(full_text) AS digest, ['2026-01-05 10:00:00', '2026-01-05 10:00:00', '2026-01-05 00:00:00', '2026-01-05 00:00:00', '2026-02-01 00:00:00'][doc_id % 5 + 1] AS published_at FROM c WHERE full_text IS NOT NULL",
+    "normalize_article": f"SELECT CAST(page_id AS VARCHAR) AS source_id, {clean('url')} AS clean_title, md5({clean('html')}) AS description, md5({clean("(html || ' [+12 chars]')")}) AS content FROM pages",
+    "normalize_tweet": f"WITH {TEXTS} SELECT CAST(doc_id AS VARCHAR) AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '@{_WORD}+', '', 'g'), '#({_WORD}+)', '\\1', 'g'), '\\s+', ' ', 'g'))) AS digest, doc_id % 5 AS retweet_count, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS reply_count, 0::BIGINT AS like_count FROM texts",
+    "batch_summary": f"WITH {SCORED} SELECT count(*) AS total, {', '.join(f"count(*) FILTER (sentiment_label = '{x}') AS {x}" for x in LABELS)}, count(*) FILTER (doc_id % 10 = 0) AS failed, {r('avg(sentiment_score)', 6)} AS mean_confidence FROM scored",
+    "normalize_text": f"{_NORMAL} SELECT doc_id, md5(t) AS digest FROM n",
+    "preprocess_stats": f"{_NORMAL}, w AS (SELECT {_SPLIT('t')} AS ws FROM n) SELECT 'minimal' AS preset, {_TOTALS} FROM (SELECT len(ws) AS k FROM w) UNION ALL SELECT 'standard', {_TOTALS} FROM (SELECT len(list_filter(ws, lambda x: NOT list_contains({_STOPPED}, x))) AS k FROM w)",
     "top_stocks_named": f"{STOCKS}, t AS (SELECT ticker, {COUNTS} FROM s GROUP BY ticker ORDER BY total DESC, ticker LIMIT 10) SELECT t.*, coalesce(s_name, ticker) AS company_name FROM t LEFT JOIN supplier ON ticker = 'T' || s_suppkey",
     "statistics": f"{STOCKS}, k AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, ticker, coalesce(data_source, 'unknown') AS source, sentiment_label FROM s) SELECT CASE WHEN source IS NOT NULL THEN 'source' WHEN ticker IS NOT NULL THEN 'ticker' WHEN day IS NOT NULL THEN 'day' ELSE 'all' END AS section, coalesce(source, ticker, day, '') AS key, {COUNTS} FROM k GROUP BY GROUPING SETS ((), (source), (ticker), (day))",
     "page_with_total": f"WITH {RECORDS}, f AS (SELECT *, count(*) OVER () AS total FROM recs WHERE sentiment_label = 'negative' AND CAST(published_at AS DATE) BETWEEN DATE '{START}' AND DATE '{END}') SELECT id, ticker, total, total > 60 AS has_more FROM f ORDER BY published_at DESC, id LIMIT 20 OFFSET 40",

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from finstrata.functions import sentiment as S
 from finstrata.functions import text as X
-from finstrata.functions.columns import half_up, record_id
+from finstrata.functions.columns import channel, half_up, record_id
+from finstrata.functions.scoring import batch_summary
 from finstrata.operators import aggregates as A
 from finstrata.operators import entities as E
 from finstrata.operators import evaluation as V
 from finstrata.operators import ingest as I
 from finstrata.operators import market as M
+from finstrata.operators import preprocess as P
 from finstrata.operators import stats as T
 from finstrata.sources.proxies import finance_texts, long_prices, long_records, prices, records, table
 from finstrata.sources.readers import demo_seed
@@ -145,7 +147,102 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "source_name", digest(F.col("title")).alias("title"), digest(F.col("selftext")).alias("body"), F.coalesce("url", F.lit("")).alias("url"))
 
 
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors' rows come again, with a neutral label."""
+    recs = records(spark, sf_dir).select("id", "ticker", "sentiment_label")
+    again = recs.filter("sentiment_label = 'negative'").withColumn("sentiment_label", F.lit("neutral"))
+    return I.upsert(recs, again, ["id"]).groupBy("ticker", "sentiment_label").agg(F.count("*").alias("n"))
+
+
+def kept_and_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rows of one channel go; channels that aren't known are filled in for stocks."""
+    recs = I.purge(records(spark, sf_dir), (F.col("data_source") == "reddit") & (F.col("published_at") < F.lit(START).cast("timestamp_ntz")))
+    return I.backfill(recs, "data_source", F.lit("news"), F.col("ticker").isNotNull()).groupBy("data_source").agg(F.count("*").alias("n"))
+
+
+def broken_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = finance_texts(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 7 / 5).alias("sentiment_score"), F.repeat(F.lit("T"), (F.col("doc_id") % 13).cast("int")).alias("ticker"))
+    return rows.select("doc_id", F.array_join(P.violations(rows), ",").alias("broken"), P.guard(F.col("text")).alias("guard"))
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types and channels under their other names."""
+    names = F.array(*(F.lit(x) for x in (" X ", "Tweets", "articles", "NEWS", "reddit", "any", "blog")))
+    name = F.get(names, (F.col("event_id") % 7).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(channel(name).alias("channel"), channel(name, "other").alias("named")).agg(F.count("*").alias("n"))
+
+
+def engaged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    likes, reposts = F.when(F.col("event_id") % 3 == 0, F.col("user_id") % 6), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 4)
+    return e.groupBy(X.engaged(likes, reposts, F.lit(1)).alias("engaged")).agg(F.count("*").alias("n"))
+
+
+def symbol_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols among each text's first words, those that a list in text form names, and both with the known ones first."""
+    words = F.slice(X.tokens(F.col("text")), 1, 12)
+    listed = F.concat(F.lit("['AAPL', 'T"), (F.col("doc_id") % 3).cast("string"), F.lit("', 'BRK.B', 'lower']"))
+    rows = finance_texts(spark, sf_dir).select("doc_id", E.hints(words).alias("hints"), E.symbols_in(listed).alias("symbols"))
+    return rows.select("doc_id", F.array_join("hints", ",").alias("hints"), F.array_join("symbols", ",").alias("symbols"), F.array_join(E.union_hints(F.col("hints"), F.col("symbols"), UNIVERSE), ",").alias("joined"))
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.annotation_task(table(spark, sf_dir, "documents"), "doc_id").select("idx", digest(F.col("text")))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = finance_texts(spark, sf_dir).select("text", F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, "2026-01-05 10:00:00").alias("created_at"))
+    return stamped(P.classify_column(rows, "text", "2026-02-01T00:00:00").select("id", "sentiment_label", "sentiment_score", "published_at"), "published_at")
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all kinds in one: titles and bodies, channels by their columns, times in four forms."""
+    k = F.col("doc_id")
+    at = F.get(F.array(F.lit("1767607200"), F.lit("2026-01-05 10:00:00"), F.lit("2026-01-05"), F.lit("01/05/2026"), F.lit("soon")), (k % 5).cast("int"))
+    raw = table(spark, sf_dir, "documents").select(k.cast("string").alias("id"), F.when(k % 2 == 0, F.col("source")).alias("title"), F.when(k % 3 > 0, F.col("text")).alias("selftext"), F.when(k % 7 > 0, F.col("text")).alias("text"), F.when(k % 4 == 0, "Stocks").alias("subreddit"), F.when(k % 4 == 1, "7").alias("author_id"), at.alias("published_at"))
+    return stamped(I.normalize_records(raw, "2026-02-01T00:00:00").select("source_id", "source", F.coalesce("data_source", F.lit("")).alias("data_source"), digest(F.col("text")), "published_at"), "published_at")
+
+
+def flat_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "pages").select(
+        F.struct(F.col("page_id").cast("string").alias("id"), F.lit("example").alias("name")).alias("source"), F.lit("a").alias("author"), F.col("url").alias("title"), F.col("html").cast("string").alias("description"), "url", F.lit("2026-01-05T10:00:00Z").alias("publishedAt"), F.concat(F.col("html").cast("string"), F.lit(" [+12 chars]")).alias("content")
+    )
+    return I.normalize_article(raw).select("source_id", "clean_title", digest(F.col("clean_description")).alias("description"), digest(F.col("clean_content")).alias("content"))
+
+
+def flat_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    metrics = F.struct((k % 5).alias("retweet_count"), F.when(k % 2 == 0, k).alias("reply_count"), F.lit(None).cast("long").alias("like_count"))
+    raw = finance_texts(spark, sf_dir).select(k.cast("string").alias("id"), "text", F.lit("7").alias("author_id"), F.lit("2026-01-05T10:00:00Z").alias("created_at"), metrics.alias("public_metrics"))
+    return I.normalize_tweet(raw).select("id", digest(F.col("text")), "retweet_count", "reply_count", "like_count")
+
+
+def summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.keyword_scorer(finance_texts(spark, sf_dir), "text").withColumn("score_error", F.when(F.col("doc_id") % 10 == 0, "ValueError"))
+    return batch_summary(rows).withColumn("mean_confidence", half_up(F.col("mean_confidence"), 6))
+
+
+def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens under two presets, and the totals."""
+    docs = finance_texts(spark, sf_dir).select("doc_id", "text")
+    parts = [P.preprocess_stats(P.preprocess(docs, ("text",), preset), ("text",)).withColumn("preset", F.lit(preset)) for preset in ("minimal", "standard")]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES: dict[str, Query] = {
+    "upsert": upserted,
+    "purge_backfill": kept_and_filled,
+    "record_limits": broken_limits,
+    "channels": channels,
+    "engagement": engaged_posts,
+    "symbol_hints": symbol_hints,
+    "annotation_task": annotated,
+    "classify_column": classified,
+    "normalize_records": normalized,
+    "normalize_article": flat_articles,
+    "normalize_tweet": flat_posts,
+    "batch_summary": summarised,
+    "preprocess_stats": preprocessed,
     "daily_trend": lambda s, d: day_of(A.daily_trend(A.stock_rows(records(s, d))), "day"),
     "label_distribution": lambda s, d: A.label_distribution(A.stock_rows(records(s, d))),
     "label_distribution_by_source": lambda s, d: A.label_distribution(A.stock_rows(records(s, d)).filter("data_source is not null"), "data_source"),
