@@ -17,3 +17,35 @@ WITH docs AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept ON docs.r = kept.r
 """
+
+# All pairs of texts with a shingle in common, verified; classes by following links until nothing changes.
+JACCARD_JOIN = r"""
+WITH RECURSIVE docs AS (
+    SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
+), rows AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM docs
+), sets AS (
+    SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS s FROM rows, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS t(i) WHERE len(words) > 0
+), sizes AS (
+    SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM sets GROUP BY r
+), kinds AS (  -- a set stands for all rows that have it
+    SELECT same, min(r) AS k, any_value(n) AS n, count(*) AS copies FROM sizes GROUP BY same
+), of AS (
+    SELECT k, s FROM kinds JOIN sets ON sets.r = kinds.k
+), shared AS (
+    SELECT a.k AS a, b.k AS b, count(*) AS c FROM of AS a JOIN of AS b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k
+), links AS (
+    SELECT a, b FROM shared JOIN kinds AS x ON x.k = a JOIN kinds AS y ON y.k = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-4
+), reached AS (
+    SELECT k, k AS near FROM kinds UNION SELECT reached.k, links.b FROM reached JOIN links ON links.a = reached.near
+), lows AS (
+    SELECT kinds.k, min(doc_id) AS low FROM kinds JOIN sizes USING (same) JOIN rows ON rows.r = sizes.r GROUP BY kinds.k
+), classes AS (
+    SELECT reached.k, min(low) AS class FROM reached JOIN lows ON lows.k = reached.near GROUP BY reached.k
+), others AS (
+    SELECT a AS k, sum(copies) AS o FROM links JOIN kinds ON kinds.k = b GROUP BY a
+)
+SELECT rows.doc_id, CASE WHEN n IS NULL THEN rows.doc_id ELSE class END AS class_id, CASE WHEN n IS NULL THEN rows.doc_id ELSE low END AS copy_id,
+    coalesce(n, 0)::BIGINT AS n_shingles, coalesce(copies - 1 + coalesce(o, 0), 0)::BIGINT AS n_links
+FROM rows LEFT JOIN (SELECT sizes.r, kinds.k, kinds.n, copies, class, low, o FROM sizes JOIN kinds USING (same) JOIN classes USING (k) JOIN lows USING (k) LEFT JOIN others USING (k)) AS x ON x.r = rows.r
+"""
