@@ -148,7 +148,7 @@ _NORMAL = f"WITH {TEXTS}, n AS (SELECT doc_id, text, {normal('text')} AS t FROM
 _STOPPED = words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])
 _SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')".format
 _TOTALS = "count(*) AS total_records, CAST(sum(k) AS BIGINT) AS total_tokens, floor(sum(k)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_tokens_per_record"
-_HINTS = "list_filter(list_transform(" + _SPLIT("text") + "[1:12], lambda w: replace(replace(upper(regexp_replace(trim(w), '^[$]+', '')), 'ß', 'SS'), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
+_HINTS = "list_filter(list_transform(" + _SPLIT("text") + "[1:12], lambda w: replace(upper(replace(regexp_replace(trim(w), '^[$]+', ''), 'ß', 'SS')), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)".format
 
 ORACLES: dict[str, str] = {
