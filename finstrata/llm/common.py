@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +34,13 @@ def carried(docs: DataFrame, columns: tuple[str, ...]) -> tuple[Column, str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share. Where it is unset there is no such folder, and none is made up."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder does in local mode; a cluster has none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="finstrata-"))
     return sc.getCheckpointDir()
 
 

@@ -39,7 +39,7 @@ KEPT = "_row long, doc_id long, n_words long, n_removed long, kept binary"
 def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` hashes, the position of its smallest (of equal ones, the first)."""
     n = max(0, len(grams) - span + 1)
-    best = np.arange(len(grams))
+    best = np.arange(len(grams), dtype=np.int32)
     reach = 1
     while reach < span and n:  # minima of runs of 2, 4, 8 ..., then of two that overlap
         step = min(reach, span - reach)
@@ -105,7 +105,7 @@ def anchor_finder(window: int, prefix: int, bins: int):
     return found
 
 
-def piece_finder(window: int, prefix: int, bins: int, most: int):
+def piece_finder(window: int, prefix: int, bins: int, groups: int, most: int):
     def found(key: tuple, docs: Any, answers: Any) -> Any:
         """A block's pieces whose anchor stands more than once; of frequent anchors, the windows."""
         if not len(docs):
@@ -132,12 +132,12 @@ def piece_finder(window: int, prefix: int, bins: int, most: int):
                     split = d, bodies[d].as_py().split()
                 start = int(of.first[few[i]]) - firsts[d]
                 lines[i] = b" ".join(split[1][start : start + int(of.sizes[few[i]]) + window - 1])
-            rows += [(b, block_, 0, by_place(keys[few[lo:hi]]), by_place(counts[lo:hi].astype(np.uint32)), b"\n".join(lines[lo:hi])) for b, lo, hi in ranges(hashes[few], bins)]
+            rows += [(b, block_, 0, by_place(keys[few[lo:hi]]), by_place(counts[lo:hi].astype(np.uint32)), b"\n".join(lines[lo:hi])) for b, lo, hi in ranges(hashes[few], groups)]
         if len(many := np.flatnonzero(often > most)):
             starts = of.windows(many)
             node, at, counts = np.unique(runs[starts], return_index=True, return_counts=True)
             second = long_windows(mixed(of.words ^ MIX), window)[starts[at]]
-            rows += [(b, block_, 1, by_place(node[lo:hi]), by_place(counts[lo:hi].astype(np.uint32)), by_place(second[lo:hi])) for b, lo, hi in ranges(node, bins)]
+            rows += [(b, block_, 1, by_place(node[lo:hi]), by_place(counts[lo:hi].astype(np.uint32)), by_place(second[lo:hi])) for b, lo, hi in ranges(node, groups)]
         return as_table(rows, PIECES)
 
     return found
@@ -316,9 +316,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, prefix: int = 8, most: in
     along, kind = carried(docs, carry)
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("_row"), along)
     with Blocks(docs.sparkSession) as kept:
-        rows, bins = kept.add(rows.withColumn("block", block(8))), kept.buckets
+        rows, bins = kept.add(rows.withColumn("block", block(4))), kept.buckets
         bodies = rows.select("block", "body").groupBy("block")
         seen = bodies.applyInArrow(anchor_finder(window, prefix, bins), SENT).groupBy("bin", "n").applyInArrow(totals, ANSWERS).filter("block >= 0").select("block", "bin", "n", "shared", "counts")
-        pieces = bodies.cogroup(seen.groupBy("block")).applyInArrow(piece_finder(window, prefix, bins, most), PIECES)
+        pieces = bodies.cogroup(seen.groupBy("block")).applyInArrow(piece_finder(window, prefix, bins, 4 * bins, most), PIECES)  # some groups for each task
         found = pieces.groupBy("bin").applyInArrow(group_repeats(window), REPEATED)
         return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remover(window, prefix, one_space), f"{KEPT}, carried {kind}")
