@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,23 +75,22 @@ def kappa(rows: DataFrame, first: str = "first", second: str = "second") -> Data
 def bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """A percentile interval of the accuracy, from samples with replacement within each class.
 
-    A row is drawn as often as a Poisson(1) variable says, from its key's and the replicate's hash: no join, no collect.
+    Of a class's n rows, k of them right, such a sample has a binomial number of right ones: rows are counted once, and each
+    replicate draws a number for each class.
     """
-    weights = [(k, sum(math_poisson(j) for j in range(k + 1))) for k in range(7)]
-    drawn = rows.select("truth", "predicted", F.monotonically_increasing_id().alias("row")).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = F.pmod(F.xxhash64("row", "replicate", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    times = reduce(lambda otherwise, kw: F.when(u < kw[1], kw[0]).otherwise(otherwise), reversed(weights), F.lit(7))
-    each = drawn.withColumn("w", times).groupBy("replicate", "truth").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("w")).otherwise(0)).alias("right"))
-    sizes = rows.groupBy("truth").agg(F.count("*").alias("size"))
-    accuracy = each.join(sizes, "truth").groupBy("replicate").agg((F.sum(F.coalesce(F.try_divide(F.col("right") * F.col("size"), F.col("w")), F.lit(0.0))) / F.sum("size")).alias("accuracy"))
-    tail = (1 - level) / 2
-    return accuracy.agg(F.avg("accuracy").alias("mean"), F.percentile("accuracy", tail).alias("low"), F.percentile("accuracy", 1 - tail).alias("high"), F.count("*").alias("replicates"))
+    @F.pandas_udf("long")
+    def drawn(truth: pd.Series, n: pd.Series, k: pd.Series, replicate: pd.Series) -> pd.Series:
+        import zlib
 
+        import numpy as np
 
-def math_poisson(k: int) -> float:
-    import math
+        return pd.Series([np.random.default_rng([seed, r, zlib.crc32(str(t).encode())]).binomial(a, b / a) for t, a, b, r in zip(truth, n, k, replicate, strict=True)], dtype="int64")
 
-    return math.exp(-1) / math.factorial(k)
+    classes = rows.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("k"))
+    each = classes.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("right", drawn("truth", "n", "k", "replicate"))
+    accuracy = each.groupBy("replicate").agg((F.sum("right") / F.sum("n")).alias("accuracy"))
+    tail = (1 - level) / 2
+    return accuracy.agg(F.avg("accuracy").alias("mean"), F.percentile("accuracy", tail).alias("low"), F.percentile("accuracy", 1 - tail).alias("high"), F.count("*").alias("replicates"))
 
 
 def stratified_folds(rows: DataFrame, k: int, label: str, key: str, seed: int = 42) -> DataFrame:

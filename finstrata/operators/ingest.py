@@ -100,30 +100,32 @@ def dedupe_posts(rows: DataFrame, key: str = "id", ordinal: str = "ordinal", hin
     return rows.withColumn("_k", last).filter("_k = 1").drop("_k")
 
 
-def dedupe_articles(rows: DataFrame, url: str = "url", title: str = "title", ordinal: str = "ordinal", rounds: int = 100) -> DataFrame:
-    """Keeps an article unless one kept before it has its URL, or its title without case; nulls and blank URLs match nothing.
+def dedupe_articles(rows: DataFrame, url: str = "url", title: str = "title", ordinal: str = "ordinal") -> DataFrame:
+    """Keeps an article unless one kept before it has its URL, or its title without case. A blank URL matches nothing, a blank title
+    matches other blank titles. Ordinals are unique.
 
     This is what a loop in order does. In rounds: a row that is the first open one of both its URL and its title is kept, then
-    rows that share a key with a kept one are dropped. Each round shuffles the open rows by each key once; long chains of
-    alternating keys take more rounds.
+    rows that share a key with a kept one are dropped. The first rows of keys are found by an aggregate and joined by ordinal, so
+    a key that many rows have is no task's burden. Each round keeps the first open row at least; long chains of alternating
+    keys take more rounds.
     """
     from finstrata.plans.tables import settle
 
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    open_ = rows.withColumn("_url", blank(F.col(url))).withColumn("_title", F.coalesce(F.lower(title), F.lit("")))
+    open_ = settle(rows.withColumn("_url", blank(F.col(url))).withColumn("_title", F.coalesce(F.lower(title), F.lit(""))))
     kept = None
-    for _ in range(rounds):
-        first = lambda c: (F.min(ordinal).over(Window.partitionBy(c)) == F.col(ordinal)) | F.col(c).isNull()
-        x = settle(open_.withColumn("_keep", first("_url") & first("_title")))
+    while not open_.isEmpty():
+        for c in ("_url", "_title"):
+            first = open_.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(ordinal).alias(f"_first{c}")).drop(c)
+            open_ = open_.join(first, F.col(ordinal) == F.col(f"_first{c}"), "left")
+        x = settle(open_.withColumn("_keep", (F.col("_url").isNull() | F.col("_first_url").isNotNull()) & F.col("_first_title").isNotNull()).drop("_first_url", "_first_title"))
         won = x.filter("_keep")
         kept = won if kept is None else kept.unionByName(won)
         open_ = x.filter("not _keep")
         for c in ("_url", "_title"):
             open_ = open_.join(won.select(F.col(c).alias("_w")).distinct(), F.col(c) == F.col("_w"), "left_anti")
         open_ = settle(open_.drop("_keep"))
-        if open_.isEmpty():
-            return kept.drop("_keep", "_url", "_title")
-    raise RuntimeError(f"open rows after {rounds} rounds")
+    return (open_ if kept is None else kept.drop("_keep")).drop("_url", "_title")
 
 
 def import_records(rows: DataFrame, universe: list[str], now: str, scorer: Scorer = keyword_scorer, document_fallback: bool = True) -> DataFrame:
@@ -204,5 +206,8 @@ def stratified_sample(rows: DataFrame, key: str, per_label: int = 12, in_all: in
 
 
 def excerpts(rows: DataFrame, text: str, key: str, prefix: int = 80) -> DataFrame:
-    """One row for each beginning of a text: that with the smallest key."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(F.substring(text, 1, prefix)).orderBy(key))).filter("k = 1").drop("k")
+    """One row for each beginning of a text: that with the smallest key. Beginnings are summed up before rows meet."""
+    rows = rows.withColumn("_start", F.substring(text, 1, prefix))
+    first = rows.groupBy("_start").agg(F.min(key).alias("_key")).withColumnRenamed("_start", "_of")
+    found = rows.join(first, F.col("_start").eqNullSafe(F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    return found.dropDuplicates(["_start", "_key"]).drop("_start", "_of", "_key")
