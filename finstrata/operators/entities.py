@@ -13,7 +13,13 @@ from finstrata.functions.text import present, sentences
 
 # Patterns and company-name suffixes.
 CASHTAG, BARE = r"\$([A-Za-z]{1,5}(?:\.[A-Za-z])?)\b", r"(?<![A-Za-z0-9])([A-Z]{2,5}(?:\.[A-Z])?)(?![a-z])"
-SUFFIX = r"(?i)[,\s]+(incorporated|inc|corporation|corp|company|co|limited|ltd|plc|llc|lp|group|holdings|holding|trust|etf|sa|nv|ag|se)\.?$"
+# in the order in which they are tried
+SUFFIXES = (
+    ", Inc.", ", Inc", ", Corp.", ", Corp", ", Corporation", ", Ltd.", ", Ltd", ", Limited", ", LLC", ", L.L.C.", ", PLC", ", Co.",
+    " Inc.", " Inc", " Corp.", " Corp", " Corporation", " Ltd.", " Ltd", " Limited", " LLC", " L.L.C.", " PLC", " Co.", " Company", " & Co.",
+    "/Inc", "/DE", "/MD", "/NV", "/PA",
+)
+SKIPPED = ("the", "inc", "corp", "ltd", "llc", "plc", "new", "first", "american", "national", "united")
 CONTEXT = {"price": "price|trading|shares|stock", "earnings": "earnings|revenue|profit|quarter", "movement": "up|down|gain|loss|rose|fell", "analyst": "analyst|rating|upgrade|downgrade|target", "market": "market|investor|portfolio|fund"}
 
 
@@ -21,31 +27,42 @@ def normalize_symbol(symbol: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(F.trim(symbol), r"^\$+", "")), ".", "-")
 
 
-def stocks(spark) -> DataFrame:
-    """The stock dimension: ticker, company_name, short_name. Of repeated tickers the last one counts."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(STOCKS)], "at int, ticker string, company_name string")
+def stocks(spark, rows=STOCKS) -> DataFrame:
+    """The stock dimension: ticker, company_name, short_name, common_names, at (its order). Of repeated tickers the last one counts.
+
+    ``rows``: (ticker, company name) or (ticker, company name, list of common names).
+    """
+    full = [(i, *x, *([[]] if len(x) == 2 else [])) for i, x in enumerate(rows)]
+    rows = spark.createDataFrame(full, "at int, ticker string, company_name string, common_names array<string>")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("at")))).filter("k = 1")
-    return rows.select("ticker", "company_name", short_name(F.col("company_name")).alias("short_name"))
+    return rows.select("ticker", "company_name", short_name(F.col("company_name")).alias("short_name"), "common_names", "at")
 
 
 def short_name(name: Column) -> Column:
-    """A company's name without THE before and the first suffixes behind."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"(?i)^the\s+", ""), SUFFIX, ""), r"(?i)\s*/[A-Z]{2}/?$", ""))
+    """A company's name without the first of SUFFIXES that it ends with, a state's code, and THE before it."""
+    low = F.lower(name)
+    ended = F.coalesce(*(F.when(F.endswith(low, F.lit(s.lower())), F.left(name, F.length(name) - len(s))) for s in SUFFIXES), name)
+    return F.trim(F.regexp_replace(F.regexp_replace(ended, r"\s*[-/]\s*[A-Z]{2}$", ""), r"(?i)^the ", ""))
 
 
 def name_index(dimension: DataFrame) -> DataFrame:
-    """(name, ticker): full names first, then short ones, then first words of more than three letters; first come counts."""
+    """(name, ticker, priority): full names (0; the last stock's counts), then in the stocks' order, and the first counts: common names (1),
+    short ones (2), first words of more than three letters that say something (3)."""
     low = lambda c: F.lower(F.trim(c))
-    first = F.regexp_extract(low(F.col("short_name")), r"^([a-z]{4,})", 1)
-    names = F.array(F.struct(low(F.col("company_name")).alias("name"), F.lit(0).alias("priority")), F.struct(low(F.col("short_name")).alias("name"), F.lit(1).alias("priority")), F.struct(first.alias("name"), F.lit(2).alias("priority")))
-    rows = dimension.select("ticker", F.explode(names).alias("n")).select("n.*", "ticker").filter("name <> ''")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("priority", "ticker"))).filter("k = 1").select("name", "ticker", "priority")
+    first = F.lower(F.split(F.col("company_name"), r"\s+")[0])
+    kind = lambda name, k: F.struct(name.alias("name"), F.lit(k).alias("priority"))
+    names = F.array(kind(low(F.col("company_name")), 0), kind(low(F.col("short_name")), 2), kind(F.when((F.length(first) > 3) & ~first.isin(*SKIPPED), first).otherwise(""), 3))
+    common = F.transform(F.coalesce("common_names", F.array().cast("array<string>")), lambda n: kind(low(n), 1))
+    rows = dimension.select("ticker", "at", F.explode(F.concat(names, common)).alias("n")).select("n.*", "ticker", "at").filter("name <> ''")
+    order = [F.col("priority") > 0, F.when(F.col("priority") == 0, -F.col("at")).otherwise(F.col("at")), "priority", "ticker"]
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(*order))).filter("k = 1").select("name", "ticker", "priority")
 
 
 def search(dimension: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Stocks whose ticker is the query, then those whose name has it."""
     exact = F.col("ticker") == query.upper()
     found = dimension.filter(exact | F.lower("company_name").contains(query.lower()))
+    found = found.select("ticker", "company_name", "short_name")
     return found.withColumn("rank", F.when(exact, 0).otherwise(1)).orderBy("rank", "ticker").limit(limit)
 
 
@@ -99,14 +116,21 @@ def mention_context(text: Column, mention: Column, around: int = 80, shortest: i
     return F.when(F.length(sentence) >= shortest, sentence).otherwise(F.substring(text, start, F.length(mention) + 2 * around))
 
 
-def mentions(rows: DataFrame, key: str, text: str, universe: list[str]) -> DataFrame:
-    """Each ticker that a text mentions, with its context; texts of under 10 characters are passed over, others cut at 2000."""
-    cut = rows.filter(F.length(text) >= 10).withColumn(text, F.substring(text, 1, 2000))
+def mentions(rows: DataFrame, key: str, text: str, universe: list[str], longest: int | None = None) -> DataFrame:
+    """Each ticker that a text mentions, with its context; texts of under 10 characters are passed over. ``longest``: what of a text is read."""
+    cut = rows.filter(F.length(text) >= 10)
+    if longest is not None:
+        cut = cut.withColumn(text, F.substring(text, 1, longest))
     found = detect_tickers(cut, key, text, universe)
     bare = F.regexp_replace("mentioned_as", r"^\$", "")
     return found.join(cut.select(key, text), key).withColumn("context", mention_context(F.col(text), bare)).drop(text)
 
 
+def scored_mentions(rows: DataFrame, key: str, text: str, universe: list[str], scorer) -> DataFrame:
+    """mentions() with the label and score of each mention's context."""
+    return scorer(mentions(rows, key, text, universe), "context").select(key, "position", "ticker", "mentioned_as", "context", "sentiment_label", "sentiment_score")
+
+
 def hints(groups: Column) -> Column:
     """Symbols among search words: those of at most five letters or digits in upper case."""
     return F.array_distinct(F.filter(F.transform(groups, normalize_symbol), lambda s: s.rlike(r"^[A-Z0-9]{1,5}$")))

@@ -72,6 +72,12 @@ def kappa(rows: DataFrame, first: str = "first", second: str = "second") -> Data
     return x.select("n", half_up(F.col("po"), 4).alias("observed"), half_up(F.col("pe"), 4).alias("expected"), half_up(F.col("kappa"), 4).alias("kappa"), half_up(F.col("se"), 4).alias("se"), half_up(F.col("z"), 4).alias("z"), udf(lambda z: None if z is None else normal_p(z))("z").alias("p_value"))
 
 
+def class_agreement(rows: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
+    """Of each label that the first annotator gives, how often the second one gives it too."""
+    out = rows.groupBy(F.col(first).alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col(first) == F.col(second)).alias("agree"))
+    return out.withColumn("agreement", half_up(F.col("agree") / F.col("n"), 4))
+
+
 def bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """A percentile interval of the accuracy, from samples with replacement within each class.
 

@@ -335,6 +335,8 @@ QUERIES: dict[str, Query] = {
     "mcnemar": lambda s, d: V.mcnemar(judged(s, d)).select("b", "c", "discordant", half_up(F.col("chi2"), 6).alias("chi2")),
     "mcnemar_p": lambda s, d: V.mcnemar(judged(s, d)),
     "kappa": lambda s, d: V.kappa(judged(s, d)).drop("p_value"),
+    "class_agreement": lambda s, d: V.class_agreement(judged(s, d), "truth", "second"),
+    "scored_mentions": lambda s, d: E.scored_mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE, S.keyword_scorer),
     "bootstrap_ci": lambda s, d: V.bootstrap(judged(s, d).withColumnRenamed("first", "predicted")),
     "stratified_folds": lambda s, d: V.stratified_folds(judged(s, d), 5, "truth", "doc_id").groupBy("truth", "fold").agg(F.count("*").alias("n")),
     "token_weights": explain_scores,
