@@ -119,7 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, shortest: int = 51
 
     doc_id, start (ids of the document before the piece), length, ids (little-endian unsigned 32-bit), doc_tokens (with
     the end id), sequence_id, offset in the sequence, tier (the sequence's length, a power of two, so none is padded),
-    step_group (sequences of one training step; groups of a pool hold about ``group_tokens`` tokens each).
+    step_group (sequences of one training step; groups of a pool hold about ``group_tokens`` tokens each; a pool is a task's, so
+    groups are balanced within it).
 
     Null or empty texts give the end id alone. Rows with a null or repeated id are packed like any other. Other columns are
     not read. An empty table gives no rows. A text of any length is cut as often as needed. Pieces of equal length are taken

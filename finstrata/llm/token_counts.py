@@ -68,9 +68,12 @@ class Counts(dict):
             self[word] = (tokens[-1], best[-1])
 
 
-def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str | None = None, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_chars, n_pretokens, n_tokens and the segmentations' log probability.
 
+    ``scores`` has the pieces' log probabilities; without it, they follow from the ranks in the vocabulary of ``model_file``. ``docs`` may
+    be any number of texts, ``scores`` is a vocabulary and goes to each task.
+
     Pre-tokens are the runs between ASCII white space, each with a start mark. A null or empty text has none, and 0 tokens.
     Repeated rows and null ids stay as they are; other columns are not read. An empty table gives no rows.
     """
@@ -79,7 +82,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = Counts(pieces(model_file))
+        counts = Counts(pieces(model_file) if scores is None else scores)
 
         def out(rows: list[tuple[int | None, int, list[bytes]]]):
             counts.insert({w for _, _, words in rows for w in words})

@@ -372,6 +372,15 @@ def test_token_counts(spark, documents):
         assert got[i].log_prob == pytest.approx(sum(memo[w][0] for w in words))
 
 
+def test_token_counts_with_scores_of_their_own(spark, documents):
+    scores = {"▁": -9.0, "▁a": -2.0, "a": -3.0, "ab": -1.0, "b": -7.0, "▁ab": -8.0, "aba": -0.5}
+    got = {r.doc_id: r for r in token_counts(documents("aba ab", "b", "zz", None), scores=scores).collect()}
+    assert (got[0].n_tokens, got[0].log_prob) == (3, pytest.approx(-9 - 0.5 - 8))
+    assert (got[1].n_tokens, got[1].log_prob) == (2, pytest.approx(-16)) and got[3].n_tokens == 0
+    byte = min(scores.values()) - 2
+    assert (got[2].n_tokens, got[2].log_prob) == (3, pytest.approx(-9 + 2 * byte))
+
+
 # 1: quality
 
 
