@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table of fewer files than cores, dealt to all cores, for work that is heavy for each row; large tables stay as they lie."""
+    """Rows of a table that is read in fewer parts than there are cores, dealt to all cores, for work that is heavy for each row; large
+    tables stay as they lie."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
