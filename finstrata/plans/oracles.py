@@ -246,6 +246,7 @@ SELECT ticker, n, {r('sl', 4)} AS slope, {r('my - sl * mx', 4)} AS intercept, up
     "dedupe_posts": "SELECT event_id % 500 AS id, max(event_id) AS ordinal, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1",
     "excerpts": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY substr(text, 1, 80)",
     "insert_if_absent": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE event_id % 3 <> 0 AND event_id % 2 <> 0 GROUP BY ticker",
+    "insert_again": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE ticker IS DISTINCT FROM 'T0' GROUP BY ticker",
     "prune_oldest": f"WITH {RECORDS} SELECT count(*) AS rows, {stamp('min(published_at)')} AS first_at, {stamp('max(published_at)')} AS last_at FROM (SELECT * FROM recs ORDER BY published_at, id OFFSET 500)",
     "confusion": f"WITH {JUDGED} SELECT t AS truth, p AS predicted, count(j.doc_id) AS n FROM (SELECT unnest(['positive', 'negative']) AS t) CROSS JOIN (SELECT unnest(['positive', 'negative']) AS p) LEFT JOIN j ON truth = t AND first = p GROUP BY 1, 2",
     "class_scores": f"WITH {JUDGED} {prf('first')}",

@@ -106,6 +106,13 @@ def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
+def inserted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events come again as rows of T0, beside all that are there: those that were rows of T0 are there already."""
+    recs = records(spark, sf_dir)
+    again = recs.withColumn("id", record_id("stock", F.lit("events"), F.col("event_id"), F.lit("T0")))
+    return I.new_rows(again, recs).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = finance_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("2026-01-05T10:00:00").alias("published_at"))
     return I.import_records(raw, UNIVERSE, "2026-01-01T00:00:00").withColumn("published_at", F.col("published_at").cast("string"))
@@ -326,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "dedupe_url_title": lambda s, d: I.dedupe_articles(articles(s, d)).select("ordinal", "url", digest(F.col("title"))),
     "excerpts": lambda s, d: I.excerpts(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"),
     "insert_if_absent": inserted,
+    "insert_again": inserted_again,
     "prune_oldest": pruned,
     "import_records": imported,
     "demo_seed": lambda s, d: demo_seed(s),
