@@ -91,6 +91,17 @@ NAMED = f"""named AS (SELECT *, CASE WHEN t[1] < 0.24 OR t[1] - t[2] < 0.06 OR h
 EMOTIONAL = f"WITH {SCORED}, {SHARES}, {UNSURE}, {RAW}, {EMOTION_RAW}, {FELT}, {NAMED}"
 
 
+def variant(name: str, changed: str) -> str:
+    """The emotions of the same texts with some of what they are made of replaced."""
+    steps = f"hit AS (SELECT * REPLACE ({changed}) FROM hit), {EMOTION_RAW}, {FELT}, {NAMED}"
+    for x in ("hit", "raw", "felt", "named"):
+        steps = steps.replace(f"{x} AS (", f"{x}_{name} AS (").replace(f"FROM {x}", f"FROM {x}_{name}")
+    return steps.replace(f"FROM hit_{name}), ", "FROM hit), ", 1)
+
+
+VARIED = f"{EMOTIONAL}, {variant('h', '0.0 AS h')}, {variant('l', ', '.join(f'0 AS n_{e}' for e in EMOTION_PHRASES))}, v AS (SELECT a.doc_id, a.emotion_label AS f, b.emotion_label AS no_entropy, c.emotion_label AS no_lexicon FROM named a JOIN named_h b ON a.doc_id = b.doc_id JOIN named_l c ON a.doc_id = c.doc_id)"
+
+
 def emotions(key: str = "") -> str:
     k = f"{key}, " if key else ""
     inner = ", ".join(f"count(*) FILTER (emotion_label = '{e}') AS {e}" for e in EMOTIONS)
@@ -239,6 +250,8 @@ SELECT ticker, n, {r('sl', 4)} AS slope, {r('my - sl * mx', 4)} AS intercept, up
     "entropy": f"WITH {SCORED}, {SHARES}, {UNSURE} SELECT doc_id, {r('h', 6)} AS uncertainty FROM unsure",
     "emotion_infer": f"{EMOTIONAL} SELECT doc_id, emotion_label, {', '.join(f'emotion_{e}' for e in EMOTIONS)} FROM named",
     "emotion_distribution": emotions(),
+    "emotion_ablation": f"{VARIED} " + " UNION ALL ".join(f"SELECT '{x}' AS variant, {r(f'count(*) FILTER ({x} IS DISTINCT FROM f) / count(*)', 4)} AS flipped FROM v" for x in ("no_entropy", "no_lexicon")),
+    "emotion_variants": f"{VARIED} " + " UNION ALL ".join(f"SELECT '{x}' AS variant, {c} AS label, count(*) AS n FROM v GROUP BY 2" for x, c in (("full", "f"), ("no_entropy", "no_entropy"), ("no_lexicon", "no_lexicon"))),
     "emotion_timeline": emotions("source"),
     "stopword_filter": f"WITH {TEXTS} SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '' AND NOT list_contains({words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])}, lower(x)))) AS INTEGER) AS kept FROM texts",
     "cashtags": f"WITH {TEXTS} SELECT doc_id, array_to_string(regexp_extract_all(text, '\\$[A-Z]{{1,5}}\\b'), ',') AS cashtags FROM texts",

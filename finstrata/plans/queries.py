@@ -81,18 +81,28 @@ def explain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain(finance_texts(spark, sf_dir), "doc_id", "text")
 
 
-def emotion_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = emotional(spark, sf_dir).withColumnRenamed("emotion_label", "full")
+VARIANTS = ("full", "no_entropy", "no_lexicon")
+
+
+def emotion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's emotion, and what it would be without uncertainty and without phrases."""
 
     def score(rows: DataFrame, name: str, text: Column, h: Column) -> DataFrame:
         rows = rows.drop(*(f"emotion_{e}" for e in S.EMOTIONS), "emotion_label")
         rows = S.emotion_scores(rows, text, F.col("sentiment_label"), F.col("sentiment_score"), h)
         return S.with_emotion(rows, "uncertainty" if name != "no_entropy" else "zero").withColumnRenamed("emotion_label", name)
 
-    rows = base.withColumn("zero", F.lit(0.0))
+    rows = emotional(spark, sf_dir).withColumnRenamed("emotion_label", "full").withColumn("zero", F.lit(0.0))
     rows = score(rows, "no_entropy", F.col("text"), F.lit(0.0))
-    rows = score(rows, "no_lexicon", F.lit(""), F.col("uncertainty"))
-    return V.flips(rows, "full", ("no_entropy", "no_lexicon"))
+    return score(rows, "no_lexicon", F.lit(""), F.col("uncertainty")).select("doc_id", *VARIANTS)
+
+
+def emotion_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.flips(emotion_labels(spark, sf_dir), "full", VARIANTS[1:])
+
+
+def emotion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emotion_labels(spark, sf_dir).unpivot([], list(VARIANTS), "variant", "label").groupBy("variant", "label").agg(F.count("*").alias("n"))
 
 
 def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "emotion_distribution": lambda s, d: A.emotion_distribution(emotional(s, d)),
     "emotion_timeline": lambda s, d: A.emotion_distribution(emotional(s, d), "source"),
     "emotion_ablation": emotion_ablation,
+    "emotion_variants": emotion_variants,
     "normalize_text": lambda s, d: finance_texts(s, d).select("doc_id", F.md5(X.normalize_text(F.col("text")).cast("binary")).alias("digest")),
     "negation_join": lambda s, d: finance_texts(s, d).select("doc_id", F.md5(X.join_negations(F.col("text")).cast("binary")).alias("digest")),
     "tokens_quality": tokens_quality,
