@@ -157,6 +157,8 @@ def normal(x: str) -> str:
 
 
 _NORMAL = f"WITH {TEXTS}, n AS (SELECT doc_id, text, {normal('text')} AS t FROM texts)"
+_NEG = "regexp_matches(ws[i], '(?i)^(not|no|never|neither|nobody|nothing|nowhere|n''t)($|[^0-9A-Za-z_\\p{L}\\p{M}\\p{Nd}])')"
+_share = lambda x, digits, of="len(a)": r(f"coalesce({x}::DOUBLE / nullif({of}, 0), 0.0)", digits)
 _STOPPED = words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])
 _SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')".format
 _TOTALS = "count(*) AS total_records, CAST(sum(k) AS BIGINT) AS total_tokens, floor(sum(k)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_tokens_per_record"
@@ -176,6 +178,8 @@ ORACLES: dict[str, str] = {
     "normalize_article": f"SELECT CAST(page_id AS VARCHAR) AS source_id, {clean('url')} AS clean_title, md5({clean('html')}) AS description, md5({clean("(html || ' [+12 chars]')")}) AS content FROM pages",
     "normalize_tweet": f"WITH {TEXTS} SELECT CAST(doc_id AS VARCHAR) AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '@{_WORD}+', '', 'g'), '#({_WORD}+)', '\\1', 'g'), '\\s+', ' ', 'g'))) AS digest, doc_id % 5 AS retweet_count, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS reply_count, 0::BIGINT AS like_count FROM texts",
     "batch_summary": f"WITH {SCORED} SELECT count(*) AS total, {', '.join(f"count(*) FILTER (sentiment_label = '{x}') AS {x}" for x in LABELS)}, count(*) FILTER (doc_id % 10 = 0) AS failed, {r('avg(sentiment_score)', 6)} AS mean_confidence FROM scored",
+    "tokens_quality": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT doc_id, {_SPLIT('text')} AS b, {normal('text')} AS t FROM d), a AS (SELECT *, {_SPLIT('t')} AS a FROM n) SELECT doc_id, {_share('len(a)', 3, 'len(b)')} AS retention_rate, {_share('len(list_distinct(a))', 3)} AS unique_token_ratio, {_share(f'len(list_filter(a, lambda w: list_contains({words(FINANCIAL_TERMS)}, lower(w))))', 3)} AS financial_term_density, {_share("length(array_to_string(a, ''))", 2)} AS avg_token_length, CAST(len(list_distinct(regexp_extract_all(t, '\\$[A-Z]{{1,5}}\\b'))) AS INTEGER) AS ticker_count, contains(t, '_') OR contains(t, 'not') OR contains(t, 'no') OR contains(t, 'never') OR contains(t, 'neither') AS has_negations FROM a",
+    "negation_join": f"WITH {TEXTS}, s AS (SELECT doc_id, {_SPLIT('text')} AS ws FROM texts), w AS (SELECT doc_id, i, ws[i] AS w, {_NEG} AS neg FROM s, unnest(range(1, len(ws) + 1)) AS t(i)), g AS (SELECT *, neg AND (i - coalesce(max(CASE WHEN NOT neg THEN i END) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 2 = 1 AS held FROM w), h AS (SELECT *, coalesce(lag(held) OVER o, false) AS taken, lead(w) OVER o AS after FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)), j AS (SELECT doc_id, string_agg(CASE WHEN held AND after IS NOT NULL THEN regexp_replace(w, '[.,!?;:]+$', '') || '_' || after ELSE w END, ' ' ORDER BY i) AS t FROM h WHERE NOT taken GROUP BY doc_id) SELECT s.doc_id, md5(coalesce(t, '')) AS digest FROM s LEFT JOIN j ON s.doc_id = j.doc_id",
     "normalize_text": f"{_NORMAL} SELECT doc_id, md5(t) AS digest FROM n",
     "preprocess_stats": f"{_NORMAL}, w AS (SELECT {_SPLIT('t')} AS ws FROM n) SELECT 'minimal' AS preset, {_TOTALS} FROM (SELECT len(ws) AS k FROM w) UNION ALL SELECT 'standard', {_TOTALS} FROM (SELECT len(list_filter(ws, lambda x: NOT list_contains({_STOPPED}, x))) AS k FROM w)",
     "top_stocks_named": f"{STOCKS}, t AS (SELECT ticker, {COUNTS} FROM s GROUP BY ticker ORDER BY total DESC, ticker LIMIT 10) SELECT t.*, coalesce(s_name, ticker) AS company_name FROM t LEFT JOIN supplier ON ticker = 'T' || s_suppkey",
