@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import carried, rows_as, texts
+from finstrata.llm.common import carried, rows_as, settle, texts
 
 BITS = 18
 #: Style features follow the hashed ones.
@@ -285,6 +285,19 @@ def sure_finder(fitted, least: float):
     return found
 
 
+def first_by_hash(found: DataFrame, most: int) -> DataFrame:
+    """Of each view and label the ``most`` rows with the smallest hashes of their ids.
+
+    Hashes are spread evenly, so the smallest ones lie below a bound that follows from the number of rows (with 6 standard deviations to
+    spare): what meets in one task is little more than what is taken, however many rows and tasks there are.
+    """
+    hash_ = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    sizes = found.groupBy("view", "label").agg(F.count("*").alias("n"))  # four rows at most
+    near = found.join(F.broadcast(sizes), ["view", "label"]).filter(hash_ / F.lit(2.0**63) * F.col("n") <= most + 6 * math.sqrt(most) + 10)
+    nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(hash_, "doc_id"))
+    return near.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "view", "label")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, rounds: int = 2, sure: float = 0.98, per_round: int = 800, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, p_text, p_meta, score (chance of being good), keep, and carried
     (a struct of the columns of ``docs`` that ``carry`` names).
@@ -311,11 +324,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000,
     sample = features(known.select("doc_id", F.lit(-1).alias("view"), "label"))
     training = CoTraining(views_of(sample), np.asarray(sample.column("label"), float))
     models = training.fit()
-    order = Window.partitionBy("view", "label").orderBy(F.xxhash64("doc_id"), "doc_id")
     for turn in range(0 if training.trivial else rounds):
         found = rows.filter("doc_id is not null").mapInArrow(sure_finder(spark.sparkContext.broadcast(models), math.log(sure / (1 - sure))), SURE)
-        found = found.join(marks.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "view"])
-        chosen = features(found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_round * (turn + 1)).select("doc_id", "view", "label"))
+        found = settle(found.join(marks.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "view"]))
+        chosen = features(first_by_hash(found, per_round * (turn + 1)))
         of = np.asarray(chosen.column("view"))
         parts = [chosen.filter(of == k) for k in (0, 1)]
         models = training.fit(tuple((views_of(p)[k], np.asarray(p.column("label"), float)) for k, p in enumerate(parts)))

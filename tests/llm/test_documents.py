@@ -20,7 +20,7 @@ from finstrata.llm.license_scan import NOTICES, PHRASES, scan_licenses
 from finstrata.llm.lm_scoring import END, lm_scores
 from finstrata.llm.near_join import near_join
 from finstrata.llm.packing import pack
-from finstrata.llm.quality import score_quality
+from finstrata.llm.quality import first_by_hash, score_quality
 from finstrata.llm.substring_dedup import substring_dedup
 from finstrata.llm.token_counts import START, pieces, token_counts
 
@@ -393,6 +393,14 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.85, right
 
 
+def test_rows_to_learn_from_are_those_with_the_smallest_hashes(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("view"), (F.col("id") % 3 > 0).cast("int").alias("label"))
+    got = first_by_hash(rows, 50).groupBy("view", "label").agg(F.count("*").alias("n"), F.max(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).alias("last")).collect()
+    every = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).groupBy("view", "label").agg(F.sort_array(F.collect_list("h"))[49].alias("last")).collect()
+    assert {(r.view, r.label, r.last) for r in got} == {(r.view, r.label, r.last) for r in every} and {r.n for r in got} == {50}
+    assert first_by_hash(rows.filter("doc_id < 30"), 50).count() == 30 and first_by_hash(rows.limit(0), 50).count() == 0
+
+
 def test_quality_at_the_edges(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = score_quality(documents(*EDGES), none).collect()
