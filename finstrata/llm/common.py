@@ -94,7 +94,7 @@ def rows_as(schema: str):
     """The Arrow schema of a DDL string of plain types, for the batches that a mapInArrow function yields."""
     import pyarrow as pa
 
-    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "decimal(38,0)": pa.decimal128(38, 0)}
     plain |= {f"array<{name}>": pa.list_(kind) for name, kind in plain.items()}
     return pa.schema([(name, plain[kind]) for name, kind in (field.split() for field in schema.split(", "))])
 

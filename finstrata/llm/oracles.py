@@ -49,3 +49,43 @@ SELECT rows.doc_id, CASE WHEN n IS NULL THEN rows.doc_id ELSE class END AS class
     coalesce(n, 0)::BIGINT AS n_shingles, coalesce(copies - 1 + coalesce(o, 0), 0)::BIGINT AS n_links
 FROM rows LEFT JOIN (SELECT sizes.r, kinds.k, kinds.n, copies, class, low, o FROM sizes JOIN kinds USING (same) JOIN classes USING (k) JOIN lows USING (k) LEFT JOIN others USING (k)) AS x ON x.r = rows.r
 """
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOP_PRODUCTS = f"""
+WITH rows AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {FINITE}
+), scored AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS c_row, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+    FROM rows AS q JOIN rows AS c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, c_row)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def centroids(k: int = 8, rounds: int = 10) -> str:
+    """All distances in every round."""
+    parts = [f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE}
+), c0 AS MATERIALIZED (
+    SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept) WHERE c < {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (
+    SELECT r, c, list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}
+), a{i} AS MATERIALIZED (
+    SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS nearest FROM d{i}) WHERE nearest = 1
+)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+    SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{i} JOIN kept USING (r), unnest(range(1, 65)) AS t(i) GROUP BY c, i
+), c{i + 1} AS MATERIALIZED (
+    SELECT c{i}.c, coalesce(q, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM m{i} GROUP BY c) AS x ON x.c = c{i}.c
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finstrata.llm import oracles
 from finstrata.llm.ann import nearest
+from finstrata.llm.clustering import exponion
 from finstrata.llm.common import table
 from finstrata.llm.decontamination import decontaminate
 from finstrata.llm.html_text import extract_text
@@ -19,6 +20,7 @@ from finstrata.llm.packing import pack
 from finstrata.llm.quality import score_quality
 from finstrata.llm.substring_dedup import substring_dedup
 from finstrata.llm.token_counts import token_counts
+from finstrata.llm.top_k import exact_top_k
 
 
 def tokenizer(name: str) -> str:
@@ -71,9 +73,20 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion(table(spark, sf_dir, "embeddings"))
+
+
+def op13_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), is_query=lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_tree_dedup": oracles.SUBSTRING_DEDUP, "op9_minhash_jaccard_join": oracles.JACCARD_JOIN}
+    return {
+        "op7_suffix_tree_dedup": oracles.SUBSTRING_DEDUP, "op9_minhash_jaccard_join": oracles.JACCARD_JOIN,
+        "op12_exponion": oracles.centroids(), "op13_branch_and_bound": oracles.TOP_PRODUCTS,
+    }
