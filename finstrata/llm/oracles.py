@@ -89,3 +89,35 @@ SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PAR
     sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
 FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
 """
+
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), places AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS s(k)
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places
+), f AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL
+), found AS MATERIALIZED (
+    SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30
+), cuts AS (
+    SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS first, array_to_string(w[c + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM found)
+), scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score, c
+    FROM cuts AS c JOIN f AS x ON x.lang = c.lang AND x.phrase = c.first AND x.k = c.c JOIN f AS y ON y.lang = c.lang AND y.phrase = c.rest AND y.k = c.k - c.c
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), longer AS (
+    SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM found, (VALUES (2), (3)) AS s(n) WHERE n < k) GROUP BY ALL
+), ranked AS (
+    SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank FROM lowest AS x LEFT JOIN longer AS y ON x.lang = y.lang AND x.phrase = y.phrase
+    WHERE most IS NULL OR 100 * most < 80 * a
+), sizes AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from finstrata.llm import oracles
 from finstrata.llm.ann import nearest
 from finstrata.llm.clustering import exponion
+from finstrata.llm.collocations import collocations
 from finstrata.llm.common import table
 from finstrata.llm.decontamination import decontaminate
 from finstrata.llm.html_text import extract_text
@@ -73,6 +74,10 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_positional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion(table(spark, sf_dir, "embeddings"))
 
@@ -88,5 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_suffix_tree_dedup": oracles.SUBSTRING_DEDUP, "op9_minhash_jaccard_join": oracles.JACCARD_JOIN,
-        "op12_exponion": oracles.centroids(), "op13_branch_and_bound": oracles.TOP_PRODUCTS,
+        "op11_positional_lists": oracles.COLLOCATIONS, "op12_exponion": oracles.centroids(), "op13_branch_and_bound": oracles.TOP_PRODUCTS,
     }
