@@ -1,4 +1,4 @@
-"""Tickers, companies and mentions in texts."""
+"""The stock dimension, its name index, and hints of symbols; names.py finds them in texts."""
 
 from __future__ import annotations
 
@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finstrata.functions.columns import strings
-from finstrata.functions.lexicons import COMPANY_NAMES, NOT_TICKERS, STOCKS
-from finstrata.functions.text import present, sentences
+from finstrata.functions.lexicons import STOCKS
+from finstrata.functions.text import present
 
-# Patterns and company-name suffixes.
-CASHTAG, BARE = r"\$([A-Za-z]{1,5}(?:\.[A-Za-z])?)\b", r"(?<![A-Za-z0-9])([A-Z]{2,5}(?:\.[A-Z])?)(?![a-z])"
-# in the order in which they are tried
+# Company-name suffixes, in the order in which they are tried.
 SUFFIXES = (
     ", Inc.", ", Inc", ", Corp.", ", Corp", ", Corporation", ", Ltd.", ", Ltd", ", Limited", ", LLC", ", L.L.C.", ", PLC", ", Co.",
     " Inc.", " Inc", " Corp.", " Corp", " Corporation", " Ltd.", " Ltd", " Limited", " LLC", " L.L.C.", " PLC", " Co.", " Company", " & Co.",
@@ -33,9 +31,17 @@ def stocks(spark, rows=STOCKS) -> DataFrame:
     ``rows``: (ticker, company name) or (ticker, company name, list of common names).
     """
     full = [(i, *x, *([[]] if len(x) == 2 else [])) for i, x in enumerate(rows)]
-    rows = spark.createDataFrame(full, "at int, ticker string, company_name string, common_names array<string>")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("at")))).filter("k = 1")
-    return rows.select("ticker", "company_name", short_name(F.col("company_name")).alias("short_name"), "common_names", "at")
+    return dimension(spark.createDataFrame(full, "at long, ticker string, company_name string, common_names array<string>"))
+
+
+def dimension(rows: DataFrame) -> DataFrame:
+    """The stock dimension from a table of any size: ticker, company_name, and if there are any common_names and at. Without ``at`` the
+    order is that of the tickers' hashes. Of repeated tickers the last one counts."""
+    given = rows.columns
+    common = F.col("common_names") if "common_names" in given else F.array().cast("array<string>")
+    rows = rows.select("ticker", "company_name", common.alias("common_names"), (F.col("at") if "at" in given else F.xxhash64("ticker")).cast("long").alias("at"))
+    last = rows.groupBy("ticker").agg(F.max(F.struct("at", "company_name", "common_names")).alias("r"))
+    return last.select("ticker", "r.company_name", short_name(F.col("r.company_name")).alias("short_name"), "r.common_names", "r.at")
 
 
 def short_name(name: Column) -> Column:
@@ -66,40 +72,6 @@ def search(dimension: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return found.withColumn("rank", F.when(exact, 0).otherwise(1)).orderBy("rank", "ticker").limit(limit)
 
 
-def detect_tickers(rows: DataFrame, key: str, text: str, universe: list[str], names: dict[str, str] | None = None, blocked: list[str] | None = None) -> DataFrame:
-    """(key, position, ticker, mentioned_as): $tags, then bare upper-case tickers, then company names; each ticker once.
-
-    The universe is a dimension's tickers, a few thousand at most; candidates are tested against it where the text is.
-    """
-    names, blocked = COMPANY_NAMES if names is None else names, NOT_TICKERS if blocked is None else blocked
-    rows = rows.select(key, present(F.col(text)).alias("_text")).withColumn("_low", F.lower("_text"))
-    source, low = F.col("_text"), F.col("_low")
-    mention = lambda sym, form, kind: F.struct(sym.alias("ticker"), form.alias("form"), F.lit(kind).alias("kind"))
-    tags = F.transform(F.regexp_extract_all(source, F.lit(CASHTAG), F.lit(1)), lambda s: mention(normalize_symbol(s), F.concat(F.lit("$"), normalize_symbol(s)), 0))
-    bare = F.filter(F.transform(F.regexp_extract_all(source, F.lit(BARE), F.lit(1)), lambda s: mention(normalize_symbol(s), s, 1)), lambda x: ~x["ticker"].isin(blocked))
-    valid = lambda a: F.filter(a, lambda x: x["ticker"].isin(universe))
-    named = F.array_compact(F.array(*(F.when(low.contains(n) & low.rlike(rf"\b\Q{n}\E\b"), mention(F.lit(t), F.substring(source, F.regexp_instr(low, F.lit(rf"\b\Q{n}\E\b")), F.lit(len(n))), 2)) for n, t in names.items())))
-    found = rows.select(F.col(key), F.posexplode(F.concat(valid(tags), valid(bare), named)).alias("at", "m"))
-    found = found.withColumn("k", F.row_number().over(Window.partitionBy(key, "m.ticker").orderBy("at"))).filter("k = 1")
-    return found.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("position"), F.col("m.ticker").alias("ticker"), F.col("m.form").alias("mentioned_as"))
-
-
-def resolve(names: DataFrame, dimension: DataFrame, least: float = 0.85) -> DataFrame:
-    """(name, ticker, method, score): exact ticker, exact name, else the nearest name of the index that shares its first three letters.
-
-    Nearness is 1 less the edit distance as a share of the longer name; of equal ones the smallest ticker counts.
-    """
-    index = name_index(dimension)
-    low = F.lower(F.trim("name"))
-    asked = names.select("name").distinct()
-    by_ticker = asked.join(F.broadcast(dimension.select("ticker")), normalize_symbol(F.col("name")) == F.col("ticker")).select("name", "ticker", F.lit(0).alias("order"), F.lit("ticker").alias("method"), F.lit(1.0).alias("score"))
-    near = asked.withColumn("head", F.substring(low, 1, 3)).join(F.broadcast(index.select(F.col("name").alias("known"), "ticker", F.substring("name", 1, 3).alias("head"))), "head")
-    score = 1 - F.levenshtein(low, F.col("known")) / F.greatest(F.length(low), F.length("known"))
-    near = near.select("name", "ticker", F.when(low == F.col("known"), 1).otherwise(2).alias("order"), F.when(low == F.col("known"), "name").otherwise("fuzzy").alias("method"), score.alias("score")).filter(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy("name").orderBy("order", F.desc("score"), "ticker"))
-    return by_ticker.unionByName(near).withColumn("k", best).filter("k = 1").select("name", "ticker", "method", "score")
-
-
 def context_flags(text: Column) -> dict[str, Column]:
     """Which kinds of financial words a text has, and whether two or more kinds make it likely to be about stocks."""
     low = F.lower(present(text))
@@ -108,29 +80,6 @@ def context_flags(text: Column) -> dict[str, Column]:
     return flags | {"financial": count >= 2}
 
 
-def mention_context(text: Column, mention: Column, around: int = 80, shortest: int = 20) -> Column:
-    """The sentence with a mention, if it is long enough, else so many characters around it."""
-    low = F.lower(mention)
-    sentence = F.get(F.filter(sentences(text), lambda s: F.contains(F.lower(s), low)), F.lit(0))
-    start = F.greatest(F.lit(1), F.position(low, F.lower(text)) - around)
-    return F.when(F.length(sentence) >= shortest, sentence).otherwise(F.substring(text, start, F.length(mention) + 2 * around))
-
-
-def mentions(rows: DataFrame, key: str, text: str, universe: list[str], longest: int | None = None) -> DataFrame:
-    """Each ticker that a text mentions, with its context; texts of under 10 characters are passed over. ``longest``: what of a text is read."""
-    cut = rows.filter(F.length(text) >= 10)
-    if longest is not None:
-        cut = cut.withColumn(text, F.substring(text, 1, longest))
-    found = detect_tickers(cut, key, text, universe)
-    bare = F.regexp_replace("mentioned_as", r"^\$", "")
-    return found.join(cut.select(key, text), key).withColumn("context", mention_context(F.col(text), bare)).drop(text)
-
-
-def scored_mentions(rows: DataFrame, key: str, text: str, universe: list[str], scorer) -> DataFrame:
-    """mentions() with the label and score of each mention's context."""
-    return scorer(mentions(rows, key, text, universe), "context").select(key, "position", "ticker", "mentioned_as", "context", "sentiment_label", "sentiment_score")
-
-
 def hints(groups: Column) -> Column:
     """Symbols among search words: those of at most five letters or digits in upper case."""
     return F.array_distinct(F.filter(F.transform(groups, normalize_symbol), lambda s: s.rlike(r"^[A-Z0-9]{1,5}$")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from finstrata.functions.columns import first_text, record_id
 from finstrata.functions.sentiment import Scorer, emotion_scores, entropy, keyword_scorer, rationale, scored_aspects, with_emotion
 from finstrata.functions.text import clean_news, clean_tweet
-from finstrata.operators.entities import detect_tickers
+from finstrata.operators.names import detect_tickers
 
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "dd MMM yyyy HH:mm:ss Z")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from finstrata.functions.lexicons import STOCKS as COMPANIES
 from finstrata.functions.lexicons import CHANNELS, EMOTION_PHRASES, EMOTIONS, FINANCIAL_TERMS, INTENSITY_WORDS, LABELS, NEGATIVE_WORDS, POSITIVE_WORDS, SPAM_PATTERNS, STOP_WORDS
 from finstrata.functions.text import EMOJI, MOVEMENT, PUNCTUATION
 from finstrata.operators.entities import CONTEXT, SKIPPED, SUFFIXES
@@ -138,7 +137,6 @@ _WORD = "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]"
 _LOW = f"WITH {TEXTS}, low AS (SELECT doc_id, text, lower(text) AS l FROM texts)"
 _FLAGS = ", ".join(f"regexp_matches(l, '\\b(?:{w})\\b') AS has_{n}" for n, w in CONTEXT.items())
 _UP = "regexp_matches(lower(m), '^(gained|gain|rose|increased|increase|up)\\s')"
-_STOCK_ROWS = "(VALUES " + ", ".join("('" + t + "', '" + n.replace("'", "''") + "')" for t, n in COMPANIES) + ") v(ticker, company_name)"
 _ENDED = "CASE " + " ".join(f"WHEN ends_with(lower(company_name), '{x.lower()}') THEN company_name[:-{len(x) + 1}]" for x in SUFFIXES) + " ELSE company_name END"
 _SHORT = f"trim(regexp_replace(regexp_replace({_ENDED}, '\\s*[-/]\\s*[A-Z]{{2}}$', ''), '(?i)^the ', ''))"
 _SPAM = "|".join(f"(?:{p})" for p in SPAM_PATTERNS).replace("'", "''")
@@ -162,7 +160,7 @@ _share = lambda x, digits, of="len(a)": r(f"coalesce({x}::DOUBLE / nullif({of},
 _STOPPED = words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])
 _SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')".format
 _TOTALS = "count(*) AS total_records, CAST(sum(k) AS BIGINT) AS total_tokens, floor(sum(k)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_tokens_per_record"
-_HINTS = "list_filter(list_transform(" + _SPLIT("text") + "[1:12], lambda w: replace(upper(replace(regexp_replace(trim(w), '^[$]+', ''), 'ß', 'SS')), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
+_HINTS = "list_filter(list_transform(" + _SPLIT("text") + ", lambda w: replace(upper(replace(regexp_replace(trim(w), '^[$]+', ''), 'ß', 'SS')), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)".format
 
 ORACLES: dict[str, str] = {
@@ -198,8 +196,6 @@ ORACLES: dict[str, str] = {
     "movements": f"WITH {TEXTS}, m AS (SELECT doc_id, regexp_extract_all(text, '{MOVEMENT}') AS ms FROM texts), f AS (SELECT doc_id, ms, ms[1] AS m FROM m) SELECT doc_id, CAST(len(ms) AS INTEGER) AS n, CASE WHEN m IS NULL THEN '' WHEN {_UP} THEN 'positive' ELSE 'negative' END AS direction FROM f",
     "context_flags": f"{_LOW}, f AS (SELECT doc_id, {_FLAGS} FROM low) SELECT *, {' + '.join(f'CAST(has_{n} AS INTEGER)' for n in CONTEXT)} >= 2 AS financial FROM f",
     "sentence_split": f"WITH {TEXTS}, w AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM texts), p AS (SELECT doc_id, t, len(list_filter(string_split(regexp_replace(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) >= 12)) AS k FROM w) SELECT doc_id, CAST(CASE WHEN k > 0 THEN k WHEN t <> '' THEN 1 ELSE 0 END AS INTEGER) AS sentences FROM p",
-    "stock_search": f"SELECT ticker, company_name, {_SHORT} AS short_name, CASE WHEN ticker = 'CORP' THEN 0 ELSE 1 END AS rank FROM {_STOCK_ROWS} WHERE ticker = 'CORP' OR contains(lower(company_name), 'corp') ORDER BY rank, ticker LIMIT 10",
-    "name_index": f"WITH d AS (SELECT *, row_number() OVER () AS pos, lower(trim(company_name)) AS a, lower(trim({_SHORT})) AS b, lower(string_split(company_name, ' ')[1]) AS f FROM {_STOCK_ROWS}), n AS (SELECT a AS name, ticker, 0 AS priority, -pos AS o FROM d UNION ALL SELECT b, ticker, 2, pos FROM d UNION ALL SELECT f, ticker, 3, pos FROM d WHERE length(f) > 3 AND NOT list_contains({words(SKIPPED)}, f)) SELECT name, ticker, priority FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority > 0, o, priority, ticker) AS k FROM n WHERE name <> '') WHERE k = 1",
     "class_agreement": f"WITH {JUDGED} SELECT truth AS label, count(*) AS n, count(*) FILTER (truth = second) AS agree, {r('count(*) FILTER (truth = second) / count(*)', 4)} AS agreement FROM j GROUP BY 1",
     "daily_trend": f"{STOCKS} SELECT {day('d')} AS day, total, {r(NET, 4)} AS net FROM (SELECT CAST(published_at AS DATE) AS d, {COUNTS} FROM s GROUP BY 1)",
     "label_distribution": f"{STOCKS} SELECT total, positive, negative, neutral, {PERCENTS} FROM (SELECT {COUNTS} FROM s)",

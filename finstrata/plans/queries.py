@@ -16,10 +16,10 @@ from finstrata.operators import entities as E
 from finstrata.operators import evaluation as V
 from finstrata.operators import ingest as I
 from finstrata.operators import market as M
+from finstrata.operators import names as N
 from finstrata.operators import preprocess as P
 from finstrata.operators import stats as T
 from finstrata.sources.proxies import finance_texts, long_prices, long_records, prices, records, table
-from finstrata.sources.readers import demo_seed
 
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = "2024-01-01", "2024-01-30"
@@ -133,6 +133,39 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("company_name"))
 
 
+def all_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stock dimension: the small one, and all suppliers."""
+    more = table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.concat("s_name", F.lit(" Inc.")).alias("company_name"), (1000 + F.col("s_suppkey")).cast("long").alias("at"))
+    return E.dimension(E.stocks(spark).select("ticker", "company_name", "at").unionByName(more))
+
+
+def company_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin with the names of two companies."""
+    name = F.concat(F.col("s_name"), F.when(F.col("doc_id") % 2 == 0, " Inc.").otherwise(""))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("doc_id") % 10)
+    return rows.select("doc_id", F.concat(F.lit("Shares of "), name, F.lit(" rose, and Bank of America Corporation fell; "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = E.name_index(all_companies(spark, sf_dir))
+    return N.detect_tickers(company_news(spark, sf_dir), "doc_id", "text", all_companies(spark, sf_dir).select("ticker"), index)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = N.entity_candidates(company_news(spark, sf_dir), "doc_id", "text")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entity", "run"))), lambda x: x["entity"]), "\n")
+    return found.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.md5(listed.cast("binary")).alias("digest"))
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page titles as companies' names; asked for by ticker, by name, and without their third letter."""
+    title = F.regexp_extract(F.decode(F.col("html").cast("binary"), "UTF-8"), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("ticker"), title.alias("company_name"), F.col("page_id").alias("at"))
+    wrong = F.concat(F.left("company_name", F.lit(2)), F.substr("company_name", F.lit(4)))
+    asked = F.when(F.col("at") % 3 == 0, F.concat(F.lit("$"), F.col("ticker"))).when(F.col("at") % 3 == 1, F.col("company_name")).otherwise(wrong)
+    return N.resolve(pages.select(asked.alias("name")), E.dimension(pages))
+
+
 def newest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = records(spark, sf_dir)
     return A.find_records(recs, recs.orderBy(F.desc("published_at"), "id").limit(1)).select("id", "ticker", "sentiment_label")
@@ -196,8 +229,8 @@ def engaged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols among each text's first words, those that a list in text form names, and both with the known ones first."""
-    words = F.slice(X.tokens(F.col("text")), 1, 12)
+    """Symbols among each text's words, those that a list in text form names, and both with the known ones first."""
+    words = X.tokens(F.col("text"))
     listed = F.concat(F.lit("['AAPL', 'T"), (F.col("doc_id") % 3).cast("string"), F.lit("', 'BRK.B', 'lower']"))
     rows = finance_texts(spark, sf_dir).select("doc_id", E.hints(words).alias("hints"), E.symbols_in(listed).alias("symbols"))
     return rows.select("doc_id", F.array_join("hints", ",").alias("hints"), F.array_join("symbols", ",").alias("symbols"), F.array_join(E.union_hints(F.col("hints"), F.col("symbols"), UNIVERSE), ",").alias("joined"))
@@ -330,11 +363,14 @@ QUERIES: dict[str, Query] = {
     "scored_aspects": lambda s, d: S.scored_aspects(finance_texts(s, d), "doc_id", "text").select("doc_id", F.to_json("aspects").alias("aspects")),
     "cashtags": lambda s, d: finance_texts(s, d).select("doc_id", F.array_join(X.cashtags(F.col("text")), ",").alias("cashtags")),
     "movements": lambda s, d: finance_texts(s, d).select("doc_id", F.size(X.movements(F.col("text"))).alias("n"), F.coalesce(F.get(X.movements(F.col("text")), F.lit(0))["direction"], F.lit("")).alias("direction")),
-    "ticker_detect": lambda s, d: E.detect_tickers(finance_texts(s, d), "doc_id", "text", UNIVERSE),
-    "mention_contexts": lambda s, d: E.mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE),
-    "entity_resolve": lambda s, d: E.resolve(s.createDataFrame([("aapl",), ("Tesla Inc.",), ("Microsft Corporation",), ("nobody at all",)], "name string"), E.stocks(s)),
-    "stock_search": lambda s, d: E.search(E.stocks(s), "corp"),
-    "name_index": lambda s, d: E.name_index(E.stocks(s)),
+    "ticker_detect": lambda s, d: N.detect_tickers(finance_texts(s, d), "doc_id", "text", UNIVERSE),
+    "company_detect": company_names,
+    "mention_contexts": lambda s, d: N.mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE),
+    "entity_candidates": candidates,
+    "entities": lambda s, d: N.entities(company_news(s, d), "doc_id", "text", all_companies(s, d)),
+    "entity_resolve": resolved,
+    "stock_search": lambda s, d: E.search(all_companies(s, d), "inc"),
+    "name_index": lambda s, d: E.name_index(all_companies(s, d)),
     "context_flags": lambda s, d: finance_texts(s, d).select("doc_id", *(c.alias(n) for n, c in E.context_flags(F.col("text")).items())),
     "clean_html_news": lambda s, d: table(s, d, "pages").select("page_id", F.md5(X.clean_news(F.col("html")).cast("binary")).alias("digest")),
     "clean_tweet": lambda s, d: finance_texts(s, d).select("doc_id", digest(X.clean_tweet(F.col("text")))),
@@ -347,7 +383,6 @@ QUERIES: dict[str, Query] = {
     "insert_again": inserted_again,
     "prune_oldest": pruned,
     "import_records": imported,
-    "demo_seed": lambda s, d: demo_seed(s),
     "confusion": lambda s, d: V.confusion(judged(s, d).withColumnRenamed("first", "predicted"), ("positive", "negative")),
     "class_scores": lambda s, d: V.scores(judged(s, d).withColumnRenamed("first", "predicted"), ("positive", "negative")),
     "model_comparison": lambda s, d: V.comparison(judged(s, d), ("first", "second"), ("positive", "negative")),
@@ -355,7 +390,7 @@ QUERIES: dict[str, Query] = {
     "mcnemar_p": lambda s, d: V.mcnemar(judged(s, d)),
     "kappa": lambda s, d: V.kappa(judged(s, d)).drop("p_value"),
     "class_agreement": lambda s, d: V.class_agreement(judged(s, d), "truth", "second"),
-    "scored_mentions": lambda s, d: E.scored_mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE, S.keyword_scorer),
+    "scored_mentions": lambda s, d: N.scored_mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE, S.keyword_scorer),
     "bootstrap_ci": lambda s, d: V.bootstrap(judged(s, d).withColumnRenamed("first", "predicted")),
     "stratified_folds": lambda s, d: V.stratified_folds(judged(s, d), 5, "truth", "doc_id").groupBy("truth", "fold").agg(F.count("*").alias("n")),
     "token_weights": explain_scores,

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from finstrata.functions import sentiment as S
 from finstrata.functions import text as X
-from finstrata.operators import entities as E
 
 
 def one(spark, text, f):
@@ -71,21 +70,6 @@ def test_emotion(spark):
     assert got[0].emotion_label == "fear" and got[1].emotion_label == "mixed"
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("I like $aapl and $BRK.B", [("AAPL", "$AAPL"), ("BRK-B", "$BRK-B")]), ("TSLA or Tesla, TSLA", [("TSLA", "TSLA")]), ("we love Nvidia", [("NVDA", "Nvidia")]), ("CEO of the USA", []), (None, []), ("", [])],
-)
-def test_tickers(spark, text, want):
-    rows = spark.createDataFrame([(1, text)], "k long, t string")
-    got = E.detect_tickers(rows, "k", "t", ["AAPL", "BRK-B", "TSLA", "NVDA", "CEO"]).orderBy("position").collect()
-    assert [(x.ticker, x.mentioned_as) for x in got] == want
-
-
-def test_resolve(spark):
-    names = spark.createDataFrame([("$aapl",), ("Tesla Inc.",), ("Microsft Corporation",), ("nobody",), (None,)], "name string")
-    assert {r.name: (r.ticker, r.method) for r in E.resolve(names, E.stocks(spark)).collect()} == {"$aapl": ("AAPL", "ticker"), "Tesla Inc.": ("TSLA", "name"), "Microsft Corporation": ("MSFT", "fuzzy")}
-
-
 def test_sentences(spark):
     assert one(spark, "First sentence here. Second one is here!  no", X.sentences) == ["First sentence here.", "Second one is here!"]
     assert one(spark, "short", X.sentences) == ["short"]
