@@ -1,19 +1,31 @@
-"""Why a scorer says what it says: words are left out at random, and a weighted linear model of the scores is fitted."""
+"""Why a scorer says what it says.
+
+explain() leaves out words at random and fits a weighted linear model of the scores (LIME); attributions() shares what the
+scores of a text and of an empty text differ by among the text's words (Owen values, as SHAP's partition explainer does).
+
+The default scorer knows a text by its distinct lexicon words. Which tokens hold which of them is found once, in the JVM; from
+then on a sample of a text is a row of numbers, and no copy of the text is ever made. Each text is one row's work. Other scorers
+get the copies.
+"""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.functions.sentiment import Scorer, keyword_scorer
+from finstrata.functions.columns import strings
+from finstrata.functions.lexicons import LABELS, NEGATIVE_WORDS, POSITIVE_WORDS
+from finstrata.functions.sentiment import Scorer, distinct_words, keyword_scorer, keyword_shares
 from finstrata.functions.text import tokens
 
+GOOD = frozenset(POSITIVE_WORDS)
+
 
 def masks(key: object, words: int, samples: int, seed: int) -> np.ndarray:
     """Which words each sample of a text keeps; sample 0 keeps all."""
@@ -31,15 +43,19 @@ def perturbed(rows: DataFrame, key: str, text: str, samples: int, seed: int, at_
     """(key, sample, kept): so many copies of each text, each without the words that its mask leaves out."""
     words = dealt(rows.select(F.col(key), tokens(F.col(text)).alias("words")), key)
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, own in zip(frame[key], frame["words"], strict=True):
-                chosen, step = masks(k, len(own), samples, seed), max(1, at_once // max(len(own), 1))
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, words_ in zip(batch.column(key), batch.column("words"), strict=True):
+                own = words_.as_py()
+                chosen, step = masks(k.as_py(), len(own), samples, seed), max(1, at_once // max(len(own), 1))
                 for first in range(0, samples, step):
                     kept = [" ".join(compress(own, mask)) for mask in chosen[first : first + step].tolist()]
-                    yield pd.DataFrame({key: [k] * len(kept), "sample": range(first, first + len(kept)), "kept": kept})
+                    columns = {key: pa.array([k.as_py()] * len(kept), k.type), "sample": pa.array(range(first, first + len(kept)), pa.int32()), "kept": pa.array(kept, pa.string())}
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    return words.mapInPandas(made, f"{key} {rows.schema[key].dataType.simpleString()}, sample int, kept string")
+    return words.mapInArrow(made, f"{key} {rows.schema[key].dataType.simpleString()}, sample int, kept string")
 
 
 def ridge(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -52,32 +68,150 @@ def ridge(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
     return x.T @ np.linalg.solve(x @ x.T + (1 + 1e-9) * np.eye(x.shape[0]), y)
 
 
+def weighed(words: list[str], chosen: np.ndarray, shares: np.ndarray, most: int, width: float) -> list[tuple[str, float]]:
+    """The words with the largest weights in a linear model of the samples' shares; samples that keep more count more."""
+    x = chosen.astype(np.float32 if len(words) > len(chosen) else np.float64)
+    near = np.exp(-((1 - np.sqrt(x.mean(1))) ** 2) / width**2)
+    weights = ridge(x, shares, near)
+    order = np.lexsort((np.arange(len(words)), -np.abs(weights)))[:most]
+    return [(words[i], float(weights[i])) for i in order]
+
+
+def lexicon_words(text: Column) -> tuple[Column, Column]:
+    """A text's tokens, and of each token the distinct lexicon words that it holds."""
+    parts = tokens(text)
+    return parts.alias("words"), F.transform(parts, lambda t: F.array_intersect(distinct_words(t), strings([*POSITIVE_WORDS, *NEGATIVE_WORDS]))).alias("held")
+
+
+def places(held: list) -> dict[str, list[int]]:
+    """The tokens that hold each lexicon word of a text."""
+    found: dict[str, list[int]] = {}
+    for i, words in enumerate(held):
+        for w in words:
+            found.setdefault(w, []).append(i)
+    return found
+
+
+def counts(chosen: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct good and bad words each sample has: a word is there if any of its tokens is."""
+    good, bad = np.zeros(len(chosen), np.int64), np.zeros(len(chosen), np.int64)
+    for word, at in places(held).items():
+        there = good if word in GOOD else bad
+        there += chosen[:, at].any(1)
+    return good, bad
+
+
+def by_row(rows: DataFrame, key: str, text: str, schema: str, found: Callable[[object, list[str], list], Iterable[tuple]]) -> DataFrame:
+    """Applies a function of (key, tokens, lexicon words by token) to each text."""
+    words = dealt(rows.select(F.col(key), *lexicon_words(F.col(text))), key)
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+        fields = [(name, kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))]
+        for batch in batches:
+            for k, own, held in zip(*(batch.column(c) for c in (key, "words", "held")), strict=True):
+                out = list(found(k.as_py(), own.as_py(), held.as_py())) if len(own) else []
+                columns = [pa.array([k.as_py()] * len(out), k.type), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([(key, k.type), *fields]))
+
+    return words.mapInArrow(made, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+
+
 def explain(rows: DataFrame, key: str, text: str, scorer: Scorer = keyword_scorer, samples: int = 5000, seed: int = 42, most: int = 10, width: float = 0.25) -> DataFrame:
     """(key, token, weight, predicted_class): the words with the largest weights for the class that the whole text has.
 
-    One text's scores are one group, of a fixed size; its masks are made again where the model is fitted.
+    Samples follow from the key and the seed. Texts without words give no rows.
     """
+    schema = "token string, weight double, predicted_class string"
+    if scorer is keyword_scorer:
+
+        def fast(k: object, words: list[str], held: list) -> Iterator[tuple]:
+            chosen = masks(k, len(words), samples, seed)
+            shares = keyword_shares(*counts(chosen, held))
+            label = int(shares[0].argmax())
+            return ((w, x, LABELS[label]) for w, x in weighed(words, chosen, shares[:, label], most, width))
+
+        return by_row(rows, key, text, schema, fast)
+
     scored = scorer(perturbed(rows, key, text, samples, seed), "kept").select(key, "sample", "sentiment_label", "score_positive", "score_negative", "score_neutral")
 
     def fitted(of: tuple, group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         if not len(texts) or not len(group) or not len(words := list(texts["words"].iloc[0])):
-            return pd.DataFrame({key: [], "token": [], "weight": [], "predicted_class": []})
+            return pd.DataFrame(columns=[key, "token", "weight", "predicted_class"], dtype=object)
         group = group.drop_duplicates("sample").sort_values("sample")
         label = group["sentiment_label"].iloc[0]
-        x = masks(of[0], len(words), samples, seed).astype(np.float32 if len(words) > samples else np.float64)
-        near = np.exp(-((1 - np.sqrt(x.mean(1))) ** 2) / width**2)
-        weights = ridge(x, group[f"score_{label}"].to_numpy(float), near)
-        order = np.lexsort((np.arange(len(words)), -np.abs(weights)))[:most]
-        return pd.DataFrame({key: of[0], "token": [words[i] for i in order], "weight": weights[order], "predicted_class": label})
+        best = weighed(words, masks(of[0], len(words), samples, seed), group[f"score_{label}"].to_numpy(float), most, width)
+        return pd.DataFrame({key: of[0], "token": [w for w, _ in best], "weight": [x for _, x in best], "predicted_class": label}, dtype=object)
 
     kind = rows.schema[key].dataType.simpleString()
     words = rows.select(F.col(key), tokens(F.col(text)).alias("words"))
-    return dealt(scored, key).groupBy(key).cogroup(dealt(words, key).groupBy(key)).applyInPandas(fitted, f"{key} {kind}, token string, weight double, predicted_class string")
+    return dealt(scored, key).groupBy(key).cogroup(dealt(words, key).groupBy(key)).applyInPandas(fitted, f"{key} {kind}, {schema}")
+
+
+def owen(held: list) -> dict[int, np.ndarray]:
+    """For each token with lexicon words what it adds to the three shares: its Owen value in a hierarchy that halves the text.
+
+    A token adds something to what is there already: of each part of the text beside its own, on all levels, all or nothing, each with
+    a chance of one half. What is there matters by its numbers of good and bad words alone, but for words that other
+    tokens hold too, which count once. So the states on the way down are few: two numbers and the set of such words.
+    """
+    found = places(held)
+    again = {w: 1 << i for i, w in enumerate(sorted(w for w, at in found.items() if len(at) > 1))}
+    good_again = sum(bit for w, bit in again.items() if w in GOOD)
+
+    def part(lo: int, hi: int) -> tuple[int, int, int]:
+        """Good and bad words that stand only here, and the set of others, of tokens lo to hi."""
+        words = {w for at in held[lo:hi] for w in at}
+        alone = [w for w in words if w not in again]
+        good = sum(w in GOOD for w in alone)
+        return good, len(alone) - good, sum(again[w] for w in words if w in again)
+
+    def numbers(state: tuple[int, int, int]) -> tuple[int, int]:
+        good, bad, shared = state
+        g = (shared & good_again).bit_count()
+        return good + g, bad + shared.bit_count() - g
+
+    def together(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
+        return a[0] + b[0], a[1] + b[1], a[2] | b[2]
+
+    values: dict[int, np.ndarray] = {}
+    open_ = [(0, len(held), {(0, 0, 0): 1.0})]
+    while open_:
+        lo, hi, states = open_.pop()
+        own = part(lo, hi)
+        if own == (0, 0, 0):
+            continue
+        if hi - lo == 1:
+            chance = np.array(list(states.values()))
+            before, after = (np.array([numbers(s) for s in x]) for x in (states, [together(s, own) for s in states]))
+            values[lo] = chance @ (keyword_shares(*after.T) - keyword_shares(*before.T))
+            continue
+        middle = (lo + hi) // 2
+        for first, end, other in ((lo, middle, part(middle, hi)), (middle, hi, part(lo, middle))):
+            below: dict[tuple[int, int, int], float] = {}
+            for state, chance in states.items():
+                for s in (state, together(state, other)):
+                    below[s] = below.get(s, 0.0) + chance / 2
+            open_.append((first, end, below))
+    return values
+
+
+def attributions(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, token, positive, negative, neutral): what each token adds to the three shares of the default scorer.
+
+    Together they are what the text's shares and those of an empty text differ by. Tokens without lexicon words add nothing and are left
+    out; exact, no samples are drawn.
+    """
+
+    def found(_: object, words: list[str], held: list) -> Iterator[tuple]:
+        return ((i, words[i], *(float(x) for x in v)) for i, v in sorted(owen(held).items()))
+
+    return by_row(rows, key, text, "position int, token string, positive double, negative double, neutral double", found)
 
 
 def summary(weights: DataFrame, most: int = 20) -> DataFrame:
     """Mean size of a token's weight, over texts and without case, for each class."""
-    from pyspark.sql import Window
-
     means = weights.groupBy(F.lower("token").alias("token"), "predicted_class").agg(F.avg(F.abs("weight")).alias("mean_weight"), F.count("*").alias("n"))
     return means.withColumn("k", F.row_number().over(Window.partitionBy("predicted_class").orderBy(F.desc("mean_weight"), "token"))).filter(F.col("k") <= most).drop("k")

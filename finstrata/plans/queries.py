@@ -81,6 +81,18 @@ def explain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain(finance_texts(spark, sf_dir), "doc_id", "text")
 
 
+def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finstrata.operators.explain import attributions
+
+    return attributions(finance_texts(spark, sf_dir), "doc_id", "text")
+
+
+def weight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finstrata.operators.explain import summary
+
+    return summary(explain_scores(spark, sf_dir))
+
+
 VARIANTS = ("full", "no_entropy", "no_lexicon")
 
 
@@ -394,4 +406,6 @@ QUERIES: dict[str, Query] = {
     "bootstrap_ci": lambda s, d: V.bootstrap(judged(s, d).withColumnRenamed("first", "predicted")),
     "stratified_folds": lambda s, d: V.stratified_folds(judged(s, d), 5, "truth", "doc_id").groupBy("truth", "fold").agg(F.count("*").alias("n")),
     "token_weights": explain_scores,
+    "weight_summary": weight_summary,
+    "attributions": attributed,
 }
