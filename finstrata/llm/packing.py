@@ -27,6 +27,7 @@ class WordIds(dict):
 
     The tokenizer drops white space and splits letters from other characters, so ids of a text are those of its chunks,
     and those of ``word,`` are those of ``word`` and ``,``. At ``most`` entries it starts afresh, which bounds memory.
+    Special tokens are found in a text as it is, all else in lower case; so chunks that may hold one keep their case.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -36,9 +37,15 @@ class WordIds(dict):
 
         quiet_tokenizers()
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model  # a run of a-z is one pre-token, which normalising leaves as it is
         self.most, self.letters, self.parts = most, re.compile(rb"[a-z]+").fullmatch, re.compile(rb"([a-z]+)([.,!?;:%&#*$|]+)").fullmatch
 
+    def chunks(self, body: bytes) -> list[bytes]:
+        if any(m in body for m in self.marks):
+            return [c if any(m in c for m in self.marks) else c.lower() for c in body.split()]
+        return body.lower().split()
+
     def __missing__(self, word: bytes) -> bytes:
         import numpy as np
 
@@ -160,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, shortest: int = 51
 
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join(map(words.__getitem__, body.as_py().lower().split())) + end
+                ids = b"".join(map(words.__getitem__, words.chunks(body.as_py()))) + end
                 total = len(ids) // 4
                 cut = total - total % window
                 for at in range(0, cut, window):

@@ -118,7 +118,7 @@ def test_packing_is_an_exact_round_trip(spark, documents):
 
     path = Q.tokenizer("word_bpe_49k.json")
     encode = Tokenizer.from_file(path).encode
-    texts = [*corpus(), "Émile's café, l'été: don't <|endoftext|> 12345 a.b!! ...$$$", "é Kİ ǅ 你好 🙂🙂"]
+    texts = [*corpus(), "foo<|ENDOFTEXT|>bar FOO<|endoftext|>Bar <|EndOfText|> <|startoftext|> A <| B|> <|STARTOFTEXT|>", "Émile's café, l'été: don't <|endoftext|> 12345 a.b!! ...$$$", "é Kİ ǅ 你好 🙂🙂"]
     got = pack(documents(*texts), path, window=256, shortest=64, group_tokens=1024).toPandas()
     for i, text in enumerate(texts):
         ids = [*encode(text or "", add_special_tokens=False).ids, 1]
