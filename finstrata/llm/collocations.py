@@ -6,15 +6,18 @@ for each word that follows. Only frequent phrases are extended, and only where w
 frequent too, as no others can be frequent.
 
 Texts are cut into blocks as tasks read them, at the ends of pieces, so that no phrase crosses two blocks; a block keeps the places
-of its words, as numbers of its own. A level takes two steps. Each block sends the lengths of its new lists, one row for each
-different phrase; Spark adds them up by phrase, and those that are frequent go back to the blocks that hold them, which drop all
-other lists. A phrase is known by its beginning's name and its last word's name, and gets as its own name that of its list in
-the first of its blocks: names are exact, there are no hashes. In the end that first block, which holds all parts of the phrase too, knows all
-numbers that its score takes. No list leaves its block; phrases do, as often as there are blocks that hold them.
+of its words, as numbers of its own. A level takes two steps. Each block sends the lengths of its new lists, one number for each
+different phrase, to bins by the phrases' hashes; a bin adds them up, and tells each block which of its phrases are frequent, and
+the block drops all other lists. A phrase is known by its beginning's name and its last word's name, and gets a name of its own
+from its bin: names are exact, hashes only choose bins. In the end the first block that holds a phrase, and so all of its parts,
+knows all numbers that its score takes. No list leaves its block; phrases do, as often as there are blocks that hold them, sorted
+and by place, which compresses well. There are so many bins that one holds a bounded part of all places.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -23,12 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import Blocks, rows_as, settle, utf8
-
-#: Level 0: the places of a block's words. -1: its words and their counts. 1 and more: its frequent phrases.
-ROWS = "block long, level int, spot int, id long, f long, lang string, word string, places binary"
-LENGTHS = "level int, first long, last long, own long, n long"
+from finstrata.llm.exchange import as_table, by_place, from_places
+from finstrata.llm.lm_scoring import mixed
+
+#: A block's rows. Level 0: the places of its words (a). -1, by language: its words' lengths (a), bytes (b) and counts (c). 1 and
+#: more, by bin: which of the phrases that it sent are frequent (a), their names (b) and frequencies (c), and which it is the first to hold (d).
+ROWS = "block long, level int, bin int, lang string, n long, a binary, b binary, c binary, d binary"
+#: What a block sends to a bin: its lists' first and last names (level 1: the words' lengths and bytes, by language), and their lengths.
+SENT = "bin int, block long, lang string, first binary, last binary, n binary"
 SCORED = "lang string, phrase string, level int, id long, a long, l long, r long, score long, part_levels array<int>, part_ids array<long>"
-SPOT = 28  # bits of a list's number within its block
+BIN = 40  # bits of a name within its bin
 FULL = 2_000_000  # of the score
 
 #: A-Z become lower case, tabs spaces, and all ends of pieces line feeds.
@@ -49,7 +56,33 @@ def numbered(text: bytes) -> tuple[Any, np.ndarray]:
     at = np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     places = np.full(at[-1] + 2 if len(at) else 0, -1, np.int32)
     places[at] = words.indices.to_numpy()
-    return words.dictionary.cast(pa.string()), places
+    return words.dictionary, places
+
+
+def as_bytes(words: Any) -> tuple[np.ndarray, bytes]:
+    """The lengths and bytes of an Arrow array of words."""
+    import pyarrow as pa
+
+    words = pa.concat_arrays([words])  # from its own beginning
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    letters = words.buffers()[2]
+    return np.diff(offsets).astype(np.uint32), letters.to_pybytes()[offsets[0] : offsets[-1]] if letters else b""
+
+
+def as_words(lengths: Any, letters: Any) -> Any:
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(from_places(lengths, np.uint32))]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters.as_py())])
+
+
+def binned(first: np.ndarray, last: np.ndarray, bins: int) -> np.ndarray:
+    """A bin for each pair of names."""
+    return (mixed(mixed(first.astype(np.uint64)) + last.astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+
+
+def binned_words(words: Any, bins: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.uint32, len(words)).astype(np.int64) % bins
 
 
 class Cutter:
@@ -75,26 +108,18 @@ class Cutter:
                 yield self.cut()
 
     def cut(self) -> Any:
-        """The rows of ROWS of what was gathered."""
-        import pyarrow as pa
-
-        words, langs, counts, places, first = [], [], [], [], 0
+        """The rows of ROWS of what was gathered; words are numbered by language."""
+        rows, places, first = [], [], 0
         for lang, texts in sorted(self.texts.items()):
             found, at = numbered(b"\n".join(texts))
-            counts.append(np.bincount(at[at >= 0], minlength=len(found)))
+            counts = np.bincount(at[at >= 0], minlength=len(found))
             places.append(np.where(at >= 0, at + first, -1).astype(np.int32))
-            words.append(found)
-            langs.append(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(found), np.int64))))
+            lengths, letters = as_bytes(found)
+            rows.append((self.block, -1, None, lang, int(counts.sum()), by_place(lengths), letters, by_place(counts.astype(np.uint32)), None))
             first += len(found)
-        block, n = self.block, first
+        rows.append((self.block, 0, None, None, first, np.concatenate([*places, np.full(1, -1, np.int32)]).tobytes(), None, None, None))
         self.block, self.held, self.texts = self.block + 1, 0, {}
-        whole = lambda value, kind: pa.array(np.full(n, value), kind)
-        schema, none = rows_as(ROWS), pa.nulls
-        each = [whole(block, pa.int64()), whole(-1, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), none(n, pa.int64()), pa.array(np.concatenate([*counts, np.zeros(0, np.int64)])), pa.concat_arrays([*langs, none(0, pa.string())]), pa.concat_arrays([*words, none(0, pa.string())]), none(n, pa.binary())]
-        all_places = np.concatenate([*places, np.full(1, -1, np.int32)])
-        row = [[block], [0], None, None, None, None, None, [all_places.tobytes()]]
-        top = [none(1, f.type) if v is None else pa.array(v, f.type) for v, f in zip(row, schema, strict=True)]
-        return pa.Table.from_arrays([pa.chunked_array([a, b]) for a, b in zip(top, each, strict=True)], schema=schema)
+        return as_table(rows, ROWS)
 
 
 def cutter(size: int):
@@ -117,19 +142,13 @@ class Lists:
 
     def __init__(self, first: np.ndarray, last: np.ndarray, places: np.ndarray, bounds: np.ndarray):
         self.first, self.last, self.places, self.bounds = first, last, places, bounds
-        self.spots, self.ids, self.f = np.arange(len(first)), None, None
-
-    def frequent(self, answers: Any, level: int) -> Lists:
-        """The lists of the phrases that came back, with names and frequencies; all others are dropped."""
-        import pyarrow.compute as pc
+        self.ids = self.f = self.own = np.zeros(0, np.int64)
 
-        mine = answers.filter(pc.equal(answers.column("level"), level)).sort_by("spot")
-        spots = mine.column("spot").to_numpy().astype(np.int64)
+    def frequent(self, taken: np.ndarray, ids: np.ndarray, f: np.ndarray, own: np.ndarray) -> Lists:
+        """The lists of the phrases that are taken, with names and frequencies; all others are dropped."""
         lengths = np.diff(self.bounds)
-        taken = np.zeros(len(self.first), bool)
-        taken[spots] = True
-        kept = Lists(self.first[spots], self.last[spots], self.places[np.repeat(taken, lengths)], np.concatenate([[0], np.cumsum(lengths[spots])]))
-        kept.spots, kept.ids, kept.f = spots, mine.column("id").to_numpy(), mine.column("f").to_numpy()
+        kept = Lists(self.first[taken], self.last[taken], self.places[np.repeat(taken, lengths)], np.concatenate([[0], np.cumsum(lengths[taken])]))
+        kept.ids, kept.f, kept.own = ids[taken], f[taken], own[taken]
         return kept
 
     def at(self, size: int) -> np.ndarray:
@@ -148,22 +167,107 @@ def fallen(first: np.ndarray, last: np.ndarray, places: np.ndarray, n_last: int)
     return Lists(key[starts] // max(1, n_last), key[starts] % max(1, n_last), places[order], np.concatenate([starts, [len(key)]]))
 
 
+def dealt(bins_of: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bin, positions): what goes to each bin, in the order of the keys."""
+    order = np.lexsort((*keys[::-1], bins_of))
+    sorted_ = bins_of[order]
+    starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return ((int(sorted_[lo]), order[lo:hi]) for lo, hi in itertools.pairwise([*starts, len(order)]))
+
+
+def summed(least: int):
+    def totals(key: tuple, held: Any) -> Any:
+        """A bin's phrases, added up; for each block which of its are frequent, under what names, and which it is the first to hold."""
+        of_bin, rows, named = key[0].as_py(), [], 0
+        langs, blocks = np.array(held.column("lang").to_pylist(), object), held.column("block").to_numpy()
+        for lang in sorted(set(langs), key=str):
+            at = np.flatnonzero(langs == lang)
+            at = at[np.argsort(blocks[at])]
+            if lang is None:  # names of beginnings and of words
+                first, last = (np.concatenate([rising(held.column(c)[i]) if c == "first" else from_places(held.column(c)[i], np.uint64) for i in at]) for c in ("first", "last"))
+                order = np.lexsort((last, first))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0)
+                number = np.empty(len(order), np.int64)
+                number[order] = np.cumsum(new) - 1
+            else:
+                import pyarrow as pa
+
+                number = pa.chunked_array([as_words(held.column("first")[i], held.column("last")[i]) for i in at]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            n = np.concatenate([from_places(held.column("n")[i], np.uint32) for i in at]).astype(np.int64)
+            f = np.bincount(number, n).astype(np.int64)
+            frequent = f >= least
+            ids = (of_bin << BIN) + named + np.cumsum(frequent) - 1
+            named += int(frequent.sum())
+            holder = np.zeros(len(number), bool)
+            holder[np.unique(number, return_index=True)[1]] = True  # blocks rise
+            start = 0
+            for i in at:
+                size = len(from_places(held.column("n")[i], np.uint32))
+                mine = number[start : start + size]
+                taken = frequent[mine]
+                if taken.any():
+                    rows.append((int(blocks[i]), None, of_bin, lang, size, np.packbits(taken).tobytes(), by_place(ids[mine][taken]), by_place(f[mine][taken]), np.packbits(holder[start : start + size][taken]).tobytes()))
+                start += size
+        return as_table(rows, ROWS)
+
+    return totals
+
+
+def rising(data: Any) -> np.ndarray:
+    return np.cumsum(from_places(data, np.uint64), dtype=np.uint64)
+
+
 class Block:
     """A block's lists of all levels that are settled, from its rows."""
 
-    def __init__(self, rows: Any, levels: int):
-        import pyarrow.compute as pc
-
-        raw = rows.filter(pc.equal(rows.column("level"), 0)).column("places")[0].as_py()
-        words = np.frombuffer(raw, np.int32).astype(np.int64)
-        self.size, self.rows = len(words), rows
+    def __init__(self, rows: Any, levels: int, bins: int):
+        self.rows = {n: rows.column(n) for n in rows.column_names}
+        self.levels, self.bins = np.asarray(rows.column("level").to_numpy()), bins
+        words = np.frombuffer(self.rows["a"][int(np.flatnonzero(self.levels == 0)[0])].as_py(), np.int32).astype(np.int64)
+        self.size = len(words)
+        self.vocabulary = sorted((self.rows["lang"][int(i)].as_py(), int(i)) for i in np.flatnonzero(self.levels == -1))
+        self.words = [as_words(self.rows["a"][i], self.rows["b"][i]) for _, i in self.vocabulary]
         at = np.flatnonzero(words >= 0)
-        n = int(words.max(initial=-1)) + 1
-        self.lists = [fallen(np.zeros(len(at), np.int64), words[at], at, n).frequent(rows, 1)]
-        self.ats = [self.lists[0].at(self.size)]
+        self.lists = [fallen(np.zeros(len(at), np.int64), words[at], at, sum(map(len, self.words)))]
+        self.ats: list[np.ndarray] = []
+        if levels:
+            self.settle(1)
         for level in range(2, levels + 1):
-            self.lists.append(self.extended().frequent(rows, level))
-            self.ats.append(self.lists[-1].at(self.size))
+            self.lists.append(self.extended())
+            self.settle(level)
+
+    def sent(self) -> Iterator[tuple[tuple[int, str | None], np.ndarray]]:
+        """((bin, language), positions in the last lists), in the order in which they are sent."""
+        if len(self.lists) == 1:
+            first = 0
+            for (lang, _), words in zip(self.vocabulary, self.words, strict=True):
+                yield from (((b, lang), at + first) for b, at in dealt(binned_words(words, self.bins), np.arange(len(words))))
+                first += len(words)
+        else:
+            first, last = self.names()
+            yield from (((b, None), at) for b, at in dealt(binned(first, last, self.bins), first, last))
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        lists, below = self.lists[-1], self.lists[-2]
+        return below.ids[lists.first], self.lists[0].ids[lists.last]
+
+    def settle(self, level: int) -> None:
+        """Keeps of the last lists those that the bins say are frequent."""
+        lists = self.lists[-1]
+        taken, own = np.zeros(len(lists.first), bool), np.zeros(len(lists.first), bool)
+        ids, f = (np.zeros(len(lists.first), np.int64) for _ in "if")
+        answers = {(self.rows["bin"][int(i)].as_py(), self.rows["lang"][int(i)].as_py()): int(i) for i in np.flatnonzero(self.levels == level)}
+        for key, at in self.sent():
+            if (i := answers.get(key)) is not None:
+                mine = at[bits(self.rows["a"][i], len(at))]
+                taken[mine] = True
+                ids[mine], f[mine] = from_places(self.rows["b"][i], np.int64), from_places(self.rows["c"][i], np.int64)
+                own[mine] = bits(self.rows["d"][i], len(mine))
+        self.lists[-1] = lists.frequent(taken, ids, f, own)
+        if level == 1:
+            self.kept = np.flatnonzero(taken)
+        self.ats.append(self.lists[-1].at(self.size))
 
     def extended(self) -> Lists:
         """The longest lists, merged with those of the words that follow."""
@@ -175,16 +279,26 @@ class Block:
         return fallen(phrase[goes_on], word[goes_on], longest.places[goes_on], len(self.lists[0].first))
 
 
-def extender(level: int):
-    def lengths(key: tuple, rows: Any) -> Any:
-        """The lengths of a block's lists of one level."""
-        import pyarrow as pa
+def bits(data: Any, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data.as_py(), np.uint8), count=count).astype(bool)
+
 
-        block = Block(rows, level - 1)
-        found, below = block.extended(), block.lists[-1]
-        own = (key[0].as_py() << SPOT) + found.spots
-        columns = [np.full(len(own), level), below.ids[found.first], block.lists[0].ids[found.last], own, np.diff(found.bounds)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, rows_as(LENGTHS), strict=True)], schema=rows_as(LENGTHS))
+def sender(level: int, bins: int):
+    def lengths(key: tuple, rows: Any) -> Any:
+        """The lengths of a block's lists of one level, for the bins."""
+        block, of = Block(rows, level - 1, bins), key[0].as_py()
+        if level > 1:
+            block.lists.append(block.extended())
+            first, last = block.names()
+        n, out = np.diff(block.lists[-1].bounds).astype(np.uint32), []
+        for (b, lang), at in block.sent():
+            if level == 1:
+                start = next(s for s, (of_lang, _) in zip(np.cumsum([0, *map(len, block.words)]), block.vocabulary, strict=False) if of_lang == lang)
+                mine = as_bytes(block.words[[x for x, _ in block.vocabulary].index(lang)].take(at - start))
+                out.append((b, of, lang, by_place(mine[0]), mine[1], by_place(n[at])))
+            else:
+                out.append((b, of, None, by_place(np.diff(first[at], prepend=0).astype(np.uint64)), by_place(last[at].astype(np.uint64)), by_place(n[at])))
+        return as_table(out, SENT)
 
     return lengths
 
@@ -200,19 +314,20 @@ def scores(a: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.
     return out
 
 
-def scorer(longest: int):
+def scorer(longest: int, bins: int):
     def scored(key: tuple, rows: Any) -> Any:
         """The frequent phrases of which this block is the first, with their scores and the names of their parts."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        block = Block(rows, longest)
-        named = rows.filter(pc.equal(rows.column("level"), 1)).sort_by("spot")
-        words, langs = named.column("word").combine_chunks(), named.column("lang").combine_chunks()
-        tables = []
+        block = Block(rows, longest, bins)
+        number_of_lang = np.repeat(np.arange(len(block.words)), [len(w) for w in block.words])[block.kept]
+        langs = pa.array([lang for lang, _ in block.vocabulary], pa.string())
+        words = pa.concat_arrays([*block.words, pa.array([], pa.binary())]).take(pa.array(block.kept)).cast(pa.string())
+        tables, kinds = [], rows_as(SCORED)
         for level in range(2, longest + 1):
             lists = block.lists[level - 1]
-            mine = np.flatnonzero(lists.ids == (key[0].as_py() << SPOT) + lists.spots)
+            mine = np.flatnonzero(lists.own)
             at, a = lists.places[lists.bounds[:-1][mine]], lists.f[mine]
             part = lambda start, n, at=at: block.ats[n - 1][at + start]
             f = lambda start, n, part=part: block.lists[n - 1].f[part(start, n)]
@@ -222,8 +337,7 @@ def scorer(longest: int):
             ids = np.array([block.lists[n - 1].ids[part(start, n)] for n, start in parts], np.int64).reshape(len(parts), len(mine)).T
             nested = lambda flat, kind, n=len(mine), w=len(parts): pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w, pa.int32()), pa.array(flat, kind))
             plain = [np.full(len(mine), level), lists.ids[mine], a, left, right, score]
-            kinds = rows_as(SCORED)
-            columns = [langs.take(pa.array(part(0, 1))), phrase, *(pa.array(c, kinds[i + 2].type) for i, c in enumerate(plain))]
+            columns = [langs.take(pa.array(number_of_lang[part(0, 1)])), phrase, *(pa.array(c, kinds[i + 2].type) for i, c in enumerate(plain))]
             columns += [nested(np.tile([n for n, _ in parts], len(mine)), pa.int32()), nested(ids.ravel(), pa.int64())]
             tables.append(pa.Table.from_arrays(columns, schema=kinds))
         return pa.concat_tables(tables)
@@ -231,7 +345,7 @@ def scorer(longest: int):
     return scored
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, size: int = 8 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, size: int = 8 << 20, places_in_bin: int = 4 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Each language's best phrases of 2 to ``longest`` words: lang, rank, phrase, a, l, r, n, score.
 
     Texts, A-Z lowered, fall into pieces at ``.,;:!?`` and line ends, and pieces into words at spaces and tabs. Everything counts by
@@ -247,23 +361,14 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, percent: in
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), utf8(text_col).alias("body"))
     with Blocks(spark) as kept:
-        kept.add(texts.mapInArrow(cutter(size), ROWS))
-        own = F.shiftleft("block", SPOT) + F.col("spot")
-        lengths = spark.table(kept.name).filter("level = -1").select(F.lit(1).alias("level"), "lang", "word", own.alias("own"), F.col("f").alias("n"))
-        of: tuple[str, ...] = ("lang", "word")
+        rows = kept.add(texts.mapInArrow(cutter(size), ROWS))
+        sizes = settle(rows.filter("level = -1").groupBy("lang").agg(F.sum("n").alias("n")))
+        bins = max(kept.buckets, -(-int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // places_in_bin))
         for level in range(1, longest + 1):
-            if level > 1:
-                settled = spark.table(kept.name).filter("level >= 0").select("block", "level", "spot", "id", "f", "places")
-                lengths, of = settled.groupBy("block").applyInArrow(extender(level), LENGTHS), ("first", "last")
-            same = Window.partitionBy(*of)
-            whole = lengths.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("own").over(same)).filter(F.col("f") >= least)
-            word = [F.col(c) if level == 1 else F.lit(None).cast("string").alias(c) for c in ("lang", "word")]
-            block, spot = F.shiftright("own", SPOT).alias("block"), F.col("own").bitwiseAND(2**SPOT - 1).cast("int").alias("spot")
-            kept.add_dealt(whole.select(block, "level", spot, "id", "f", *word, F.lit(None).cast("binary").alias("places")))
-        rows = spark.table(kept.name)
-        sizes = rows.filter("level = -1").groupBy("lang").agg(F.sum("f").alias("n"))
-        found = settle(rows.filter("level >= 0").groupBy("block").applyInArrow(scorer(longest), SCORED))
-        sizes = settle(sizes)
+            lengths = spark.table(kept.name).groupBy("block").applyInArrow(sender(level, bins), SENT)
+            answers = lengths.groupBy("bin").applyInArrow(summed(least), ROWS)
+            kept.add_dealt(answers.withColumn("level", F.lit(level)))
+        found = settle(spark.table(kept.name).groupBy("block").applyInArrow(scorer(longest, bins), SCORED))
     parts = found.select("a", F.explode(F.arrays_zip("part_levels", "part_ids")).alias("p"))
     longer = parts.groupBy(F.col("p.part_levels").alias("level"), F.col("p.part_ids").alias("id")).agg(F.max("a").alias("most"))
     whole = found.join(longer, ["level", "id"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < percent * F.col("a")))

@@ -21,7 +21,7 @@ ANSWERS = "bin int, block long, n int, shared binary, counts binary, words long,
 
 def by_place(values: np.ndarray) -> bytes:
     """All first bytes, then all second ones, and so on."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_places(data: Any, kind: type) -> np.ndarray:

@@ -59,7 +59,7 @@ def corpus(seed):
 @pytest.mark.parametrize("size", [40, 700, 8 << 20])
 def test_against_all_phrases(spark, size):
     rows = corpus(size)
-    got = collocations(frame(spark, rows).repartition(3), least=4, size=size, top=25)
+    got = collocations(frame(spark, rows).repartition(3), least=4, size=size, top=25, places_in_bin=200)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = plain(rows, 4, top=25)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 40
@@ -84,7 +84,7 @@ def test_a_text_larger_than_many_blocks(spark):
 
 def test_numbers_of_words_and_breaks():
     words, places = numbered("One two.. two\tone\n\nthree  one".encode().translate(LOWERED))
-    assert [words[int(i)].as_py() if i >= 0 else None for i in places] == ["one", "two", None, "two", "one", None, "three", "one", None]
+    assert [words[int(i)].as_py().decode() if i >= 0 else None for i in places] == ["one", "two", None, "two", "one", None, "three", "one", None]
     assert numbered(b"")[1].tolist() == numbered(b" \n ")[1].tolist() == []
 
 
