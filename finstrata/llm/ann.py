@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import rows_as, settle
 
-NEAR, CODED = "query_id long, vec_id long, score double", "group int, ids binary, codes binary"
+NEAR, CODED = "query_row long, row long, score double", "group int, ids binary, rows binary, codes binary"
+RANKED = "query_row long, query_id long, row long, vec_id long, score double"
 CODES = 16
 
 
@@ -97,18 +98,28 @@ def matrix(arrays) -> np.ndarray:
     return flat.reshape(len(arrays), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two so that their largest component is about 1: squares neither vanish nor overflow, and
+    cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
 def encoder(books_of, eta: float):
     def encoded(key: tuple, vectors: Any) -> Any:
         """A group's ids and codes, two codes in a byte, as one row. Ids rise, for ties."""
         import pyarrow as pa
 
-        vectors = vectors.sort_by("vec_id")
-        x = matrix(vectors.column("v"))
-        codes = encode(x / np.sqrt((x**2).sum(1))[:, None], books_of.value, eta).astype(np.uint8)
+        vectors = vectors.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        codes = encode(units(matrix(vectors.column("v"))), books_of.value, eta).astype(np.uint8)
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         packed = codes[:, ::2] | codes[:, 1::2] << 4
-        ids = np.asarray(vectors.column("vec_id").to_numpy(), np.int64)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([ids.tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())], schema=rows_as(CODED))
+        ids, rows = (np.asarray(vectors.column(c).to_numpy(), np.int64).tobytes() for c in ("vec_id", "row"))
+        return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip((key[0].as_py(), ids, rows, packed.tobytes()), rows_as(CODED), strict=True)], schema=rows_as(CODED))
 
     return encoded
 
@@ -119,20 +130,21 @@ def scanner(books_of, few: int):
         import pyarrow as pa
 
         books, found = books_of.value, []
-        x, query_ids = matrix(queries.column("v")), queries.column("vec_id").to_numpy()
-        tables = np.einsum("qjw,jcw->qjc", subvectors(x / np.sqrt((x**2).sum(1))[:, None], books.shape[2]), books).astype(np.float32)
-        for ids, packed in zip(groups.column("ids"), groups.column("codes"), strict=True):
-            ids = np.frombuffer(ids.as_py(), np.int64)
+        if not len(queries):
+            return rows_as(NEAR).empty_table()
+        tables = np.einsum("qjw,jcw->qjc", subvectors(units(matrix(queries.column("v"))), books.shape[2]), books).astype(np.float32)
+        for ids, rows, packed in zip(*(groups.column(c) for c in ("ids", "rows", "codes")), strict=True):
+            ids, rows = (np.frombuffer(v.as_py(), np.int64) for v in (ids, rows))
             pairs = np.frombuffer(packed.as_py(), np.uint8).reshape(len(ids), -1)
             codes = np.ascontiguousarray(np.stack([pairs & 15, pairs >> 4], 2).reshape(len(ids), -1)[:, : len(books)].T)
-            for query, table in zip(query_ids, tables, strict=True):
+            for query, table in zip(queries.column("row").to_numpy(), tables, strict=True):
                 near = np.zeros(len(ids), np.float32)
                 for entries, column in zip(table, codes, strict=True):
                     near += entries[column]
-                near[ids == query] = -np.inf
+                near[rows == query] = -np.inf
                 at = best_of(near, ids, few)
                 at = at[near[at] > -np.inf]
-                found.append((np.full(len(at), query, np.int64), ids[at], near[at].astype(np.float64)))
+                found.append((np.full(len(at), query, np.int64), rows[at], near[at].astype(np.float64)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, rows_as(NEAR), strict=True)], schema=rows_as(NEAR))
 
@@ -145,9 +157,9 @@ def exact(batches: Iterator) -> Iterator:
 
     for batch in batches:
         if batch.num_rows:
-            q, v = matrix(batch.column("q")), matrix(batch.column("v"))
+            q, v = scaled(matrix(batch.column("q"))), scaled(matrix(batch.column("v")))
             cosine = (q * v).sum(1) / (np.sqrt((q**2).sum(1)) * np.sqrt((v**2).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(cosine)], schema=rows_as(NEAR))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_row", "query_id", "row", "vec_id")), pa.array(cosine)], schema=rows_as(RANKED))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -159,41 +171,45 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int = 200, sample: int = 10_000, group: int = 16_384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int | None = None, sample: int = 10_000, group: int = 16_384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest by cosine among all other rows: query_id, rank (from 1), vec_id, score (exact, double).
 
     Queries are the rows of which ``is_query`` (a function of the id's column) holds; a query isn't its own neighbour. Ties go to
     the smaller vec_id; with fewer than k candidates, all are returned. For each query the ``rerank`` best by the codes are ranked
-    exactly (of all groups; a group returns its share and 6 standard deviations, as vectors are dealt to groups by hash).
+    exactly (of all groups; a group returns its share and 6 standard deviations, as vectors are dealt to groups by hash); without a
+    number, 200 or 0.9 times the root of the number of vectors, whichever is more, as recall falls where vectors lie denser.
 
     Vectors that are null, empty, all zero, or hold a null or a non-finite component take no part, nor do rows without an id or
-    with another number of dimensions than most have (of as common numbers, the smallest). Of rows with the same id
-    the one with the smallest vector counts. Other columns are not read. An empty table gives no rows.
+    with another number of dimensions than most have (of as common numbers, the smallest). Of rows with the same id each takes part
+    by itself, as query and as candidate of the others. Tiny and huge components are as good as others. Other columns are not read.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = settle(rows.filter(F.size("v") == common["n"]).groupBy("vec_id").agg(F.min("v").alias("v")))
-    fitted = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v"))
+    rows = settle(rows.filter(F.size("v") == common["n"]).withColumn("row", F.monotonically_increasing_id()))
+    fitted = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).toArrow().column("v"))
     eta = max(1.0, cost_of_parallel(common["n"], threshold))
-    books = spark.sparkContext.broadcast(fit_books(fitted / np.sqrt((fitted**2).sum(1))[:, None], width, eta))
+    books = spark.sparkContext.broadcast(fit_books(units(fitted), width, eta))
 
     queries = rows.filter(is_query(F.col("vec_id")))
     n, n_queries = rows.count(), queries.count()
+    rerank = max(200, round(0.9 * n**0.5)) if rerank is None else rerank
     groups, blocks = -(-n // group), max(1, -(-n_queries // block))
     share = rerank / groups
     few = min(rerank, int(share + 6 * share**0.5 + 10))
-    dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int"))
+    dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("row", F.lit(name)), F.lit(parts)).cast("int"))
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     coded = settle(dealt(rows, "group", groups).groupBy("group").applyInArrow(encoder(books, eta), CODED))
     work = coded.withColumn("block", each(blocks)).groupBy("group", "block")
     asked = dealt(queries, "block", blocks).withColumn("group", each(groups)).groupBy("group", "block")
     found = work.cogroup(asked).applyInArrow(scanner(books, few), NEAR)
-    best = lambda most: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")) <= most
-    near = found.withColumn("best", best(rerank)).filter("best").select("query_id", "vec_id")
-    pairs = near.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    ranked = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, NEAR)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    # ties of the scan go to smaller ids within a group, and to earlier rows between groups; exact cosines decide in the end
+    best = lambda order, most: F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), *order)) <= most
+    near = found.withColumn("best", best(["row"], rerank)).filter("best").select("query_row", "row")
+    pairs = near.join(rows, "row").join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_row")
+    ranked = pairs.select("query_row", "query_id", "row", "vec_id", "q", "v").mapInArrow(exact, RANKED)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,9 @@
 import math
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from finstrata.llm.ann import cost_of_parallel, encode, fit_books, nearest, subvectors
@@ -69,22 +72,44 @@ def vectors(seed=0, n=600, dims=16):
 
 def test_nearest_against_brute_force(spark):
     x = vectors()
-    rows = [(i, [float(v) for v in a], 1) for i, a in enumerate(x)]
-    rows += [(7, [9.0] * 16, 1), (900, None, 0), (901, [0.0] * 16, 0), (902, [math.nan] * 16, 0), (903, [None] * 16, 0), (904, [1.0] * 3, 0), (905, [], 0), (950, [math.inf] + [0.0] * 15, 0), (None, [1.0] * 16, 0)]
-    frame = spark.createDataFrame([(*r, 9.0) for r in rows], "vec_id long, embedding array<double>, label int, score double")
+    rows = [(i, [float(v) for v in a]) for i, a in enumerate(x)]
+    rows += [(7, [9.0] * 16), (700, [1e-200] * 16), (701, [3e-320] + [0.0] * 15), (702, [1e200, -1e200] * 8), (750, [1.7e308] * 16), (800, [1e-300, 1e-290] * 8)]  # tiny and huge
+    rows += [(100, [2 * v for v in rows[101][1]]), (0, rows[0][1]), (0, rows[33][1])]  # repeated ids
+    taken, x = rows, np.array([v for _, v in rows])
+    rows = rows + [(900, None), (901, [0.0] * 16), (902, [math.nan] * 16), (903, [None] * 16), (904, [1.0] * 3), (905, []), (950, [math.inf] + [0.0] * 15), (None, [1.0] * 16)]
+    frame = spark.createDataFrame([(*r, 1, 9.0) for r in rows], "vec_id long, embedding array<double>, row int, score double")
     got = nearest(frame, lambda c: c % 50 == 0, rerank=60, block=5, group=150).toPandas()
-    assert set(got.query_id) == set(range(0, 600, 50))
-    sizes, right = np.sqrt((x**2).sum(1)), 0
-    for q, mine in got.groupby("query_id"):
-        cosine = (x * x[q]).sum(1) / (sizes * sizes[q])
+    unit = [[Fraction(v) / max(map(abs, map(Fraction, a))) for v in a] for _, a in taken]
+    unit = np.array([[float(v) for v in a] for a in unit])
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    ids, right, want = np.array([i for i, _ in taken]), 0, Counter()
+    for q in np.flatnonzero(ids % 50 == 0):
+        cosine = unit @ unit[q]
         cosine[q] = -9
-        order = np.lexsort((np.arange(len(x)), -cosine))[:5]
-        mine = mine.sort_values("rank")
-        assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(mine.score, cosine[mine.vec_id])
-        right += len(set(order) & set(mine.vec_id))
-        if q == 100:
-            assert mine.vec_id.tolist() == [101, 102, 103, 104, 105]
-    assert right / (5 * 12) >= 0.9
+        order = np.lexsort((ids, -np.round(cosine, 12)))[:5]
+        want[int(ids[q])] += 5
+        mine = got[got.query_id == ids[q]]
+        assert set(np.round(mine.score, 9)) <= set(np.round(unit @ unit[ids == ids[q]].T, 9).ravel())
+        right += sum(ids[o] in set(mine.vec_id) for o in order)
+    assert Counter(got.query_id.tolist()) == want and set(got["rank"]) == {1, 2, 3, 4, 5}
+    assert right / sum(want.values()) >= 0.9
+    assert sorted(got[(got.query_id == 0) & (got["rank"] == 1)].vec_id) == [0, 0, 33]
+    assert got[(got.query_id == 750) & (got["rank"] == 1)].vec_id.tolist() == [7]
+
+
+def test_recall_on_many_vectors(spark):
+    """Random vectors, the hardest case: neighbours are hardly nearer than others."""
+    x = np.random.default_rng(3).normal(size=(50_000, 32)).astype(np.float32)
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x))}))
+    got = nearest(frame, lambda c: c % 1000 == 0).toPandas()
+    x = x.astype(np.float64)
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    right = 0
+    for q in range(0, len(x), 1000):
+        cosine = x @ x[q]
+        cosine[q] = -9
+        right += len(set(np.argsort(-cosine)[:5]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 250 and right / 250 >= 0.9
 
 
 def test_few_or_no_vectors(spark):
