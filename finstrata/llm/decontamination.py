@@ -1,7 +1,10 @@
 """Benchmark decontamination (operator 6): n-gram seeds, then Smith-Waterman alignment.
 
-All word n-grams of the test items are seeds: a document and an item that share any are a pair, whatever the other documents
-hold. Around the seeds of a pair the document's words are aligned with the item's, as far on both sides as an alignment that
+Seeds are rare n-grams: of four words, which hardly any two texts share by chance, one after the other or with one word left out
+between them. A document and an item that share any are a pair, whatever the other documents hold. Left-out words make up for
+edits that are spread so evenly that no four words in a row stay: of copies with replaced words that score more than half,
+every one shares a seed with its item (of three words for items under 16 words), and as both sides leave words out, so do copies
+with words put in or taken away as evenly. Around the seeds of a pair the document's words are aligned with the item's, as far on both sides as an alignment that
 scores enough can reach (``span``). The local alignment's score, as a share of
 the item's score with itself, tells copies, edited ones included, from texts that only share a phrase. Pairs whose shared
 words can't reach the score that counts are left out before they are aligned.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import bitmap, marked, rows_as, settle, texts
 from finstrata.llm.near_join import word_hashes
-from finstrata.llm.shingles import WordHashes, windows
+from finstrata.llm.shingles import MIX, WordHashes, mixed
 
 GRAMS = "item_id long, gram long, words binary"
 HITS = "doc_id long, _row long, first int, around binary, grams array<long>, lows array<int>, highs array<int>"
@@ -36,6 +39,25 @@ def shared_grams(cells: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.
     return at[marked(cells[1], grams[at] << np.uint64(LOW), BITS)]
 
 
+def kind_of(n: int, k: int) -> int:
+    """What seeds an item of n words has: k words with gaps; of a short one, one word less; of up to k words (negative), itself."""
+    return k if n >= 4 * k else k - 1 if n > k else -n
+
+
+def seeds_of(hashes: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first places) of the runs of so many words, also of those with one word left out; a negative kind is without gaps."""
+    grams, places = [], []
+    for gap in range(kind if kind > 0 else 1):  # the word after the first ``gap`` words is left out; 0: none is
+        offsets = [i + (0 < gap <= i) for i in range(abs(kind))]
+        n = max(0, len(hashes) - offsets[-1])
+        total = hashes[:n].copy()
+        for i in offsets[1:]:
+            total = total * MIX + hashes[i : i + n]
+        grams.append(mixed(total))
+        places.append(np.arange(n))
+    return np.concatenate(grams), np.concatenate(places)
+
+
 def item_grams(k: int):
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -46,7 +68,7 @@ def item_grams(k: int):
             for item, body in zip(batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
                 if len(hashes):
-                    g = windows(hashes, min(k, len(hashes)))
+                    g = np.unique(seeds_of(hashes, kind_of(len(hashes), k))[0])
                     ids += [item] * len(g)
                     grams.append(g.view(np.int64))
                     own += [hashes.tobytes()] * len(g)
@@ -63,7 +85,7 @@ def span(size: int, least: float) -> int:
     return size + math.ceil(2 * size * (1 - least))
 
 
-def seed_finder(sizes: list[int], shared, reach: int):
+def seed_finder(kinds: list[int], shared, reach: int):
     def found(batches: Iterator) -> Iterator:
         """For each run of places where a document holds seeds: the seeds, each one's first and last place, and the words around, ``reach`` on either side."""
         import pyarrow as pa
@@ -74,7 +96,7 @@ def seed_finder(sizes: list[int], shared, reach: int):
             keys = batch.column("_row").to_pylist()
             for doc_id, key, body in zip(batch.column("doc_id").to_pylist(), keys, batch.column("body"), strict=True):
                 hashes = word_hashes(body.as_py(), words)
-                grams, at = zip(*((g[x], x) for g in (windows(hashes, n) for n in sizes) for x in [shared_grams(cells, g)]), strict=True)
+                grams, at = zip(*((g[x], p[x]) for g, p in (seeds_of(hashes, kind) for kind in kinds) for x in [shared_grams(cells, g)]), strict=True)
                 grams, at = np.concatenate(grams), np.concatenate(at)
                 order = np.argsort(at, kind="stable")
                 grams, at = grams[order], at[order].tolist()
@@ -87,7 +109,7 @@ def seed_finder(sizes: list[int], shared, reach: int):
                     places, run = np.array(at[i : j + 1]), grams[i : j + 1]
                     held, low = np.unique(run, return_index=True)
                     high = len(places) - 1 - np.unique(run[::-1], return_index=True)[1]
-                    rows.append((doc_id, key, first, hashes[first : at[j] + sizes[-1] + reach].tobytes(), held.view(np.int64).tolist(), places[low].tolist(), places[high].tolist()))
+                    rows.append((doc_id, key, first, hashes[first : at[j] + max(map(abs, kinds)) + 1 + reach].tobytes(), held.view(np.int64).tolist(), places[low].tolist(), places[high].tolist()))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -133,7 +155,7 @@ def aligner(k: int, least: float):
             for doc_id, key, item, first, low, high, around, words in zip(*columns, strict=True):
                 reach = span(len(words) // 8, least)  # the item's own; the run's is the longest item's
                 cut = max(0, low - reach - first)
-                first, around = first + cut, around[8 * cut : 8 * (high + k + reach - first)]
+                first, around = first + cut, around[8 * cut : 8 * (high + k + 1 + reach - first)]
                 if (found := known.get((around, words))) is None:
                     a, b = np.frombuffer(words, np.uint64), np.frombuffer(around, np.uint64)
                     reached = 2 * int(np.isin(a, b).sum()) >= least * 2 * len(a)  # else no alignment can
@@ -152,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     Returns doc_id, _row, item_id, score (Smith-Waterman, as a share of the item's own; ``least`` at least), matched (the item's
     words spanned), doc_start and doc_end, item_start and item_end (in words). Words are lowered, punctuation parts them.
 
-    Texts and items without words (null, empty) match nothing. An item of fewer than k words is a seed as a whole: it is found
+    Texts and items without words (null, empty) match nothing. An item of up to k words is a seed as a whole: it is found
     where all its words stand one after the other, not where a part of them does. Items longer than ``item_words`` are
     compared in pieces of so many words, which overlap by half. Of a pair's alignments the best stays, of equal ones
     the first. Repeated rows and items give rows each; null ids stay null. Other columns are not read. Empty tables give none.
@@ -163,8 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 4, least: floa
     cells = spark.sparkContext.broadcast((bitmap(items, "gram", BITS), bitmap(items.withColumn("low", F.shiftleft("gram", LOW)), "low", BITS)))
     seeds, pieces, named = items.select("piece", "gram").distinct(), items.select("piece", "words").distinct(), items.select("item_id", "piece").distinct()
     longest = (items.agg(F.max(F.length("words"))).first()[0] or 0) // 8  # item_words at most
-    sizes = sorted(r[0] for r in items.select(F.least(F.length("words") / 8, F.lit(k)).cast("int")).distinct().collect()) or [k]  # k numbers at most
-    hits = settle(rows.mapInArrow(seed_finder(sizes, cells, span(longest, least)), HITS))
+    kinds = sorted({kind_of(r[0] // 8, k) for r in items.select(F.length("words")).distinct().collect()}) or [k]  # of item_words lengths at most
+    hits = settle(rows.mapInArrow(seed_finder(kinds, cells, span(longest, least)), HITS))
     # a pair is a candidate once, however many seeds it shares; then the words of both come to it
     shared = hits.select("_row", "first", F.explode(F.arrays_zip("grams", "lows", "highs")).alias("g")).select("_row", "first", F.col("g.grams").alias("gram"), F.col("g.lows").alias("low"), F.col("g.highs").alias("high"))
     pairs = shared.join(seeds, "gram").groupBy("_row", "first", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))

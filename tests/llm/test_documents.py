@@ -252,6 +252,58 @@ def test_decontamination_aligns_parts_far_apart(spark, documents):
     assert (got[24, 1].doc_start, got[24, 1].doc_end, got[24, 1].score) == (3400, 3440, 1)
 
 
+def spread_edits(rng, words, every, how):
+    """Every so manieth word replaced, put in or taken away."""
+    out = []
+    for i, w in enumerate(words):
+        hit = i % every == every - 1
+        out += [w, f"put{rng.randrange(999)}"] if hit and how == "put" else [] if hit and how == "cut" else [f"new{rng.randrange(999)}"] if hit and how == "new" else [w]
+    return out
+
+
+def test_decontamination_finds_edits_spread_evenly(spark, documents):
+    rng = random.Random(8)
+    items = [[f"i{n}w{i}" for i in range(size)] for n, size in enumerate((100, 100, 60, 31, 16, 15, 9, 6))]
+    cases = [(n, every, how) for n in range(len(items)) for every, how in ((4, "new"), (3, "new"), (5, "new"), (3, "put"), (2, "put"), (4, "cut"), (3, "cut"))]
+    made = [spread_edits(rng, items[n], every, how) for n, every, how in cases]
+    texts = [f"{prose(rng, 30)} {' '.join(m)} {prose(rng, 30)}" for m in made]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate(documents(*texts), spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")).collect()}
+    number = {w: k for k, w in enumerate(sorted({w for t in [*made, *items] for w in t}))}
+    coded = lambda words: np.array([number[w] for w in words], np.uint64)
+    want = {(i, n): align(coded(items[n]), coded(made[i]))[0] / (2 * len(items[n])) for i, (n, _, _) in enumerate(cases)}
+    over = {key for key, score in want.items() if score > 0.5}
+    assert over <= set(got) <= {key for key, score in want.items() if score >= 0.5} and len(over) > 40
+    assert all(abs(got[key] - want[key]) < 1e-9 for key in got)
+
+
+def test_seeds_lose_no_copy_with_replaced_words():
+    from finstrata.llm.decontamination import kind_of, seeds_of
+
+    words = np.arange(1, 25, dtype=np.uint64)
+    for n in (5, 7, 11, 15, 16, 17):
+        own, kind = np.sort(seeds_of(words[:n], kind_of(n, 4))[0]), kind_of(n, 4)
+        for kept in itertools.product((True, False), repeat=n):
+            if sum(kept) * 3 < 2 * n:
+                continue
+            score = best = 0
+            for k in kept:
+                score = max(0, score + (2 if k else -1))
+                best = max(best, score)
+            if best > n:  # more than half of 2 n
+                copy = np.where(kept, words[:n], words[:n] + np.uint64(1000))
+                assert np.isin(seeds_of(copy, kind)[0], own).any(), kept
+
+
+def test_decontamination_with_a_phrase_that_all_have(spark, documents):
+    rng = random.Random(9)
+    stock = "which of the following is the best answer to the question"
+    bench = spark.createDataFrame([(n, f"{stock} {' '.join(f'q{n}x{i}' for i in range(20))}") for n in range(60)], "item_id long, text string")
+    texts = [f"{prose(rng, 40)} {stock} {prose(rng, 40)}" for _ in range(1500)]
+    leak = f"{stock} " + " ".join(f"q7x{i}" if i % 4 else "no" for i in range(20))
+    got = decontaminate(documents(*texts, leak), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1500, 7)]
+
+
 def test_decontamination_against_all_pairs(spark, documents):
     rng = random.Random(11)
     items = [prose(rng, n, 3000) for n in (1, 2, 3, 8, 20, 20, 60, 120)]
