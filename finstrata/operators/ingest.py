@@ -154,16 +154,6 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame
     return rows.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
 
 
-def insert_if_absent(rows: DataFrame, path: str, key: str = "id") -> int:
-    """Appends new_rows() to a Parquet table and returns their number; a second run adds none."""
-    from finstrata.plans.tables import exists, settle
-
-    spark = rows.sparkSession
-    fresh = settle(new_rows(rows, spark.read.parquet(path), key) if exists(spark, path) else rows.dropDuplicates([key]))
-    fresh.write.mode("append").parquet(path)
-    return fresh.count()
-
-
 def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The table after rows replaced those of the same keys."""
     return existing.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
@@ -191,9 +181,10 @@ def backfill(rows: DataFrame, column: str, value: Column, where: Column) -> Data
     return rows.withColumn(column, F.when(F.col(column).isNull() & where, value).otherwise(F.col(column)))
 
 
-def export(rows: DataFrame, path: str, form: str = "json", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes rows as JSON, CSV or Parquet, and returns one row of metadata: their number and sources."""
-    rows.write.mode("overwrite").partitionBy(*partition_by).format(form).option("header", True).save(path)
+def export(rows: DataFrame, path: str, form: str = "json", partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> DataFrame:
+    """Writes rows as JSON, CSV or Parquet, in place of what is there or beside it, and returns one row of metadata: their number and
+    sources. sources.stored keeps tables that change in whole steps."""
+    rows.write.mode(mode).partitionBy(*partition_by).format(form).option("header", True).save(path)
     return rows.agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("source")).alias("sources"))
 
 

@@ -31,6 +31,17 @@ def source_type(rows: DataFrame, path: Column | None = None) -> Column:
     return F.coalesce(by_path, F.lit(by_columns)) if by_path is not None else F.lit(by_columns)
 
 
+def source_of(record: Column, path: Column | None = None) -> Column:
+    """reddit, twitter or news, for each record by itself: by its file's path, else by the keys that its JSON has; null if they don't tell."""
+    keys = F.json_object_keys(record)
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    kind = F.when(has("selftext") & has("subreddit"), "reddit").when(has("retweet_count") | has("author_id"), "twitter").when(has("source_id") | has("url_to_image"), "news")
+    if path is None:
+        return kind
+    low = F.lower(path)
+    return F.when(low.contains("reddit"), "reddit").when(low.contains("twitter") | low.contains("tweet"), "twitter").when(low.contains("news"), "news").otherwise(kind)
+
+
 def preprocess(rows: DataFrame, fields: tuple[str, ...], preset: str = "standard", stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Adds <field>_tokens and <field>_processed for each text field."""
     how = PRESETS[preset]

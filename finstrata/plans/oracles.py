@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from finstrata.functions.lexicons import CHANNELS, EMOTION_PHRASES, EMOTIONS, FINANCIAL_TERMS, INTENSITY_WORDS, LABELS, NEGATIVE_WORDS, POSITIVE_WORDS, SPAM_PATTERNS, STOP_WORDS
-from finstrata.functions.text import EMOJI, MOVEMENT, PUNCTUATION
+from finstrata.functions.text import EMOJI, MOVEMENT, PUNCTUATION, SENTENCE_END, TREEBANK_FIRST, TREEBANK_THEN
 from finstrata.operators.entities import CONTEXT, SKIPPED, SUFFIXES
 from finstrata.plans.queries import COMPARED, END, START
 from finstrata.sources.proxies import PRICES, RECORDS, TEXTS
@@ -25,6 +25,10 @@ def words(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 COUNTS = "count(*) AS total, " + ", ".join(f"count(*) FILTER (sentiment_label = '{x}') AS {x}" for x in LABELS)
 PERCENTS = ", ".join(f"CASE WHEN total = 0 THEN 0.0 ELSE {r(f'{x} * 100.0 / total', 2)} END AS {x}_pct" for x in LABELS)
 STOCKS = f"WITH {RECORDS}, s AS (SELECT * FROM recs WHERE ticker IS NOT NULL)"
@@ -159,6 +163,13 @@ _NEG = "regexp_matches(ws[i], '(?i)^(not|no|never|neither|nobody|nothing|nowhere
 _share = lambda x, digits, of="len(a)": r(f"coalesce({x}::DOUBLE / nullif({of}, 0), 0.0)", digits)
 _STOPPED = words([w for w in STOP_WORDS if w not in {*FINANCIAL_TERMS, *INTENSITY_WORDS}])
 _SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')".format
+_TREEBANK = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+for _p, _by in TREEBANK_FIRST:
+    _TREEBANK = f"regexp_replace({_TREEBANK}, {quoted(_p)}, {quoted(_by)}, 'g')"
+_TREEBANK = f"' ' || {_TREEBANK} || ' '"
+for _p, _by in TREEBANK_THEN:
+    _TREEBANK = f"regexp_replace({_TREEBANK}, {quoted(_p)}, {quoted(_by)}, 'g')"
+_TREEBANK = _SPLIT(_TREEBANK)
 _TOTALS = "count(*) AS total_records, CAST(sum(k) AS BIGINT) AS total_tokens, floor(sum(k)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_tokens_per_record"
 _HINTS = "list_filter(list_transform(" + _SPLIT("text") + ", lambda w: replace(upper(replace(regexp_replace(trim(w), '^[$]+', ''), 'ß', 'SS')), '.', '-')), lambda w: regexp_full_match(w, '[A-Z0-9]{1,5}'))"
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)".format
@@ -258,7 +269,11 @@ SELECT ticker, n, {r('sl', 4)} AS slope, {r('my - sl * mx', 4)} AS intercept, up
     "clean_html_news": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), 'https?://[^\\s]+', '', 'g'), '\\[\\+[0-9]+ chars\\]', '', 'g'), '(?i)\\[Removed\\]', '', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages",
     "dedupe_posts": "SELECT event_id % 500 AS id, max(event_id) AS ordinal, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1",
     "excerpts": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY substr(text, 1, 80)",
-    "insert_if_absent": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE event_id % 3 <> 0 AND event_id % 2 <> 0 GROUP BY ticker",
+    "insert_if_absent": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE data_source IS DISTINCT FROM 'reddit' GROUP BY ticker",
+    "stored_insert": f"WITH {RECORDS} SELECT ticker, sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",
+    "stored_upsert": f"WITH {RECORDS} SELECT ticker, CASE WHEN sentiment_label = 'negative' THEN 'neutral' ELSE sentiment_label END AS sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",
+    "source_kinds": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'twitter' WHEN doc_id % 7 = 1 THEN 'news' WHEN doc_id % 5 = 0 THEN 'reddit' WHEN doc_id % 5 = 1 THEN 'twitter' WHEN doc_id % 5 = 2 THEN 'news' ELSE 'unknown' END AS kind, count(*) AS n FROM documents GROUP BY 1",
+    "treebank_tokens": f"WITH {TEXTS}, p AS (SELECT doc_id, string_split(regexp_replace(text, {quoted(SENTENCE_END)}, '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM texts), w AS (SELECT doc_id, flatten(list_transform(s, lambda x: {_TREEBANK})) AS w FROM p) SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS digest FROM w",
     "insert_again": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE ticker IS DISTINCT FROM 'T0' GROUP BY ticker",
     "prune_oldest": f"WITH {RECORDS} SELECT count(*) AS rows, {stamp('min(published_at)')} AS first_at, {stamp('max(published_at)')} AS last_at FROM (SELECT * FROM recs ORDER BY published_at, id OFFSET 500)",
     "confusion": f"WITH {JUDGED} SELECT t AS truth, p AS predicted, count(j.doc_id) AS n FROM (SELECT unnest(['positive', 'negative']) AS t) CROSS JOIN (SELECT unnest(['positive', 'negative']) AS p) LEFT JOIN j ON truth = t AND first = p GROUP BY 1, 2",

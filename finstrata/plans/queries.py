@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from finstrata.operators import market as M
 from finstrata.operators import names as N
 from finstrata.operators import preprocess as P
 from finstrata.operators import stats as T
+from finstrata.plans.tables import shared_dir
+from finstrata.sources import stored as stored_table
 from finstrata.sources.proxies import finance_texts, long_prices, long_records, prices, records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,8 +126,9 @@ def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records come, and those of one channel are there already."""
     recs = records(spark, sf_dir)
-    fresh = I.new_rows(recs.filter(F.col("event_id") % 3 != 0), recs.filter(F.col("event_id") % 2 == 0))
+    fresh = I.new_rows(recs, recs.filter("data_source = 'reddit'"))
     return fresh.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
@@ -135,6 +139,37 @@ def inserted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.new_rows(again, recs).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
+def stored(spark: SparkSession, sf_dir: str, *steps: Callable[[DataFrame, str], int]) -> DataFrame:
+    """A table in the shared folder after some steps."""
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    for step in steps:
+        step(records(spark, sf_dir).select("id", "ticker", "sentiment_label", "data_source"), path)
+    return stored_table.read(spark, path)
+
+
+def stored_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One channel is imported, then all, then all again."""
+    all_ = lambda rows, path: stored_table.insert_if_absent(rows, path)
+    table_ = stored(spark, sf_dir, lambda rows, path: all_(rows.filter("data_source = 'reddit'"), path), all_, all_)
+    return table_.groupBy("ticker", "sentiment_label").agg(F.count("*").alias("n"))
+
+
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors' rows come again, with a neutral label; then what is there is all of it again."""
+    again = lambda rows, path: stored_table.upsert(rows.filter("sentiment_label = 'negative'").withColumn("sentiment_label", F.lit("neutral")), path, ["id"])
+    table_ = stored(spark, sf_dir, lambda rows, path: stored_table.overwrite(rows, path, ["id"]), again, lambda rows, path: stored_table.insert_if_absent(rows, path))
+    return table_.groupBy("ticker", "sentiment_label").agg(F.count("*").alias("n"))
+
+
+def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of different keys, of files whose names tell for some."""
+    k = F.col("doc_id")
+    record = F.when(k % 5 == 0, F.to_json(F.struct(F.col("text").alias("selftext"), F.col("source").alias("subreddit")))).when(k % 5 == 1, F.to_json(F.struct("text", F.col("source").alias("author_id"))))
+    record = record.when(k % 5 == 2, F.to_json(F.struct(F.col("text").alias("title"), F.col("source").alias("source_id")))).otherwise(F.to_json(F.struct("text")))
+    path = F.when(k % 7 == 0, F.lit("/in/Tweets/a.json")).when(k % 7 == 1, F.lit("/in/news_2.json")).otherwise(F.lit("/in/b.json"))
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce(P.source_of(record, path), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = finance_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("2026-01-05T10:00:00").alias("published_at"))
     return I.import_records(raw, UNIVERSE, "2026-01-01T00:00:00").withColumn("published_at", F.col("published_at").cast("string"))
@@ -393,6 +428,10 @@ QUERIES: dict[str, Query] = {
     "excerpts": lambda s, d: I.excerpts(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"),
     "insert_if_absent": inserted,
     "insert_again": inserted_again,
+    "stored_insert": stored_insert,
+    "stored_upsert": stored_upsert,
+    "source_kinds": source_kinds,
+    "treebank_tokens": lambda s, d: finance_texts(s, d).select("doc_id", X.treebank(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), digest(F.array_join("w", " "))),
     "prune_oldest": pruned,
     "import_records": imported,
     "confusion": lambda s, d: V.confusion(judged(s, d).withColumnRenamed("first", "predicted"), ("positive", "negative")),

@@ -30,6 +30,16 @@ def read_json(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("file", F.posexplode(found).alias("ordinal", "r")).filter("r is not null").select("r.*", "file", "ordinal")
 
 
+def read_raw_json(spark: SparkSession, directory: str) -> DataFrame:
+    """(file, ordinal, record): like read_json(), each record as JSON with the keys that it has itself."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(directory)
+    files = files.withColumn("file", F.col("_metadata.file_path")).filter(~F.col("file").endswith("_meta.json"))
+    rows = T.ArrayType(T.StringType())
+    held = F.from_json("value", T.StructType([T.StructField(k, rows) for k in ENVELOPES]))
+    found = F.when(F.ltrim("value").startswith("["), F.from_json("value", rows)).otherwise(F.coalesce(*(held[k] for k in ENVELOPES)))
+    return files.select("file", F.posexplode(found).alias("ordinal", "record")).filter("record is not null")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; all columns are text."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -45,24 +55,55 @@ def read_tweets_csv(spark: SparkSession, path: str, keywords: list[str], limit:
     return rows.orderBy("ordinal").limit(limit) if limit else rows
 
 
+def articles(content: bytes, at_once: int = 1 << 20) -> Iterator[str]:
+    """The elements of an xz-packed JSON array, each as JSON; NaN and infinities are null. It is unpacked and read a piece at a time: what
+    is held is the packed bytes, one piece, and the element that it ends in."""
+    import codecs
+    import io
+    import json
+    import lzma
+
+    decoder, text = json.JSONDecoder(parse_constant=lambda _: None), codecs.getincrementaldecoder("utf-8")()
+    held, at, begun = "", 0, False
+    with lzma.open(io.BytesIO(content)) as file:
+        while piece := file.read(at_once):
+            held, at = held[at:] + text.decode(piece), 0
+            while True:
+                while at < len(held) and held[at] in " \t\r\n," or not begun and held[at : at + 1] == "[":
+                    begun |= held[at] == "["
+                    at += 1
+                if at == len(held) or held[at] == "]":
+                    break
+                try:
+                    value, end = decoder.raw_decode(held, at)
+                except json.JSONDecodeError:
+                    break  # goes on in the next piece
+                if end == len(held):  # a number might go on
+                    break
+                yield json.dumps(value)
+                at = end
+    if held[at:].strip() != "]":
+        raise ValueError(f"the array ends in {held[at : at + 80]!r}")
+
+
 def read_xz_years(spark: SparkSession, directory: str) -> DataFrame:
-    """(year, article): the articles of YYYY_processed.json.xz, as JSON; NaN and infinities are null."""
+    """(year, article): the articles of YYYY_processed.json.xz, as JSON; see articles()."""
 
     def opened(batches: Iterator) -> Iterator:
-        import json
-        import lzma
         import re
+        from itertools import batched
 
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                year = re.search(r"(\d{4})_processed", path)
-                rows = json.loads(lzma.decompress(content).decode(), parse_constant=lambda _: None)
-                yield pd.DataFrame({"year": int(year[1]) if year else None, "article": [json.dumps(r) for r in rows]})
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                found = re.search(r"(\d{4})_processed", path.as_py())
+                year = int(found[1]) if found else None
+                for some in batched(articles(content.as_py()), 1000):
+                    yield pa.RecordBatch.from_pydict({"year": pa.array([year] * len(some), pa.int32()), "article": pa.array(some, pa.string())})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_processed.json.xz").load(directory)
-    return files.select("path", "content").mapInPandas(opened, "year int, article string")
+    return files.select("path", "content").mapInArrow(opened, "year int, article string")
 
 
 def read_predictions(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

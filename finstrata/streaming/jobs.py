@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from finstrata.functions.columns import count_of, half_up, net
-from finstrata.operators.ingest import import_records, insert_if_absent
+from finstrata.operators.ingest import import_records
+from finstrata.sources.stored import insert_if_absent, rows_in
 
 
-def import_stream(spark: SparkSession, landing: str, schema, table_path: str, checkpoint: str, universe: list[str], now: str, form: str = "json", files_per_batch: int = 100) -> StreamingQuery:
-    """Imports the files of a folder in micro-batches and ends when there are no more.
+def import_stream(spark: SparkSession, landing: str, schema, table_path: str, checkpoint: str, universe: list[str], now: str, form: str = "json", files_per_batch: int = 100, most: int | None = None) -> StreamingQuery:
+    """Imports the files of a folder in micro-batches and ends when there are no more, or when the table has ``most`` rows.
 
-    The checkpoint remembers what was read; replayed batches add nothing, as a row's id comes from its content.
+    The checkpoint remembers what was read; replayed batches add nothing, as a row's id comes from its content. Each batch becomes
+    part of the table as a whole, and the table's list counts its rows, so the limit holds over restarts too.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(form).load(landing)
 
     def flush(batch: DataFrame, _: int) -> None:
-        insert_if_absent(import_records(batch, universe, now), table_path)
-
-    return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if most is None or rows_in(spark, table_path) < most:
+            insert_if_absent(import_records(batch, universe, now), table_path, most=most)
+
+    query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while most is not None and query.isActive:
+        if rows_in(spark, table_path) >= most:
+            query.stop()
+        query.awaitTermination(1)
+    return query
 
 
 def distinct_events(events: DataFrame, key: str = "id", time: str = "published_at", late: str = "1 day") -> DataFrame:

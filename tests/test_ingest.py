@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from finstrata.operators import ingest as I
 from finstrata.sources import readers as R
+from finstrata.sources import stored as S
 from finstrata.streaming import jobs
 
 
@@ -17,11 +18,39 @@ def test_readers(spark, tmp_path):
     assert {r.id for r in R.read_json(spark, str(tmp_path)).collect()} == {"1", "2", "3"}
     (tmp_path / "2020_processed.json.xz").write_bytes(lzma.compress(b'[{"title": "x", "v": NaN}]'))
     assert [(r.year, json.loads(r.article)) for r in R.read_xz_years(spark, str(tmp_path)).collect()] == [(2020, {"title": "x", "v": None})]
+    (tmp_path / "2021_processed.json.xz").write_bytes(lzma.compress(b' [ {"t": "a]b", "v": [Infinity, -Infinity, 1]} ,') + lzma.compress('\n{"t": "é🙂"}, {}, "x", 12\n] '.encode()))
+    (tmp_path / "2022_processed.json.xz").write_bytes(lzma.compress(b"[]"))
+    got = sorted((r.year, r.article) for r in R.read_xz_years(spark, str(tmp_path)).collect())
+    assert [(y, json.loads(a)) for y, a in got if y == 2021] == [(2021, x) for x in sorted([{"t": "a]b", "v": [None, None, 1]}, {"t": "é🙂"}, {}, "x", 12], key=json.dumps)] and len(got) == 6
     (tmp_path / "p.csv").write_text("text,source,timestamp,label,confidence\nhi,news,2026-01-01,positive,0.5\nhi,news,2026-01-01,odd,0.5\nhi,news,2026-01-01,neutral,x\n")
     assert R.read_predictions(spark, str(tmp_path / "p.csv")).count() == 1
     assert R.demo_seed(spark).count() == 54
 
 
+def test_an_archive_is_read_in_pieces(tmp_path):
+    import tracemalloc
+
+    row = json.dumps({"title": "a title", "maintext": "some words " * 100})
+    packed = lzma.compress(("[" + ",".join([row] * 60_000) + "]").encode(), preset=0)
+    tracemalloc.start()
+    n = sum(1 for _ in R.articles(packed))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 20 << 20 < 60_000 * len(row)
+
+
+def test_records_of_a_mixed_folder_by_their_own_keys(spark, tmp_path):
+    from finstrata.operators import preprocess as P
+
+    (tmp_path / "in").mkdir()
+    rows = [{"selftext": "a", "subreddit": "s"}, {"text": "b", "author_id": "1"}, {"title": "c", "source_id": None}, {"subreddit": "no body"}, {"title": "d", "retweet_count": 0}, {}, {"url_to_image": "x"}]
+    (tmp_path / "in" / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "in" / "Tweets_1.json").write_text(json.dumps({"items": [{"selftext": "a", "subreddit": "s"}]}))
+    raw = R.read_raw_json(spark, str(tmp_path / "in"))
+    kinds = {(r.file.rsplit("/")[-1], r.ordinal): r.kind for r in raw.withColumn("kind", P.source_of(F.col("record"), F.col("file"))).collect()}
+    assert [kinds["a.json", i] for i in range(7)] == ["reddit", "twitter", "news", None, "twitter", None, "news"] and kinds["Tweets_1.json", 0] == "twitter"
+
+
 def test_dedupe_articles_is_the_loop_in_order(spark):
     import random
 
@@ -51,8 +80,8 @@ def test_import_and_idempotent_insert(spark, tmp_path):
     assert set(got) == {"AAPL", None} and got["AAPL"].mentioned_as == "Apple" and got["AAPL"].sentiment_label == "positive" and got[None].emotion_label is None
     assert str(got[None].published_at).startswith("2026-01-02")
     path = str(tmp_path / "t")
-    assert (I.insert_if_absent(rows, path), I.insert_if_absent(rows, path)) == (2, 0)
-    assert spark.read.parquet(path).count() == 2
+    assert (S.insert_if_absent(rows, path), S.insert_if_absent(rows, path)) == (2, 0)
+    assert S.read(spark, path).count() == 2
     assert I.import_records(raw, ["AAPL"], "2026-01-01T00:00:00", document_fallback=False).count() == 1
 
 
@@ -75,7 +104,7 @@ def test_streams(spark, tmp_path):
     run()
     (landing / "b.json").write_text('{"id": "2", "text": "Tesla rally", "source": "news", "published_at": "2026-01-03"}\n')
     run()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert S.read(spark, str(tmp_path / "out")).count() == 2
     events = spark.readStream.schema("id string, sentiment_label string, published_at timestamp").json(str(tmp_path / "ev")) if (tmp_path / "ev").mkdir() is None else None
     (tmp_path / "ev" / "1.json").write_text("".join(json.dumps({"id": str(i), "sentiment_label": "positive", "published_at": f"2026-01-0{1 + i % 2}T10:00:00"}) + "\n" for i in range(4)))
     query = jobs.trend_stream(jobs.distinct_events(events), late=None).writeStream.format("memory").queryName("trend").outputMode("append").trigger(availableNow=True).start()

@@ -74,3 +74,20 @@ def test_sentences(spark):
     assert one(spark, "First sentence here. Second one is here!  no", X.sentences) == ["First sentence here.", "Second one is here!"]
     assert one(spark, "short", X.sentences) == ["short"]
     assert one(spark, None, X.sentences) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Good muffins cost $3.88\nin New York.  Please buy me\ntwo of them.\nThanks.", "Good muffins cost $ 3.88 in New York . Please buy me two of them . Thanks ."),
+        ("They'll save and invest more.", "They 'll save and invest more ."),
+        ("hi, my name can't hello,", "hi , my name ca n't hello ,"),
+        ('He said, "I cannot go" (yet)...', "He said , `` I can not go '' ( yet ) ..."),
+        ("it's Tom's; 1,000 at 9:30 -- gonna? wanna!", "it 's Tom 's ; 1,000 at 9:30 -- gon na ? wan na !"),
+        ("'Tis the U.S. market", "'T is the U.S. market"),
+        (None, ""),
+        (" \n", ""),
+    ],
+)
+def test_treebank(spark, text, want):
+    assert one(spark, text, X.treebank) == want.split()
