@@ -152,6 +152,16 @@ def cashtags(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(present(text), F.lit(r"\$[A-Z]{1,5}\b"), F.lit(0)))
 
 
+def tickers(text: Column) -> Column:
+    """The distinct AAPL of $AAPL, in upper case in the text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(present(text), F.lit(r"\$([A-Z]{1,5})\b"), F.lit(1))))
+
+
+def tags(text: Column) -> Column:
+    """The distinct symbols of $aapl in any case, of up to six letters, in upper case, in the order of their first places."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(present(text), F.lit(r"\$([A-Za-z]{1,6})\b"), F.lit(1)), F.upper))
+
+
 def movements(text: Column) -> Column:
     """(movement, direction, raw_direction) of each ``up 5%`` and the like; amounts without a direction are passed over."""
     whole, word = (F.regexp_extract_all(present(text), F.lit(MOVEMENT), F.lit(g)) for g in (0, 1))

@@ -117,9 +117,11 @@ def recent_summary(recs: DataFrame, ticker: str, limit: int = 100) -> DataFrame:
 
 
 def data_signature(recs: DataFrame) -> DataFrame:
-    """For each ticker 48 digits of a hash that changes with its rows' count and span."""
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    parts = F.concat_ws("|", F.count("*").cast("string"), stamp(F.min("published_at")), stamp(F.max("published_at")))
+    """For each ticker 48 digits of a hash that changes with its rows' count and span, and, if rows say when they came
+    (ingested_at), with the last of these times."""
+    stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    came = [stamp(F.max("ingested_at"))] if "ingested_at" in recs.columns else []
+    parts = F.concat_ws("|", F.count("*").cast("string"), stamp(F.min("published_at")), stamp(F.max("published_at")), *came)
     return stock_rows(recs).groupBy("ticker").agg(F.substring(F.sha2(parts, 256), 1, 48).alias("signature"))
 
 

@@ -90,5 +90,17 @@ def symbols_in(info: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(present(info), F.lit(r"['\"]([A-Z]{1,5}(?:[.-][A-Z])?)['\"]"), F.lit(1)))
 
 
+def article_hints(rows: DataFrame, key: str, mentioned: Column, named: Column, related: Column, universe: DataFrame, most_related: int = 5) -> DataFrame:
+    """(key, hints): the known symbols of an article, each once: its companies, then the keys and names of its entities (structs of
+    company_key and normalized), then its first related companies. ``universe`` is a table of tickers."""
+    none = F.array().cast("array<string>")
+    of_names = F.flatten(F.transform(F.coalesce(named, F.array().cast("array<struct<company_key:string,normalized:string>>")), lambda n: F.array(n["company_key"], n["normalized"])))
+    listed = F.concat(F.coalesce(mentioned, none), of_names, F.slice(F.coalesce(related, none), 1, most_related))
+    symbols = rows.select(key, F.posexplode(F.transform(listed, normalize_symbol)).alias("at", "ticker"))
+    first = symbols.join(universe.select("ticker").distinct(), "ticker").groupBy(key, "ticker").agg(F.min("at").alias("at"))
+    found = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ticker"))), lambda x: x["ticker"]).alias("hints"))
+    return rows.select(key).distinct().join(found, key, "left").withColumn("hints", F.coalesce("hints", none))
+
+
 def union_hints(tickers: Column, more: Column, universe: list[str]) -> Column:
     return F.array_distinct(F.concat(tickers, F.filter(F.coalesce(more, strings([]).cast("array<string>")), lambda s: s.isin(universe))))

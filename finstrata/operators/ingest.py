@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finstrata.functions.columns import first_text, record_id
 from finstrata.functions.sentiment import Scorer, emotion_scores, entropy, keyword_scorer, rationale, scored_aspects, with_emotion
-from finstrata.functions.text import clean_news, clean_tweet
+from finstrata.functions.text import clean_news, clean_tweet, tags
 from finstrata.operators.names import detect_tickers
 
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "dd MMM yyyy HH:mm:ss Z")
@@ -56,6 +56,27 @@ def normalize_tweet(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.lit("twitter").alias("data_source"), clean_tweet(F.col("text")).alias("text"), F.col("text").alias("raw_text"), "author_id", "created_at", *(F.coalesce(F.col(f"public_metrics.{m}"), F.lit(0)).alias(m) for m in metrics))
 
 
+def normalize_scraped(rows: DataFrame) -> DataFrame:
+    """Flat columns of a scraped post (user is a struct, cashtags an array); its own tags count first, else those of its text."""
+    number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    own = F.array_distinct(F.filter(F.transform(F.coalesce("cashtags", F.array().cast("array<string>")), lambda t: F.upper(F.regexp_replace(F.trim(t), r"^\$+", ""))), lambda t: t != ""))
+    hints = F.when(F.size(own) > 0, own).otherwise(tags(F.col("rawContent")))
+    return rows.select(
+        F.coalesce(F.col("id").try_cast("long"), F.lit(0)).alias("id"), F.lit("twitter").alias("data_source"), clean_tweet(F.col("rawContent")).alias("text"), F.coalesce("rawContent", F.lit("")).alias("raw_text"), hints.alias("hint_tickers"),
+        F.col("user.id").cast("string").alias("author_id"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), number("retweetCount").alias("retweet_count"), number("replyCount").alias("reply_count"), number("likeCount").alias("like_count"),
+        number("quoteCount").alias("quote_count"), "lang",
+    )
+
+
+def normalize_table_tweet(rows: DataFrame) -> DataFrame:
+    """Flat columns of a row (Date, Tweet, Stock Name) of a table of posts: the stock's name is the first hint; ids are hashes of the content."""
+    raw, stock = F.trim(F.coalesce("Tweet", F.lit(""))), F.upper(F.trim(F.coalesce("Stock Name", F.lit(""))))
+    hints = F.when(stock != "", F.array_distinct(F.concat(F.array(stock), tags(raw)))).otherwise(tags(raw))
+    zero = [F.lit(0).alias(c) for c in ("retweet_count", "reply_count", "like_count", "quote_count")]
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return rows.select(F.abs(F.xxhash64("Date", "Tweet", "Stock Name") % 10**12).alias("id"), F.lit("twitter").alias("data_source"), clean_tweet(raw).alias("text"), raw.alias("raw_text"), hints.alias("hint_tickers"), none("author_id"), F.nullif(F.trim("Date"), F.lit("")).alias("created_at"), *zero, none("lang"))
+
+
 def cleaned_name(name: Column, otherwise: str) -> Column:
     """A publisher's name in one line of 80 characters at most."""
     return F.substring(F.trim(F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit(otherwise)), r"\s+", " ")), 1, 80)

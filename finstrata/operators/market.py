@@ -59,6 +59,13 @@ def merged_series(recs: DataFrame, prices: DataFrame, trailing: int = 5, benchma
     return out.withColumn("forward_1d_return", F.lead("returns").over(series()))
 
 
+def time_series(merged: DataFrame) -> DataFrame:
+    """merged_series() as it is shown: dates as text, prices to two digits, returns to six, sentiment to four."""
+    digits = {"close": 2, "returns": 6, "spy_returns": 6, "excess_returns": 6, "forward_1d_return": 6, "forward_1d_excess_return": 6, "avg_score": 4, "net_sentiment": 4, "trailing_net_sentiment": 4, "positive_ratio": 4, "negative_ratio": 4, "neutral_ratio": 4}
+    names = {"forward_1d_excess_return": "forward_excess_return", "avg_score": "avg_sentiment_score"}
+    return merged.select("ticker", F.date_format("date", "yyyy-MM-dd").alias("date"), "mention_count", *(half_up(F.col(c), d).alias(names.get(c, c)) for c, d in digits.items()))
+
+
 def price_column(metric: str = "auto", align: str = "same_day", adjustment: str = "none") -> str:
     """The column that a correlation's options mean; decided before anything runs."""
     excess = adjustment == "spy_beta_residual"

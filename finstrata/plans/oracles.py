@@ -269,6 +269,12 @@ SELECT ticker, n, {r('sl', 4)} AS slope, {r('my - sl * mx', 4)} AS intercept, up
     "clean_html_news": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), 'https?://[^\\s]+', '', 'g'), '\\[\\+[0-9]+ chars\\]', '', 'g'), '(?i)\\[Removed\\]', '', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages",
     "dedupe_posts": "SELECT event_id % 500 AS id, max(event_id) AS ordinal, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1",
     "excerpts": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY substr(text, 1, 80)",
+    "cashtag_forms": f"WITH {TEXTS}, t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\$([A-Z]{{1,5}})\\b', 1))) AS a, list_transform(regexp_extract_all(text, '\\$([A-Za-z]{{1,6}})\\b', 1), lambda x: upper(x)) AS b FROM texts) SELECT doc_id, array_to_string(a, ',') AS tickers, array_to_string({_UNIQUE('b')}, ',') AS tags FROM t",
+    "article_hints": f"WITH a AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN ['T' || (doc_id % 11), 'T' || (doc_id % 7)] ELSE [] END, CASE WHEN doc_id % 3 > 0 THEN ['T' || (doc_id % 7), upper(replace(source, '.', '-')), 'T' || (doc_id % 5)] ELSE [] END, ['T0', 'NOBODY', 'T' || (doc_id % 10)]) AS h FROM documents), u AS (SELECT list('T' || s_suppkey) AS u FROM supplier), f AS (SELECT doc_id, list_filter(h, lambda t: list_contains(u, t)) AS h FROM a, u) SELECT doc_id, array_to_string({_UNIQUE('h')}, ',') AS hints FROM f",
+    "scraped_posts": f"WITH {TEXTS}, t AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '\\$([A-Za-z]{{1,6}})\\b', 1), lambda x: upper(x)) AS b FROM texts) SELECT doc_id AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '@{_WORD}+', '', 'g'), '#({_WORD}+)', '\\1', 'g'), '\\s+', ' ', 'g'))) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'AAPL,TSLA' ELSE array_to_string({_UNIQUE('b')}, ',') END AS hints, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '' END AS author_id, '2026-01-05T10:00:00' AS created_at, (doc_id % 5)::INTEGER AS retweet_count, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END::INTEGER AS reply_count, 0 AS like_count, 1 AS quote_count FROM t",
+    "data_signature_ingested": f"{STOCKS} SELECT ticker, substr(sha256(count(*) || '|' || strftime(min(published_at), '%Y-%m-%dT%H:%M:%S') || '|' || strftime(max(published_at), '%Y-%m-%dT%H:%M:%S') || '|' || strftime(max(published_at + to_days((event_id % 9)::INTEGER)), '%Y-%m-%dT%H:%M:%S')), 1, 48) AS signature FROM s GROUP BY ticker",
+    "time_series": f"{MERGED}, more AS (SELECT m.*, p.close, {', '.join(r(f'd.{x} / d.total', 6) + f' AS {x}_ratio' for x in LABELS)}, {r('d.avg_score', 6)} AS avg_score FROM m JOIN daily d ON d.ticker = m.ticker AND d.date = m.date JOIN prices p ON p.ticker = m.ticker AND p.date = m.date) SELECT ticker, {day('date')} AS date, mention_count, {r('close', 2)} AS close, {', '.join(r(x, 6) + f' AS {n}' for x, n in (('returns', 'returns'), ('spy_returns', 'spy_returns'), ('excess_returns', 'excess_returns'), ('forward_1d_return', 'forward_1d_return'), ('forward_1d_excess_return', 'forward_excess_return')))}, {', '.join(r(x, 4) + f' AS {n}' for x, n in (('avg_score', 'avg_sentiment_score'), ('net_sentiment', 'net_sentiment'), ('trailing_net_sentiment', 'trailing_net_sentiment'), *((f'{x}_ratio', f'{x}_ratio') for x in LABELS)))} FROM more",
+    "table_posts": f"WITH {TEXTS}, t AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN ['TSLA'] ELSE [] END, list_transform(regexp_extract_all(text, '\\$([A-Za-z]{{1,6}})\\b', 1), lambda x: upper(x))) AS b, text FROM texts) SELECT array_to_string({_UNIQUE('b')}, ',') AS hints, CASE WHEN doc_id % 4 > 0 THEN '2026-01-05' ELSE '' END AS created_at, count(*) AS n, count(DISTINCT (doc_id % 4 > 0, text, doc_id % 2 = 0)) AS ids FROM t GROUP BY 1, 2",
     "insert_if_absent": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE data_source IS DISTINCT FROM 'reddit' GROUP BY ticker",
     "stored_insert": f"WITH {RECORDS} SELECT ticker, sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",
     "stored_upsert": f"WITH {RECORDS} SELECT ticker, CASE WHEN sentiment_label = 'negative' THEN 'neutral' ELSE sentiment_label END AS sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",

@@ -213,6 +213,32 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolve(pages.select(asked.alias("name")), E.dimension(pages))
 
 
+def article_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles that name companies, entities and related companies, tickers of suppliers and others."""
+    k = F.col("doc_id")
+    ticker = lambda n: F.concat(F.lit("t"), (k % n).cast("string"))
+    entity = lambda a, b: F.struct(a.alias("company_key"), b.alias("normalized"))
+    named = F.when(k % 3 > 0, F.array(entity(ticker(7), F.col("source")), entity(F.lit(None).cast("string"), ticker(5))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 2 == 0, F.array(ticker(11), F.concat(F.lit("$"), ticker(7)))).alias("mentioned"), named.alias("named"), F.array(F.lit("T0"), F.lit("nobody"), ticker(10), F.lit("T1")).alias("related"))
+    found = E.article_hints(rows, "doc_id", F.col("mentioned"), F.col("named"), F.col("related"), companies(spark, sf_dir), 3)
+    return found.select("doc_id", F.array_join("hints", ",").alias("hints"))
+
+
+def scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = finance_texts(spark, sf_dir).select(
+        k.cast("string").alias("id"), F.col("text").alias("rawContent"), F.when(k % 3 == 0, F.array(F.lit("$aapl "), F.lit(""), F.lit("TSLA"), F.lit("AAPL"))).alias("cashtags"), F.struct(F.when(k % 2 == 0, k).alias("id")).alias("user"),
+        F.lit("2026-01-05 10:00:00").cast("timestamp_ntz").alias("date"), (k % 5).alias("retweetCount"), F.when(k % 2 == 0, k).alias("replyCount"), F.lit(None).cast("long").alias("likeCount"), F.lit(1).alias("quoteCount"), "lang",
+    )
+    return I.normalize_scraped(rows).select("id", digest(F.col("text")), F.array_join("hint_tickers", ",").alias("hints"), F.coalesce("author_id", F.lit("")).alias("author_id"), "created_at", "retweet_count", "reply_count", "like_count", "quote_count")
+
+
+def table_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = finance_texts(spark, sf_dir).select("doc_id", F.when(k % 4 > 0, "2026-01-05").otherwise(" ").alias("Date"), F.col("text").alias("Tweet"), F.when(k % 2 == 0, F.lit(" tsla")).alias("Stock Name"))
+    return I.normalize_table_tweet(rows).groupBy(F.array_join("hint_tickers", ",").alias("hints"), F.coalesce("created_at", F.lit("")).alias("created_at")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def newest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = records(spark, sf_dir)
     return A.find_records(recs, recs.orderBy(F.desc("published_at"), "id").limit(1)).select("id", "ticker", "sentiment_label")
@@ -410,6 +436,12 @@ QUERIES: dict[str, Query] = {
     "scored_aspects": lambda s, d: S.scored_aspects(finance_texts(s, d), "doc_id", "text").select("doc_id", F.to_json("aspects").alias("aspects")),
     "cashtags": lambda s, d: finance_texts(s, d).select("doc_id", F.array_join(X.cashtags(F.col("text")), ",").alias("cashtags")),
     "movements": lambda s, d: finance_texts(s, d).select("doc_id", F.size(X.movements(F.col("text"))).alias("n"), F.coalesce(F.get(X.movements(F.col("text")), F.lit(0))["direction"], F.lit("")).alias("direction")),
+    "cashtag_forms": lambda s, d: finance_texts(s, d).select("doc_id", F.array_join(X.tickers(F.col("text")), ",").alias("tickers"), F.array_join(X.tags(F.col("text")), ",").alias("tags")),
+    "article_hints": article_hints,
+    "time_series": lambda s, d: M.time_series(merged(s, d)),
+    "data_signature_ingested": lambda s, d: A.data_signature(records(s, d).withColumn("ingested_at", F.col("published_at") + F.expr("make_interval(0, 0, 0, cast(event_id % 9 as int))"))),
+    "scraped_posts": scraped,
+    "table_posts": table_posts,
     "ticker_detect": lambda s, d: N.detect_tickers(finance_texts(s, d), "doc_id", "text", UNIVERSE),
     "company_detect": company_names,
     "mention_contexts": lambda s, d: N.mentions(finance_texts(s, d), "doc_id", "text", UNIVERSE),

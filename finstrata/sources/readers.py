@@ -40,6 +40,18 @@ def read_raw_json(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("file", F.posexplode(found).alias("ordinal", "record")).filter("record is not null")
 
 
+def read_stocks(spark: SparkSession, path: str) -> DataFrame:
+    """(at, ticker, company_name, common_names): the stocks of a JSON file, in its order, for entities.dimension(). It maps tickers to
+    stocks under the key ``stocks``, or, as it is published, numbers to (ticker, title)."""
+    stock, published = "struct<ticker: string, company_name: string, common_names: array<string>>", "struct<ticker: string, title: string>"
+    files = spark.read.option("wholetext", True).text(path)
+    saved = F.from_json("value", f"stocks map<string, {stock}>")["stocks"]
+    own = F.transform(F.map_entries(saved), lambda e: F.struct(F.coalesce(e["value"]["ticker"], e["key"]).alias("ticker"), e["value"]["company_name"].alias("company_name"), e["value"]["common_names"].alias("common_names")))
+    other = F.transform(F.map_values(F.from_json("value", f"map<string, {published}>")), lambda v: F.struct(v["ticker"].alias("ticker"), v["title"].alias("company_name"), F.lit(None).cast("array<string>").alias("common_names")))
+    rows = files.select(F.posexplode(F.when(saved.isNotNull(), own).otherwise(other)).alias("at", "s")).filter("s.ticker is not null")
+    return rows.select(F.col("at").cast("long").alias("at"), F.upper("s.ticker").alias("ticker"), "s.company_name", F.coalesce("s.common_names", F.array().cast("array<string>")).alias("common_names"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; all columns are text."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -110,3 +110,23 @@ def test_streams(spark, tmp_path):
     query = jobs.trend_stream(jobs.distinct_events(events), late=None).writeStream.format("memory").queryName("trend").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
+
+
+def test_stock_files(spark, tmp_path):
+    from finstrata.operators import entities as E
+
+    (tmp_path / "a.json").write_text(json.dumps({"stocks": {"AAPL": {"ticker": "AAPL", "company_name": "Apple Inc.", "common_names": ["Apple", "AAPL"]}, "x": {"company_name": "X Corp", "cik": 3}}, "metadata": {"total_stocks": 2}}))
+    (tmp_path / "b.json").write_text(json.dumps({"0": {"cik_str": 1, "ticker": "msft", "title": "MICROSOFT CORP"}, "1": {"cik_str": 2, "ticker": "T", "title": "AT&T INC."}}))
+    got = [(r.at, r.ticker, r.company_name, r.common_names) for r in R.read_stocks(spark, str(tmp_path / "a.json")).collect()]
+    assert got == [(0, "AAPL", "Apple Inc.", ["Apple", "AAPL"]), (1, "X", "X Corp", [])]
+    table = R.read_stocks(spark, str(tmp_path / "b.json"))
+    assert {(r.ticker, r.short_name) for r in E.dimension(table).collect()} == {("MSFT", "MICROSOFT"), ("T", "AT&T")}
+
+
+def test_hints_of_articles_in_order(spark):
+    from finstrata.operators import entities as E
+
+    rows = spark.createDataFrame([(1, ["b", "zz"], [("c", "b"), (None, "d")], ["a", "e", "f"]), (2, None, None, None)], "k long, m array<string>, n array<struct<company_key: string, normalized: string>>, r array<string>")
+    universe = spark.createDataFrame([(t,) for t in "ABCDEF"], "ticker string")
+    got = {r.k: r.hints for r in E.article_hints(rows, "k", F.col("m"), F.col("n"), F.col("r"), universe, 2).collect()}
+    assert got == {1: ["B", "C", "D", "A", "E"], 2: []}
