@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides the clear ones by length, link density and the density of
 stop words: blocks of links are boilerplate, long blocks of running text are text. Tags that say what they hold (nav, form,
 footer ...) and containers that are named for it (class "ad") are boilerplate; a name that only has such a word in it
-("cookie-notice", "related-work") is a hint, which counts unless what is so named is most of the page's running text. The second
+("cookie-notice", "related-work") is a hint, which counts unless what is so named is most of the page's running text. Some names say
+either ("comment", "teaser"): one container of that name that holds nearly all running text is what the page is about. The second
 pass gives short blocks, which say little, the label of the nearest decided block.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -45,11 +47,13 @@ LEAVES = frozenset("p li dd dt td th tr option hr h1 h2 h3 h4 h5 h6 caption lege
 # Names in class, id or role attributes that mean boilerplate.
 NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share captcha comment comments
-    commentlist consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menubar modal
+    commentlist consent contentinfo cookie cookiebanner cookiebar cookies copyright cc-banner cc-window disclaimer disqus footer gdpr header login masthead menu menubar modal
     nav navbar navigation navigation-bar newsletter notice notices notification overlay pager pagination popup promo promoted
     promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored
     subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
+# Those of them that an article may have too, if it is the only one of that name.
+EITHER = frozenset("comment notice promo recommended related respond social teaser widget widgets".split())
 # Names of what holds the article, and words that make a name say that something is there or not, not what it is.
 CONTENT = frozenset("article body content entry main post prose story text".split())
 STATES = frozenset("has is no non not with without hide show".split())
@@ -63,41 +67,71 @@ NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 WORDS, SPACE, ENDS = re.compile(r"[^\W\d_]+"), re.compile(r"\s+"), re.compile(r"[.!?…。！？](?=\W|$)")
 
 
-def named(attrs: str) -> tuple[bool, bool]:
-    """Whether a container is named boilerplate, and whether a name only has such a word in it."""
+def named(attrs: str) -> tuple[bool, bool, str]:
+    """Whether a container is named boilerplate, whether a name only has such a word in it, and the first name that says either."""
     hint = content = False
+    either = ""
     for match in NAMED.finditer(attrs):
         for name in (match[1] or match[2] or match[3] or "").lower().split():
-            if name in NAMES:
-                return True, False
+            if name in EITHER:
+                either = either or name
+            elif name in NAMES:
+                return True, False, ""
             parts = re.split(r"[_-]+", name)
             content |= name in CONTENT
             hint |= len(parts) > 1 and parts[0] not in STATES and not NAMES.isdisjoint(parts)
-    return False, hint and not content
+    return False, hint and not content, either
 
 
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "hinted", "linked", "text")
+    __slots__ = ("article", "boilerplate", "either", "heading", "hinted", "linked", "text")
 
-    def __init__(self, text: str, linked: int, boilerplate: bool, hinted: bool, article: bool, heading: bool):
-        self.text, self.linked, self.boilerplate, self.hinted, self.article, self.heading = text, linked, boilerplate, hinted, article, heading
+    def __init__(self, text: str, linked: int, boilerplate: bool, hinted: bool, either: str, article: bool, heading: bool):
+        self.text, self.linked, self.boilerplate, self.hinted, self.either, self.article, self.heading = text, linked, boilerplate, hinted, either, article, heading
+
+
+class Stack:
+    """The open containers, and how many of them say what, so that a block doesn't look through all."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, bool, bool, str]] = []  # name, boilerplate, article, hinted, a name that says either
+        self.counts, self.names, self.either = [0, 0, 0], Counter(), []
+
+    def push(self, name: str, boilerplate: bool, article: bool, hinted: bool, either: str) -> None:
+        self.open.append((name, boilerplate, article, hinted, either))
+        self.names[name] += 1
+        self.counts = [n + x for n, x in zip(self.counts, (boilerplate, article, hinted), strict=True)]
+        if either:
+            self.either.append(either)
+
+    def close(self, name: str) -> None:
+        """Ends the innermost container of this name, if there is one, and those within it."""
+        while self.names[name]:
+            top, *says, either = self.open.pop()
+            self.names[top] -= 1
+            self.counts = [n - x for n, x in zip(self.counts, says, strict=True)]
+            if either:
+                self.either.pop()
+            if top == name:
+                return
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text in them: references decoded, white space as single spaces."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, boilerplate, article, hinted
-    leaf, heading = (False, False), False  # of the block that is open: named as boilerplate, hinted; a heading
+    stack, times = Stack(), Counter()  # times: containers of each name that says either
+    leaf, heading = (False, False, ""), False  # of the block that is open: what its names say; a heading
     linked, anchor, breaks, last = 0, 0, 0, 0
 
     def end() -> None:
         nonlocal linked, leaf, heading
         if parts:
             if text := SPACE.sub(" ", html.unescape("".join(parts))).strip():
-                out.append(Block(text, linked, leaf[0] or any(x[1] for x in stack), leaf[1] or any(x[3] for x in stack), any(x[2] for x in stack), heading))
+                boilerplate, article, hinted = (n > 0 for n in stack.counts)
+                out.append(Block(text, linked, leaf[0] or boilerplate, leaf[1] or hinted, leaf[2] or (stack.either[0] if stack.either else ""), article, heading))
             parts.clear()
-        linked, leaf, heading = 0, (False, False), False
+        linked, leaf, heading = 0, (False, False, ""), False
 
     for match in TAG.finditer(page):
         if match.start() > last:
@@ -122,22 +156,25 @@ def blocks(page: str) -> list[Block]:
             end()
             anchor = breaks = 0
             if match["close"]:
-                if name not in LEAVES and any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if name not in LEAVES:
+                    stack.close(name)
                 continue
-            marked, hinted = named(match["attrs"]) if match["attrs"] else (False, False)
+            marked, hinted, either = named(match["attrs"]) if match["attrs"] else (False, False, "")
+            if either and name not in ("body", "html", "article", "main"):
+                times[either] += 1
             if name in LEAVES:
-                leaf, heading = (marked, hinted), len(name) == 2 and name[0] == "h" and name != "hr"
+                leaf, heading = (marked, hinted, either), len(name) == 2 and name[0] == "h" and name != "hr"
                 continue
             if name == "body":
-                stack.clear()  # a head that was never closed
-            article = name in ("article", "main") or any(x[2] for x in stack)
+                stack = Stack()  # a head that was never closed
+            article = name in ("article", "main") or stack.counts[1] > 0
             named_so = name not in ("body", "html", "article", "main")
-            stack.append((name, name in BOILERPLATE or marked and named_so or name == "header" and not article, article, hinted and named_so))
+            stack.push(name, name in BOILERPLATE or marked and named_so or name == "header" and not article, article, hinted and named_so, either if named_so else "")
     if last < len(page):
         parts.append(page[last:])
     end()
+    for block in out:
+        block.boilerplate |= times[block.either] > 1
     return out
 
 
@@ -208,6 +245,10 @@ def main_text(page: str, long: int = 70, stop_share: float = 0.25, link_share: f
     """(text, blocks, blocks kept) of a page."""
     found = blocks(page)
     prose = [0 if b.boilerplate else len(b.text) - min(b.linked, len(b.text)) for b in found]
+    if 5 * sum(n for n, b in zip(prose, found, strict=True) if b.either) <= 4 * sum(prose):
+        for b in found:
+            b.boilerplate |= b.either != ""
+        prose = [0 if b.boilerplate else n for n, b in zip(prose, found, strict=True)]
     if 2 * sum(n for n, b in zip(prose, found, strict=True) if b.hinted) <= sum(prose):
         for b in found:
             b.boilerplate |= b.hinted

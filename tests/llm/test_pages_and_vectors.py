@@ -15,7 +15,7 @@ LONG = "This is the long text of an article that has many words in it, and it go
 CHINESE = "今天的天气很好，我们一起去公园散步，看到很多人在那里运动，还有孩子们在草地上玩耍，大家都觉得非常开心。" * 2
 
 
-@pytest.mark.parametrize("part", ["<p class=\"a", "<a href='", "<", "<!-", "<div ", "<script>", "</", "a&amp;", "<p><b><i>"])
+@pytest.mark.parametrize("part", ["<p class=\"a", "<a href='", "<", "<!-", "<div ", "<script>", "</", "a&amp;", "<p><b><i>", "<div>", "<div>a", "<div class=comment>a</p>", "</div><div>"])
 def test_long_broken_pages_take_no_long(part):
     import time
 
@@ -39,6 +39,11 @@ def test_long_broken_pages_take_no_long(part):
         (f"<div class='cookie-notice'><p>{LONG}</p></div><form><p>{LONG}</p></form><p>{LONG}</p>", LONG),
         (f"<p>{LONG}</p><ul><li><a href=x>one link here</a></li><li><a href=y>two links</a></li></ul>", LONG),
         ("just text", ""),
+        *((f"<nav><a href=x>Home</a></nav><div class='{name}'><p>{LONG}</p><p>Short.</p></div>", f"{LONG}\n\nShort.") for name in ("comment", "widget", "related", "teaser", "notice", "text social")),
+        *((f"<div class='{name}'><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div><div><p>{LONG}</p></div>", LONG) for name in ("comment", "teaser")),
+        (f"<div class=notice><p>{LONG}</p></div><div><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='cc-window'><p>{LONG}</p></div>", LONG),
+        ("<div>" * 20_000 + f"<p>{LONG}</p>" + "</div>" * 20_000, LONG),
         (LONG, LONG),
         (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG),
         (f"<div class='post share-buttons-on'><p>{LONG}</p></div>", LONG),
