@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finstrata.functions.lexicons import COMPANY_NAMES, NOT_TICKERS, STOCKS
+from finstrata.functions.lexicons import COMPANY_NAMES, NOT_COMPANIES, NOT_TICKERS, STOCKS
 from finstrata.operators.names import CLAUSE_ENDS
 from finstrata.plans.oracles import SCORED, SKIPPED, _SHORT, words
 from finstrata.plans.queries import UNIVERSE
@@ -100,6 +100,40 @@ ENTITIES = rf"""{INDEX}, {NEWS}, found_runs AS (
 ), entities AS (
   SELECT DISTINCT doc_id, run, array_to_string(w[i:j], ' ') AS entity FROM parts WHERE regexp_matches(w[i], '^\p{{Lu}}') AND regexp_matches(w[j], '^[\p{{Lu}}\p{{Nd}}]'))"""
 
+# The longest common subsequence of two names, a row of the table in one integer; all pairs.
+RESOLVED = rf"""
+WITH companies AS (
+  SELECT 'P' || page_id AS ticker, regexp_extract(html::VARCHAR, '(?is)<title[^>]*>(.*?)</title>', 1) AS company_name, page_id AS nth FROM pages
+), d AS (
+  SELECT ticker, nth AS pos, lower(trim(company_name)) AS a, lower(trim({_SHORT})) AS b, lower(regexp_split_to_array(company_name, '\s+')[1]) AS f FROM companies
+), every_name AS (
+  SELECT a AS name, ticker, 0 AS priority, -pos AS o FROM d UNION ALL SELECT b, ticker, 2, pos FROM d
+  UNION ALL SELECT f, ticker, 3, pos FROM d WHERE length(f) > 3 AND NOT list_contains({words(SKIPPED)}, f)
+), index AS (
+  SELECT name AS known, ticker FROM every_name WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY priority > 0, o, priority, ticker) = 1
+), names AS (
+  SELECT DISTINCT CASE nth % 3 WHEN 0 THEN '$' || ticker WHEN 1 THEN company_name ELSE company_name[1:2] || company_name[4:] END AS name FROM companies
+), asked AS (
+  SELECT name, regexp_replace(lower(trim(name)), '^\$', '') AS q FROM names WHERE trim(name) <> '' AND NOT list_contains({words(NOT_COMPANIES)}, lower(trim(name)))
+), exact AS (
+  SELECT name, ticker, 0 AS o, 'ticker' AS method FROM asked JOIN companies ON replace(upper(q), '.', '-') = ticker
+  UNION ALL SELECT name, ticker, 1, 'name' FROM asked JOIN index ON q = known
+), rest AS (
+  SELECT name, q, length(q) AS n, string_split(q, '') AS letters FROM asked WHERE name NOT IN (SELECT name FROM exact)
+), places AS (
+  SELECT known, unnest(string_split(known, '')) AS c, unnest(range(length(known))) AS i FROM index
+), masks AS MATERIALIZED (
+  SELECT known, length(known) AS m, (1::HUGEINT << length(known)) - 1 AS whole, map_from_entries(list((c, mask))) AS held FROM (SELECT known, c, sum(1::HUGEINT << i)::HUGEINT AS mask FROM places GROUP BY 1, 2) GROUP BY known
+), pairs AS (
+  SELECT name, known, n + m AS s, m - bit_count(list_reduce(list_transform(letters, lambda c: coalesce(held[c], 0::HUGEINT)), lambda v, x: ((v + (v & x)) | (v - (v & x))) & whole, whole)) AS l
+  FROM rest JOIN masks ON abs(n - m) <= 0.16 * (n + m)
+), fuzzy AS (
+  SELECT name, ticker, 2 AS o, 'fuzzy' AS method, round_even(200.0 * l / s, 0) / 100 AS score FROM pairs JOIN index USING (known) WHERE round_even(200.0 * l / s, 0) >= 85
+)
+SELECT name, ticker, method, score FROM (SELECT *, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT * FROM fuzzy)
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY o, score DESC, ticker) = 1
+"""
+
 NAME_ORACLES: dict[str, str] = {
     "ticker_detect": f"WITH {DETECTED} SELECT * FROM found",
     "company_detect": f"WITH {INDEX}, {NEWS}, {detected('SELECT ticker FROM companies', 'SELECT name, ticker, priority AS first, name AS word FROM index')} SELECT * FROM found",
@@ -107,6 +141,7 @@ NAME_ORACLES: dict[str, str] = {
     "scored_mentions": f"WITH {CONTEXTS}, {SCORED.replace(TEXTS, 'rows_of AS (SELECT context AS text, min(doc_id) AS doc_id, NULL AS source FROM contexts GROUP BY context)').replace('FROM texts', 'FROM rows_of')} SELECT c.*, sentiment_label, sentiment_score FROM contexts AS c JOIN scored ON scored.text = c.context",
     "entity_candidates": f"WITH {ENTITIES} SELECT doc_id, count(*) AS candidates, md5(string_agg(entity, chr(10) ORDER BY entity, run)) AS digest FROM entities GROUP BY doc_id",
     "entities": f"WITH {ENTITIES} SELECT doc_id, run::INTEGER AS run, entity, ticker FROM entities JOIN index ON name = lower(entity) QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY length(entity) DESC, entity) = 1",
+    "entity_resolve": RESOLVED,
     "name_index": f"WITH {INDEX} SELECT * FROM index",
     "stock_search": f"WITH {COMPANIES} SELECT ticker, company_name, {_SHORT} AS short_name, CASE WHEN ticker = 'INC' THEN 0 ELSE 1 END AS rank FROM companies WHERE ticker = 'INC' OR contains(lower(company_name), 'inc') ORDER BY rank, ticker LIMIT 10",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from finstrata.functions.lexicons import ASPECT_KEYWORDS
-from finstrata.plans.oracles import quoted
+from finstrata.plans.oracles import SCORED, quoted
 from finstrata.sources.proxies import TEXTS
 
 _ENDS = r"E'^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$'"
@@ -19,9 +19,7 @@ def has_any(text: str, phrases: list[str]) -> str:
 _NAMED = "[" + ", ".join(f"CASE WHEN {has_any('lower(sentence)', k)} THEN {i} END" for i, k in enumerate(ASPECT_KEYWORDS.values())) + "]"
 _NAMES = "[" + ", ".join(quoted(a) for a in ASPECT_KEYWORDS) + "]"
 
-TEXT_ORACLES: dict[str, str] = {
-    "aspects": rf"""
-WITH {TEXTS}, whole AS (
+ASPECTS = rf"""{TEXTS}, whole AS (
   SELECT doc_id, regexp_replace(text, {_ENDS}, '', 'g') AS t FROM texts
 ), parts AS (
   SELECT doc_id, t, list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, {_ENDS}, '', 'g')) AS p FROM whole
@@ -33,11 +31,17 @@ WITH {TEXTS}, whole AS (
   SELECT doc_id, s, sentence, unnest(list_filter({_NAMED}, lambda x: x IS NOT NULL)) AS a FROM sentences
 ), few AS (
   SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY s) <= 2
-)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, a))::INTEGER AS position, {_NAMES}[a + 1] AS aspect,
-  CASE WHEN length(sentence) <= 320 THEN sentence ELSE sentence[1:319] || '…' END AS snippet
-FROM few QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s, a) <= 8
-""",
+), aspects AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, a))::INTEGER AS position, {_NAMES}[a + 1] AS aspect,
+    CASE WHEN length(sentence) <= 320 THEN sentence ELSE sentence[1:319] || '…' END AS snippet
+  FROM few QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s, a) <= 8
+)"""
+# each snippet is scored as a text
+SCORES = SCORED.replace(TEXTS, "snippets AS (SELECT snippet AS text, min(doc_id) AS doc_id, NULL AS source FROM aspects GROUP BY snippet)").replace("FROM texts", "FROM snippets")
+
+TEXT_ORACLES: dict[str, str] = {
+    "aspects": f"WITH {ASPECTS} SELECT * FROM aspects",
+    "scored_aspects": f"WITH {ASPECTS}, {SCORES} SELECT a.doc_id, to_json(list({{'aspect': aspect, 'snippet': snippet, 'label': sentiment_label, 'score': sentiment_score}} ORDER BY position))::VARCHAR AS aspects FROM aspects AS a JOIN scored AS s ON s.text = a.snippet GROUP BY a.doc_id",
     "dedupe_url_title": r"""
 WITH RECURSIVE articles AS (
   SELECT 2 * page_id AS ordinal, url, regexp_extract(html::VARCHAR, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages
