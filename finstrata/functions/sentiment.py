@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Protocol
 
@@ -59,17 +60,33 @@ def entropy(positive: Column, negative: Column, neutral: Column) -> Column:
     return reduce(lambda a, b: a + b, (-(x / total) * F.log(x / total) for x in p)) / F.log(F.lit(3.0))
 
 
-def rationale(label: Column, score: Column, positive: Column, negative: Column, neutral: Column, uncertainty: Column) -> Column:
-    """The scores in words."""
-    pct = lambda x: F.format_string("%.0f%%", x * 100)
+# The sentences of a rationale.
+SAID = {
+    "top": "FinBERT: dominant {label} ({top}); distribution pos {p} / neg {n} / neutral {neu}.",
+    "high": "High entropy — competing labels; treat headline sentiment as uncertain.",
+    "mixed": "Moderate mixed signals between labels.",
+    "second": "Substantial mass on {second} ({share}) alongside top label — text may mix bullish and bearish cues (e.g. demand vs capacity).",
+    "neutral": "Large neutral probability often reflects factual/reporting tone rather than clear bull/bear stance.",
+}
+
+
+def filled(sentence: str, **parts: Column) -> Column:
+    """A sentence with columns in its braces."""
+    pieces = re.split(r"\{(\w+)\}", sentence)
+    return F.concat(*(parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces)))
+
+
+def rationale(label: Column, score: Column, positive: Column, negative: Column, neutral: Column, uncertainty: Column, sentences_: dict[str, str] = SAID) -> Column:
+    """The scores in words; ``sentences_`` may have others than SAID, with the same keys."""
+    pct = lambda x: F.concat(F.bround(x * 100, 0).cast("int").cast("string"), F.lit("%"))
     shares = F.array(*(F.struct((-p).alias("p"), F.lit(i).alias("i"), F.lit(x).alias("x")) for i, (x, p) in enumerate(zip(LABELS, (positive, negative, neutral), strict=True))))
     second = F.sort_array(shares)[1]
     return F.concat_ws(
         " ",
-        F.concat(F.lit("Dominant "), label, F.lit(" ("), pct(score), F.lit("); positive "), pct(positive), F.lit(" / negative "), pct(negative), F.lit(" / neutral "), pct(neutral), F.lit(".")),
-        F.when(uncertainty >= 0.88, "High entropy: labels compete.").when(uncertainty >= 0.75, "Moderately mixed."),
-        F.when((-second["p"] >= 0.22) & (score < 0.65), F.concat(F.lit("Much weight on "), second["x"], F.lit(" ("), pct(-second["p"]), F.lit(") besides."))),
-        F.when((neutral >= 0.35) & (label != "neutral"), "A large neutral share often means a factual tone."),
+        filled(sentences_["top"], label=label, top=pct(score), p=pct(positive), n=pct(negative), neu=pct(neutral)),
+        F.when(uncertainty >= 0.88, sentences_["high"]).when(uncertainty >= 0.75, sentences_["mixed"]),
+        F.when((-second["p"] >= 0.22) & (score < 0.65), filled(sentences_["second"], second=second["x"], share=pct(-second["p"]))),
+        F.when((neutral >= 0.35) & (label != "neutral"), sentences_["neutral"]),
     )
 
 

@@ -181,10 +181,17 @@ def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prune_oldest(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(what stays, what goes): the n oldest by (published_at, id) go. The cut is found by a top-n, not by a sort of all rows."""
-    order = F.struct("published_at", "id")
-    gone = rows.select(order.alias("o")).orderBy("o").limit(n)
-    cut = gone.agg(F.max("o").alias("cut"))
+    """(what stays, what goes): the n oldest by (published_at, id) go. Counts by hour tell the hour in which the n-th is; of that
+    hour's rows alone the first are taken in order, however large n is."""
+    order, times = F.struct("published_at", "id"), rows.schema["published_at"].dataType.typeName().startswith("timestamp")
+    hour = F.date_trunc("hour", "published_at") if times else F.col("published_at")
+    hours = rows.groupBy(hour.alias("_hour")).agg(F.count("*").alias("_n"))  # a row for each hour
+    earlier = Window.orderBy(F.asc_nulls_first("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    within = hours.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_before") < n)
+    last = within.agg(F.max(F.struct("_before", "_hour")).alias("_l")).select("_l.*")
+    there = rows.join(F.broadcast(last), hour.eqNullSafe(F.col("_hour")) & F.col("_before").isNotNull()).select("published_at", "id", "_before")
+    first = there.withColumn("_k", F.row_number().over(Window.orderBy("published_at", "id"))).filter(F.col("_k") <= n - F.col("_before"))
+    cut = first.agg(F.max(order).alias("cut"))
     marked = rows.join(F.broadcast(cut)).withColumn("old", F.coalesce(order <= F.col("cut"), F.lit(False))).drop("cut")
     return marked.filter("not old").drop("old"), marked.filter("old").drop("old")
 

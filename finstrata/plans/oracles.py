@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from finstrata.functions.lexicons import CHANNELS, EMOTION_PHRASES, EMOTIONS, FINANCIAL_TERMS, INTENSITY_WORDS, LABELS, NEGATIVE_WORDS, POSITIVE_WORDS, SPAM_PATTERNS, STOP_WORDS
+from finstrata.functions.sentiment import SAID
 from finstrata.functions.text import EMOJI, MOVEMENT, PUNCTUATION, SENTENCE_END, TREEBANK_FIRST, TREEBANK_THEN
 from finstrata.operators.entities import CONTEXT, SKIPPED, SUFFIXES
 from finstrata.plans.queries import COMPARED, END, START
@@ -29,6 +32,15 @@ def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def pct(x: str) -> str:
+    return f"round_even({x} * 100, 0)::INTEGER || '%'"
+
+
+def said(name: str, **parts: str) -> str:
+    pieces = re.split(r"\{(\w+)\}", SAID[name])
+    return "(" + " || ".join(parts[x] if k % 2 else quoted(x) for k, x in enumerate(pieces)) + ")"
+
+
 COUNTS = "count(*) AS total, " + ", ".join(f"count(*) FILTER (sentiment_label = '{x}') AS {x}" for x in LABELS)
 PERCENTS = ", ".join(f"CASE WHEN total = 0 THEN 0.0 ELSE {r(f'{x} * 100.0 / total', 2)} END AS {x}_pct" for x in LABELS)
 STOCKS = f"WITH {RECORDS}, s AS (SELECT * FROM recs WHERE ticker IS NOT NULL)"
@@ -275,6 +287,7 @@ SELECT ticker, n, {r('sl', 4)} AS slope, {r('my - sl * mx', 4)} AS intercept, up
     "data_signature_ingested": f"{STOCKS} SELECT ticker, substr(sha256(count(*) || '|' || strftime(min(published_at), '%Y-%m-%dT%H:%M:%S') || '|' || strftime(max(published_at), '%Y-%m-%dT%H:%M:%S') || '|' || strftime(max(published_at + to_days((event_id % 9)::INTEGER)), '%Y-%m-%dT%H:%M:%S')), 1, 48) AS signature FROM s GROUP BY ticker",
     "time_series": f"{MERGED}, more AS (SELECT m.*, p.close, {', '.join(r(f'd.{x} / d.total', 6) + f' AS {x}_ratio' for x in LABELS)}, {r('d.avg_score', 6)} AS avg_score FROM m JOIN daily d ON d.ticker = m.ticker AND d.date = m.date JOIN prices p ON p.ticker = m.ticker AND p.date = m.date) SELECT ticker, {day('date')} AS date, mention_count, {r('close', 2)} AS close, {', '.join(r(x, 6) + f' AS {n}' for x, n in (('returns', 'returns'), ('spy_returns', 'spy_returns'), ('excess_returns', 'excess_returns'), ('forward_1d_return', 'forward_1d_return'), ('forward_1d_excess_return', 'forward_excess_return')))}, {', '.join(r(x, 4) + f' AS {n}' for x, n in (('avg_score', 'avg_sentiment_score'), ('net_sentiment', 'net_sentiment'), ('trailing_net_sentiment', 'trailing_net_sentiment'), *((f'{x}_ratio', f'{x}_ratio') for x in LABELS)))} FROM more",
     "table_posts": f"WITH {TEXTS}, t AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN ['TSLA'] ELSE [] END, list_transform(regexp_extract_all(text, '\\$([A-Za-z]{{1,6}})\\b', 1), lambda x: upper(x))) AS b, text FROM texts) SELECT array_to_string({_UNIQUE('b')}, ',') AS hints, CASE WHEN doc_id % 4 > 0 THEN '2026-01-05' ELSE '' END AS created_at, count(*) AS n, count(DISTINCT (doc_id % 4 > 0, text, doc_id % 2 = 0)) AS ids FROM t GROUP BY 1, 2",
+    "rationales": f"WITH {SCORED}, {SHARES}, {UNSURE}, o AS (SELECT *, list_sort([{{'p': -p0, 'i': 0, 'x': 'positive'}}, {{'p': -p1, 'i': 1, 'x': 'negative'}}, {{'p': -p2, 'i': 2, 'x': 'neutral'}}])[2] AS r FROM unsure) SELECT doc_id, concat_ws(' ', {said('top', label='sentiment_label', top=pct('sentiment_score'), p=pct('p0'), n=pct('p1'), neu=pct('p2'))}, CASE WHEN h >= 0.88 THEN {said('high')} WHEN h >= 0.75 THEN {said('mixed')} END, CASE WHEN -r.p >= 0.22 AND sentiment_score < 0.65 THEN {said('second', second='r.x', share=pct('-r.p'))} END, CASE WHEN p2 >= 0.35 AND sentiment_label <> 'neutral' THEN {said('neutral')} END) AS rationale FROM o",
     "insert_if_absent": f"WITH {RECORDS} SELECT ticker, count(*) AS n FROM recs WHERE data_source IS DISTINCT FROM 'reddit' GROUP BY ticker",
     "stored_insert": f"WITH {RECORDS} SELECT ticker, sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",
     "stored_upsert": f"WITH {RECORDS} SELECT ticker, CASE WHEN sentiment_label = 'negative' THEN 'neutral' ELSE sentiment_label END AS sentiment_label, count(*) AS n FROM recs GROUP BY 1, 2",

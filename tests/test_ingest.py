@@ -130,3 +130,15 @@ def test_hints_of_articles_in_order(spark):
     universe = spark.createDataFrame([(t,) for t in "ABCDEF"], "ticker string")
     got = {r.k: r.hints for r in E.article_hints(rows, "k", F.col("m"), F.col("n"), F.col("r"), universe, 2).collect()}
     assert got == {1: ["B", "C", "D", "A", "E"], 2: []}
+
+
+def test_pruning_against_a_sort(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"k{i}", f"2026-01-0{rng.randrange(1, 4)} {rng.randrange(10, 13)}:0{rng.randrange(3)}:00") for i in range(120)]
+    frame = spark.createDataFrame(rows, "id string, t string").select("id", F.col("t").cast("timestamp_ntz").alias("published_at"))
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for n in (0, 1, 7, 60, 119, 120, 500):
+        kept, gone = I.prune_oldest(frame, n)
+        assert {r.id for r in gone.collect()} == set(order[:n]) and {r.id for r in kept.collect()} == set(order[n:])
