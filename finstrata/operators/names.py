@@ -113,13 +113,14 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names:
 
 
 # A word with single marks within it, and small words that may stand between the words of a name.
-LETTERS, BETWEEN = r"(?:[.&'’#-]?[\p{L}\p{Nd}])*", r"(?:(?:of|and|the|for|&) )?"
+# Possessive, as there is nothing to go back for: Java's other loops over groups recurse, and overflow the stack on long runs.
+LETTERS, BETWEEN = r"(?:[.&'’#-]?[\p{L}\p{Nd}])*+", r"(?:(?:of|and|the|for|&) )?"
 
 
 def capitalised(text: Column) -> Column:
     """What may be names: the longest runs of words that begin with a capital or a digit, parted by single spaces or small words; the first
     begins with a capital."""
-    run = rf"(?<![\p{{L}}\p{{Nd}}])\p{{Lu}}{LETTERS}(?: {BETWEEN}[\p{{Lu}}\p{{Nd}}]{LETTERS})*"
+    run = rf"(?<![\p{{L}}\p{{Nd}}])\p{{Lu}}{LETTERS}(?: {BETWEEN}[\p{{Lu}}\p{{Nd}}]{LETTERS})*+"
     return F.regexp_extract_all(present(text), F.lit(run), F.lit(0))
 
 

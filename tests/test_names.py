@@ -171,3 +171,12 @@ def test_the_dimension_of_a_table(spark):
     got = {r.ticker: (r.company_name, r.short_name, r.at) for r in E.dimension(rows).collect()}
     assert got == {"B": ("Beta Ltd", "Beta", 3), "A": ("The Alpha Company", "Alpha", 1)}
     assert E.dimension(rows.drop("at")).count() == 2
+
+
+def test_long_runs_of_capitals_end(spark):
+    word, run = "A&B" * 30_000, " ".join(["The Bank of"] * 10_000)
+    rows = spark.createDataFrame([(1, word), (2, run + " x"), (3, "see Bank of America and Other-Name, U.S. of x")], "k long, text string")
+    found = N.entity_candidates(rows, "k", "text").filter("k = 1 or k = 3").collect()
+    assert {r.entity for r in found if r.k == 1} == {word}
+    assert {r.run for r in found if r.k == 3} == {0, 1}
+    assert N.entity_candidates(rows.filter("k = 2"), "k", "text").count() == 8  # of one to six words, none with a small word at an end
