@@ -94,11 +94,14 @@ def metadata(rows: DataFrame, columns: tuple[str, ...], parsed: dict[str, str])
 def annotation_task(rows: DataFrame, order: str, text: str = "text") -> DataFrame:
     """(idx, text) without labels, idx being the row's place in the order, from 0.
 
-    Places are added up from counts by range of the order, so no task sees all rows.
+    Places are added up from counts by range of the order, so no task sees all rows. Ranges are written first: read twice, a plan may put
+    them together in different ways, and their numbers wouldn't agree.
     """
     from pyspark.sql import Window
 
-    dealt = rows.select(F.col(order).alias("o"), F.col(text).alias("text")).repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    from finstrata.plans.tables import settle
+
+    dealt = settle(rows.select(F.col(order).alias("o"), F.col(text).alias("text")).repartitionByRange("o").withColumn("part", F.spark_partition_id()))
     dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("o", "text")))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

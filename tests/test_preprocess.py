@@ -56,3 +56,9 @@ def test_explanation_finds_the_words_that_matter(spark):
     weights = X.explain(rows, "k", "text", samples=120)
     assert weights.orderBy(F.desc(F.abs("weight"))).first().token == "surge"
     assert X.summary(weights).count() == 7
+
+
+def test_annotation_numbers_hold_when_ranges_are_put_together(spark):
+    rows = spark.range(20_000).selectExpr("id * 7919 % 20000 AS k", "repeat(cast(id AS string), 200) AS text").repartition(16)
+    found = P.annotation_task(rows, "k").select("idx").toPandas()["idx"]
+    assert sorted(found) == list(range(20_000))
