@@ -36,6 +36,11 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
 
 
+def lowered(text: Column) -> Column:
+    """In lower case, one letter for one: a dotted capital I becomes a plain i, and no i with a mark beside it, which would part a word."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def channel(name: Column, unknown: str | None = None) -> Column:
     """A channel's common name: x, tweets -> twitter; articles -> news; all, any -> null; others -> ``unknown``."""
     low = F.lower(F.trim(name))

@@ -91,3 +91,24 @@ def test_sentences(spark):
 )
 def test_treebank(spark, text, want):
     assert one(spark, text, X.treebank) == want.split()
+
+
+@pytest.mark.parametrize("text", ["égains loss", "gainsé loss", "중gains losses중", "profit\u0301s loss", "R\u0130SE loss", "gains_ 2loss fell"])
+def test_keyword_words_are_those_of_the_sql(spark, text):
+    import duckdb
+
+    from finstrata.plans.oracles import ORACLES
+
+    duck = duckdb.connect()
+    duck.execute("create table documents as select 1::bigint as doc_id, ? as text, 'a' as source, 'en' as lang", [text])
+    want = duck.execute(ORACLES["emotion_infer"]).fetchall()
+    from finstrata.plans.queries import emotional
+    from finstrata.functions.sentiment import EMOTIONS
+
+    rows = spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    rows.write.parquet(f"{folder}/documents.parquet")
+    got = emotional(spark, folder).select("doc_id", "emotion_label", *(f"emotion_{e}" for e in EMOTIONS)).collect()
+    assert [tuple(r) for r in got] == want
