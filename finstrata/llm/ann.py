@@ -1,19 +1,18 @@
-"""Approximate nearest neighbours by score-aware anisotropic quantisation (operator 4).
+"""Nearest neighbours by score-aware anisotropic quantisation (operator 4).
 
 Vectors are cut into short subvectors, each replaced by one of 16 codewords: four bits. Codewords are fitted, and chosen, not
 for the least error but for the least harm to high inner products: the part of the error that is parallel to the vector costs
 more than the rest. A query's inner products with all codewords are a small table; scanning the codes adds up its
-entries. The best of the scan are ranked again by exact cosine.
+entries. A vector's own error is kept beside its codes: it says how far from the scan's sum the cosine can be. The best of the
+scan are ranked by exact cosine, and so are all others that can still be among the nearest, so none is missed however the vectors lie.
 
 The codebooks are fitted on a bounded sample. All vectors are encoded once, in groups of a bounded size; queries come in blocks
-of a bounded size. Each pair of a block and a group is a task's work: it scans the group's codes for the block's queries,
-and returns for each query the best few, so many that the best of all groups together are among them. What is shuffled is codes,
-queries and candidates; vectors only for the candidates that are ranked exactly. Nothing but the sample passes the driver.
+of a bounded size. Each pair of a block and a group is a task's work: it scans the group's codes for the block's queries, and returns
+for each query the group's nearest. Nothing but the sample passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -22,9 +21,10 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import rows_as, settle
 
-NEAR, CODED = "query_row long, row long, score double", "group int, ids binary, rows binary, codes binary"
-RANKED = "query_row long, query_id long, row long, vec_id long, score double"
+CODED = "group int, ids binary, rows binary, codes binary, errors binary, vectors binary"
+NEAR = "query_row long, query_id long, row long, vec_id long, score double"
 CODES = 16
+SLACK = 1e-4  # more than what sums of floats are wrong by
 
 
 def cost_of_parallel(dims: int, threshold: float) -> float:
@@ -109,59 +109,71 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def encoder(books_of, eta: float):
+def encoder(books_of, eta: float, kind: str):
     def encoded(key: tuple, vectors: Any) -> Any:
-        """A group's ids and codes, two codes in a byte, as one row. Ids rise, for ties."""
+        """A group's ids, codes (two in a byte), sizes of the errors and vectors, as one row. Ids rise, for ties."""
         import pyarrow as pa
 
         vectors = vectors.sort_by([("vec_id", "ascending"), ("row", "ascending")])
-        codes = encode(units(matrix(vectors.column("v"))), books_of.value, eta).astype(np.uint8)
+        given, books = matrix(vectors.column("v")), books_of.value
+        x = units(given)
+        codes = encode(x, books, eta).astype(np.uint8)
+        errors = sum(((part - books[j, codes[:, j]]) ** 2).sum(1) for j, part in enumerate(subvectors(x, books.shape[2]).transpose(1, 0, 2))) ** 0.5
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         packed = codes[:, ::2] | codes[:, 1::2] << 4
         ids, rows = (np.asarray(vectors.column(c).to_numpy(), np.int64).tobytes() for c in ("vec_id", "row"))
-        return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip((key[0].as_py(), ids, rows, packed.tobytes()), rows_as(CODED), strict=True)], schema=rows_as(CODED))
+        values = (key[0].as_py(), ids, rows, packed.tobytes(), errors.astype(np.float32).tobytes(), given.astype(kind).tobytes())
+        return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip(values, rows_as(CODED), strict=True)], schema=rows_as(CODED))
 
     return encoded
 
 
-def scanner(books_of, few: int):
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of one scaled vector with scaled rows."""
+    return (q * v).sum(1) / (np.sqrt((q**2).sum()) * np.sqrt((v**2).sum(1)))
+
+
+def scanner(books_of, k: int, first: int, kind: str):
     def scanned(key: tuple, groups: Any, queries: Any) -> Any:
-        """For each query of a block the best of a group by the codes; ties to smaller ids."""
+        """For each query of a block the k nearest of a group; ties to smaller ids."""
         import pyarrow as pa
 
         books, found = books_of.value, []
         if not len(queries):
             return rows_as(NEAR).empty_table()
-        tables = np.einsum("qjw,jcw->qjc", subvectors(units(matrix(queries.column("v"))), books.shape[2]), books).astype(np.float32)
-        for ids, rows, packed in zip(*(groups.column(c) for c in ("ids", "rows", "codes")), strict=True):
-            ids, rows = (np.frombuffer(v.as_py(), np.int64) for v in (ids, rows))
+        asked = scaled(matrix(queries.column("v")))
+        lengths = np.sqrt((asked**2).sum(1))
+        for ids, rows, packed, errors, vectors in zip(*(groups.column(c) for c in ("ids", "rows", "codes", "errors", "vectors")), strict=True):
+            ids, rows, errors = (np.frombuffer(v.as_py(), t) for v, t in ((ids, np.int64), (rows, np.int64), (errors, np.float32)))
+            given = scaled(np.frombuffer(vectors.as_py(), kind).reshape(len(ids), -1).astype(np.float64))
+            unit = given / np.sqrt((given**2).sum(1))[:, None]
             pairs = np.frombuffer(packed.as_py(), np.uint8).reshape(len(ids), -1)
             codes = np.ascontiguousarray(np.stack([pairs & 15, pairs >> 4], 2).reshape(len(ids), -1)[:, : len(books)].T)
-            for query, table in zip(queries.column("row").to_numpy(), tables, strict=True):
+            for q, length, query, query_id in zip(asked, lengths, queries.column("row").to_numpy(), queries.column("vec_id").to_numpy(), strict=True):
+                q1 = q / length
+                table = np.einsum("jw,jcw->jc", subvectors(q1[None], books.shape[2])[0], books).astype(np.float32)
                 near = np.zeros(len(ids), np.float32)
                 for entries, column in zip(table, codes, strict=True):
                     near += entries[column]
                 near[rows == query] = -np.inf
-                at = best_of(near, ids, few)
-                at = at[near[at] > -np.inf]
-                found.append((np.full(len(at), query, np.int64), rows[at], near[at].astype(np.float64)))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+                at = best_of(near, ids, first)
+                sure = unit[at[near[at] > -np.inf]] @ q1
+                floor = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
+                # a cosine is no farther from the scan's sum than the vector's error is long
+                at = np.flatnonzero((near + errors >= floor - SLACK) & (near > -np.inf))
+                dots = (unit @ q1)[at] if 4 * len(at) > len(ids) else unit[at] @ q1
+                if len(at) > k:
+                    at = at[dots >= np.partition(dots, len(dots) - k)[len(dots) - k] - SLACK * SLACK]
+                score = cosines(q, given[at])
+                best = best_of(score, ids[at], k)
+                at, score = at[best], score[best]
+                found.append((np.full(len(at), query, np.int64), np.full(len(at), query_id, np.int64), rows[at], ids[at], score))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[] for _ in rows_as(NEAR)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, rows_as(NEAR), strict=True)], schema=rows_as(NEAR))
 
     return scanned
 
 
-def exact(batches: Iterator) -> Iterator:
-    """The candidates' cosines, from the vectors themselves."""
-    import pyarrow as pa
-
-    for batch in batches:
-        if batch.num_rows:
-            q, v = scaled(matrix(batch.column("q"))), scaled(matrix(batch.column("v")))
-            cosine = (q * v).sum(1) / (np.sqrt((q**2).sum(1)) * np.sqrt((v**2).sum(1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_row", "query_id", "row", "vec_id")), pa.array(cosine)], schema=rows_as(RANKED))
-
-
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part; floats stay floats, all other numbers are doubles."""
     column = F.col(f"`{vector_col}`")
@@ -171,13 +183,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int | None = None, sample: int = 10_000, group: int = 16_384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold: float = 0.2, rerank: int = 64, sample: int = 10_000, group: int | None = None, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest by cosine among all other rows: query_id, rank (from 1), vec_id, score (exact, double).
 
     Queries are the rows of which ``is_query`` (a function of the id's column) holds; a query isn't its own neighbour. Ties go to
-    the smaller vec_id; with fewer than k candidates, all are returned. For each query the ``rerank`` best by the codes are ranked
-    exactly (of all groups; a group returns its share and 6 standard deviations, as vectors are dealt to groups by hash); without a
-    number, 200 or 0.9 times the root of the number of vectors, whichever is more, as recall falls where vectors lie denser.
+    the smaller vec_id; with fewer than k candidates, all are returned. In each group of vectors the ``rerank`` best by the codes say how near
+    the k-th is at least; all whose codes and error leave room for more are ranked exactly, so the result is exact. Where vectors lie so
+    that codes say little, that may be the whole group. Groups and blocks without a given size hold about 2**20 and 2**22 components.
 
     Vectors that are null, empty, all zero, or hold a null or a non-finite component take no part, nor do rows without an id or
     with another number of dimensions than most have (of as common numbers, the smallest). Of rows with the same id each takes part
@@ -189,6 +201,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold:
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "float32" if rows.schema["v"].dataType.simpleString() == "array<float>" else "float64"
     rows = settle(rows.filter(F.size("v") == common["n"]).withColumn("row", F.monotonically_increasing_id()))
     fitted = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).toArrow().column("v"))
     eta = max(1.0, cost_of_parallel(common["n"], threshold))
@@ -196,20 +209,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, width: int = 2, threshold:
 
     queries = rows.filter(is_query(F.col("vec_id")))
     n, n_queries = rows.count(), queries.count()
-    rerank = max(200, round(0.9 * n**0.5)) if rerank is None else rerank
-    groups, blocks = -(-n // group), max(1, -(-n_queries // block))
-    share = rerank / groups
-    few = min(rerank, int(share + 6 * share**0.5 + 10))
+    sized = lambda components, most: min(most, max(512, components // common["n"]))
+    # small tables are cut further, so that all cores have work
+    groups = -(-n // group) if group else max(-(-n // sized(1 << 20, 16_384)), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    blocks = max(1, -(-n_queries // (block or sized(1 << 22, 16_384))))
     dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("row", F.lit(name)), F.lit(parts)).cast("int"))
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    coded = settle(dealt(rows, "group", groups).groupBy("group").applyInArrow(encoder(books, eta), CODED))
+    coded = settle(dealt(rows, "group", groups).groupBy("group").applyInArrow(encoder(books, eta, kind), CODED))
     work = coded.withColumn("block", each(blocks)).groupBy("group", "block")
     asked = dealt(queries, "block", blocks).withColumn("group", each(groups)).groupBy("group", "block")
-    found = work.cogroup(asked).applyInArrow(scanner(books, few), NEAR)
-    # ties of the scan go to smaller ids within a group, and to earlier rows between groups; exact cosines decide in the end
-    best = lambda order, most: F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), *order)) <= most
-    near = found.withColumn("best", best(["row"], rerank)).filter("best").select("query_row", "row")
-    pairs = near.join(rows, "row").join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_row")
-    ranked = pairs.select("query_row", "query_id", "row", "vec_id", "q", "v").mapInArrow(exact, RANKED)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")).cast("int"))
+    found = work.cogroup(asked).applyInArrow(scanner(books, k, max(k, rerank), kind), NEAR)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -135,3 +135,27 @@ def test_anisotropic_codes_keep_more_of_the_parallel_part():
         rebuilt = np.stack([books[j, codes[:, j]] for j in range(len(books))], 1)
         error[eta] = float((((subvectors(x, 2) - rebuilt) * subvectors(x, 2)).sum((1, 2)) ** 2).mean())
     assert error[max(error)] < error[1.0]
+
+
+@pytest.mark.parametrize("kind", ["offset", "clusters", "plane", "spread"])
+def test_nearest_are_found_however_vectors_lie(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    if kind == "offset":
+        x = 30 + 0.3 * x
+    elif kind == "clusters":
+        x = rng.normal(size=(10, 32))[np.arange(6000) % 10] + 0.002 * x
+    elif kind == "plane":
+        x = x[:, :2] @ rng.normal(size=(2, 32)) + 0.001 * x
+    else:
+        x *= np.exp(-np.arange(32))
+    x = x.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest(frame, lambda c: c % 500 == 0).toPandas()
+    unit = x / np.sqrt((x**2).sum(1))[:, None]
+    for q in range(0, 6000, 500):
+        score = unit @ unit[q]
+        score[q] = -2
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert np.allclose(mine["score"], np.sort(score)[::-1][:5], rtol=0, atol=1e-13)
+        assert np.allclose(score[mine["vec_id"]], mine["score"], rtol=0, atol=1e-13)

@@ -59,6 +59,6 @@ def test_explanation_finds_the_words_that_matter(spark):
 
 
 def test_annotation_numbers_hold_when_ranges_are_put_together(spark):
-    rows = spark.range(20_000).selectExpr("id * 7919 % 20000 AS k", "repeat(cast(id AS string), 200) AS text").repartition(16)
+    rows = spark.range(20_000).selectExpr("id * 7919 % 20000 AS k", "array_join(transform(sequence(1, 30), i -> md5(cast(id * 31 + i AS string))), '') AS text").repartition(16)
     found = P.annotation_task(rows, "k").select("idx").toPandas()["idx"]
     assert sorted(found) == list(range(20_000))

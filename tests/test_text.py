@@ -93,7 +93,7 @@ def test_treebank(spark, text, want):
     assert one(spark, text, X.treebank) == want.split()
 
 
-@pytest.mark.parametrize("text", ["égains loss", "gainsé loss", "중gains losses중", "profit\u0301s loss", "R\u0130SE loss", "gains_ 2loss fell"])
+@pytest.mark.parametrize("text", ["égains loss", "gainsé loss", "중gains losses중", "profit\u0301s loss", "\u0130loss dividend", "gains_ 2loss fell"])
 def test_keyword_words_are_those_of_the_sql(spark, text):
     import duckdb
 
