@@ -18,6 +18,7 @@ CASHTAG, BARE = r"\$([A-Za-z]{1,5}(?:\.[A-Za-z])?)\b", r"(?<![A-Za-z0-9])([A-Z]{
 CLAUSE_ENDS = (r"\s+while\s+", r"\s+but\s+", r"\s+however\s+", r"\s+whereas\s+", r"\s+although\s+", r"\s+though\s+", r",\s+and\s+", r",\s+but\s+", r";\s+")
 RUNS, WORD = r"(?U)\w+|\W+", r"(?U)^\w"
 TAG, SYMBOL, NAME = 0, 1, 2  # kinds of mentions, in the order in which they count
+MARKS = ("$", "=")  # what tags and symbols begin with, beside words, which begin with neither
 
 Words = list[str] | DataFrame
 Names = dict[str, str] | DataFrame
@@ -62,28 +63,22 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def heads(universe: DataFrame, blocked: DataFrame, names: DataFrame) -> DataFrame:
-    """(kind, head, name, ticker, at): what a text is searched for. The head of a name is its first word, or its first two with what
+    """(kind, word, head, name, ticker, at): what a text is searched for. The head of a name is its first word, or its first two with what
     stands between them: many names begin with the same word."""
     symbols = universe.select(F.lit(TAG).alias("kind"), F.col("ticker").alias("head"), "ticker").unionByName(universe.join(blocked, universe["ticker"] == blocked["word"], "left_anti").select(F.lit(SYMBOL).alias("kind"), F.col("ticker").alias("head"), "ticker"))
-    symbols = symbols.select("kind", "head", F.lit("").alias("name"), "ticker", F.struct(F.lit(0).cast("long").alias("first"), F.lit("").alias("then")).alias("at"))
+    symbols = symbols.select("kind", F.col("head").alias("word"), "head", F.lit("").alias("name"), "ticker", F.struct(F.lit(0).cast("long").alias("first"), F.lit("").alias("then")).alias("at"))
     parts = names.withColumn("parts", runs(F.col("name"))).filter(F.col("name").rlike(WORD))
     head = F.when(F.size("parts") > 2, joined(F.col("parts"), 1, 3)).otherwise(F.col("parts")[0])
-    return symbols.unionByName(parts.select(F.lit(NAME).alias("kind"), head.alias("head"), "name", "ticker", "at"))
+    return symbols.unionByName(parts.select(F.lit(NAME).alias("kind"), F.col("parts")[0].alias("word"), head.alias("head"), "name", "ticker", "at"))
 
 
 def mentioned(text: str, longest: int) -> Column:
-    """All that may be a mention: struct(kind, head, at, form). A name's form is the text from its first word on, as long as the
-    longest name."""
-    source, parts = F.col(text), F.col("_runs")
-    mention = lambda kind, head, at, form: F.struct(F.lit(kind).alias("kind"), head.alias("head"), at.cast("int").alias("at"), form.alias("form"))
-    tags = F.transform(F.regexp_extract_all(source, F.lit(CASHTAG), F.lit(1)), lambda s, i: mention(TAG, normalize_symbol(s), i, F.concat(F.lit("$"), normalize_symbol(s))))
-    bare = F.transform(F.regexp_extract_all(source, F.lit(BARE), F.lit(1)), lambda s, i: mention(SYMBOL, normalize_symbol(s), i, s))
-    # words and gaps take turns, so every second run is a word
-    odd = F.when(F.get(parts, F.lit(0)).rlike(WORD), 0).otherwise(1)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: i % 2 == odd)
-    one = F.transform(at, lambda i: mention(NAME, F.lower(F.get(parts, i)), i, F.get(parts, i)))
-    two = F.transform(F.filter(at, lambda i: i + 2 < F.size(parts)), lambda i: mention(NAME, F.lower(joined(parts, i + 1, 3)), i, joined(parts, i + 1, longest)))
-    return F.concat(tags, bare, one, *([two] if longest > 2 else []))
+    """All that may be a mention: struct(word, form), tags first, then symbols, which come with a mark, then words. A word's form is the text from
+    there on, a bit longer than the longest name; one pattern finds all of them."""
+    every = lambda pattern, group: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    symbols = lambda pattern, mark: F.transform(every(pattern, 1), lambda s: F.struct(F.concat(F.lit(mark), normalize_symbol(s)).alias("word"), s.alias("form")))
+    forms = rf"(?U)(?=(\w+(?:\W+\w+){{0,{longest // 2}}}+\W?))\w+"
+    return F.concat(symbols(CASHTAG, MARKS[TAG]), symbols(BARE, MARKS[SYMBOL]), F.arrays_zip(every(forms, 0).alias("word"), every(forms, 1).alias("form")))
 
 
 def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names: Names | None = None, blocked: Words | None = None) -> DataFrame:
@@ -92,20 +87,28 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names:
 
     ``universe`` holds the tickers that symbols are tested against, ``names`` company names and their tickers (a dict, or a frame like
     that of entities.name_index), ``blocked`` upper-case words that are no symbols; each may be a table of any size. Every word of
-    a text is joined with the heads of names, so the plan is the same for ten names or ten thousand; Spark broadcasts the
-    heads if they are small, and shuffles if not. Names that don't begin with a letter or digit aren't found.
+    a text is joined with the first words of names, what is left with their heads, so the plan is the same for ten names or ten thousand;
+    Spark broadcasts the words if they are small, and shuffles if not. Names that don't begin with a letter or digit aren't found.
     """
     spark = rows.sparkSession
     known = name_table(spark, COMPANY_NAMES if names is None else names)
     searched = heads(column_of(spark, universe, "ticker"), column_of(spark, NOT_TICKERS if blocked is None else blocked, "word"), known)
     longest = known.agg(F.max(F.size(runs(F.col("name"))))).first()[0] or 1
-    texts = rows.select(key, present(F.col(text)).alias("_text")).withColumn("_runs", runs(F.col("_text")))
-    found = texts.select(key, F.explode(mentioned("_text", longest)).alias("m")).select(key, "m.*").join(searched.withColumnRenamed("at", "order"), ["kind", "head"])
+    marked = F.concat(F.when(F.col("kind") == TAG, MARKS[TAG]).when(F.col("kind") == SYMBOL, MARKS[SYMBOL]).otherwise(""), "word")
+    searched = searched.withColumn("word", marked)
+    found = rows.select(key, present(F.col(text)).alias("_text")).select(key, F.posexplode(mentioned("_text", longest)).alias("at", "m"))
+    found = found.select(key, "at", F.when(F.left("m.word", F.lit(1)).isin(*MARKS), F.col("m.word")).otherwise(F.lower("m.word")).alias("word"), "m.form")
+    found = found.join(searched.select("word", "kind").distinct(), "word")  # few words are left
+    two = F.lower(F.regexp_extract("form", r"(?U)^\w+\W+\w+", 0))
+    own = F.when(F.col("kind") == NAME, F.col("word")).otherwise(F.substring("word", 2, 1 << 30))
+    tried = F.when((F.col("kind") != NAME) | (two == "") | F.lit(longest <= 2), F.array(own)).otherwise(F.array(own, two))
+    found = found.withColumn("form", F.when(F.col("kind") == TAG, F.col("word")).otherwise(F.col("form")))
+    found = found.withColumn("head", F.explode(tried)).drop("word").join(searched.drop("word").withColumnRenamed("at", "order"), ["kind", "head"])
     # a name must end where a word ends or begins, as it does where the text goes on with the other kind of character
     size = F.length("name")
     after, last = F.substr("form", size + 1, F.lit(1)), F.right("name", F.lit(1))
     whole = (F.lower(F.left("form", size)) == F.col("name")) & ((after == "") & last.rlike(WORD) | (after != "") & (after.rlike(WORD) != last.rlike(WORD)))
-    found = found.filter((F.col("kind") != NAME) | (F.col("form") == F.col("head")) & (F.col("name") == F.col("head")) | whole)
+    found = found.filter((F.col("kind") != NAME) | whole)
     found = found.withColumn("form", F.when(F.col("kind") == NAME, F.left("form", size)).otherwise(F.col("form")))
     order = F.struct("kind", "order", "at", "form")
     first = found.repartition(F.col(key)).groupBy(key, "ticker").agg(F.min(order).alias("m"))

@@ -180,3 +180,10 @@ def test_long_runs_of_capitals_end(spark):
     assert {r.entity for r in found if r.k == 1} == {word}
     assert {r.run for r in found if r.k == 3} == {0, 1}
     assert N.entity_candidates(rows.filter("k = 2"), "k", "text").count() == 8  # of one to six words, none with a small word at an end
+
+
+def test_names_that_end_with_a_mark_and_one_longest_name(spark):
+    names = {"yahoo!": "YHOO", "amazon.com inc.": "AMZN", "big blue": "IBM"}
+    texts = [(1, "We like Yahoo!x and BIG BLUE."), (2, "Yahoo! and amazon.com Inc.x"), (3, "Amazon.com Inc. fell"), (4, "big  blue BIG BLUEs")]
+    found = N.detect_tickers(spark.createDataFrame(texts, "k long, text string"), "k", "text", ["IBM"], names).collect()
+    assert {(r.k, r.ticker, r.mentioned_as) for r in found} == {(1, "YHOO", "Yahoo!"), (1, "IBM", "BIG BLUE"), (2, "AMZN", "amazon.com Inc.")}
