@@ -13,7 +13,7 @@ from finstrata.functions.lexicons import FINANCIAL_TERMS, INTENSITY_WORDS, SPAM_
 # Patterns.
 URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*(),\\]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 PLAIN_URL = r"https?://\S+"
-NEGATION = r"(?i)^(not|no|never|neither|nobody|nothing|nowhere|n't)\b"
+NEGATIONS = "(?:not|no|never|neither|nobody|nothing|nowhere|n't)"
 MOVEMENT = r"(?i)\b(up|down|gained?|lost|rose|fell|increased?|decreased?)\s+[\d.]+\s*[%$]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]"
@@ -77,20 +77,8 @@ def replaced(text: Column, mark: str, *steps: tuple[str, str]) -> Column:
 
 def join_negations(text: Column) -> Column:
     """``not good`` becomes ``not_good``: a token that starts with a negation takes the next one in, which then joins no other."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
-
-    def step(acc: Column, token: Column) -> Column:
-        open_ = acc["held"] != ""
-        joined = F.concat(F.regexp_replace(acc["held"], r"[.,!?;:]+$", ""), F.lit("_"), token)
-        return (
-            F.when(open_, F.struct(F.array_append(acc["out"], joined).alias("out"), F.lit("").alias("held")))
-            .when(token.rlike(NEGATION), F.struct(acc["out"].alias("out"), token.alias("held")))
-            .otherwise(F.struct(F.array_append(acc["out"], token).alias("out"), F.lit("").alias("held")))
-        )
-
-    # a negation at the end stays by itself
-    end = lambda acc: F.array_join(F.when(acc["held"] != "", F.array_append(acc["out"], acc["held"])).otherwise(acc["out"]), " ")
-    return F.aggregate(tokens(text), start, step, end)
+    # a match takes both tokens, so none is taken twice; a negation at the end stays by itself
+    return F.regexp_replace(F.array_join(tokens(text), " "), rf"(?i)(?<![^ ])({NEGATIONS}\b(?:[^ ]*[^ .,!?;:])?)[.,!?;:]*+ ([^ ]+)", "$1_$2")
 
 
 def normalize_text(text: Column, urls: bool = True, emails: bool = True, mentions: bool = True, hashtags: bool = True, numbers: bool = False, lower: bool = True, keep_financial: bool = False, negations: bool = False) -> Column:

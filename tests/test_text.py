@@ -112,3 +112,12 @@ def test_keyword_words_are_those_of_the_sql(spark, text):
     rows.write.parquet(f"{folder}/documents.parquet")
     got = emotional(spark, folder).select("doc_id", "emotion_label", *(f"emotion_{e}" for e in EMOTIONS)).collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_long_texts_with_negations_end_soon(spark):
+    import time
+
+    words = ["a"] * 300_000 + ["not.,", "no", "never!a;", "b", "n't", "nothing", "knot", "c", "no..."]
+    started = time.time()
+    assert one(spark, "  ".join(words), X.join_negations).split()[300_000:] == ["not_no", "never!a_b", "n't_nothing", "knot", "c", "no..."]
+    assert time.time() - started < 30
