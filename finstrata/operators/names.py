@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from finstrata.functions.lexicons import COMPANY_NAMES, NOT_COMPANIES, NOT_TICKERS
 from finstrata.functions.text import present
 from finstrata.operators.entities import name_index, normalize_symbol
+from finstrata.plans.tables import settle
 
 # Patterns of symbols.
 CASHTAG, BARE = r"\$([A-Za-z]{1,5}(?:\.[A-Za-z])?)\b", r"(?<![A-Za-z0-9])([A-Z]{2,5}(?:\.[A-Z])?)(?![a-z])"
@@ -88,22 +89,24 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names:
     ``universe`` holds the tickers that symbols are tested against, ``names`` company names and their tickers (a dict, or a frame like
     that of entities.name_index), ``blocked`` upper-case words that are no symbols; each may be a table of any size. Every word of
     a text is joined with the first words of names, what is left with their heads, so the plan is the same for ten names or ten thousand;
-    Spark broadcasts the words if they are small, and shuffles if not. Names that don't begin with a letter or digit aren't found.
+    words and heads are broadcast up to 200,000, and shuffled beyond. Names that don't begin with a letter or digit aren't found.
     """
     spark = rows.sparkSession
     known = name_table(spark, COMPANY_NAMES if names is None else names)
     searched = heads(column_of(spark, universe, "ticker"), column_of(spark, NOT_TICKERS if blocked is None else blocked, "word"), known)
     longest = known.agg(F.max(F.size(runs(F.col("name"))))).first()[0] or 1
     marked = F.concat(F.when(F.col("kind") == TAG, MARKS[TAG]).when(F.col("kind") == SYMBOL, MARKS[SYMBOL]).otherwise(""), "word")
-    searched = searched.withColumn("word", marked)
+    searched = settle(searched.withColumn("word", marked))
+    # sizes of tables that come from lists aren't known to Spark, which would shuffle all words
+    light = F.broadcast if searched.count() <= 200_000 else lambda df: df
     found = rows.select(key, present(F.col(text)).alias("_text")).select(key, F.posexplode(mentioned("_text", longest)).alias("at", "m"))
     found = found.select(key, "at", F.when(F.left("m.word", F.lit(1)).isin(*MARKS), F.col("m.word")).otherwise(F.lower("m.word")).alias("word"), "m.form")
-    found = found.join(searched.select("word", "kind").distinct(), "word")  # few words are left
+    found = found.join(light(searched.select("word", "kind").distinct()), "word")  # few words are left
     two = F.lower(F.regexp_extract("form", r"(?U)^\w+\W+\w+", 0))
     own = F.when(F.col("kind") == NAME, F.col("word")).otherwise(F.substring("word", 2, 1 << 30))
     tried = F.when((F.col("kind") != NAME) | (two == "") | F.lit(longest <= 2), F.array(own)).otherwise(F.array(own, two))
     found = found.withColumn("form", F.when(F.col("kind") == TAG, F.col("word")).otherwise(F.col("form")))
-    found = found.withColumn("head", F.explode(tried)).drop("word").join(searched.drop("word").withColumnRenamed("at", "order"), ["kind", "head"])
+    found = found.withColumn("head", F.explode(tried)).drop("word").join(light(searched.drop("word").withColumnRenamed("at", "order")), ["kind", "head"])
     # a name must end where a word ends or begins, as it does where the text goes on with the other kind of character
     size = F.length("name")
     after, last = F.substr("form", size + 1, F.lit(1)), F.right("name", F.lit(1))
