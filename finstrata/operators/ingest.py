@@ -9,6 +9,7 @@ from finstrata.functions.columns import first_text, record_id
 from finstrata.functions.sentiment import Scorer, emotion_scores, entropy, keyword_scorer, rationale, scored_aspects, with_emotion
 from finstrata.functions.text import clean_news, clean_tweet, tags
 from finstrata.operators.names import detect_tickers
+from finstrata.plans.tables import settle
 
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "dd MMM yyyy HH:mm:ss Z")
 
@@ -152,6 +153,7 @@ def dedupe_articles(rows: DataFrame, url: str = "url", title: str = "title", ord
 def import_records(rows: DataFrame, universe: list[str], now: str, scorer: Scorer = keyword_scorer, document_fallback: bool = True) -> DataFrame:
     """Raw records to fact rows: normalise, score, enrich, one row for each ticker; without any, a document row (or none)."""
     docs = normalize_records(rows, now).withColumn("doc", record_id("r", F.col("source"), F.col("source_id"), F.col("text"))).dropDuplicates(["doc"])
+    docs = settle(docs)  # read several times
     scored = scorer(docs, "text")
     shares = [F.col(f"score_{x}") for x in ("positive", "negative", "neutral")]
     scored = scored.withColumn("sentiment_uncertainty", entropy(*shares))
