@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,58 +167,81 @@ def ratio(a: str, b: str) -> float:
     return round(200 * common_length(a, b) / max(1, len(a) + len(b))) / 100
 
 
-def grams(text: Column) -> Column:
-    """A text's pairs of letters, with one more at each end; those that repeat are numbered."""
-    padded = F.concat(F.lit("\x02"), text, F.lit("\x03"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda h: h == g)).cast("string")))
+GRAM_PLACES, PIECE = 2048, 1024  # into how many places grams are hashed; about how many names one piece of work has of each side
 
 
-def rarest(rows: DataFrame, name: str, counts: DataFrame, least: float) -> DataFrame:
-    """(name, gram): as many of a name's rarest grams as any partner must share one of.
+def gram_counts(names: list[str]) -> np.ndarray:
+    """(names, GRAM_PLACES): each name's pairs of letters, with one more at each end, counted by hash; those that repeat are numbered first."""
+    letters = np.frombuffer("".join(f"\x02{n}\x03" for n in names).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(n) + 2 for n in names])
+    of = np.repeat(np.arange(len(names)), sizes)
+    inside = of[:-1] == of[1:]
+    pairs, of = (letters[:-1] << np.uint64(32) | letters[1:])[inside], of[:-1][inside]
+    order = np.lexsort((pairs, of))
+    pairs, of = pairs[order], of[order]
+    new = np.r_[True, (pairs[1:] != pairs[:-1]) | (of[1:] != of[:-1])]
+    nth = np.arange(len(pairs)) - np.maximum.accumulate(np.where(new, np.arange(len(pairs)), 0))
+    hashed = (pairs * np.uint64(0x9E3779B97F4A7C15)) ^ (nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    at = (hashed ^ hashed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(53)
+    return np.bincount(of * GRAM_PLACES + at.astype(np.int64), minlength=len(names) * GRAM_PLACES).reshape(len(names), GRAM_PLACES).astype(np.float32)
+
+
+def near_pairs(asked: list[str], known: list[str], bound: float) -> Iterator[tuple[str, str]]:
+    """The pairs that share as many grams as a ratio of ``bound`` takes, by hash: none of these is missed, some others are among them.
 
     Two names of S letters together whose ratio is at least t share S (1.5 t - 1) + 1 grams or more, as a letter that is left out costs
-    two grams and a letter put in one; and the shortest partner of n letters has n t / (2 - t).
+    two grams and a letter put in one.
     """
-    size = F.length(name)
-    shared = F.ceil(size * (2 / (2 - least) * (1.5 * least - 1)) + 1 - 1e-9)
-    each = rows.select(name, F.posexplode(grams(F.col(name))).alias("at", "gram")).join(counts, "gram", "left")
-    order = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("n", F.lit(0)), "gram"))
-    return each.withColumn("k", order).filter(F.col("k") <= size + 1 - F.greatest(shared, F.lit(1)) + 1).select(name, "gram")
+    a, b = np.array([len(x) for x in asked]), np.array([len(x) for x in known])
+    letters = a[:, None] + b
+    shared = gram_counts(asked) @ gram_counts(known).T
+    near = (shared >= letters * (1.5 * bound - 1) + 1 - 1e-3) & (np.abs(a[:, None] - b) <= (1 - bound) * letters + 1e-9)
+    for i, j in zip(*np.nonzero(near), strict=True):
+        yield asked[i], known[j]
 
 
 def similar(names: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """(asked, known, score): all pairs of a name and a known one whose ratio is at least ``least`` (over 0.7), by an inverted index of grams.
+    """(asked, known, score): all pairs of a name and a known one whose ratio is at least ``least`` (over 0.7).
 
-    Each name is looked up under its rarest grams only, which every partner shares one of; lengths are compared in the join. What
-    comes of that is verified.
+    Names are dealt into bands of like lengths and those into parts of some 1,000; parts whose bands may have pairs meet, and one product of
+    matrices counts the grams that their names share. Pairs that share enough are verified. The work is quadratic, of fixed size for
+    each pair of parts, and spread over all tasks.
     """
-    bound = least - 0.005  # ratios are rounded
-    asked, known = names.select("asked").distinct(), known.select("known").distinct()
-    counts = known.select(F.explode(grams(F.col("known"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    left, right = rarest(asked, "asked", counts, bound), rarest(known, "known", counts, bound)
-    near = F.abs(F.length("asked") - F.length("known")) <= (1 - bound) * (F.length("asked") + F.length("known")) + 1e-9
-    pairs = left.join(right, "gram").filter(near).select("asked", "known").distinct()
+    bound, step = least - 0.005, math.log(1.1)  # ratios are rounded
+    reach = math.ceil(math.log((2 - bound) / bound) / step)  # of two lengths one is at most so much longer
+
+    def parted(rows: DataFrame, name: str, side: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(name).distinct().filter(F.length(name) > 0).withColumn(f"{side}_band", F.floor(F.log(F.length(name)) / step))
+        sizes = settle(rows.groupBy(f"{side}_band").agg(F.ceil(F.count("*") / PIECE).alias(f"{side}_parts")))  # a row for each band
+        rows = rows.join(F.broadcast(sizes), f"{side}_band").withColumn(f"{side}_part", F.pmod(F.xxhash64(name), F.col(f"{side}_parts")))
+        return rows.drop(f"{side}_parts"), sizes
+
+    (left, left_sizes), (right, right_sizes) = parted(names, "asked", "a"), parted(known, "known", "k")
+    meet, key = F.abs(F.col("a_band") - F.col("k_band")) <= reach, ["a_band", "a_part", "k_band", "k_part"]
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_parts") - 1)).alias(f"{side}_part")
+    left = left.join(F.broadcast(right_sizes), meet).select("asked", "a_band", "a_part", "k_band", every("k"))
+    right = right.join(F.broadcast(left_sizes), meet).select("known", "k_band", "k_part", "a_band", every("a"))
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["score"] = [ratio(a, b) for a, b in zip(frame["asked"], frame["known"], strict=True)]
-            yield frame[frame["score"] >= least - 1e-9]
+    def scored(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        pairs = near_pairs(list(some["asked"]), list(others["known"]), bound) if len(some) and len(others) else ()
+        rows = [(a, k, ratio(a, k)) for a, k in pairs]
+        return pd.DataFrame([r for r in rows if r[2] >= least - 1e-9], columns=["asked", "known", "score"])
 
-    return pairs.mapInPandas(scored, "asked string, known string, score double")
+    dealt = lambda rows: rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, *key).groupBy(*key)  # noqa: E731  much work for each row
+    return dealt(left).cogroup(dealt(right)).applyInPandas(scored, "asked string, known string, score double")
 
 
 def resolve(names: DataFrame, dimension: DataFrame, least: float = 0.85) -> DataFrame:
     """(name, ticker, method, score): exact ticker, exact name, else the name of the index with the best ratio of at least ``least``; of equal
     ones the smallest ticker counts. Names of NOT_COMPANIES resolve to nothing; names that aren't found are left out.
     """
-    index = name_index(dimension).select(F.col("name").alias("known"), "ticker")
+    index = settle(name_index(dimension).select(F.col("name").alias("known"), "ticker"))  # read several times, as the names asked for are
     asked = names.select("name").distinct().withColumn("asked", F.lower(F.trim("name"))).filter(F.col("asked") != "").filter(~F.col("asked").isin(*NOT_COMPANIES))
-    asked = asked.withColumn("asked", F.regexp_replace("asked", r"^\$", ""))
+    asked = settle(asked.withColumn("asked", F.regexp_replace("asked", r"^\$", "")))
     match = lambda rows, order, method, score: rows.select("name", "ticker", F.lit(order).alias("order"), F.lit(method).alias("method"), score.alias("score"))
     by_ticker = match(asked.join(dimension.select("ticker").distinct(), F.translate(F.upper("asked"), ".", "-") == F.col("ticker")), 0, "ticker", F.lit(1.0))
     by_name = match(asked.join(index, F.col("asked") == F.col("known")), 1, "name", F.lit(1.0))
-    rest = asked.join(by_ticker.select("name"), "name", "left_anti").join(by_name.select("name"), "name", "left_anti")
+    rest = settle(asked.join(by_ticker.select("name"), "name", "left_anti").join(by_name.select("name"), "name", "left_anti"))
     fuzzy = match(similar(rest, index, least).join(rest, "asked").join(index, "known"), 2, "fuzzy", F.col("score"))
     best = by_ticker.unionByName(by_name).unionByName(fuzzy).groupBy("name").agg(F.min(F.struct("order", (-F.col("score")).alias("worse"), "ticker", "method")).alias("m"))
     return best.select("name", "m.ticker", "m.method", (-F.col("m.worse")).alias("score"))

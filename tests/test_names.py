@@ -118,6 +118,18 @@ def test_similar_names_against_all_pairs(spark, least):
     assert all(r.score == N.ratio(r.asked, r.known) for r in got)
 
 
+def test_grams_that_names_share_rule_most_pairs_out():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshr") + rng.choice("etaoinshr") for _ in range(rng.randrange(1, 4)))
+    known = [" ".join(word() for _ in range(12))[:58] for _ in range(300)]
+    asked = [n[:2] + n[3:] for n in known[:100]] + known[100:102]
+    got = list(N.near_pairs(asked, known, 0.845))
+    assert {(a, k) for a in asked for k in known if N.ratio(a, k) >= 0.85} <= set(got)
+    assert len(got) < 0.2 * len(asked) * len(known)  # under one of its 31 rarest grams, nearly each name meets each other
+    counts = N.gram_counts(["aaaa", "ab", ""])
+    assert counts.sum(1).tolist() == [5, 3, 1] and counts[0].max() == 1
+
+
 def test_resolve(spark):
     asked = ["$aapl", "Tesla Inc.", "Microsft Corporation", "nobody", None, "Microsft", "icrosoft", "SEC", "Fed", "brk.b", "", "Walt Disny"]
     names = spark.createDataFrame([(a,) for a in asked], "name string")
