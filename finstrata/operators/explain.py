@@ -11,7 +11,8 @@ get the copies.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -68,31 +69,32 @@ def ridge(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
     return x.T @ np.linalg.solve(x @ x.T + (1 + 1e-9) * np.eye(x.shape[0]), y)
 
 
-def weighed(words: list[str], chosen: np.ndarray, shares: np.ndarray, most: int, width: float) -> list[tuple[str, float]]:
-    """The words with the largest weights in a linear model of the samples' shares; samples that keep more count more."""
-    x = chosen.astype(np.float32 if len(words) > len(chosen) else np.float64)
+def weighed(chosen: np.ndarray, shares: np.ndarray, most: int, width: float) -> list[tuple[int, float]]:
+    """The places of the words with the largest weights in a linear model of the samples' shares; samples that keep more count more."""
+    x = chosen.astype(np.float32 if chosen.shape[1] > len(chosen) else np.float64)
     near = np.exp(-((1 - np.sqrt(x.mean(1))) ** 2) / width**2)
     weights = ridge(x, shares, near)
-    order = np.lexsort((np.arange(len(words)), -np.abs(weights)))[:most]
-    return [(words[i], float(weights[i])) for i in order]
+    order = np.lexsort((np.arange(len(weights)), -np.abs(weights)))[:most]
+    return [(int(i), float(weights[i])) for i in order]
 
 
-def lexicon_words(text: Column) -> tuple[Column, Column]:
-    """A text's tokens, and of each token the distinct lexicon words that it holds."""
-    parts = tokens(text)
-    return parts.alias("words"), F.transform(parts, lambda t: F.array_intersect(distinct_words(t), strings([*POSITIVE_WORDS, *NEGATIVE_WORDS]))).alias("held")
+def lexicon_words(text: Column) -> Column:
+    """Of each of a text's tokens that holds lexicon words its place, itself and the distinct words that it holds."""
+    listed = [*POSITIVE_WORDS, *NEGATIVE_WORDS]
+    held = F.transform(tokens(text), lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.filter(distinct_words(t), lambda w: w.isin(listed)).alias("words")))
+    return F.filter(held, lambda x: F.size(x["words"]) > 0)
 
 
-def places(held: list) -> dict[str, list[int]]:
+def places(held: dict[int, list[str]]) -> dict[str, list[int]]:
     """The tokens that hold each lexicon word of a text."""
     found: dict[str, list[int]] = {}
-    for i, words in enumerate(held):
+    for i, words in held.items():
         for w in words:
             found.setdefault(w, []).append(i)
     return found
 
 
-def counts(chosen: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
+def counts(chosen: np.ndarray, held: dict[int, list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct good and bad words each sample has: a word is there if any of its tokens is."""
     good, bad = np.zeros(len(chosen), np.int64), np.zeros(len(chosen), np.int64)
     for word, at in places(held).items():
@@ -101,9 +103,10 @@ def counts(chosen: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
     return good, bad
 
 
-def by_row(rows: DataFrame, key: str, text: str, schema: str, found: Callable[[object, list[str], list], Iterable[tuple]]) -> DataFrame:
-    """Applies a function of (key, tokens, lexicon words by token) to each text."""
-    words = dealt(rows.select(F.col(key), *lexicon_words(F.col(text))), key)
+def by_row(rows: DataFrame, key: str, text: str, schema: str, found: Callable[[object, Sequence[str], int, list[dict]], Iterable[tuple]], whole: bool) -> DataFrame:
+    """Applies a function of (key, tokens, their number, lexicon words by token) to each text; the tokens are sent if ``whole``."""
+    words = tokens(F.col(text))
+    words = dealt(rows.select(F.col(key), (words if whole else strings([]).cast("array<string>")).alias("words"), F.size(words).alias("size"), lexicon_words(F.col(text)).alias("held")), key)
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -111,8 +114,8 @@ def by_row(rows: DataFrame, key: str, text: str, schema: str, found: Callable[[o
         kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
         fields = [(name, kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))]
         for batch in batches:
-            for k, own, held in zip(*(batch.column(c) for c in (key, "words", "held")), strict=True):
-                out = list(found(k.as_py(), own.as_py(), held.as_py())) if len(own) else []
+            for k, own, size, held in zip(*(batch.column(c) for c in (key, "words", "size", "held")), strict=True):
+                out = list(found(k.as_py(), own, size.as_py(), held.as_py())) if size.as_py() else []
                 columns = [pa.array([k.as_py()] * len(out), k.type), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([(key, k.type), *fields]))
 
@@ -127,13 +130,13 @@ def explain(rows: DataFrame, key: str, text: str, scorer: Scorer = keyword_score
     schema = "token string, weight double, predicted_class string"
     if scorer is keyword_scorer:
 
-        def fast(k: object, words: list[str], held: list) -> Iterator[tuple]:
-            chosen = masks(k, len(words), samples, seed)
-            shares = keyword_shares(*counts(chosen, held))
+        def fast(k: object, words: Sequence, size: int, held: list[dict]) -> Iterator[tuple]:
+            chosen = masks(k, size, samples, seed)
+            shares = keyword_shares(*counts(chosen, {x["at"]: x["words"] for x in held}))
             label = int(shares[0].argmax())
-            return ((w, x, LABELS[label]) for w, x in weighed(words, chosen, shares[:, label], most, width))
+            return ((words[i].as_py(), x, LABELS[label]) for i, x in weighed(chosen, shares[:, label], most, width))
 
-        return by_row(rows, key, text, schema, fast)
+        return by_row(rows, key, text, schema, fast, True)
 
     scored = scorer(perturbed(rows, key, text, samples, seed), "kept").select(key, "sample", "sentiment_label", "score_positive", "score_negative", "score_neutral")
 
@@ -142,28 +145,33 @@ def explain(rows: DataFrame, key: str, text: str, scorer: Scorer = keyword_score
             return pd.DataFrame(columns=[key, "token", "weight", "predicted_class"], dtype=object)
         group = group.drop_duplicates("sample").sort_values("sample")
         label = group["sentiment_label"].iloc[0]
-        best = weighed(words, masks(of[0], len(words), samples, seed), group[f"score_{label}"].to_numpy(float), most, width)
-        return pd.DataFrame({key: of[0], "token": [w for w, _ in best], "weight": [x for _, x in best], "predicted_class": label}, dtype=object)
+        best = weighed(masks(of[0], len(words), samples, seed), group[f"score_{label}"].to_numpy(float), most, width)
+        return pd.DataFrame({key: of[0], "token": [words[i] for i, _ in best], "weight": [x for _, x in best], "predicted_class": label}, dtype=object)
 
     kind = rows.schema[key].dataType.simpleString()
     words = rows.select(F.col(key), tokens(F.col(text)).alias("words"))
     return dealt(scored, key).groupBy(key).cogroup(dealt(words, key).groupBy(key)).applyInPandas(fitted, f"{key} {kind}, {schema}")
 
 
-def owen(held: list) -> dict[int, np.ndarray]:
+def owen(tokens_: list[list[str]]) -> dict[int, np.ndarray]:
+    """owen_values() of a text's tokens, given the lexicon words of each."""
+    return owen_values(len(tokens_), {i: words for i, words in enumerate(tokens_) if words})
+
+
+def owen_values(size: int, held: dict[int, list[str]]) -> dict[int, np.ndarray]:
     """For each token with lexicon words what it adds to the three shares: its Owen value in a hierarchy that halves the text.
 
     A token adds something to what is there already: of each part of the text beside its own, on all levels, all or nothing, each with
     a chance of one half. What is there matters by its numbers of good and bad words alone, but for words that other
     tokens hold too, which count once. So the states on the way down are few: two numbers and the set of such words.
     """
-    found = places(held)
-    again = {w: 1 << i for i, w in enumerate(sorted(w for w, at in found.items() if len(at) > 1))}
+    found, at = places(held), sorted(held)
+    again = {w: 1 << i for i, w in enumerate(sorted(w for w, in_ in found.items() if len(in_) > 1))}
     good_again = sum(bit for w, bit in again.items() if w in GOOD)
 
     def part(lo: int, hi: int) -> tuple[int, int, int]:
         """Good and bad words that stand only here, and the set of others, of tokens lo to hi."""
-        words = {w for at in held[lo:hi] for w in at}
+        words = {w for i in at[bisect_left(at, lo) : bisect_left(at, hi)] for w in held[i]}
         alone = [w for w in words if w not in again]
         good = sum(w in GOOD for w in alone)
         return good, len(alone) - good, sum(again[w] for w in words if w in again)
@@ -177,7 +185,7 @@ def owen(held: list) -> dict[int, np.ndarray]:
         return a[0] + b[0], a[1] + b[1], a[2] | b[2]
 
     values: dict[int, np.ndarray] = {}
-    open_ = [(0, len(held), {(0, 0, 0): 1.0})]
+    open_ = [(0, size, {(0, 0, 0): 1.0})]
     while open_:
         lo, hi, states = open_.pop()
         own = part(lo, hi)
@@ -205,10 +213,11 @@ def attributions(rows: DataFrame, key: str, text: str) -> DataFrame:
     out; exact, no samples are drawn.
     """
 
-    def found(_: object, words: list[str], held: list) -> Iterator[tuple]:
-        return ((i, words[i], *(float(x) for x in v)) for i, v in sorted(owen(held).items()))
+    def found(_: object, words: Sequence, size: int, held: list[dict]) -> Iterator[tuple]:
+        values = owen_values(size, {x["at"]: x["words"] for x in held})
+        return ((x["at"], x["token"], *(float(v) for v in values[x["at"]])) for x in held)
 
-    return by_row(rows, key, text, "position int, token string, positive double, negative double, neutral double", found)
+    return by_row(rows, key, text, "position int, token string, positive double, negative double, neutral double", found, False)
 
 
 def summary(weights: DataFrame, most: int = 20) -> DataFrame:

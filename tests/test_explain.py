@@ -80,3 +80,10 @@ def test_a_long_text_ends_soon(spark):
     began = time.perf_counter()
     values = X.owen(held)
     assert time.perf_counter() - began < 60 and np.allclose(sum(values.values()), shares(held) - shares([]))
+
+
+def test_only_tokens_with_lexicon_words_are_looked_at(spark):
+    found = spark.createDataFrame([(1, "x " * 5_000 + "Gain-loss, gain y"), (2, "x"), (3, None)], "k long, t string").select("k", X.lexicon_words(F.col("t")).alias("held")).collect()
+    assert {r.k: [(h.at, h.token, sorted(h.words)) for h in r.held] for r in found} == {1: [(5_000, "Gain-loss,", ["gain", "loss"]), (5_001, "gain", ["gain"])], 2: [], 3: []}
+    values = X.owen_values(1 << 60, {5: ["gain"], 1 << 59: ["loss"]})  # the work doesn't grow with the tokens between
+    assert np.allclose(sum(values.values()), shares([["gain"], ["loss"]]) - shares([]))
