@@ -87,3 +87,17 @@ def test_only_tokens_with_lexicon_words_are_looked_at(spark):
     assert {r.k: [(h.at, h.token, sorted(h.words)) for h in r.held] for r in found} == {1: [(5_000, "Gain-loss,", ["gain", "loss"]), (5_001, "gain", ["gain"])], 2: [], 3: []}
     values = X.owen_values(1 << 60, {5: ["gain"], 1 << 59: ["loss"]})  # the work doesn't grow with the tokens between
     assert np.allclose(sum(values.values()), shares([["gain"], ["loss"]]) - shares([]))
+
+
+@pytest.mark.parametrize("words", [1, 7, 150, 300, 420])
+def test_weights_are_those_of_the_whole_system(words):
+    samples = 300
+    chosen = X.masks(words, words, samples, 3)
+    near = np.exp(-((1 - np.sqrt(chosen.mean(1))) ** 2) / 0.0625)
+    y = 0.3 * chosen[:, :3].any(1) + 0.1 * chosen[:, 3:5].all(1)
+    x = chosen - near @ chosen / near.sum()
+    want = np.linalg.solve(x.T @ (near[:, None] * x) + (1 + 1e-9) * np.eye(words), x.T @ (near * (y - near @ y / near.sum())))
+    assert np.allclose(X.ridge(chosen, y, near, block=1000), want, rtol=0, atol=1e-11)
+    assert np.allclose(X.ridge(chosen, np.full(samples, 0.5), near), 0, atol=1e-11)
+    gram = (x.T @ x + np.eye(words)).astype(np.float32)
+    assert np.allclose(np.tril(X.factored(gram.copy(), 64)), np.linalg.cholesky(gram), atol=1e-2)
