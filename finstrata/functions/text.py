@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,21 +44,35 @@ TREEBANK_THEN = (
 )
 
 
+# The steps of both lists in turn with what a sentence must have for any of a step's rules to match; most sentences have few of these.
+TREEBANK_STEPS = (
+    (("\"", "``", "''"), TREEBANK_FIRST[:3]), ((":", ","), TREEBANK_FIRST[3:5]), (("...",), TREEBANK_FIRST[5:6]), (tuple(";@#$%&"), TREEBANK_FIRST[6:7]), ((".",), TREEBANK_FIRST[7:8]),
+    (("?", "!"), TREEBANK_FIRST[8:9]), (("'",), TREEBANK_FIRST[9:10]), (tuple("][(){}<>"), TREEBANK_FIRST[10:11]), (("--",), TREEBANK_FIRST[11:]),
+), (
+    (('"',), TREEBANK_THEN[:1]), (("'",), TREEBANK_THEN[1:4]), ("(?i)cannot|gimme|lemme|gonna|wanna|gotta|d'ye|more'n|'tis|'twas", TREEBANK_THEN[4:]),
+)
+
+
 def treebank(text: Column) -> Column:
     """Words as the Penn Treebank parts them: ``don't`` is ``do n't``, punctuation is by itself, only a sentence's last full stop is one."""
     java = lambda by: re.sub(r"\\(\d)", r"$\1", by)
 
-    def words(sentence: Column) -> Column:
-        out = sentence
-        for pattern, by in TREEBANK_FIRST:
-            out = F.regexp_replace(out, pattern, java(by))
-        out = F.concat(F.lit(" "), out, F.lit(" "))
-        for pattern, by in TREEBANK_THEN:
-            out = F.regexp_replace(out, pattern, java(by))
-        return tokens(out)
+    def step(before: Column, marks: tuple[str, ...] | str, rules: tuple) -> Column:
+        def applied(t: Column) -> Column:
+            out = t
+            for pattern, by in rules:
+                out = F.regexp_replace(out, pattern, java(by))
+            has = t.rlike(marks) if isinstance(marks, str) else reduce(lambda a, b: a | b, (t.contains(m) for m in marks))
+            return F.when(has, out).otherwise(t)
+
+        return F.transform(before, applied)  # what a step begins with is made once
 
+    first, then = TREEBANK_STEPS
     marked = F.regexp_replace(present(text), SENTENCE_END, "$1\x01$2")
-    return F.flatten(F.transform(F.split(marked, "\x01"), lambda s: words(F.regexp_replace(s, r"^\s+|\s+$", ""))))
+    out = F.transform(F.split(marked, "\x01"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    out = reduce(lambda x, how: step(x, *how), first, out)
+    out = F.transform(out, lambda s: F.concat(F.lit(" "), s, F.lit(" ")))
+    return F.flatten(F.transform(reduce(lambda x, how: step(x, *how), then, out), tokens))
 
 
 def one_space(text: Column) -> Column:

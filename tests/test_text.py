@@ -121,3 +121,18 @@ def test_long_texts_with_negations_end_soon(spark):
     started = time.time()
     assert one(spark, "  ".join(words), X.join_negations).split()[300_000:] == ["not_no", "never!a_b", "n't_nothing", "knot", "c", "no..."]
     assert time.time() - started < 30
+
+
+def test_treebank_steps_have_all_rules_and_miss_no_match():
+    import random
+    import re
+
+    first, then = X.TREEBANK_STEPS
+    assert [r for _, rules in first for r in rules] == list(X.TREEBANK_FIRST) and [r for _, rules in then for r in rules] == list(X.TREEBANK_THEN)
+    rng = random.Random(2)
+    pieces = [*"\"'`:,.;@#$%&?![](){}<>- a1Z", "``", "''", "--", "...", "n't", "'LL", "CanNot", "d'ye", "gimme", "lemme", "gonna", "Wanna", "gotta", "more'n", " 'tis", " 'Twas "]
+    for _ in range(5000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(6)))
+        for marks, rules in (*first, *then):
+            if any(re.search(pattern, text) for pattern, _ in rules):
+                assert re.search(marks, text) if isinstance(marks, str) else any(m in text for m in marks), (text, rules)
