@@ -21,6 +21,7 @@ CASHTAG, BARE = r"\$([A-Za-z]{1,5}(?:\.[A-Za-z])?)\b", r"(?<![A-Za-z0-9])([A-Z]{
 CLAUSE_ENDS = (r"\s+while\s+", r"\s+but\s+", r"\s+however\s+", r"\s+whereas\s+", r"\s+although\s+", r"\s+though\s+", r",\s+and\s+", r",\s+but\s+", r";\s+")
 RUNS, WORD = r"(?U)\w+|\W+", r"(?U)^\w"
 TAG, SYMBOL, NAME = 0, 1, 2  # kinds of mentions, in the order in which they count
+FEW_WORDS = 2_000  # up to so many are looked for within each text, before its words become rows
 MARKS = ("$", "=")  # what tags and symbols begin with, beside words, which begin with neither
 
 Words = list[str] | DataFrame
@@ -75,13 +76,24 @@ def heads(universe: DataFrame, blocked: DataFrame, names: DataFrame) -> DataFram
     return symbols.unionByName(parts.select(F.lit(NAME).alias("kind"), F.col("parts")[0].alias("word"), head.alias("head"), "name", "ticker", "at"))
 
 
-def mentioned(text: str, longest: int) -> Column:
+def looked_up(word: Column) -> Column:
+    """A tag, symbol or word as it is looked for."""
+    return F.when(F.left(word, F.lit(1)).isin(*MARKS), word).otherwise(F.lower(word))
+
+
+def mentioned(text: str, longest: int, listed: list[str] | None = None) -> Column:
     """All that may be a mention: struct(word, form), tags first, then symbols, which come with a mark, then words. A word's form is the text from
-    there on, a bit longer than the longest name; one pattern finds all of them."""
+    there on, a bit longer than the longest name; one pattern finds all of them. If it is ``listed`` what is looked for, all others are left out,
+    and forms are made only for texts that have any of the words."""
     every = lambda pattern, group: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
     symbols = lambda pattern, mark: F.transform(every(pattern, 1), lambda s: F.struct(F.concat(F.lit(mark), normalize_symbol(s)).alias("word"), s.alias("form")))
     forms = rf"(?U)(?=(\w+(?:\W+\w+){{0,{longest // 2}}}+\W?))\w+"
-    return F.concat(symbols(CASHTAG, MARKS[TAG]), symbols(BARE, MARKS[SYMBOL]), F.arrays_zip(every(forms, 0).alias("word"), every(forms, 1).alias("form")))
+    words = F.arrays_zip(every(forms, 0).alias("word"), every(forms, 1).alias("form"))
+    if listed is not None:
+        some = F.exists(every(r"(?U)\w+", 0), lambda w: F.lower(w).isin(listed))
+        words = F.when(some, words).otherwise(F.array().cast("array<struct<word: string, form: string>>"))
+    all_ = F.concat(symbols(CASHTAG, MARKS[TAG]), symbols(BARE, MARKS[SYMBOL]), words)
+    return all_ if listed is None else F.filter(all_, lambda m: looked_up(m["word"]).isin(listed))
 
 
 def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names: Names | None = None, blocked: Words | None = None) -> DataFrame:
@@ -91,7 +103,7 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names:
     ``universe`` holds the tickers that symbols are tested against, ``names`` company names and their tickers (a dict, or a frame like
     that of entities.name_index), ``blocked`` upper-case words that are no symbols; each may be a table of any size. Every word of
     a text is joined with the first words of names, what is left with their heads, so the plan is the same for ten names or ten thousand;
-    words and heads are broadcast up to 200,000, and shuffled beyond. Names that don't begin with a letter or digit aren't found.
+    words and heads are broadcast up to 200,000, and shuffled beyond; up to FEW_WORDS, words that are none of theirs don't become rows. Names that don't begin with a letter or digit aren't found.
     """
     spark = rows.sparkSession
     known = name_table(spark, COMPANY_NAMES if names is None else names)
@@ -101,8 +113,9 @@ def detect_tickers(rows: DataFrame, key: str, text: str, universe: Words, names:
     searched = settle(searched.withColumn("word", marked))
     # sizes of tables that come from lists aren't known to Spark, which would shuffle all words
     light = F.broadcast if searched.count() <= 200_000 else lambda df: df
-    found = rows.select(key, present(F.col(text)).alias("_text")).select(key, F.posexplode(mentioned("_text", longest)).alias("at", "m"))
-    found = found.select(key, "at", F.when(F.left("m.word", F.lit(1)).isin(*MARKS), F.col("m.word")).otherwise(F.lower("m.word")).alias("word"), "m.form")
+    few = [r["word"] for r in searched.select("word").distinct().limit(FEW_WORDS + 1).collect()]
+    found = rows.select(key, present(F.col(text)).alias("_text")).select(key, F.posexplode(mentioned("_text", longest, few if len(few) <= FEW_WORDS else None)).alias("at", "m"))
+    found = found.select(key, "at", looked_up(F.col("m.word")).alias("word"), "m.form")
     found = found.join(light(searched.select("word", "kind").distinct()), "word")  # few words are left
     two = F.lower(F.regexp_extract("form", r"(?U)^\w+\W+\w+", 0))
     own = F.when(F.col("kind") == NAME, F.col("word")).otherwise(F.substring("word", 2, 1 << 30))

@@ -199,3 +199,13 @@ def test_names_that_end_with_a_mark_and_one_longest_name(spark):
     texts = [(1, "We like Yahoo!x and BIG BLUE."), (2, "Yahoo! and amazon.com Inc.x"), (3, "Amazon.com Inc. fell"), (4, "big  blue BIG BLUEs")]
     found = N.detect_tickers(spark.createDataFrame(texts, "k long, text string"), "k", "text", ["IBM"], names).collect()
     assert {(r.k, r.ticker, r.mentioned_as) for r in found} == {(1, "YHOO", "Yahoo!"), (1, "IBM", "BIG BLUE"), (2, "AMZN", "amazon.com Inc.")}
+
+
+def test_words_become_rows_only_if_they_are_looked_for(spark, monkeypatch):
+    texts = [(1, "plain words " * 50 + "and Big  Blue, =IBM $ibm IBM of Tesla"), (2, "none at all"), (3, None), (4, "TESLA İtesla Teslas tesla-x")]
+    rows, names = spark.createDataFrame(texts, "k long, text string"), {"big  blue": "IBM", "tesla": "TSLA"}
+    found = rows.filter("text is not null").select("k", F.size(N.mentioned("text", 3, ["big", "$IBM", "tesla"])).alias("n")).collect()
+    assert {r.k: r.n for r in found} == {1: 3, 2: 0, 4: 2}
+    few = sorted(N.detect_tickers(rows, "k", "text", ["IBM"], names).collect())
+    monkeypatch.setattr(N, "FEW_WORDS", 0)
+    assert sorted(N.detect_tickers(rows, "k", "text", ["IBM"], names).collect()) == few and len(few) == 3
