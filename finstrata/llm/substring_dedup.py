@@ -7,9 +7,11 @@ ends there, and a tree is built for each group of the rest, which fits in a task
   so prefixes have ``prefix`` to ``window`` words, and equal windows have equal prefixes. A prefix whose anchor stands once in all
   the corpus has a subtree that is a single leaf: its suffixes end there.
 * Neighbouring suffixes mostly share an anchor. They travel as one piece of text, of under two windows, to the group of their
-  anchor (a range of hashes). Equal pieces of a block of documents travel once, with their number.
+  anchor (a range of hashes; as anchors are the smallest of many hashes, these are mixed once more, or the first ranges would get
+  nearly all). Equal pieces of a block of documents travel once, with their number.
 * In a group, the pieces' suffixes are sorted, word by word, and the longest common prefixes of neighbours give the tree: an
-  internal node at least ``window`` words deep is a repeat, and all its leaves are windows that stand elsewhere too.
+  internal node at least ``window`` words deep is a repeat, and all its leaves are windows that stand elsewhere too. A large group
+  is taken by parts of its range, each with a tree of its own, as pieces of different anchors share no window.
 * An anchor that stands more than ``most`` times would make its group too large. Its suffixes are split further, by prefixes as long as
   the window: then a group is a node, known by two 64-bit hashes of its path, and travels without its words.
 
@@ -18,6 +20,7 @@ Blocks of documents get back, for each piece, which of its suffixes repeat, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -29,8 +32,9 @@ from finstrata.llm.common import Blocks, block, carried, rows_as, texts
 from finstrata.llm.exchange import ANSWERS, SENT, as_table, by_place, from_places, ranges, sent, settle_totals, totals
 from finstrata.llm.shingles import MIX, WordHashes, long_windows, mixed
 
-#: kind 0: pieces, and their texts (a line each, words parted by spaces). kind 1: windows of frequent anchors, and their second hashes.
-PIECES = "bin int, block long, kind int, keys binary, counts binary, texts binary"
+#: kind 0: pieces, in which 256th of the bin's range their anchors lie, and their texts (a line each, words parted by spaces). kind 1: windows
+#: of frequent anchors, and their second hashes.
+PIECES = "bin int, block long, kind int, keys binary, counts binary, parts binary, texts binary"
 #: Of a piece, which suffixes repeat, as bits from its first; of windows, those that repeat.
 REPEATED = "block long, kind int, keys binary, starts binary"
 KEPT = "_row long, doc_id long, n_words long, n_removed long, kept binary"
@@ -55,7 +59,7 @@ class BlockPieces:
 
     lengths: np.ndarray
     words: np.ndarray
-    grams: np.ndarray  # hash of the ``prefix`` words at each place
+    grams: np.ndarray  # hash of the ``prefix`` words at each place, mixed: those of anchors are even
     first: np.ndarray  # each piece's first window
     sizes: np.ndarray  # and how many it has
     anchor: np.ndarray  # and its anchor's place
@@ -92,7 +96,7 @@ def block_pieces(bodies: Any, window: int, prefix: int) -> BlockPieces:
     new = np.ones(len(own), bool)
     new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1] + 1)
     starts = np.flatnonzero(new)
-    return BlockPieces(lengths, hashes, grams, own[starts], np.diff(np.append(starts, len(own))), at[starts], window)
+    return BlockPieces(lengths, hashes, mixed(grams), own[starts], np.diff(np.append(starts, len(own))), at[starts], window)
 
 
 def anchor_finder(window: int, prefix: int, bins: int):
@@ -105,6 +109,11 @@ def anchor_finder(window: int, prefix: int, bins: int):
     return found
 
 
+def parts_of(hashes: np.ndarray, bin_: int, bins: int) -> np.ndarray:
+    """In which 256th of a bin's range each hash lies."""
+    return np.clip((hashes / 2.0**64 * bins - bin_) * 256, 0, 255).astype(np.uint8)
+
+
 def piece_finder(window: int, prefix: int, bins: int, groups: int, most: int):
     def found(key: tuple, docs: Any, answers: Any) -> Any:
         """A block's pieces whose anchor stands more than once; of frequent anchors, the windows."""
@@ -132,12 +141,12 @@ def piece_finder(window: int, prefix: int, bins: int, groups: int, most: int):
                     split = d, bodies[d].as_py().split()
                 start = int(of.first[few[i]]) - firsts[d]
                 lines[i] = b" ".join(split[1][start : start + int(of.sizes[few[i]]) + window - 1])
-            rows += [(b, block_, 0, by_place(keys[few[lo:hi]]), by_place(counts[lo:hi].astype(np.uint32)), b"\n".join(lines[lo:hi])) for b, lo, hi in ranges(hashes[few], groups)]
+            rows += [(b, block_, 0, by_place(keys[few[lo:hi]]), by_place(counts[lo:hi].astype(np.uint32)), parts_of(hashes[few[lo:hi]], b, groups).tobytes(), b"\n".join(lines[lo:hi])) for b, lo, hi in ranges(hashes[few], groups)]
         if len(many := np.flatnonzero(often > most)):
             starts = of.windows(many)
             node, at, counts = np.unique(runs[starts], return_index=True, return_counts=True)
             second = long_windows(mixed(of.words ^ MIX), window)[starts[at]]
-            rows += [(b, block_, 1, by_place(node[lo:hi]), by_place(counts[lo:hi].astype(np.uint32)), by_place(second[lo:hi])) for b, lo, hi in ranges(node, groups)]
+            rows += [(b, block_, 1, by_place(node[lo:hi]), by_place(counts[lo:hi].astype(np.uint32)), b"", by_place(second[lo:hi])) for b, lo, hi in ranges(node, groups)]
         return as_table(rows, PIECES)
 
     return found
@@ -225,14 +234,33 @@ def repeats_of_windows(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]
     return [(block_, 1, by_place(keys[take]), b"") for (block_, keys, _, _), take in zip(held, repeated, strict=True) if take.any()]
 
 
-def group_repeats(window: int):
+def by_parts(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]], at_once: int) -> Iterator[list[tuple]]:
+    """held: (block, keys, counts, parts, pieces), sorted by part. Runs of parts with so many pieces together, or one part, without its number."""
+    ends = np.cumsum(np.bincount(np.concatenate([h[3] for h in held]), minlength=256))
+    first = 0
+    while first < 256:
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + at_once, side="right")))
+        edges = [(h, *np.searchsorted(h[3], [first, end]).tolist()) for h in held]
+        if chosen := [(h[0], h[1][lo:hi], h[2][lo:hi], h[4][lo:hi]) for h, lo, hi in edges if lo < hi]:
+            yield chosen
+        first = end
+
+
+def group_repeats(window: int, at_once: int = 10_000):
     def found(key: tuple, held: Any) -> Any:
         """A group's repeats, for each block that holds some of them."""
         pieces, windows_ = [], []
-        for block_, kind, keys, counts, body in zip(held.column("block").to_pylist(), held.column("kind").to_pylist(), held.column("keys"), held.column("counts"), held.column("texts"), strict=True):
-            own = from_places(keys, np.uint64), from_places(counts, np.uint32)
-            (windows_ if kind else pieces).append((block_, *own, from_places(body, np.uint64) if kind else body.as_py().split(b"\n")))
-        return as_table((repeats_of_pieces(pieces, window) if pieces else []) + (repeats_of_windows(windows_) if windows_ else []), REPEATED)
+        for block_, kind, keys, counts, parts, body in zip(held.column("block").to_pylist(), held.column("kind").to_pylist(), held.column("keys"), held.column("counts"), held.column("parts"), held.column("texts"), strict=True):
+            own = block_, from_places(keys, np.uint64), from_places(counts, np.uint32)
+            if kind:
+                windows_.append((*own, from_places(body, np.uint64)))
+            else:
+                pieces.append((*own, np.frombuffer(parts.as_py(), np.uint8), body.as_py().split(b"\n")))
+        rows = repeats_of_windows(windows_) if windows_ else []
+        for part in by_parts(pieces, at_once) if pieces else []:
+            rows += repeats_of_pieces(part, window)
+        return as_table(rows, REPEATED)
 
     return found
 
