@@ -257,13 +257,13 @@ class Regressions:
 
     def sums(self, p: np.ndarray) -> np.ndarray:
         """Of each drawn sample, the sum of p with its signs."""
-        out = np.zeros((self.samples, p.shape[1]), p.dtype)
+        out = np.zeros((self.samples, p.shape[1]))
         for lo, signs in zip(range(0, self.words, DRAWN), self.signs, strict=True):
-            out += signs.astype(p.dtype).T @ p[lo : lo + DRAWN]
+            out += signs.astype(np.float64).T @ p[lo : lo + DRAWN]
         return out
 
     def sums_of_samples(self, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([signs.astype(v.dtype) @ v for signs in self.signs])
+        return np.concatenate([signs.astype(np.float64) @ v for signs in self.signs])
 
     def fitted(self, turns: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
         """The weights of texts whose words are turned over so; y: (samples, texts)."""
@@ -272,66 +272,48 @@ class Regressions:
         for i, turn in enumerate(turns):
             sign[: len(turn), i] = 1 - 2.0 * turn
         inside = sign != 0
-        kept = self.sums(sign.astype(np.float32)).astype(np.float64)  # whole numbers
+        kept = self.sums(sign)
         kept[0] = sizes
         near = nearness((sizes + kept) / (2 * sizes), self.width)
         all_ = near.sum(0)
         y = np.where(np.ptp(y, 0) > 0, y - (near * y).sum(0) / all_, 0.0)
         mean = (sign * self.sums_of_samples(near) + inside * near[0]) / all_
 
-        def system(kind: type) -> tuple[Callable, Callable, Callable]:
-            """X p, X' v and what is to be inverted, for the centred samples X of each text."""
-            signs, held, means, weights = (x.astype(kind) for x in (sign, inside, mean, np.sqrt(near) if self.wide else near))
-
-            def along(p: np.ndarray) -> np.ndarray:
-                out = self.sums(signs * p)
-                out[0] = p.sum(0)
-                out -= (means * p).sum(0)
-                out *= kind(0.5)
-                return out
-
-            def across(v: np.ndarray) -> np.ndarray:
-                out = self.sums_of_samples(v)
-                out *= signs
-                out += held * v[0]
-                out -= v.sum(0) * means
-                out *= kind(0.5)
-                return out
-
-            def of(p: np.ndarray) -> np.ndarray:
-                out = along(across(weights * p) if self.wide else p)
-                out *= weights
-                out = out if self.wide else across(out)
-                out += kind(PENALTY) * p
-                return out
-
-            return along, across, of
-
-        _, across, of = system(np.float64)
+        def along(p: np.ndarray) -> np.ndarray:
+            """X p of the centred samples X of each text."""
+            out = self.sums(sign * p)
+            out[0] = p.sum(0)
+            out -= (mean * p).sum(0)
+            out *= 0.5
+            return out
+
+        def across(v: np.ndarray) -> np.ndarray:
+            """X' v"""
+            out = self.sums_of_samples(v)
+            out *= sign
+            out += inside * v[0]
+            out -= v.sum(0) * mean
+            out *= 0.5
+            return out
+
+        def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """a b, in place of a."""
+            a *= b
+            return a
+
         if self.wide:
             root = np.sqrt(near)
-            scale = np.sqrt(nearness(np.float64(0.5), self.width)) / root
-            found = across(root * self.solved(root * y, of, system(np.float32)[2], scale, sizes))
+            found = self.conjugate(root * y, lambda a: times(along(across(root * a)), root), np.sqrt(nearness(np.float64(0.5), self.width)) / root, sizes)
+            found = across(root * found)
         else:
-            found = self.solved(across(near * y), of, system(np.float32)[2], sign, sizes)
+            found = self.conjugate(across(near * y), lambda p: across(times(along(p), near)), sign, sizes)
         return [found[:size, i] for i, size in enumerate(sizes)]
 
-    def solved(self, right: np.ndarray, of: Callable, roughly: Callable, scale: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """x of of(x) = right: solved in single precision, and what is left again, to 1e-10 in double precision."""
-        found, rest, enough, scale = np.zeros(right.shape), right, 1e-10 * np.abs(right).max(0), scale.astype(np.float32)
-        for _ in range(30):
-            size = np.abs(rest).max(0)
-            size[size <= enough] = 0
-            if not size.any():
-                break
-            found += size * self.conjugate((rest * np.divide(1, size, out=np.zeros_like(size), where=size > 0)).astype(np.float32), roughly, scale, sizes)
-            rest = right - of(found)
-        return found
-
-    def conjugate(self, rest: np.ndarray, of: Callable, scale: np.ndarray, sizes: np.ndarray, enough: float = 4e-6) -> np.ndarray:
-        """of(x) = rest, by conjugate gradients."""
-        found, way, size = np.zeros_like(rest), np.zeros_like(rest), np.ones(rest.shape[1], rest.dtype)
-        for _ in range(100):
+    def conjugate(self, right: np.ndarray, of: Callable[[np.ndarray], np.ndarray], scale: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """x of of(x) + PENALTY x = right"""
+        found, rest, way, size = np.zeros(right.shape), right.copy(), np.zeros(right.shape), np.ones(right.shape[1])
+        enough = 1e-11 * np.abs(right).max(0)
+        for _ in range(500):
             open_ = np.abs(rest).max(0) > enough
             if not open_.any():
                 break
@@ -340,6 +322,7 @@ class Regressions:
             way *= np.divide(size, before, out=np.zeros_like(size), where=before > 0)
             way += better
             image = of(way)
+            image += PENALTY * way
             below = np.einsum("ij,ij->j", way, image)
             far = np.divide(size, below, out=np.zeros_like(size), where=open_ & (below > 0))
             found += far * way
